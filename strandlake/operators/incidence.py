@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..spec import HashSpec, LINKED_READ_SPEC
 from . import histogram as hist
+from .ranks import global_rank
 from .sketch import sketch
 
 # How much of each mate of a linked read is sketched, and where the first one starts.
@@ -86,12 +87,10 @@ def inverse_totals(inc: DataFrame) -> DataFrame:
 def hash_ids(inc: DataFrame) -> DataFrame:
     """Rank of each hash by first barcode, then by value: its number in order of first encounter.
 
-    The rank is a running count over value ranges of the first barcode, not one global sort.
+    Ranks are pieced together from value ranges, not from one global sort.
     """
     first = inc.groupBy("hash").agg(F.min("barcode").alias("first_barcode"))
-    from .ranks import global_rank
-
-    return global_rank(first, "first_barcode", ["hash"], "hash_id").select("hash", "hash_id")
+    return global_rank(first, "first_barcode", "hash", "hash_id").select("hash", "hash_id")
 
 
 def in_range(depths: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:

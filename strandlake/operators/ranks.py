@@ -1,43 +1,41 @@
 """Ranks and running sums over a whole table without a single-task sort.
 
-The key range is cut into equal buckets; each bucket is ranked by its own task and only the bucket
+A key range is cut into equal buckets; each bucket is ordered by its own task and only the bucket
 totals (at most ``BUCKETS`` rows) meet in one window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
+def _bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
     width = F.floor((F.col("_hi") - F.col("_lo")) / BUCKETS) + 1
     span = span.select("_lo", width.alias("_width"))
-    return df.join(F.broadcast(span)).withColumn(
-        "_bucket", F.floor((F.col(key) - F.col("_lo")) / F.col("_width"))
-    ).drop("_lo", "_width")
+    bucket = F.floor((F.col(key) - F.col("_lo")) / F.col("_width"))
+    return df.join(F.broadcast(span)).withColumn(name, bucket).drop("_lo", "_width")
 
 
-def running_sum(
-    df: DataFrame, key: str, value: str, name: str, tie_break: Sequence[str] = ()
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over all rows before this one in ``key`` order."""
-    rows = _bucketed(df, key)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_total"))
-    offsets = totals.select(
-        "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = (
-        Window.partitionBy("_bucket").orderBy(key, *tie_break)
-        .rowsBetween(Window.unboundedPreceding, -1)
+def _before(*order: str, by: tuple[str, ...] = ()):
+    return (
+        Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+
+
+def _sum_before(value: str, window):
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
+def running_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows with a smaller ``key``. Keys are distinct."""
+    rows = _bucketed(df, key, "_bucket")
+    totals = rows.groupBy("_bucket").agg(F.sum(value).alias("_total"))
+    offsets = totals.select("_bucket", _sum_before("_total", _before("_bucket")).alias("_offset"))
+    local = rows.withColumn("_local", _sum_before(value, _before(key, by=("_bucket",))))
     return (
         local.join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.col("_offset") + F.col("_local"))
@@ -45,7 +43,23 @@ def running_sum(
     )
 
 
-def global_rank(df: DataFrame, key: str, tie_break: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: 1-based rank by ``key`` and then ``tie_break``."""
-    counted = running_sum(df.withColumn("_one", F.lit(1)), key, "_one", name, tie_break)
-    return counted.withColumn(name, F.col(name) + 1).drop("_one")
+def global_rank(df: DataFrame, key: str, tie_break: str, name: str) -> DataFrame:
+    """Add ``name``: 1-based rank by ``key``, then by ``tie_break``.
+
+    A key shared by very many rows is itself cut into buckets of ``tie_break``.
+    """
+    base = running_sum(
+        df.groupBy(key).agg(F.count("*").alias("_n")), key, "_n", "_base"
+    ).select(key, "_base")
+    rows = _bucketed(df, tie_break, "_part")
+    parts = rows.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    offsets = parts.select(
+        key, "_part", _sum_before("_n", _before("_part", by=(key,))).alias("_offset")
+    ).join(base, key)
+    order = Window.partitionBy(key, "_part").orderBy(tie_break)
+    return (
+        rows.withColumn("_local", F.row_number().over(order))
+        .join(offsets, [key, "_part"])
+        .withColumn(name, F.col("_base") + F.col("_offset") + F.col("_local"))
+        .drop("_part", "_local", "_base", "_offset")
+    )
