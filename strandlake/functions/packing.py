@@ -21,14 +21,15 @@ _BITS = "".join("1" if c >= GOOD_QUALITY_CHAR else "0" for c in _QUALITIES)
 
 
 def _words(digits: Column, base: int, per_word: int, n_words: int, right_justify: bool) -> Column:
-    def word(i):
-        part = F.substring(digits, i * per_word + 1, F.lit(per_word))
-        if not right_justify:
-            part = F.rpad(part, per_word, "0")
-        value = F.conv(F.when(part == "", "0").otherwise(part), base, 10)
-        return F.coalesce(value, F.lit("0")).cast("bigint")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), word)
+    # cut the string once: a lambda must not repeat work on the whole of it
+    text = F.substring(digits, 1, n_words * per_word)
+    if not right_justify:
+        text = F.rpad(text, n_words * per_word, "0")
+    parts = F.regexp_extract_all(text, F.lit(f".{{1,{per_word}}}"), F.lit(0))
+    words = F.transform(parts, lambda part: F.conv(part, base, 10).cast("bigint"))
+    if right_justify:
+        words = F.slice(F.concat(words, F.array_repeat(F.lit(0).cast("bigint"), n_words)), 1, n_words)
+    return words
 
 
 def pack_bases(seq: Column, n_words: int, right_justify: bool = False) -> Column:
@@ -71,14 +72,11 @@ def words_to_binary(words: Column) -> Column:
 
 
 def binary_to_words(record: Column) -> Column:
-    digits = F.hex(record)
-
-    def word(i):
-        pairs = [F.substring(digits, i * 8 + at, F.lit(2)) for at in (7, 5, 3, 1)]
+    def word(digits):
+        pairs = [F.substring(digits, at, 2) for at in (7, 5, 3, 1)]
         return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
 
-    n_words = F.floor(F.length(record) / 4).cast("int")
-    return F.transform(F.sequence(F.lit(0), n_words - 1), word)
+    return F.transform(F.regexp_extract_all(F.hex(record), F.lit(".{8}"), F.lit(0)), word)
 
 
 def pack_pair(seq1: Column, qual1: Column, seq2: Column, qual2: Column, right_justify=False) -> Column:

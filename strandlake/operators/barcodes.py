@@ -98,7 +98,6 @@ def pair_reads(first: DataFrame, second: DataFrame, on: str = "seq_id") -> DataF
     )
     joined = left.join(right, on, "left")
     early = F.raise_error(F.lit("the second file ended early"))
-    # the names must be read off the checked column, or the check would be pruned away
     seq2 = F.when(F.col("seq2").isNull(), early).otherwise(F.col("seq2"))
     return joined.withColumn("seq2", seq2).withColumn(
         "names_differ", ~F.col("name1").eqNullSafe(F.col("name2"))

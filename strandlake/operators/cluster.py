@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from . import histogram as hist
 from .incidence import hash_depths, in_range
@@ -138,7 +138,9 @@ def cluster_hashes(
         *good.columns, "met", F.coalesce("best", F.lit(-1)).alias("best")
     )
     schema = StructType(chained.drop("best").schema.fields)
-    schema.add("raw", "int").add("sub", "int").add("root", "int").add("counted", "boolean")
+    for name in ("raw", "sub", "root"):
+        schema.add(name, IntegerType())
+    schema.add("counted", BooleanType())
     labelled = chained.groupBy("barcode").applyInPandas(_label_barcode, schema)
     founding = tally.select("barcode", "i", F.col("ms").alias("root"), F.col("n").alias("at_root"))
     share = F.when(

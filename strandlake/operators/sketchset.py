@@ -19,14 +19,14 @@ SPACER_BASES = 7
 LINKED_PREFIX = BARCODE_BASES + SPACER_BASES
 
 
-def _saturated(total: Column) -> Column:
+def saturated(total: Column) -> Column:
     return F.least(total, F.lit(MAX_DEPTH).cast("bigint")).cast("int")
 
 
 def count_hits(hits: DataFrame) -> DataFrame:
     """Sketch set of a hit table; the count is combined map-side, so a hot hash costs one row per task."""
     return hits.groupBy("hash").agg(
-        _saturated(F.count("*")).alias("depth"), F.lit(0).cast("tinyint").alias("copy")
+        saturated(F.count("*")).alias("depth"), F.lit(0).cast("tinyint").alias("copy")
     )
 
 
@@ -107,7 +107,7 @@ def merge(
     if copy_mode == "compat":
         copy = copy.bitwiseOR(F.sum(F.when(F.col("is_left"), F.col("copy")).otherwise(0)))
     return both.groupBy("hash").agg(
-        _saturated(F.sum("depth")).alias("depth"), copy.cast("tinyint").alias("copy")
+        saturated(F.sum("depth")).alias("depth"), copy.cast("tinyint").alias("copy")
     )
 
 
@@ -118,7 +118,7 @@ def merge_all(
     _check(specs)
     rows = reduce(DataFrame.unionByName, [s.select("hash", "depth", "copy") for s in sets])
     return rows.groupBy("hash").agg(
-        _saturated(F.sum("depth")).alias("depth"),
+        saturated(F.sum("depth")).alias("depth"),
         F.least(F.sum("copy"), F.lit(3)).cast("tinyint").alias("copy"),
     )
 
