@@ -8,16 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layout of a packed pair, and the least quality character that sets a bit.
+# Layout of a packed pair, and the quality characters that set a bit.
 BASES_PER_WORD = 16
 QUALS_PER_WORD = 32
 BASE_WORDS = 10
 QUAL_WORDS = 5
 RECORD_BYTES = 120
-GOOD_QUALITY_CHAR = "8"
-
-_QUALITIES = "".join(chr(c) for c in range(ord("!"), ord("~") + 1))
-_BITS = "".join("1" if c >= GOOD_QUALITY_CHAR else "0" for c in _QUALITIES)
+GOOD_QUALITY = "[8-~]"
+OTHER_QUALITY = "[^8-~]"
 
 
 def _words(digits: Column, base: int, per_word: int, n_words: int, right_justify: bool) -> Column:
@@ -43,7 +41,7 @@ def pack_bases(seq: Column, n_words: int, right_justify: bool = False) -> Column
 
 def pack_qualities(qual: Column, n_words: int, right_justify: bool = False) -> Column:
     """Words of 32 bits, set for good qualities."""
-    bits = F.translate(qual, _QUALITIES, _BITS)
+    bits = F.regexp_replace(F.regexp_replace(qual, OTHER_QUALITY, "0"), GOOD_QUALITY, "1")
     return _words(bits, 2, QUALS_PER_WORD, n_words, right_justify)
 
 
