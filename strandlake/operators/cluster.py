@@ -2,19 +2,21 @@
 
 For every barcode the *good* hashes (those in the depth range) are numbered by ascending depth. A
 good hash joins the cluster of the earlier good hash through which most of the barcodes sharing it
-were first met. Everything that grows with the data (pairs of barcodes, first meetings, tallies) is
-joins and aggregations; only one small row per good hash reaches the per-barcode function, and a
-barcode with more than ``MAX_CODE_HASHES`` hashes has no good hashes at all.
+were first met. Spark finds the good hashes and joins to each the barcodes that carry it; one task per
+barcode then counts first meetings with array operations.
+
+That task's input is bounded: a barcode with more than ``MAX_CODE_HASHES`` hashes has no good hashes,
+and a hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from . import histogram as hist
 from .incidence import hash_depths, in_range
@@ -26,76 +28,49 @@ MAX_CODE_HASHES = 65535
 MAX_CLUSTERS = 255
 DEFAULT_THRESHOLD = 5
 
+_LABELS = (
+    "barcode bigint, hash bigint, read bigint, depth bigint, i int, raw int, sub int, share double"
+)
+
 
 def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(barcode, hash, read, depth, i)``: in-range hashes of each barcode by (depth, hash), from 0."""
+    """``(barcode, hash, read, depth)``: the in-range hashes of every barcode that is not oversize."""
     sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
     oversize = sized.where(F.col("n_hash") > MAX_CODE_HASHES).select("barcode")
     ranged = in_range(hash_depths(inc), ranges)
-    order = Window.partitionBy("barcode").orderBy("depth", "hash")
     return (
         inc.join(ranged, "hash")
         .join(oversize, "barcode", "left_anti")
-        .select("barcode", "hash", "read", "depth", (F.row_number().over(order) - 1).alias("i"))
+        .select(*[F.col(c).cast("bigint") for c in ("barcode", "hash", "read", "depth")])
     )
 
 
-def first_meetings(good: DataFrame, inc: DataFrame, start: int = 1) -> DataFrame:
-    """``(barcode, i, ms, n)``: of the other barcodes carrying good hash ``i``, ``n`` were first met at ``ms``.
-
-    Numbers below ``start`` are not looked at. The pairs behind it are bounded by the depth range:
-    a hash in ``[low, high)`` meets fewer than ``high`` barcodes. They are shuffled once, by barcode.
-    """
-    mine = good.where(F.col("i") >= start).select("barcode", "hash", "i")
-    ranged = good.select("hash").distinct()
-    others = inc.join(ranged, "hash", "left_semi").select("hash", F.col("barcode").alias("other"))
-    pairs = (
-        mine.join(others, "hash")
-        .where(F.col("barcode") != F.col("other"))
-        .select("barcode", "other", "i")
-        .repartition("barcode")
-    )
-    met = pairs.groupBy("barcode", "other").agg(
-        F.min("i").alias("ms"), F.collect_list("i").alias("at")
+def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(hash, barcodes)``: the inverse lists of the in-range hashes, each bounded by its range."""
+    ranged = in_range(hash_depths(inc), ranges).select("hash")
+    return inc.join(ranged, "hash", "left_semi").groupBy("hash").agg(
+        F.collect_list(F.col("barcode").cast("bigint")).alias("barcodes")
     )
-    return (
-        met.select("barcode", "ms", F.explode("at").alias("i"))
-        .groupBy("barcode", "i", "ms")
-        .agg(F.count("*").alias("n"))
-    )
-
 
-def best_meetings(tally: DataFrame) -> DataFrame:
-    """Per good hash the earlier hash with the largest tally (ties: the earliest) and the tally total."""
-    earlier = tally.where(F.col("ms") < F.col("i"))
-    return earlier.groupBy("barcode", "i").agg(
-        F.max("n").alias("best_n"),
-        F.max_by("ms", F.struct(F.col("n"), -F.col("ms"))).alias("best"),
-        F.sum("n").alias("met"),
-    )
 
+def _first_meetings(owner: int, barcodes: pa.ListArray, start: int):
+    """Tallies ``(i, ms, n)`` sorted by ``i, ms``: of the other barcodes on good hash ``i``, ``n`` were
+    first met on the earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
+    sizes = np.diff(barcodes.offsets.to_numpy())
+    other = barcodes.flatten().to_numpy()
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    seen = (other != owner) & (at >= start)
+    other, at = other[seen], at[seen]
+    _, first, which = np.unique(other, return_index=True, return_inverse=True)
+    met_at = at[first][which] if len(at) else at
+    later = met_at < at
+    pairs, n = np.unique(at[later] * len(sizes) + met_at[later], return_counts=True)
+    return pairs // len(sizes), pairs % len(sizes), n
 
-def _label_barcode(rows: pd.DataFrame) -> pd.DataFrame:
-    """Follow each hash to the root of its chain, then merge clusters that share a read."""
-    rows = rows.sort_values("i", kind="stable", ignore_index=True)
-    best = rows["best"].to_numpy()
-    n = len(rows)
-    raw, root, counted = [0] * n, [-1] * n, [False] * n
-    roots: list[int] = []
-    for i in range(n):
-        if best[i] < 0:
-            continue
-        parent = int(best[i])
-        if not raw[parent]:
-            if len(roots) == MAX_CLUSTERS:
-                raw, roots = [0] * n, []
-                break
-            roots.append(parent)
-            raw[parent] = len(roots)
-        raw[i] = raw[parent]
-        root[i], counted[i] = roots[raw[i] - 1], True
 
-    leader = list(range(len(roots) + 1))
+def _merge_by_read(raw: list[int], n_clusters: int, reads: list) -> list[int]:
+    """Unite clusters that share a read; number what remains by its least member."""
+    leader = list(range(n_clusters + 1))
 
     def find(cluster: int) -> int:
         while leader[cluster] != cluster:
@@ -103,15 +78,48 @@ def _label_barcode(rows: pd.DataFrame) -> pd.DataFrame:
         return cluster
 
     cluster_of_read: dict = {}
-    for cluster, read in zip(raw, rows["read"]):
+    for cluster, read in zip(raw, reads):
         if cluster:
             low, high = sorted((find(cluster), find(cluster_of_read.setdefault(read, cluster))))
             leader[high] = low
-    heads = sorted({find(c) for c in range(1, len(roots) + 1)})
+    heads = sorted({find(c) for c in range(1, n_clusters + 1)})
     number = {head: k for k, head in enumerate(heads, start=1)}
-    return rows.drop(columns="best").assign(
-        raw=raw, sub=[number[find(c)] if c else 0 for c in raw], root=root, counted=counted
-    )
+    return [number[find(c)] if c else 0 for c in raw]
+
+
+def _cluster_barcode(rows: pa.Table, threshold: int, start: int) -> pa.Table:
+    """Label the good hashes of one barcode."""
+    rows = rows.sort_by([("depth", "ascending"), ("hash", "ascending")]).combine_chunks()
+    n_good = len(rows)
+    owner = rows["barcode"][0].as_py()
+    at, ms, n = _first_meetings(owner, rows["barcodes"].combine_chunks(), start)
+    heads, begin = np.unique(at, return_index=True)
+    ends = np.append(begin[1:], len(at))
+    raw, share = [0] * n_good, np.zeros(n_good)
+    founders: list[int] = []
+    for i, low, high in zip(heads.tolist(), begin.tolist(), ends.tolist()):
+        tally = n[low:high]
+        best = int(tally.argmax())
+        if tally[best] < threshold:
+            continue
+        parent = int(ms[low + best])
+        if not raw[parent]:
+            if len(founders) == MAX_CLUSTERS:
+                raw, founders = [0] * n_good, []
+                break
+            founders.append(parent)
+            raw[parent] = len(founders)
+        raw[i] = raw[parent]
+        at_founder = tally[ms[low:high] == founders[raw[i] - 1]].sum()
+        share[i] = at_founder / float(tally.sum())
+    sub = _merge_by_read(raw, len(founders), rows["read"].to_pylist())
+    labels = rows.drop_columns(["barcodes"])
+    for name, values in (
+        ("i", pa.array(np.arange(n_good, dtype=np.int32))), ("raw", pa.array(raw, pa.int32())),
+        ("sub", pa.array(sub, pa.int32())), ("share", pa.array(share)),
+    ):
+        labels = labels.append_column(name, values)
+    return labels
 
 
 def cluster_hashes(
@@ -120,36 +128,24 @@ def cluster_hashes(
     threshold: int = DEFAULT_THRESHOLD,
     start: int = 1,
     codes: tuple[int, int] | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Cluster every barcode, or those in the half-open range ``codes`` (0 as its end: no end).
 
-    Returns ``labels(barcode, hash, read, depth, i, raw, sub, share)`` with one row per good hash
-    (``sub`` 0: no cluster), and the good-hash table. ``share`` is the part of the met barcodes that
-    were first met at the founding hash of the cluster.
+    One row per good hash: ``(barcode, hash, read, depth, i, raw, sub, share)``, where ``raw`` and
+    ``sub`` are its cluster before and after uniting clusters that share a read (0: none), and
+    ``share`` is the part of the met barcodes that were first met at the founder of the cluster.
     """
     good = good_hashes(inc, ranges)
     if codes is not None:
-        low, high = max(codes[0], 1), codes[1]
+        low, high = codes
         good = good.where(F.col("barcode") >= low)
         good = good.where(F.col("barcode") < high) if high else good
-    tally = first_meetings(good, inc, start)
-    best = best_meetings(tally).where(F.col("best_n") >= threshold)
-    chained = good.join(best.select("barcode", "i", "best", "met"), ["barcode", "i"], "left").select(
-        *good.columns, "met", F.coalesce("best", F.lit(-1)).alias("best")
-    )
-    schema = StructType(chained.drop("best").schema.fields)
-    for name in ("raw", "sub", "root"):
-        schema.add(name, IntegerType())
-    schema.add("counted", BooleanType())
-    labelled = chained.groupBy("barcode").applyInPandas(_label_barcode, schema)
-    founding = tally.select("barcode", "i", F.col("ms").alias("root"), F.col("n").alias("at_root"))
-    share = F.when(
-        F.col("counted"), F.coalesce(F.col("at_root"), F.lit(0)) / F.col("met").cast("double")
-    ).otherwise(0.0)
-    labels = labelled.join(founding, ["barcode", "i", "root"], "left").select(
-        "barcode", "hash", "read", "depth", "i", "raw", "sub", share.alias("share")
+    return (
+        good.join(carriers(inc, ranges), "hash")
+        .select("barcode", "hash", "read", "depth", "barcodes")
+        .groupBy("barcode")
+        .applyInArrow(lambda rows: _cluster_barcode(rows, threshold, start), _LABELS)
     )
-    return labels, good
 
 
 def code_clusters(labels: DataFrame) -> DataFrame:
@@ -267,8 +263,8 @@ def explore_code(
     threshold: int = DEFAULT_THRESHOLD,
 ) -> dict[str, DataFrame]:
     """All reports on one barcode: its clusters (from hash number 0), and whom it shares hashes with."""
-    labels, good = cluster_hashes(inc, ranges, threshold, start=0, codes=(barcode, barcode + 1))
-    mine = good.where(F.col("barcode") == barcode).select("hash", "i")
+    labels = cluster_hashes(inc, ranges, threshold, start=0, codes=(barcode, barcode + 1))
+    mine = labels.select("hash", "i")
     shared = (
         inc.join(mine, "hash").where(F.col("barcode") != barcode)
         .groupBy("barcode")

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import letters_as_dna
 from ..functions.packing import word_to_bases
 from ..operators import overlap, sketchset
-from ..operators.incidence import CRIB_TYPES, build_incidence, code_table
+from ..operators.incidence import CRIB_TYPES, build_incidence
+from ..operators.sketch import sketch
 from ..session import cut_lineage
 
 # Parameters of the ready-made queries.
 COPY_LEVELS = (2, 50, 100)
 CODE_FACTOR = 2654435761
 PART_RANGE = (10, 60)
+READ_SET_MAX = 120
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +63,7 @@ def language_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def readset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read table, known hits and sketch set of the documents; the hits are written once."""
     reads = documents(spark, sf_dir)
-    chosen = cut_lineage(classed_set(spark, sf_dir))
+    chosen = cut_lineage(sketchset.prune(classed_set(spark, sf_dir), 1, READ_SET_MAX))
     every = cut_lineage(overlap.read_hits(reads, chosen))
     return overlap.read_table(reads, every), overlap.known_hits(every), chosen
 
@@ -140,15 +142,9 @@ def customer_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genome_hits(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """The documents of one language as a genome with one chromosome each."""
-    from ..operators.sketch import sketch
-
     docs = documents(spark, sf_dir, "lang").where(F.col("lang") == lang)
     return sketch(docs, ["read_id"]).select("hash", (F.col("read_id") + 1).alias("chr"), "pos")
 
 
 def document_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_set(spark, sf_dir).select("hash", F.col("depth").cast("bigint").alias("depth"))
-
-
-def codes_of(inc: DataFrame) -> DataFrame:
-    return code_table(inc)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..spec import LINKED_READ_SPEC, SKETCH_SPEC, HashSpec
-from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE
+from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, READ_SET_MAX
 
 ORACLES: dict[str, str] = {}
 
@@ -637,7 +637,9 @@ add(
 
 READS = (
     f"{CLASSED},\n"
-    "rh AS (SELECT sid AS read_id, ord, pos, hash, is_fwd, copy FROM hits JOIN classed USING (hash)),\n"
+    f"kept AS (SELECT * FROM classed WHERE depth < {READ_SET_MAX}),\n"
+    "every AS (SELECT sid AS read_id, ord, pos, hash, is_fwd, copy FROM hits LEFT JOIN kept USING (hash)),\n"
+    "rh AS (SELECT * FROM every WHERE copy IS NOT NULL),\n"
     "single AS (SELECT * FROM rh WHERE copy = 1),\n"
     "firsts AS (SELECT read_id, hash, min((ord, pos, is_fwd)) AS head, count(*) AS n FROM single GROUP BY read_id, hash),\n"
     "shared AS (SELECT f.read_id AS x, s.read_id AS y, head[1] AS x_ord, head[2] AS x_pos, s.ord AS y_ord, s.pos AS y_pos, "
@@ -653,9 +655,9 @@ READS = (
     "sqrt(greatest(square - mean * mean, 0)) AS sd, trunc(mean)::BIGINT AS \"offset\", k = n_hit AS is_plus, "
     "CASE WHEN k = n_hit THEN drops > 0 WHEN k = 0 THEN rises > 0 ELSE true END AS is_bad FROM moments),\n"
     "repeats AS (SELECT read_id, sum(n - 1) AS n_repeat FROM firsts GROUP BY read_id),\n"
-    "table_ AS (SELECT d.sid AS read_id, length(d.dna) AS len, count(h.ord) AS n_hit, 0 AS n_miss, "
+    "table_ AS (SELECT d.sid AS read_id, length(d.dna) AS len, count(h.copy) AS n_hit, count(h.ord) - count(h.copy) AS n_miss, "
     + ", ".join(f"count(*) FILTER (h.copy = {c}) AS n_copy{c}" for c in range(4))
-    + f" FROM ({DOCS}) d LEFT JOIN rh h ON h.read_id = d.sid GROUP BY d.sid, d.dna)"
+    + f" FROM ({DOCS}) d LEFT JOIN every h ON h.read_id = d.sid GROUP BY d.sid, d.dna)"
 )
 add("read_counts", READS, "SELECT * FROM table_")
 add(
@@ -766,7 +768,7 @@ add(
     "copy_class_stats", f"{READS},\nread_depths AS (SELECT hash, least(count(*), 65535) AS depth FROM rh GROUP BY hash)",
     "SELECT copy, count(*) AS n_hash, round(count(*) FILTER (d.depth > 0)::DOUBLE / count(*), 6) AS frac_hit, "
     "round(count(*) FILTER (d.depth > 1)::DOUBLE / count(*), 6) AS frac_hit2, round(avg(d.depth) FILTER (d.depth > 1), 6) AS avg_depth2 "
-    "FROM classed c LEFT JOIN read_depths d USING (hash) GROUP BY copy",
+    "FROM kept c LEFT JOIN read_depths d USING (hash) GROUP BY copy",
 )
 ASSEMBLY = (
     f"{READS},\npicked AS (SELECT * FROM pairs WHERE x = (SELECT x FROM pairs GROUP BY x ORDER BY count(*) DESC, x LIMIT 1)),\n"

@@ -361,15 +361,12 @@ def crib_presence(spark, sf):
 
 def _clusters(spark, sf):
     inc = inputs.supplier_incidence(spark, sf)
-    labels, _ = cluster.cluster_hashes(inc, [inputs.PART_RANGE])
-    return inc, cut_lineage(labels)
+    return inc, cut_lineage(cluster.cluster_hashes(inc, [inputs.PART_RANGE]))
 
 
 @query
 def cluster_labels(spark, sf):
-    labels, _ = cluster.cluster_hashes(
-        inputs.supplier_incidence(spark, sf), [inputs.PART_RANGE]
-    )
+    labels = cluster.cluster_hashes(inputs.supplier_incidence(spark, sf), [inputs.PART_RANGE])
     return labels.select("barcode", "hash", "i", "raw", "sub")
 
 
