@@ -27,6 +27,10 @@ MATE2_BASES = 150
 LOW_SHARE = 3
 MIN_SCORED_DEPTH = 5
 SCORE_CUT = 0.00005
+
+# Hashes from which on a barcode counts as heavy: its pairs are counted, not formed.
+HEAVY_BARCODE = 20_000
+
 CRIB_TYPES = ("err", "htA", "htB", "hom", "mul")
 
 
@@ -117,8 +121,9 @@ def code_size_histogram(codes: DataFrame, column: str = "n_hash") -> DataFrame:
 def neighbours(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFrame:
     """``(x, hash, share)``: how many barcodes each target ``x`` shares with each ranged hash.
 
-    ``targets(x)`` lists the hashes asked about and drives the join, so the work is the rows of the
-    barcodes that carry a target, combined map-side per ``(x, hash)``.
+    For a list of hashes asked about: ``targets(x)`` drives the join, so the work is the rows of the
+    barcodes that carry a target, combined map-side per ``(x, hash)``. For many targets use
+    :func:`share_histogram`.
     """
     carriers = inc.join(targets.select(F.col("x").alias("hash")).distinct(), "hash", "left_semi")
     carriers = carriers.select(F.col("hash").alias("x"), "barcode")
@@ -131,11 +136,74 @@ def neighbours(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFra
     return shared.join(ranged.select("hash"), "hash", "left_semi").select("x", "hash", "share")
 
 
-def share_histogram(near: DataFrame) -> DataFrame:
-    """``(x, share, n)``: number of neighbours of ``x`` per share count."""
+def share_counts(near: DataFrame) -> DataFrame:
+    """``(x, share, n)`` from a neighbour table: number of neighbours of ``x`` per share count."""
     return near.groupBy("x", "share").agg(F.count("*").alias("n"))
 
 
+def share_histogram(
+    inc: DataFrame, ranged: DataFrame, targets: DataFrame, heavy: int = HEAVY_BARCODE
+) -> DataFrame:
+    """``(x, share, n)``: number of ranged hashes sharing ``share`` barcodes with each target ``x``.
+
+    Fit for any number of targets. Pairs are formed within barcodes of at most ``heavy`` hashes only.
+    For the few larger ones, hashes with the same set of heavy barcodes (a *profile*) form a class, and
+    what a target shares through them follows from the class sizes: add the whole classes, and for
+    each pair already met in a light barcode move one count to its true place.
+    """
+    sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
+    large = sized.where(F.col("n_hash") > heavy).select("barcode")
+    light = inc.join(large, "barcode", "left_anti").select("barcode", "hash")
+    ranged = ranged.select("hash").distinct()
+    wanted = targets.select(F.col("x").alias("hash")).distinct()
+
+    profiles = (
+        inc.join(large, "barcode")
+        .groupBy("hash")
+        .agg(F.sort_array(F.collect_list("barcode")).alias("profile"))
+    )
+    met = (
+        light.join(wanted, "hash", "left_semi").select(F.col("hash").alias("x"), "barcode")
+        .join(light.join(ranged, "hash", "left_semi"), "barcode")
+        .where(F.col("x") != F.col("hash"))
+        .groupBy("x", "hash")
+        .agg(F.count("*").alias("light"))
+    )
+    profile_of_x = profiles.select(F.col("hash").alias("x"), F.col("profile").alias("x_profile"))
+    both = F.size(F.array_intersect("profile", "x_profile"))
+    placed = (
+        met.join(profiles, "hash", "left").join(profile_of_x, "x", "left")
+        .select("x", "light", F.when(both > 0, both).otherwise(0).alias("common"))
+    )
+    by_light = placed.select("x", (F.col("light") + F.col("common")).alias("share"), F.lit(1).alias("n"))
+    moved = placed.where("common > 0").select("x", F.col("common").alias("share"), F.lit(-1).alias("n"))
+
+    classes = profiles.join(ranged, "hash", "left_semi").groupBy("profile").agg(
+        F.count("*").alias("members")
+    )
+    x_classes = profiles.join(wanted, "hash", "left_semi").select("profile").distinct()
+    through = classes.select("profile", "members", F.explode("profile").alias("barcode"))
+    reach = (
+        x_classes.select(F.col("profile").alias("x_profile"), F.explode("profile").alias("barcode"))
+        .join(through, "barcode")
+        .groupBy("x_profile", "profile")
+        .agg(F.count("*").alias("share"), F.first("members").alias("members"))
+        .groupBy("x_profile", "share")
+        .agg(F.sum("members").alias("n"))
+    )
+    of_x = profile_of_x.join(wanted.withColumnRenamed("hash", "x"), "x", "left_semi")
+    by_class = of_x.join(reach, "x_profile").select("x", "share", "n")
+    itself = of_x.join(ranged.withColumnRenamed("hash", "x"), "x", "left_semi").select(
+        "x", F.size("x_profile").alias("share"), F.lit(-1).alias("n")
+    )
+    parts = by_light.unionByName(moved).unionByName(by_class).unionByName(itself)
+    return (
+        parts.groupBy("x", F.col("share").cast("bigint").alias("share"))
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") > 0)
+    )
+
+
 def explore(near: DataFrame, samples: int = 7) -> DataFrame:
     """Per share count the number of neighbours and the last ``samples`` of them by hash."""
     order = Window.partitionBy("x", "share").orderBy(F.desc("hash"))
@@ -143,7 +211,7 @@ def explore(near: DataFrame, samples: int = 7) -> DataFrame:
     shown = last.groupBy("x", "share").agg(
         F.sort_array(F.collect_list("hash")).alias("sample_hashes")
     )
-    return share_histogram(near).join(shown, ["x", "share"])
+    return share_counts(near).join(shown, ["x", "share"])
 
 
 def double_shared(near: DataFrame, x1: int, x2: int, inc: DataFrame, above: int = 2) -> DataFrame:
@@ -199,7 +267,7 @@ def without_top_match(shares: DataFrame) -> DataFrame:
 
 def share_scan(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFrame:
     """``(depth, x, share, n)`` for sampled targets, without the top match of each."""
-    shares = without_top_match(share_histogram(neighbours(inc, ranged, targets)))
+    shares = without_top_match(share_histogram(inc, ranged, targets))
     return shares.join(targets.select("x", "depth"), "x").select("depth", "x", "share", "n")
 
 

@@ -303,7 +303,7 @@ def _error_scores(spark, sf):
     depths = incidence.hash_depths(inc)
     everyone = depths.select(F.col("hash").alias("x"))
     ranged = incidence.in_range(depths, [(1, 1 << 40)])
-    shares = incidence.share_histogram(incidence.neighbours(inc, ranged, everyone))
+    shares = incidence.share_histogram(inc, ranged, everyone)
     scores = incidence.error_scores(shares, depths)
     return incidence.flag_errors(scores, inputs.supplier_crib(spark, sf))
 
