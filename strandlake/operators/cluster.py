@@ -33,23 +33,25 @@ _LABELS = (
 )
 
 
-def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(barcode, hash, read, depth)``: the in-range hashes of every barcode that is not oversize."""
-    sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
-    oversize = sized.where(F.col("n_hash") > MAX_CODE_HASHES).select("barcode")
+def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(hash, depth, members)``: barcodes and reads of each in-range hash, a list its range bounds."""
     ranged = in_range(hash_depths(inc), ranges)
-    return (
-        inc.join(ranged, "hash")
-        .join(oversize, "barcode", "left_anti")
-        .select(*[F.col(c).cast("bigint") for c in ("barcode", "hash", "read", "depth")])
+    member = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "read")])
+    return inc.join(ranged, "hash").groupBy(F.col("hash").cast("bigint").alias("hash"), "depth").agg(
+        F.collect_list(member).alias("members")
     )
 
 
-def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(hash, barcodes)``: the inverse lists of the in-range hashes, each bounded by its range."""
-    ranged = in_range(hash_depths(inc), ranges).select("hash")
-    return inc.join(ranged, "hash", "left_semi").groupBy("hash").agg(
-        F.collect_list(F.col("barcode").cast("bigint")).alias("barcodes")
+def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(barcode, hash, read, depth, barcodes)``: in-range hashes of every barcode that is not oversize,
+    each with all barcodes that carry it."""
+    sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
+    oversize = sized.where(F.col("n_hash") > MAX_CODE_HASHES).select("barcode")
+    rows = carriers(inc, ranges).select(
+        "hash", "depth", F.col("members.barcode").alias("barcodes"), F.inline("members")
+    )
+    return rows.join(oversize, "barcode", "left_anti").select(
+        "barcode", "hash", "read", "depth", "barcodes"
     )
 
 
@@ -140,11 +142,8 @@ def cluster_hashes(
         low, high = codes
         good = good.where(F.col("barcode") >= low)
         good = good.where(F.col("barcode") < high) if high else good
-    return (
-        good.join(carriers(inc, ranges), "hash")
-        .select("barcode", "hash", "read", "depth", "barcodes")
-        .groupBy("barcode")
-        .applyInArrow(lambda rows: _cluster_barcode(rows, threshold, start), _LABELS)
+    return good.groupBy("barcode").applyInArrow(
+        lambda rows: _cluster_barcode(rows, threshold, start), _LABELS
     )
 
 
