@@ -23,6 +23,12 @@ def dense(hist: DataFrame) -> DataFrame:
     return bins.join(hist, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def with_dummy_zero(hist: DataFrame) -> DataFrame:
+    """Count one extra entry in bin 0, for parity with tables whose entry 0 is unused."""
+    zero = hist.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("bin"), F.lit(1).cast("bigint").alias("n"))
+    return hist.unionByName(zero).groupBy("bin").agg(F.sum("n").alias("n"))
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """Add the running fraction of the count and of the mass (bin times count)."""
     up_to = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)

@@ -48,6 +48,12 @@ def build_incidence(hits: DataFrame) -> DataFrame:
     return hits.groupBy("barcode", "hash").agg(F.min("read").alias("read"))
 
 
+def without_last_barcode(inc: DataFrame) -> DataFrame:
+    """For parity with readers that stop before the block of the largest barcode."""
+    top = inc.agg(F.max("barcode").alias("top"))
+    return inc.join(F.broadcast(top)).where(F.col("barcode") < F.col("top")).drop("top")
+
+
 def code_table(inc: DataFrame, reads: DataFrame | None = None) -> DataFrame:
     """``(barcode, n_read, n_hash)``. ``reads(barcode, read)`` adds reads and barcodes without hits."""
     if reads is None:

@@ -372,6 +372,25 @@ def class_stats(sketch_set: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+# --------------------------------------------------------------------------------- gaps
+
+# Fixed value: stored gaps are 16 bits wide and wrap around.
+GAP_RANGE = 1 << 16
+
+
+def with_gaps(hits: DataFrame, wrap: bool = False) -> DataFrame:
+    """Add ``dx``: the distance of each hit from the one before it in its read (the first: from 0)."""
+    along = Window.partitionBy("read_id").orderBy("ord")
+    gap = F.col("pos") - F.coalesce(F.lag("pos").over(along), F.lit(0))
+    return hits.withColumn("dx", gap % GAP_RANGE if wrap else gap)
+
+
+def positions_from_gaps(hits: DataFrame) -> DataFrame:
+    """Restore ``pos`` from ``dx``."""
+    so_far = Window.partitionBy("read_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    return hits.withColumn("pos", F.sum("dx").over(so_far).cast("int"))
+
+
 # --------------------------------------------------------------------------------- assembly
 
 
@@ -407,6 +426,11 @@ def successors(hits: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def assembly_summary(pooled: DataFrame) -> DataFrame:
+    """Number of pooled hashes and their mean count."""
+    return pooled.agg(F.count("*").alias("n_hash"), F.avg("count").alias("mean_count"))
+
+
 def support_table(pooled: DataFrame, depths: DataFrame, top: int = 19) -> DataFrame:
     """``(count, depth, decile, n)`` of pooled single-copy hashes; both counts stop at ``top``."""
     single = pooled.where(F.col("copy") == 1).join(depths, "hash")

@@ -51,11 +51,14 @@ def classed_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = documents(spark, sf_dir, "lang")
+    """One sketch set per language; the documents are sketched once for all of them."""
+    counted = cut_lineage(
+        sketch(documents(spark, sf_dir, "lang"), ["lang"])
+        .groupBy("lang", "hash")
+        .agg(sketchset.saturated(F.count("*")).alias("depth"), F.lit(0).cast("tinyint").alias("copy"))
+    )
     return {
-        lang: sketchset.set_copy(
-            sketchset.count_sequences(docs.where(F.col("lang") == lang)), *COPY_LEVELS
-        )
+        lang: sketchset.set_copy(counted.where(F.col("lang") == lang).drop("lang"), *COPY_LEVELS)
         for lang in ("de", "en", "es", "fr")
     }
 

@@ -308,6 +308,11 @@ add(
     "inverse_totals", ORDERS,
     "SELECT count(*) AS n_hashes, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT hash) AS n_bins FROM inc",
 )
+add(
+    "inverse_lists", f"{SUPPLIERS},\n{RANGED}",
+    "SELECT hash, count(*) AS depth, string_agg(barcode::VARCHAR, ' ' ORDER BY barcode) AS barcodes FROM inc "
+    "WHERE hash IN (SELECT hash FROM ranged) GROUP BY hash",
+)
 add(
     "hash_ids", ORDERS,
     "SELECT hash, row_number() OVER (ORDER BY min(barcode), hash) AS hash_id FROM inc GROUP BY hash",
@@ -612,8 +617,8 @@ def _accepts(ref: str, ordinal: str) -> str:
     )
 
 
-add(
-    "query_chains", f"{SEEDS},\n"
+CHAINS = (
+    f"{SEEDS},\n"
     "usable AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM seeds WHERE copy < 3),\n"
     "walk AS (SELECT query_id, r, 1 AS chain, i AS i0, pos AS q0, r1 AS ref, o1 AS o0, f1 AS f0, i AS i9, pos AS q9, o1 AS o9, f1 AS f9, "
     "(copy = 1)::INT AS n1, (copy = 2)::INT AS n2 FROM usable WHERE r = 1 UNION ALL "
@@ -626,12 +631,17 @@ add(
         f"CASE WHEN {_accepts('u.r1', 'u.o1')} OR u.copy = 1 THEN u.{p}1 ELSE u.{p}2 END AS p{p}" for p in "rof"
     )
     + " FROM walk c JOIN usable u ON u.query_id = c.query_id AND u.r = c.r + 1)),\n"
-    "ends AS (SELECT *, row_number() OVER (PARTITION BY query_id, chain ORDER BY r DESC) AS back FROM walk)",
-    "SELECT e.query_id, q0 AS q_start, q9 AS q_end, len, ref AS ref_id, f0 AS ref_start, f9 AS ref_end, n1, n2, "
-    "round((n1 + n2)::DOUBLE / nullif(abs(o9 - o0), 0), 6) AS density, round(n1::DOUBLE / copy1, 6) AS copy1_frac "
-    "FROM ends e JOIN summary s ON s.query_id = e.query_id WHERE back = 1 AND n1 > 2",
-    recursive=True,
-)
+    "ends AS (SELECT *, row_number() OVER (PARTITION BY query_id, chain ORDER BY r DESC) AS back FROM walk),\n"
+    "judged AS (SELECT *, chain = max(chain) OVER (PARTITION BY query_id) AS is_last FROM ends WHERE back = 1)"
+)
+for _name, _support in (("query_chains", "n1"), ("query_chains_compat", "CASE WHEN is_last THEN n2 ELSE n1 END")):
+    add(
+        _name, CHAINS,
+        "SELECT e.query_id, q0 AS q_start, q9 AS q_end, len, ref AS ref_id, f0 AS ref_start, f9 AS ref_end, n1, n2, "
+        "round((n1 + n2)::DOUBLE / nullif(abs(o9 - o0), 0), 6) AS density, round(n1::DOUBLE / nullif(copy1, 0), 6) AS copy1_frac "
+        f"FROM judged e JOIN summary s ON s.query_id = e.query_id WHERE {_support} > 2",
+        recursive=True,
+    )
 
 # --------------------------------------------------------------------------------- overlaps
 
@@ -778,6 +788,14 @@ ASSEMBLY = (
     "pooled AS (SELECT hash, copy, count(*) AS count, count(*) FILTER (r > 1) AS up_count, "
     "trunc(sum(place)::DOUBLE / count(*))::BIGINT AS pos FROM placed GROUP BY hash, copy)"
 )
+add(
+    "assembly_summary", ASSEMBLY,
+    "SELECT count(*) AS n_hash, round(avg(count), 6) AS mean_count FROM pooled",
+)
+add(
+    "read_hit_gaps", READS,
+    "SELECT read_id, ord, pos, (pos - coalesce(lag(pos) OVER (PARTITION BY read_id ORDER BY ord), 0)) % 65536 AS dx FROM rh",
+)
 add("assembly_hits", ASSEMBLY, "SELECT * FROM pooled")
 add(
     "assembly_support", f"{ASSEMBLY},\nread_depths AS (SELECT hash, least(count(*), 65535) AS depth FROM rh GROUP BY hash)",

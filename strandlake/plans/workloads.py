@@ -223,6 +223,14 @@ def inverse_totals(spark, sf):
     return incidence.inverse_totals(inputs.order_incidence(spark, sf))
 
 
+@query
+def inverse_lists(spark, sf):
+    """Barcodes of every part in the depth range."""
+    lists = cluster.carriers(inputs.supplier_incidence(spark, sf), [inputs.PART_RANGE])
+    names = F.array_join(F.sort_array("members.barcode"), " ")
+    return lists.select("hash", "depth", names.alias("barcodes"))
+
+
 @query
 def hash_ids(spark, sf):
     return incidence.hash_ids(inputs.order_incidence(spark, sf))
@@ -485,6 +493,14 @@ def query_seed_places(spark, sf):
     return mapping.seed_places(mapping.query_seeds(_queries(spark, sf), _index(spark, sf)))
 
 
+@query
+def query_chains_compat(spark, sf):
+    _, chains = mapping.map_queries(
+        _queries(spark, sf), _index(spark, sf), compat_tail=True
+    )
+    return rounded(chains, "density", "copy1_frac")
+
+
 @query
 def query_chains(spark, sf):
     _, chains = mapping.map_queries(_queries(spark, sf), _index(spark, sf))
@@ -553,6 +569,12 @@ def readset_stats(spark, sf):
     return rounded(stats, *[c for c, t in stats.dtypes if t == "double"])
 
 
+@query
+def read_hit_gaps(spark, sf):
+    _, hits, _ = inputs.readset(spark, sf)
+    return overlap.with_gaps(hits, wrap=True).select("read_id", "ord", "pos", "dx")
+
+
 @query
 def copy_class_stats(spark, sf):
     _, hits, chosen = inputs.readset(spark, sf)
@@ -585,6 +607,11 @@ def assembly_hits(spark, sf):
     return pooled.select("hash", F.col("copy").cast("int").alias("copy"), "count", "up_count", "pos")
 
 
+@query
+def assembly_summary(spark, sf):
+    return rounded(overlap.assembly_summary(overlap.pooled_hits(*_assembly(spark, sf))), "mean_count")
+
+
 @query
 def assembly_support(spark, sf):
     hits, pairs = _assembly(spark, sf)

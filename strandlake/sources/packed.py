@@ -92,7 +92,7 @@ class _Writer(DataSourceArrowWriter):
 
         system, root = _file_system(self.path)
         system.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():05d}.fqb"
+        name = f"{root}/part-{TaskContext.get().partitionId():05d}.pairs"
         with system.open_output_stream(name) as out:
             for batch in iterator:
                 for record in batch.column(batch.schema.get_field_index("record")):

@@ -42,6 +42,9 @@ class HashSpec:
     def mask(self) -> int:
         return (1 << (2 * self.k)) - 1
 
+    def __str__(self) -> str:
+        return f"SH k {self.k}  w {self.w}"
+
     def compatible(self, other: "HashSpec") -> bool:
         return self == other
 

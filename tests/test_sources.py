@@ -133,7 +133,7 @@ def test_packed_pairs_file(spark, tmp_path):
     want = sorted(packed_by_hand(*r) for r in rows)
     assert sorted(bytes(r["record"]) for r in df.collect()) == want
     packed.write_packed_pairs(df, str(tmp_path / "out"))
-    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("*.fqb")))
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("*.pairs")))
     stored = [data[i:i + 120] for i in range(0, len(data), 120)]
     assert sorted(stored) == want and [s[:4] for s in stored] == sorted(s[:4] for s in stored)
     back = packed.read_packed_pairs(spark, str(tmp_path / "out")).orderBy("read").collect()
