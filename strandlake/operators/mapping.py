@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import HashSpec, SKETCH_SPEC
@@ -50,18 +50,32 @@ def check_unique_names(refs: DataFrame) -> None:
 
 
 def reference_index(hits: DataFrame) -> DataFrame:
-    """One row per hash: copy class and its first two places in reference order.
+    """One row per hash: copy class and its first two places ``(ref_id, ref_ord, offset)`` in reference order.
 
     Class 1 or 2 is the number of occurrences, 3 stands for more. Only the least and the largest place
-    are kept, which for two occurrences are both of them; a repeat of any size stays one row.
+    are kept, which for two occurrences are both of them; a repeat of any size stays one row. Number and
+    offset rise together along a reference, so each can be joined to the reference in one number.
     """
-    place = F.struct("ref_id", "ref_ord", "offset")
-    return hits.groupBy("hash").agg(
+    ref = F.shiftleft(F.col("ref_id").cast("int").cast("bigint"), 32)
+    by_ord = ref.bitwiseOR(F.col("ref_ord").cast("bigint"))
+    by_offset = ref.bitwiseOR(F.col("offset").cast("bigint"))
+    ends = hits.groupBy("hash").agg(
         F.least(F.count("*"), F.lit(COPY_MULTI)).cast("int").alias("copy"),
-        F.min(place).alias("place1"),
-        F.max(place).alias("place2"),
+        F.min(by_ord).alias("ord1"), F.min(by_offset).alias("off1"),
+        F.max(by_ord).alias("ord2"), F.max(by_offset).alias("off2"),
     )
 
+    def low(name: str) -> Column:
+        return F.col(name).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+    def place(n: int) -> Column:
+        return F.struct(
+            F.shiftright(f"ord{n}", 32).alias("ref_id"), low(f"ord{n}").alias("ref_ord"),
+            low(f"off{n}").alias("offset"),
+        ).alias(f"place{n}")
+
+    return ends.select("hash", "copy", place(1), place(2))
+
 
 def index_summary(index: DataFrame, hits: DataFrame, sequences: DataFrame) -> DataFrame:
     classes = index.agg(
@@ -80,8 +94,8 @@ def query_seeds(
     queries: DataFrame, index: DataFrame, spec: HashSpec = SKETCH_SPEC
 ) -> DataFrame:
     """Hits of ``queries(query_id, seq)`` with copy class and places; ``copy`` is NULL for a miss."""
-    hits = sketch(queries, ["query_id"], "seq", spec).select(
-        "query_id", F.col("ord").alias("i"), "pos", "hash"
+    hits = sketch(queries, ["query_id", F.length("seq").alias("len")], "seq", spec).select(
+        "query_id", "len", F.col("ord").alias("i"), "pos", "hash"
     )
     return hits.join(index, "hash", "left")
 
@@ -105,23 +119,22 @@ def query_summary(queries: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 _CHAIN_FIELDS = [
-    ("query_id", pa.int64()), ("q_start", pa.int32()), ("q_end", pa.int32()),
+    ("query_id", pa.int64()), ("len", pa.int32()), ("q_start", pa.int32()), ("q_end", pa.int32()),
     ("ref_id", pa.int64()), ("ref_start", pa.int32()), ("ref_end", pa.int32()),
-    ("n1", pa.int32()), ("n2", pa.int32()), ("ref_span", pa.int32()),
+    ("n1", pa.int32()), ("n2", pa.int32()), ("ref_span", pa.int32()), ("copy1", pa.int32()),
 ]
 _CHAIN_SCHEMA = (
-    "query_id bigint, q_start int, q_end int, ref_id bigint, ref_start int, ref_end int, "
-    "n1 int, n2 int, ref_span int"
+    "query_id bigint, len int, q_start int, q_end int, ref_id bigint, ref_start int, ref_end int, "
+    "n1 int, n2 int, ref_span int, copy1 int"
 )
 
 
 class _Chain:
-    """The open chain of one query: its founding seed, its latest seed and its hit counts."""
+    """An open chain: its founding seed, its latest seed and its hit counts."""
 
-    __slots__ = ("query", "first", "last", "n1", "n2", "sign", "drifted")
+    __slots__ = ("first", "last", "n1", "n2", "sign", "drifted")
 
-    def __init__(self, query, seed, place, single):
-        self.query = query
+    def __init__(self, seed, place, single):
         self.first = self.last = (seed, place)
         self.n1, self.n2 = int(single), int(not single)
         self.sign, self.drifted = 0, False
@@ -146,50 +159,63 @@ class _Chain:
     def row(self):
         (_, q_start), (ref, start_ord, ref_start) = self.first
         (_, q_end), (_, end_ord, ref_end) = self.last
-        return (
-            self.query, q_start, q_end, ref, ref_start, ref_end,
-            self.n1, self.n2, abs(end_ord - start_ord),
-        )
+        return q_start, q_end, ref, ref_start, ref_end, self.n1, self.n2, abs(end_ord - start_ord)
+
+
+class _Query:
+    """The chains of one query so far."""
+
+    def __init__(self, query, length):
+        self.key = query
+        self.length = length
+        self.chain: _Chain | None = None
+        self.rows: list[tuple] = []
+        self.copy1 = 0
+
+    def close(self, support):
+        if self.chain is not None and support(self.chain) > MIN_HITS:
+            self.rows.append(self.chain.row())
+
+    def add(self, seed, single, place, second):
+        self.copy1 += single
+        chain = self.chain
+        if chain is not None and not single and not chain.accepts(place):
+            place = second
+        if chain is not None and chain.accepts(place):
+            chain.extend(seed, place, single)
+        else:
+            self.close(lambda c: c.n1)
+            self.chain = _Chain(seed, place, single)
+
+    def finish(self, compat_tail):
+        self.close(lambda c: c.n2 if compat_tail else c.n1)
+        return [(self.key, self.length, *row, self.copy1) for row in self.rows]
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch], compat_tail: bool) -> Iterator[pa.RecordBatch]:
-    """Chain seeds that arrive sorted by (query, i); an open chain is carried from batch to batch."""
-    chain: _Chain | None = None
-    found: list[tuple] = []
-
-    def close(ended: _Chain | None, at_end: bool):
-        if ended is None:
-            return
-        support = ended.n2 if compat_tail and at_end else ended.n1
-        if support > MIN_HITS:
-            found.append(ended.row())
-
-    def flush():
-        columns = list(zip(*found)) if found else [[] for _ in _CHAIN_FIELDS]
-        found.clear()
+    """Chain seeds that arrive sorted by (query, i); an open query is carried from batch to batch."""
+    query: _Query | None = None
+
+    def emit(rows):
+        columns = list(zip(*rows)) if rows else [[] for _ in _CHAIN_FIELDS]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, (_, t) in zip(columns, _CHAIN_FIELDS)],
             [name for name, _ in _CHAIN_FIELDS],
         )
 
     for batch in batches:
+        done: list[tuple] = []
         columns = [batch.column(name).to_pylist() for name in (
-            "query_id", "i", "pos", "copy", "ref1", "ord1", "off1", "ref2", "ord2", "off2")]
-        for query, i, pos, copy, r1, o1, f1, r2, o2, f2 in zip(*columns):
-            single, seed, place = copy == 1, (i, pos), (r1, o1, f1)
-            if chain is not None and chain.query != query:
-                close(chain, at_end=True)
-                chain = None
-            if chain is not None and not single and not chain.accepts(place):
-                place = (r2, o2, f2)
-            if chain is not None and chain.accepts(place):
-                chain.extend(seed, place, single)
-            else:
-                close(chain, at_end=False)
-                chain = _Chain(query, seed, place, single)
-        yield flush()
-    close(chain, at_end=True)
-    yield flush()
+            "query_id", "len", "i", "pos", "copy", "ref1", "ord1", "off1", "ref2", "ord2", "off2")]
+        for key, length, i, pos, copy, r1, o1, f1, r2, o2, f2 in zip(*columns):
+            if query is None or query.key != key:
+                if query is not None:
+                    done += query.finish(compat_tail)
+                query = _Query(key, length)
+            query.add((i, pos), copy == 1, (r1, o1, f1), (r2, o2, f2))
+        yield emit(done)
+    if query is not None:
+        yield emit(query.finish(compat_tail))
 
 
 def chain_seeds(seeds: DataFrame, compat_tail: bool = False) -> DataFrame:
@@ -200,11 +226,11 @@ def chain_seeds(seeds: DataFrame, compat_tail: bool = False) -> DataFrame:
     Chains with more than ``MIN_HITS`` single-copy hits are reported (``compat_tail`` judges the last
     chain of a query by its double-copy hits instead).
 
-    Seeds are sorted within partitions and streamed through the chain state, so a query of any length
-    takes constant memory.
+    Seeds are sorted within partitions and streamed through the chain state, so a task holds one open
+    chain and the chains found in the current query, never its seeds.
     """
     usable = seeds.where(F.col("copy") < COPY_MULTI).select(
-        F.col("query_id").cast("bigint"), "i", "pos", "copy",
+        F.col("query_id").cast("bigint"), "len", "i", "pos", "copy",
         F.col("place1.ref_id").cast("bigint").alias("ref1"), F.col("place1.ref_ord").alias("ord1"),
         F.col("place1.offset").alias("off1"),
         F.col("place2.ref_id").cast("bigint").alias("ref2"), F.col("place2.ref_ord").alias("ord2"),
@@ -219,17 +245,13 @@ def map_queries(
 ) -> tuple[DataFrame, DataFrame]:
     """Per-query summary, and chains with hit density along the reference and share of single-copy hits."""
     seeds = query_seeds(queries, index, spec)
-    summary = query_summary(queries, seeds)
-    chains = chain_seeds(seeds, compat_tail).join(
-        summary.select("query_id", "len", "copy1"), "query_id"
-    )
     hits = (F.col("n1") + F.col("n2")).cast("double")
-    mapped = chains.select(
+    chains = chain_seeds(seeds, compat_tail).select(
         "query_id", "q_start", "q_end", "len", "ref_id", "ref_start", "ref_end", "n1", "n2",
         F.try_divide(hits, F.col("ref_span")).alias("density"),
         F.try_divide(F.col("n1").cast("double"), F.col("copy1")).alias("copy1_frac"),
     )
-    return summary, mapped
+    return query_summary(queries, seeds), chains
 
 
 def seed_places(seeds: DataFrame) -> DataFrame:

@@ -65,10 +65,19 @@ def single_copy_hits(hits: DataFrame) -> DataFrame:
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
-    """The first occurrence of each hash in each read, and how many there are."""
-    where = F.struct("ord", "pos", "is_fwd")
-    return hits.groupBy("read_id", "hash").agg(
-        F.min(where).alias("at"), F.count("*").alias("n")
+    """``(read_id, hash, ord, pos, is_fwd)`` of the first occurrence of each hash in each read.
+
+    Order, position and strand travel as one number, so that the minimum needs no sort.
+    """
+    strand = F.shiftleft(F.col("pos").cast("bigint"), 1).bitwiseOR(F.col("is_fwd").cast("bigint"))
+    packed = F.shiftleft(F.col("ord").cast("bigint"), 32).bitwiseOR(strand)
+    least = hits.groupBy("read_id", "hash").agg(F.min(packed).alias("at"))
+    at = F.col("at")
+    return least.select(
+        "read_id", "hash",
+        F.shiftright(at, 32).cast("int").alias("ord"),
+        F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int").alias("pos"),
+        (at.bitwiseAND(F.lit(1)) == 1).alias("is_fwd"),
     )
 
 
@@ -80,8 +89,8 @@ def shared_hits(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     single = single_copy_hits(hits)
     x_side = single.join(wanted, "read_id", "left_semi") if wanted is not None else single
     x = first_hits(x_side).select(
-        "hash", F.col("read_id").alias("x"), F.col("at.ord").alias("x_ord"),
-        F.col("at.pos").alias("x_pos"), F.col("at.is_fwd").alias("x_fwd"),
+        "hash", F.col("read_id").alias("x"), F.col("ord").alias("x_ord"),
+        F.col("pos").alias("x_pos"), F.col("is_fwd").alias("x_fwd"),
     )
     y = single.select(
         "hash", F.col("read_id").alias("y"), F.col("ord").alias("y_ord"),
@@ -98,14 +107,12 @@ def overlaps(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     strands, is bad. ``n_plus`` and ``n_minus`` count hits in order. The offset is ``x`` less ``y`` on the
     same strand and ``x`` plus ``y`` on opposite strands.
     """
-    pair = Window.partitionBy("x", "y")
-    along = pair.orderBy("y_ord")
+    along = Window.partitionBy("x", "y").orderBy("y_ord")
     same = F.col("x_fwd") == F.col("y_fwd")
     rows = shared_hits(hits, wanted).select(
         "x", "y", "x_pos", "y_pos", same.alias("same"),
-        F.count("*").over(pair).alias("n_hit"),
         (F.col("x_ord") - F.lag("x_ord").over(along)).alias("step"),
-    ).where(F.col("n_hit") >= MIN_SHARED)
+    )
     plus = F.col("x_pos") - F.col("y_pos")
     minus = F.col("x_pos") + F.col("y_pos")
 
@@ -122,7 +129,7 @@ def overlaps(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         F.count_if(_if(F.col("step") > 0)).alias("rises"),
         total(plus).alias("p1"), squares(plus).alias("p2"),
         total(minus).alias("m1"), squares(minus).alias("m2"),
-    )
+    ).where(F.col("n_hit") >= MIN_SHARED)
     n, same_hits = F.col("n_hit"), F.col("same_hits")
     all_plus, all_minus = same_hits == n, same_hits == 0
 

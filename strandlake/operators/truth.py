@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .incidence import CRIB_TYPES
@@ -28,18 +28,18 @@ def build_crib(depths: DataFrame, genome_a: DataFrame, genome_b: DataFrame) -> D
 
     Absent from both is ``err``; once in each is ``hom``; repeated in either is ``mul``; once in
     exactly one is ``htA`` or ``htB``. ``chr`` is the sequence of a single hit and, for ``mul``, minus
-    the number of repeats. All three inputs are stacked and meet in one aggregation.
+    the number of repeats. All three inputs are stacked and meet in one aggregation, with chromosome and
+    position in one number.
     """
     def side(hits: DataFrame, tag: str) -> DataFrame:
         return hits.select(
             "hash", F.lit(None).cast("bigint").alias("depth"), F.lit(tag).alias("src"),
-            F.struct(F.col("chr").cast("int").alias("chr"), F.col("pos").cast("int").alias("pos")).alias("at"),
+            F.shiftleft(F.col("chr").cast("int").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("int").cast("bigint")).alias("at"),
         )
 
-    at_type = "struct<chr:int,pos:int>"
     known = depths.select(
         "hash", F.col("depth").cast("bigint").alias("depth"), F.lit("k").alias("src"),
-        F.lit(None).cast(at_type).alias("at"),
+        F.lit(None).cast("bigint").alias("at"),
     )
     stacked = known.unionByName(side(genome_a, "a")).unionByName(side(genome_b, "b"))
 
@@ -59,19 +59,25 @@ def build_crib(depths: DataFrame, genome_a: DataFrame, genome_b: DataFrame) -> D
         .when(n_a == 1, "htA")
         .otherwise("htB")
     )
+    def chr_of(at: str) -> Column:
+        return F.shiftright(F.col(at), 32)
+
+    def pos_of(at: str) -> Column:
+        return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
+
     chrom = (
         F.when(F.col("type") == "err", 0)
         .when(F.col("type") == "mul", 1 - F.greatest(n_a, n_b))
-        .when(F.col("type") == "htB", F.col("at_b.chr"))
-        .otherwise(F.col("at_a.chr"))
+        .when(F.col("type") == "htB", chr_of("at_b"))
+        .otherwise(chr_of("at_a"))
     )
-    place = F.when(F.col("type") == "htB", F.col("at_b.pos")).otherwise(F.col("at_a.pos"))
+    place = F.when(F.col("type") == "htB", pos_of("at_b")).otherwise(pos_of("at_a"))
     return merged.withColumn("type", kind).select(
         "hash",
         "depth",
         "type",
         chrom.cast("int").alias("chr"),
-        F.coalesce(F.shiftright(place, POSITION_BITS), F.lit(0)).alias("pos"),
+        F.coalesce(F.shiftright(place, POSITION_BITS), F.lit(0)).cast("int").alias("pos"),
     )
 
 

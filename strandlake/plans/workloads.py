@@ -261,7 +261,7 @@ def _deepest(depths: DataFrame, n: int) -> DataFrame:
 
 
 def _supplier_neighbours(spark, sf, n):
-    inc = inputs.supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
     targets = _deepest(depths, n)
     ranged = incidence.in_range(depths, [inputs.PART_RANGE])
@@ -289,7 +289,7 @@ def hash_double_shared(spark, sf):
 @query
 def hash_info(spark, sf):
     """Every hundredth part by key, as the command's increment asks for."""
-    inc = inputs.supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
     targets = depths.where(F.col("hash") % 100 == 0).select(F.col("hash").alias("x"))
     ranged = incidence.in_range(depths, [inputs.PART_RANGE])
@@ -300,14 +300,14 @@ def hash_info(spark, sf):
 
 @query
 def share_scan(spark, sf):
-    inc = inputs.supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
     ranged = incidence.in_range(depths, [inputs.PART_RANGE])
     return incidence.share_scan(inc, ranged, incidence.scan_targets(depths, 20, 40))
 
 
 def _error_scores(spark, sf):
-    inc = inputs.order_supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.order_supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
     everyone = depths.select(F.col("hash").alias("x"))
     ranged = incidence.in_range(depths, [(1, 1 << 40)])
@@ -368,7 +368,7 @@ def crib_presence(spark, sf):
 
 
 def _clusters(spark, sf):
-    inc = inputs.supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
     return inc, cut_lineage(cluster.cluster_hashes(inc, [inputs.PART_RANGE]))
 
 
@@ -431,7 +431,7 @@ def crib_summary(spark, sf):
 
 
 def _explored(spark, sf):
-    inc = inputs.supplier_incidence(spark, sf)
+    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
     largest = incidence.code_table(inc).orderBy(F.desc("n_hash"), "barcode").head()["barcode"]
     return cluster.explore_code(
         inc, [inputs.PART_RANGE], inputs.part_crib(spark, sf), largest
