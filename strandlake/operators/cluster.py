@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
 from . import histogram as hist
 from .incidence import hash_depths, in_range
 from .ranks import running_sum
@@ -28,14 +29,23 @@ MAX_CODE_HASHES = 65535
 MAX_CLUSTERS = 255
 DEFAULT_THRESHOLD = 5
 
+# Depth from which a hash outside the range is dropped before the shuffle.
+HOT_DEPTH = 1_000_000
+
 _LABELS = (
     "barcode bigint, hash bigint, read bigint, depth bigint, i int, raw int, sub int, share double"
 )
 
 
 def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(hash, depth, members)``: barcodes and reads of each in-range hash, a list its range bounds."""
-    ranged = in_range(hash_depths(inc), ranges)
+    """``(hash, depth, members)``: barcodes and reads of each in-range hash, a list its range bounds.
+
+    Very common hashes are dropped before anything is shuffled by hash, so none of them can fill a task.
+    """
+    depths = cut_lineage(hash_depths(inc))
+    ranged = in_range(depths, ranges)
+    common = depths.where(F.col("depth") >= max(HOT_DEPTH, *(high for _, high in ranges)))
+    inc = inc.join(broadcast_if_small(common.select("hash")), "hash", "left_anti")
     member = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "read")])
     return inc.join(ranged, "hash").groupBy(F.col("hash").cast("bigint").alias("hash"), "depth").agg(
         F.collect_list(member).alias("members")

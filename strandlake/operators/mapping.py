@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import HashSpec, SKETCH_SPEC
-from .sketch import sketch
+from .sketch import sketch, sketch_pieces
 
 # How far a chain may drift off its diagonal (in hits), and the single-copy hits that
 # a reported chain must exceed.
@@ -19,22 +19,26 @@ COPY_MULTI = 3
 
 
 def reference_hits(
-    refs: DataFrame, spec: HashSpec = SKETCH_SPEC, sketch_set: DataFrame | None = None
+    refs: DataFrame,
+    spec: HashSpec = SKETCH_SPEC,
+    sketch_set: DataFrame | None = None,
+    in_pieces: bool = False,
 ) -> DataFrame:
     """``(ref_id, ref_ord, hash, offset)`` of ``refs(ref_id, seq)``; ``ref_ord`` counts along each reference.
 
-    With ``sketch_set`` only hashes of that set are indexed, and ``ref_ord`` counts those.
+    With ``sketch_set`` only hashes of that set are indexed, and ``ref_ord`` counts those. ``in_pieces``
+    spreads few giant references over the cluster.
     """
-    hits = sketch(refs, ["ref_id"], "seq", spec).select(
-        "ref_id", F.col("ord").alias("ref_ord"), "hash", F.col("pos").alias("offset")
-    )
-    if sketch_set is None:
-        return hits
-    known = hits.join(sketch_set.select("hash"), "hash", "left_semi")
-    order = Window.partitionBy("ref_id").orderBy("offset")
-    return known.withColumn("ref_ord", F.row_number().over(order) - 1).select(
-        "ref_id", "ref_ord", "hash", "offset"
-    )
+    if in_pieces:
+        hits = sketch_pieces(refs, ["ref_id"], "seq", spec)
+    else:
+        hits = sketch(refs, ["ref_id"], "seq", spec)
+    if sketch_set is not None:
+        hits = hits.join(sketch_set.select("hash"), "hash", "left_semi")
+    if sketch_set is not None or in_pieces:
+        along = Window.partitionBy("ref_id").orderBy("pos")
+        hits = hits.withColumn("ord", F.row_number().over(along) - 1)
+    return hits.select("ref_id", F.col("ord").alias("ref_ord"), "hash", F.col("pos").alias("offset"))
 
 
 def reference_sequences(refs: DataFrame) -> DataFrame:

@@ -137,6 +137,16 @@ def test_clusters_match_plain_loops(spark, start):
     assert {r["barcode"] for r in some} == set(range(3, 9))
 
 
+def test_common_hashes_do_not_change_clusters(spark, monkeypatch):
+    rng = random.Random(17)
+    inc = [(b, h, rng.randrange(9)) for b in range(20) for h in rng.sample(range(40), 15)]
+    inc += [(b, 1000, 0) for b in range(20)]
+    df = spark.createDataFrame(inc, "barcode bigint, hash bigint, read bigint")
+    before = sorted(map(tuple, cluster.cluster_hashes(df, [(3, 12)], threshold=3).collect()))
+    monkeypatch.setattr(cluster, "HOT_DEPTH", 12)
+    assert sorted(map(tuple, cluster.cluster_hashes(df, [(3, 12)], threshold=3).collect())) == before
+
+
 def test_too_many_clusters_are_given_up(spark, monkeypatch):
     monkeypatch.setattr(cluster, "MAX_CLUSTERS", 1)
     inc = [(b, h, h) for b in range(10) for h in range(4)] + [(0, 100 + h, h) for h in range(4)]

@@ -98,6 +98,8 @@ def test_summary_and_classes(spark):
     short = summary.where("query_id = 30").head()
     assert (short["len"], short["miss"], short["copy1"], short["hit_frac"]) == (4, 0, 0, None)
     assert chains.where("density is not null and (copy1_frac <= 0 or copy1_frac > 1)").count() == 0
+    spread = mapping.reference_hits(refs, SPEC, in_pieces=True)
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, hits.collect()))
     some = index.limit(20).select("hash")
     known = mapping.reference_hits(refs, SPEC, some)
     ords = known.groupBy("ref_id").agg(F.max("ref_ord").alias("top"), F.count("*").alias("n")).collect()
