@@ -32,23 +32,31 @@ def whitelist_variants(whitelist: DataFrame, exact_first: bool = True) -> DataFr
     whitelisted 16-mer always stands for itself; ``fix_pos`` is then NULL.
     """
     spots = F.sequence(F.lit(0), F.lit(BARCODE_BASES - 1))
-    spread = whitelist.select(
-        "line_no", F.col("barcode").cast("string").alias("barcode"), F.explode(spots).alias("spot")
-    ).select("*", F.explode(F.array(*[F.lit(b) for b in BASES])).alias("base"))
-    variants = spread.select(
-        switch_base(F.col("barcode"), F.col("spot"), F.col("base")).alias("raw"),
-        "barcode", "line_no", "spot",
+    own = F.substring("barcode", F.col("spot") + 1, F.lit(1))
+    # a whitelist is one small file: deal it out before it grows to 49 rows per line
+    cores = whitelist.sparkSession.sparkContext.defaultParallelism
+    spread = (
+        whitelist.select("line_no", F.col("barcode").cast("string").alias("barcode"))
+        .repartition(cores, "line_no")
+        .select("*", F.explode(spots).alias("spot"))
+        .select("*", F.explode(F.array(*[F.lit(b) for b in BASES])).alias("base"))
+        .where((F.col("base") != own) | (F.col("spot") == 0))
     )
-    exact = F.col("raw") == F.col("barcode")
-    choice = F.struct(
-        (exact if exact_first else F.lit(False)).alias("exact"), F.col("line_no"), F.col("spot"),
-        F.col("barcode"),
+    # One number ranks a variant (exact, line, spot) and tells which base the whitelist has at its spot.
+    exact = (own == F.col("base")) & F.lit(exact_first)
+    true_base = F.instr(F.lit(BASES), own) - 1
+    rank = (
+        F.when(exact, F.lit(1 << 62)).otherwise(F.lit(0)) + F.col("line_no") * 64
+        + F.col("spot") * 4 + true_base
     )
-    best = variants.groupBy("raw").agg(F.max(choice).alias("best"))
-    changed = F.col("raw") != F.col("best.barcode")
-    return best.select(
-        "raw", F.col("best.barcode").alias("barcode"),
-        F.when(changed, F.col("best.spot")).alias("fix_pos"),
+    best = spread.groupBy(
+        switch_base(F.col("barcode"), F.col("spot"), F.col("base")).alias("raw")
+    ).agg(F.max(rank).alias("rank"))
+    spot = F.floor(F.col("rank") % 64 / 4).cast("int")
+    base = F.substring(F.lit(BASES), (F.col("rank") % 4 + 1).cast("int"), F.lit(1))
+    found = best.select("raw", switch_base(F.col("raw"), spot, base).alias("barcode"), spot.alias("spot"))
+    return found.select(
+        "raw", "barcode", F.when(F.col("raw") != F.col("barcode"), F.col("spot")).alias("fix_pos")
     )
 
 

@@ -159,6 +159,8 @@ def share_histogram(
     """
     sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
     large = sized.where(F.col("n_hash") > heavy).select("barcode")
+    if not large.head(1):
+        return share_counts(neighbours(inc, ranged, targets))
     light = inc.join(large, "barcode", "left_anti").select("barcode", "hash")
     ranged = ranged.select("hash").distinct()
     wanted = targets.select(F.col("x").alias("hash")).distinct()
