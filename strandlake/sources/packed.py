@@ -6,11 +6,13 @@ byte range. Bulk storage of pairs is Parquet; this format is for exchange.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -82,17 +84,16 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    """One file per task, named by partition so that a retried task replaces its own output."""
+    """One file per task, named by write and partition: a retried task replaces its own output, and a
+    later write to the same folder adds to it."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.run = path, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
         system, root = _file_system(self.path)
         system.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():05d}.pairs"
+        name = f"{root}/part-{self.run}-{TaskContext.get().partitionId():05d}.pairs"
         with system.open_output_stream(name) as out:
             for batch in iterator:
                 for record in batch.column(batch.schema.get_field_index("record")):
@@ -115,6 +116,8 @@ class PackedPairs(DataSource):
         return _Reader(self.options["path"], int(self.options.get("splitrecords", SPLIT_RECORDS)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        if overwrite:
+            raise ValueError("packed pairs can only be appended")
         return _Writer(self.options["path"])
 
 

@@ -145,6 +145,8 @@ def test_packed_pairs_file(spark, tmp_path):
         assert row["qual1"][:151] == "".join("1" if c >= "8" else "0" for c in q1)
         assert row["barcode"] == int("".join(str("ACGT".index(c)) for c in s1[:16]), 4)
     assert packed.read_packed_pairs(spark, str(tmp_path / "out"), limit=7).count() == 7
+    packed.write_packed_pairs(df, str(tmp_path / "out"))
+    assert packed.read_packed_pairs(spark, str(tmp_path / "out")).count() == 100
 
 
 def test_right_justified_tail(spark):
