@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import exact_dedup, sharding, simhash
 from .common import table
 
 N_SHARDS = 40
@@ -19,11 +19,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op5_sharding": op5_sharding,
+    "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
