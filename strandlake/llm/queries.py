@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, phrases, sharding, simhash
 from .common import table
 
 N_SHARDS = 40
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
     return shards.select(
@@ -28,6 +32,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
