@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, phrases, sharding, simhash
+from . import exact_dedup, packing, phrases, sharding, simhash, token_counts
 from .common import table
 
 N_SHARDS = 40
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
     return shards.select(
@@ -32,7 +41,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
