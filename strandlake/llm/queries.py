@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, phrases, sharding, simhash, token_counts
+from . import exact_dedup, language_id, packing, phrases, secret_scan, sharding, simhash, token_counts
 from .common import table
 
 N_SHARDS = 40
@@ -38,6 +38,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["number"] < len(secret_scan.BASE_RULES))
+
+    def count(number: int):
+        return F.size(F.filter("spans", lambda s: s["number"] == number)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(secret_scan.BASE_RULES)]
+    listed = secret_scan.listed
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +66,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
     "op9_exact_dedup": op9_exact_dedup,
 }
