@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, phrases, secret_scan, sharding, simhash, token_counts
+from . import exact_dedup, language_id, line_dedup, packing, phrases, quality, secret_scan, sharding, simhash, token_counts
 from .common import table
 
 N_SHARDS = 40
@@ -56,10 +56,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    learn_from = ~language_id.held_out()
+    scores, _ = quality.score_documents(table(spark, sf_dir, "documents"), labels, learn_from)
+    return scores.select(
+        "doc_id", language_id.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.kept_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", F.size("kept").alias("n_kept"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept_lines")
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -68,5 +85,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_secret_scan": op6_secret_scan,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
