@@ -20,7 +20,9 @@ count as empty: one piece with the end id. Rows that repeat an id get their own
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -37,9 +39,11 @@ END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 PARTS = 1024
 
-_MORE_SPACE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_REMEMBERED = 400_000
+#: What makes a cut before each single space doubtful.
+_ODD_SPACE = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+_REMEMBERED = 600_000
+_NOT_LATIN = "\u0250"
 _LONGEST_REMEMBERED = 64
 _CHARS_AT_ONCE = 1 << 21
 _RANK_BITS = 44
@@ -57,31 +61,92 @@ def load_tokenizer(name: str):
 
 
 def _chunks(text: str) -> list[str]:
-    """Chunks of which none shares a pre-token with the next; joined they are the text."""
-    if text[0] == " " or text[-1] == " " or _MORE_SPACE.search(text):
-        first, *rest = _CUT.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *(" " + part for part in rest)]
+    """Keys of chunks of which none shares a pre-token with the next.
+
+    A key is what stands after one space or, if it begins with a new line, what stands after that: the start of a text,
+    or what comes after a new line or before a mark.
+    """
+    odd = text[0] == " " or text[-1] == " " or any(map(text.__contains__, _ODD_SPACE))
+    first, *rest = _CUT.split(text) if odd else text.split(" ")
+    rest.insert(0, "\n" + first)
+    return rest
+
+
+def _parts(key: str) -> list[str]:
+    """A key by the keys of the lines and end marks in it, if that is where pre-tokens end; shared by more texts."""
+    start, *lines = key[1:].split("\n") if key[0] == "\n" else key.split("\n")
+    keys = ["\n" + start if key[0] == "\n" else start]
+    for line in lines:
+        keys += ["\n\n", "\n" + line]
+    if lines and any(not x or x[0].isspace() or x[-1].isspace() for x in (start, *lines)):
+        return [key]
+    parts = []
+    for x in keys:
+        if len(x) > 2 and x[-1] in ".," and x[-2].isalpha():
+            parts += [x[:-1], "\n" + x[-1]]
+        else:
+            parts.append(x)
+    return parts
+
+
+def _ranks(tokenizer) -> dict[bytes, int] | None:
+    """Tokens as bytes with their ids, if ids and merges of a byte-level vocabulary come in one order."""
+    model = json.loads(tokenizer.to_str())["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain}  # the byte-level alphabet: other bytes follow from 256 on
+    letters.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)})
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if made != sorted(made) or any(c not in letters for token in model["vocab"] for c in token):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
+
+
+def _key_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
+    """Ids of keys. Where the vocabulary's ranks give its merges, Latin keys take the library that works on ranks."""
+    quick = None
+    if ranks := _ranks(tokenizer):
+        import public_tokenizers
+        import tiktoken
+
+        quick = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def encode(keys: list[str]) -> list[bytes]:
+        coded = []
+        for key in keys:
+            text = key[1:] if key[0] == "\n" else " " + key
+            if quick and max(text) < _NOT_LATIN and not any(map(text.__contains__, special)):
+                ids = quick(text)
+            else:
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+            coded.append(np.array(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids))
+        return coded
+
+    return encode
 
 
 def id_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
     """Little-endian 32-bit ids of each text."""
     known: dict[str, bytes] = {}
+    encode_keys = _key_encoder(tokenizer)
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > _REMEMBERED:
             known.clear()
         cut = [_chunks(text) if text else [] for text in texts]
-        new = list({chunk for chunks in cut for chunk in chunks} - known.keys())
-        long = [chunk for chunk in new if len(chunk) > _LONGEST_REMEMBERED]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for chunk, coded in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(coded.ids, dtype="<u4").tobytes()
-        coded = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for chunk in long:
-            del known[chunk]
+        new = {key for keys in cut for key in keys} - known.keys()
+        made = {key: parts for key in new if len(parts := _parts(key)) > 1}
+        plain = new - made.keys() | {part for parts in made.values() for part in parts} - known.keys()
+        plain = list(plain)
+        known.update(zip(plain, encode_keys(plain), strict=True))
+        for key, parts in made.items():
+            known[key] = b"".join(map(known.__getitem__, parts))
+        coded = [b"".join(map(known.__getitem__, keys)) for keys in cut]
+        for key in [*plain, *made]:
+            if len(key) > _LONGEST_REMEMBERED:
+                del known[key]
         return coded
 
     return encode
