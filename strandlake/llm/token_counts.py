@@ -1,6 +1,7 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token.
 
-A pre-token is a run without ASCII white space, at which the word-level tokenizer always ends a word.
+A pre-token is a run without ASCII white space, at which the word-level tokenizer always ends a word, with A-Z in lower
+case, as the tokenizer has it, and without the full stop or comma after its last letter, which is one of its own.
 
 1. ``vocabulary``: every distinct pre-token of all texts with its number of occurrences (tasks count before the
    shuffle), and the number of pieces, which is found once for each.
@@ -14,6 +15,7 @@ empty: no bytes, no tokens. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -28,7 +30,16 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 HEAD = 200_000
 
-_COUNTED_AT_ONCE = 300_000
+_COUNTED_AT_ONCE = 500_000
+_END_MARK = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s)")
+
+
+def pre_tokens(text: bytes | None) -> list[bytes]:
+    if not text:
+        return []
+    if b"<|" not in text:  # a special string counts as it is written
+        text = text.lower()
+    return _END_MARK.sub(rb" \1", text).split()
 
 
 def _occurrences(batches):
@@ -43,7 +54,7 @@ def _occurrences(batches):
     seen: Counter[bytes] = Counter()
     for batch in batches:
         for text in text_bytes(batch.column(0)):
-            seen.update((text or b"").split())
+            seen.update(pre_tokens(text))
             if len(seen) > _COUNTED_AT_ONCE:
                 yield rows()
     yield rows()
@@ -67,6 +78,19 @@ def vocabulary(docs: DataFrame, tokenizer: str = TOKENIZER, text_col: str = "tex
     return map_batches(found.groupBy("word").agg(F.sum("n").alias("n")), count, "word binary, n bigint, pieces bigint")
 
 
+def _most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """Words above a frequency that fewer than ``most`` reach; an eighth of a doubling is one step."""
+    words = words.withColumn("step", F.floor(F.log2("n") * 8))
+    steps = {r.step: r.n for r in words.groupBy("step").agg(F.count("*").alias("n")).collect()}  # at most 512
+    least, total = max(steps, default=0) + 1, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > most:
+            break
+        least = step
+    return words.where(F.col("step") >= least)
+
+
 def _frequencies(rows: DataFrame, head) -> DataFrame:
     """A row for each document with what the head gives, and one for each other pre-token in it."""
 
@@ -77,7 +101,7 @@ def _frequencies(rows: DataFrame, head) -> DataFrame:
             for i, text in enumerate(text_bytes(batch.column(2))):
                 text = text or b""
                 total = 0
-                for w, times in Counter(text.split()).items():
+                for w, times in Counter(pre_tokens(text)).items():
                     pieces = known.get(w)
                     if pieces is None:
                         row.append(i)
@@ -108,8 +132,9 @@ def count_tokens(
 ) -> DataFrame:
     """``(id_col, n_bytes, n_tokens)`` of every row of ``docs``."""
     words = cut_lineage(vocabulary(docs, tokenizer, text_col))
-    common = words.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces")  # the bound of the broadcast
-    known = docs.sparkSession.sparkContext.broadcast({bytes(r.word): r.pieces for r in common.collect()})
+    common = _most_frequent(words, head).select("word", "pieces").toArrow()
+    known = dict(zip(common.column("word").to_pylist(), common.column("pieces").to_pylist(), strict=True))
+    known = docs.sparkSession.sparkContext.broadcast(known)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     parts = _frequencies(rows, known).join(words.select("word", "pieces"), "word", "left")

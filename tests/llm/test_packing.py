@@ -11,7 +11,7 @@ from strandlake.llm import packing, token_counts
 TEXTS = [
     None, "", " ", "a", "  two  spaces ", "tab\t and\n newline \n x", "It's we'll  DON'T 've", "<|endoftext|> x <|endoftext|>y",
     "nbsp  x  y 　 z", "café é ﬁ Ω", "x" * 3000, "word " * 2000, "1234567 89 ...!!! --", "\x1c a \x85 b",
-    "ΣΑΣ <|startoftext|>", "日本語 テキスト", "the quick brown fox",
+    "ΣΑΣ <|startoftext|>", "End. Of, it. x., It's. é. 3. A.B. <|STARTOFTEXT|> <|endoftext|>. e\u0301. E\u0301 ", "日本語 テキスト", "the quick brown fox",
 ]
 
 
@@ -108,3 +108,15 @@ def test_token_counts(spark, head):
     rows = token_counts.count_tokens(table, head=head).collect()
     expected = [(d, len((t or "").encode()), len(ids_of(tokenizer, t))) for d, t, _ in docs]
     assert sorted(map(repr, expected)) == sorted(repr((r.doc_id, r.n_bytes, r.n_tokens)) for r in rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abS'sÉé́ \t\n1.,<|>", max_size=40))
+def test_pre_tokens_add_up(word_tokenizer, text):
+    parts = [p.decode() for p in token_counts.pre_tokens(text.encode())]
+    assert sum(len(ids_of(word_tokenizer, p)) for p in parts) == len(ids_of(word_tokenizer, text))
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    return packing.load_tokenizer(token_counts.TOKENIZER)
