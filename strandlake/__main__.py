@@ -7,7 +7,6 @@ Every command reads saved tables or sequence files and writes a saved table (``-
 from __future__ import annotations
 
 import argparse
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +35,6 @@ def spec_of(args) -> HashSpec:
     return HashSpec(args.k, args.w, args.factor)
 
 
-def read_all(spark, paths) -> DataFrame:
-    return reduce(DataFrame.unionByName, [sequences.read_sequences(spark, p) for p in paths])
-
-
 def one_set(spark, root):
     spec, found = tables.load(spark, "sketch", root)
     return spec, found["sketch"]
@@ -100,7 +95,7 @@ def sketch_depths(spark, args):
 
 def map_index(spark, args):
     spec = spec_of(args)
-    refs = read_all(spark, args.references).withColumnRenamed("seq_id", "ref_id")
+    refs = sequences.read_sequences(spark, args.references).withColumnRenamed("seq_id", "ref_id")
     mapping.check_unique_names(refs)
     hits = mapping.reference_hits(refs, spec)
     tables.save(
@@ -110,7 +105,7 @@ def map_index(spark, args):
 
 def _mapped(spark, args):
     spec, ref = tables.load(spark, "reference", args.index)
-    queries = read_all(spark, args.reads).withColumnRenamed("seq_id", "query_id")
+    queries = sequences.read_sequences(spark, args.reads).withColumnRenamed("seq_id", "query_id")
     summary, chains = mapping.map_queries(queries, mapping.reference_index(ref["ref_hits"]), spec)
     names = queries.select("query_id", "name")
     ref_names = ref["ref_seqs"].select("ref_id", F.col("name").alias("ref"))

@@ -26,8 +26,9 @@ OTHER_QUALITY = "[^8-~]"
 
 
 def _words(digits: Column, base: int, per_word: int, n_words: int, right_justify: bool) -> Column:
-    # cut the string once: a lambda must not repeat work on the whole of it
-    text = F.substring(digits, 1, n_words * per_word)
+    room = n_words * per_word
+    message = F.concat(F.lit(f"more than {room} characters for a record: "), F.length(digits).cast("string"))
+    text = F.when(F.length(digits) > room, F.raise_error(message)).otherwise(digits)
     if not right_justify:
         text = F.rpad(text, n_words * per_word, "0")
     parts = F.regexp_extract_all(text, F.lit(f".{{1,{per_word}}}"), F.lit(0))
@@ -69,11 +70,13 @@ def unpack_qualities(words: Column) -> Column:
 
 
 def _slots(texts: pa.Array, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each text in a row of ``n_slots`` (0 beyond its end), and the lengths kept."""
+    """Characters of each text in a row of ``n_slots`` (0 beyond its end), and the lengths."""
     texts = texts.fill_null("").cast(pa.large_string())
     _, offset_buffer, data = texts.buffers()
     offsets = np.frombuffer(offset_buffer, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    lengths = np.minimum(np.diff(offsets), n_slots)
+    lengths = np.diff(offsets)
+    if len(lengths) and lengths.max() > n_slots:
+        raise ValueError(f"a record has room for {n_slots} characters of a read, not for {lengths.max()}")
     out = np.zeros((len(texts), n_slots), np.uint8)
     inside = np.arange(n_slots) < lengths[:, None]
     at = offsets[:-1, None] + np.arange(n_slots)

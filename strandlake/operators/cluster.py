@@ -2,50 +2,32 @@
 
 For every barcode the *good* hashes (those in the depth range) are numbered by ascending depth. A
 good hash joins the cluster of the earlier good hash through which most of the barcodes sharing it
-were first met. Spark finds the good hashes and joins to each the barcodes that carry it; one task per
-barcode then counts first meetings with array operations.
+were first met.
 
-That task's input is bounded: a barcode with more than ``MAX_CODE_HASHES`` hashes has no good hashes,
-and a hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
+All steps are joins and aggregations keyed by barcode and a second column, so neither a large barcode nor one
+with many clusters meets in one row or task. The pairs of barcodes formed are bounded by the range: a
+hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from . import histogram as hist
 from .incidence import hash_depths, in_range
 from .ranks import running_sum
 
-# The largest barcode that is clustered, the most clusters a barcode may have before
-# its clustering is given up, and the support a hash needs to join a cluster.
-MAX_CODE_HASHES = 65535
-MAX_CLUSTERS = 255
+# Fixed value: the support a hash needs to join a cluster.
 DEFAULT_THRESHOLD = 5
 
-# Depth from which a hash outside the range is dropped before the shuffle.
-HOT_DEPTH = 1_000_000
-
-_LABELS = (
-    "barcode bigint, hash bigint, read bigint, depth bigint, i int, raw int, sub int, share double"
-)
-
 
 def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(hash, depth, members)``: barcodes and reads of each in-range hash, a list its range bounds.
-
-    Very common hashes are dropped before anything is shuffled by hash, so none of them can fill a task.
-    """
-    depths = cut_lineage(hash_depths(inc))
-    ranged = in_range(depths, ranges)
-    common = depths.where(F.col("depth") >= max(HOT_DEPTH, *(high for _, high in ranges)))
-    inc = inc.join(broadcast_if_small(common.select("hash")), "hash", "left_anti")
+    """``(hash, depth, members)``: barcodes and reads of each in-range hash, a list its range bounds."""
+    ranged = in_range(hash_depths(inc), ranges)
     member = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "read")])
     return inc.join(ranged, "hash").groupBy(F.col("hash").cast("bigint").alias("hash"), "depth").agg(
         F.collect_list(member).alias("members")
@@ -53,85 +35,57 @@ def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
 
 
 def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """``(barcode, hash, read, depth, barcodes)``: in-range hashes of every barcode that is not oversize,
-    each with all barcodes that carry it."""
-    sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
-    oversize = sized.where(F.col("n_hash") > MAX_CODE_HASHES).select("barcode")
-    rows = carriers(inc, ranges).select(
-        "hash", "depth", F.col("members.barcode").alias("barcodes"), F.inline("members")
-    )
-    return rows.join(oversize, "barcode", "left_anti").select(
-        "barcode", "hash", "read", "depth", "barcodes"
+    """``(barcode, hash, read, depth, i)``: the in-range hashes of every barcode, numbered from 0."""
+    rows = inc.join(in_range(hash_depths(inc), ranges), "hash")
+    order = Window.partitionBy("barcode").orderBy("depth", "hash")
+    return rows.select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("barcode", "hash", "read")], "depth",
+        (F.row_number().over(order) - 1).alias("i"),
     )
 
 
-def _first_meetings(owner: int, barcodes: pa.ListArray, start: int):
-    """Tallies ``(i, ms, n)`` sorted by ``i, ms``: of the other barcodes on good hash ``i``, ``n`` were
-    first met on the earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
-    sizes = np.diff(barcodes.offsets.to_numpy())
-    other = barcodes.flatten().to_numpy()
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    seen = (other != owner) & (at >= start)
-    other, at = other[seen], at[seen]
-    _, first, which = np.unique(other, return_index=True, return_inverse=True)
-    met_at = at[first][which] if len(at) else at
-    later = met_at < at
-    pairs, n = np.unique(at[later] * len(sizes) + met_at[later], return_counts=True)
-    return pairs // len(sizes), pairs % len(sizes), n
-
-
-def _merge_by_read(raw: list[int], n_clusters: int, reads: list) -> list[int]:
-    """Unite clusters that share a read; number what remains by its least member."""
-    leader = list(range(n_clusters + 1))
-
-    def find(cluster: int) -> int:
-        while leader[cluster] != cluster:
-            cluster = leader[cluster]
-        return cluster
-
-    cluster_of_read: dict = {}
-    for cluster, read in zip(raw, reads):
-        if cluster:
-            low, high = sorted((find(cluster), find(cluster_of_read.setdefault(read, cluster))))
-            leader[high] = low
-    heads = sorted({find(c) for c in range(1, n_clusters + 1)})
-    number = {head: k for k, head in enumerate(heads, start=1)}
-    return [number[find(c)] if c else 0 for c in raw]
-
-
-def _cluster_barcode(rows: pa.Table, threshold: int, start: int) -> pa.Table:
-    """Label the good hashes of one barcode."""
-    rows = rows.sort_by([("depth", "ascending"), ("hash", "ascending")]).combine_chunks()
-    n_good = len(rows)
-    owner = rows["barcode"][0].as_py()
-    at, ms, n = _first_meetings(owner, rows["barcodes"].combine_chunks(), start)
-    heads, begin = np.unique(at, return_index=True)
-    ends = np.append(begin[1:], len(at))
-    raw, share = [0] * n_good, np.zeros(n_good)
-    founders: list[int] = []
-    for i, low, high in zip(heads.tolist(), begin.tolist(), ends.tolist()):
-        tally = n[low:high]
-        best = int(tally.argmax())
-        if tally[best] < threshold:
-            continue
-        parent = int(ms[low + best])
-        if not raw[parent]:
-            if len(founders) == MAX_CLUSTERS:
-                raw, founders = [0] * n_good, []
-                break
-            founders.append(parent)
-            raw[parent] = len(founders)
-        raw[i] = raw[parent]
-        at_founder = tally[ms[low:high] == founders[raw[i] - 1]].sum()
-        share[i] = at_founder / float(tally.sum())
-    sub = _merge_by_read(raw, len(founders), rows["read"].to_pylist())
-    labels = rows.drop_columns(["barcodes"])
-    for name, values in (
-        ("i", pa.array(np.arange(n_good, dtype=np.int32))), ("raw", pa.array(raw, pa.int32())),
-        ("sub", pa.array(sub, pa.int32())), ("share", pa.array(share)),
-    ):
-        labels = labels.append_column(name, values)
-    return labels
+def _first_meetings(good: DataFrame, mine: DataFrame, start: int) -> DataFrame:
+    """``(barcode, i, ms, n)``: of the other barcodes on good hash ``i`` of ``mine``, ``n`` were first met on the
+    earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
+    others = good.select("hash", F.col("barcode").alias("other"))
+    met = mine.where(F.col("i") >= start).select("barcode", "hash", "i").join(others, "hash")
+    met = met.where(F.col("barcode") != F.col("other"))
+    pair = Window.partitionBy("barcode", "other")
+    first = met.select("barcode", "i", F.min("i").over(pair).alias("ms"))
+    return first.where("ms < i").groupBy("barcode", "i", "ms").agg(F.count("*").alias("n"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """``(barcode, i, root)`` from ``(barcode, i, parent)``; parents come before their children.
+
+    Each round doubles the steps that a pointer takes.
+    """
+    at = cut_lineage(parents.select("barcode", "i", F.col("parent").alias("root")))
+    while True:
+        upper = at.select("barcode", F.col("i").alias("root"), F.col("root").alias("above"))
+        moved = cut_lineage(at.join(upper, ["barcode", "root"], "left"))
+        at = moved.select("barcode", "i", F.coalesce("above", "root").alias("root"))
+        if moved.where("above IS NOT NULL").isEmpty():
+            return at
+
+
+def _merge_by_read(members: DataFrame) -> DataFrame:
+    """``(barcode, raw, sub)``: clusters that share a read are united; numbered by their least member."""
+    on = cut_lineage(members.select("barcode", "raw", "read").distinct())
+    label = cut_lineage(on.select("barcode", "raw").distinct().withColumn("low", F.col("raw")))
+    while True:
+        by_read = on.join(label, ["barcode", "raw"]).groupBy("barcode", "read").agg(F.min("low").alias("low"))
+        lower = on.join(by_read, ["barcode", "read"]).groupBy("barcode", "raw").agg(F.min("low").alias("to"))
+        far = label.select("barcode", F.col("raw").alias("to"), F.col("low").alias("further"))
+        moved = cut_lineage(
+            label.join(lower, ["barcode", "raw"]).join(far, ["barcode", "to"], "left")
+            .select("barcode", "raw", "low", F.coalesce("further", "to").alias("to"))
+        )
+        label = moved.select("barcode", "raw", F.col("to").alias("low"))
+        if moved.where("to < low").isEmpty():
+            break
+    order = Window.partitionBy("barcode").orderBy("low")
+    return label.select("barcode", "raw", F.dense_rank().over(order).alias("sub"))
 
 
 def cluster_hashes(
@@ -147,13 +101,37 @@ def cluster_hashes(
     ``sub`` are its cluster before and after uniting clusters that share a read (0: none), and
     ``share`` is the part of the met barcodes that were first met at the founder of the cluster.
     """
-    good = good_hashes(inc, ranges)
+    good = cut_lineage(good_hashes(inc, ranges))
+    mine = good
     if codes is not None:
         low, high = codes
-        good = good.where(F.col("barcode") >= low)
-        good = good.where(F.col("barcode") < high) if high else good
-    return good.groupBy("barcode").applyInArrow(
-        lambda rows: _cluster_barcode(rows, threshold, start), _LABELS
+        mine = mine.where(F.col("barcode") >= low)
+        mine = mine.where(F.col("barcode") < high) if high else mine
+    tally = cut_lineage(_first_meetings(good, mine, start))
+    best = tally.groupBy("barcode", "i").agg(
+        F.max(F.struct("n", (-F.col("ms")).alias("before"))).alias("best"), F.sum("n").alias("total")
+    )
+    best = best.where(F.col("best.n") >= threshold)
+    joined = best.select("barcode", "i", (-F.col("best.before")).alias("parent"), "total")
+    roots = _roots(joined).join(joined.select("barcode", "i", "total"), ["barcode", "i"])
+    # clusters are numbered as they are founded: by the first hash that joins the founder
+    founders = roots.groupBy("barcode", "root").agg(F.min("i").alias("founded"))
+    number = Window.partitionBy("barcode").orderBy("founded")
+    founders = founders.select("barcode", "root", F.row_number().over(number).alias("raw"))
+    at_founder = tally.select("barcode", "i", F.col("ms").alias("root"), "n")
+    inner = roots.join(at_founder, ["barcode", "i", "root"], "left").join(founders, ["barcode", "root"]).select(
+        "barcode", "i", "raw", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share")
+    )
+    first = founders.select("barcode", F.col("root").alias("i"), "raw", F.lit(0.0).alias("share"))
+    members = cut_lineage(
+        mine.join(inner.unionByName(first), ["barcode", "i"])
+    )
+    subs = _merge_by_read(members)
+    labelled = members.join(subs, ["barcode", "raw"]).select("barcode", "i", "raw", "sub", "share")
+    return mine.join(labelled, ["barcode", "i"], "left").select(
+        "barcode", "hash", "read", "depth", F.col("i").cast("int").alias("i"),
+        F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("sub", F.lit(0)).alias("sub"),
+        F.coalesce("share", F.lit(0.0)).alias("share"),
     )
 
 

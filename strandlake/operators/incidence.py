@@ -17,10 +17,8 @@ from . import histogram as hist
 from .ranks import global_rank
 from .sketch import sketch
 
-# How much of each mate of a linked read is sketched, and where the first one starts.
+# Fixed value: where the first mate of a linked read starts, behind barcode and spacer.
 MATE1_START = 24
-MATE1_BASES = 127
-MATE2_BASES = 150
 
 # Share counts up to LOW_SHARE carry no weight in the error score; hashes of a depth
 # below MIN_SCORED_DEPTH are not scored; scores on the wrong side of SCORE_CUT are flagged.
@@ -28,17 +26,12 @@ LOW_SHARE = 3
 MIN_SCORED_DEPTH = 5
 SCORE_CUT = 0.00005
 
-# Hashes from which on a barcode counts as heavy: its pairs are counted, not formed.
-HEAVY_BARCODE = 20_000
-
 CRIB_TYPES = ("err", "htA", "htB", "hom", "mul")
 
 
 def linked_read_hits(pairs: DataFrame, spec: HashSpec = LINKED_READ_SPEC) -> DataFrame:
-    """``(barcode, read, hash)`` of both mates of ``pairs(barcode, read, seq1, seq2)``."""
-    inserts = F.array(
-        F.substring("seq1", MATE1_START, MATE1_BASES), F.substring("seq2", 1, MATE2_BASES)
-    )
+    """``(barcode, read, hash)`` of both whole mates of ``pairs(barcode, read, seq1, seq2)``."""
+    inserts = F.array(F.expr(f"substring(seq1, {MATE1_START})"), F.col("seq2"))
     mates = pairs.select("barcode", "read", F.explode(inserts).alias("seq"))
     return sketch(mates, ["barcode", "read"], "seq", spec).select("barcode", "read", "hash")
 
@@ -128,7 +121,7 @@ def neighbours(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFra
     """``(x, hash, share)``: how many barcodes each target ``x`` shares with each ranged hash.
 
     For a list of hashes asked about: ``targets(x)`` drives the join, so the work is the rows of the
-    barcodes that carry a target, combined map-side per ``(x, hash)``. For many targets use
+    barcodes that carry a target, combined map-side per ``(x, hash)``. For share counts alone use
     :func:`share_histogram`.
     """
     carriers = inc.join(targets.select(F.col("x").alias("hash")).distinct(), "hash", "left_semi")
@@ -147,69 +140,17 @@ def share_counts(near: DataFrame) -> DataFrame:
     return near.groupBy("x", "share").agg(F.count("*").alias("n"))
 
 
-def share_histogram(
-    inc: DataFrame, ranged: DataFrame, targets: DataFrame, heavy: int = HEAVY_BARCODE
-) -> DataFrame:
+def share_histogram(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFrame:
     """``(x, share, n)``: number of ranged hashes sharing ``share`` barcodes with each target ``x``.
 
-    Fit for any number of targets. Pairs are formed within barcodes of at most ``heavy`` hashes only.
-    For the few larger ones, hashes with the same set of heavy barcodes (a *profile*) form a class, and
-    what a target shares through them follows from the class sizes: add the whole classes, and for
-    each pair already met in a light barcode move one count to its true place.
+    Both sides are cut to their hashes before they meet within barcodes, so that the pairs formed are those
+    asked for; a depth range bounds them by the range times the rows of the targets.
     """
-    sized = inc.groupBy("barcode").agg(F.count("*").alias("n_hash"))
-    large = sized.where(F.col("n_hash") > heavy).select("barcode")
-    if not large.head(1):
-        return share_counts(neighbours(inc, ranged, targets))
-    light = inc.join(large, "barcode", "left_anti").select("barcode", "hash")
-    ranged = ranged.select("hash").distinct()
-    wanted = targets.select(F.col("x").alias("hash")).distinct()
-
-    profiles = (
-        inc.join(large, "barcode")
-        .groupBy("hash")
-        .agg(F.sort_array(F.collect_list("barcode")).alias("profile"))
-    )
-    met = (
-        light.join(wanted, "hash", "left_semi").select(F.col("hash").alias("x"), "barcode")
-        .join(light.join(ranged, "hash", "left_semi"), "barcode")
-        .where(F.col("x") != F.col("hash"))
-        .groupBy("x", "hash")
-        .agg(F.count("*").alias("light"))
-    )
-    profile_of_x = profiles.select(F.col("hash").alias("x"), F.col("profile").alias("x_profile"))
-    both = F.size(F.array_intersect("profile", "x_profile"))
-    placed = (
-        met.join(profiles, "hash", "left").join(profile_of_x, "x", "left")
-        .select("x", "light", F.when(both > 0, both).otherwise(0).alias("common"))
-    )
-    by_light = placed.select("x", (F.col("light") + F.col("common")).alias("share"), F.lit(1).alias("n"))
-    moved = placed.where("common > 0").select("x", F.col("common").alias("share"), F.lit(-1).alias("n"))
-
-    classes = profiles.join(ranged, "hash", "left_semi").groupBy("profile").agg(
-        F.count("*").alias("members")
-    )
-    x_classes = profiles.join(wanted, "hash", "left_semi").select("profile").distinct()
-    through = classes.select("profile", "members", F.explode("profile").alias("barcode"))
-    reach = (
-        x_classes.select(F.col("profile").alias("x_profile"), F.explode("profile").alias("barcode"))
-        .join(through, "barcode")
-        .groupBy("x_profile", "profile")
-        .agg(F.count("*").alias("share"), F.first("members").alias("members"))
-        .groupBy("x_profile", "share")
-        .agg(F.sum("members").alias("n"))
-    )
-    of_x = profile_of_x.join(wanted.withColumnRenamed("hash", "x"), "x", "left_semi")
-    by_class = of_x.join(reach, "x_profile").select("x", "share", "n")
-    itself = of_x.join(ranged.withColumnRenamed("hash", "x"), "x", "left_semi").select(
-        "x", F.size("x_profile").alias("share"), F.lit(-1).alias("n")
-    )
-    parts = by_light.unionByName(moved).unionByName(by_class).unionByName(itself)
-    return (
-        parts.groupBy("x", F.col("share").cast("bigint").alias("share"))
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > 0)
-    )
+    kept = inc.join(ranged.select("hash").distinct(), "hash", "left_semi").select("barcode", "hash")
+    carriers = inc.join(targets.select(F.col("x").alias("hash")).distinct(), "hash", "left_semi")
+    met = carriers.select(F.col("hash").alias("x"), "barcode").join(kept, "barcode")
+    near = met.where(F.col("x") != F.col("hash")).groupBy("x", "hash").agg(F.count("*").alias("share"))
+    return share_counts(near)
 
 
 def explore(near: DataFrame, samples: int = 7) -> DataFrame:

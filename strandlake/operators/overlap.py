@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ..spec import HashSpec, MAX_DEPTH, SKETCH_SPEC
+from ..spec import HashSpec, SKETCH_SPEC
 from .sketch import sketch
 
 # Shared hits that make an overlap, hits below which a read without overlaps is
@@ -51,17 +51,13 @@ def read_table(reads: DataFrame, all_hits: DataFrame) -> DataFrame:
 
 
 def hit_depths(hits: DataFrame) -> DataFrame:
-    """``(hash, depth)``: occurrences in the reads, saturating."""
-    return hits.groupBy("hash").agg(
-        F.least(F.count("*"), F.lit(MAX_DEPTH)).cast("int").alias("depth")
-    )
+    """``(hash, depth)``: occurrences in the reads."""
+    return hits.groupBy("hash").agg(F.count("*").alias("depth"))
 
 
 def single_copy_hits(hits: DataFrame) -> DataFrame:
-    """Hits that take part in overlaps: copy class 1 and a depth short of saturation."""
-    single = hits.where(F.col("copy") == 1)
-    usable = hit_depths(single).where(F.col("depth") < MAX_DEPTH).select("hash")
-    return single.join(usable, "hash", "left_semi")
+    """Hits that take part in overlaps: copy class 1."""
+    return hits.where(F.col("copy") == 1)
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -438,13 +434,17 @@ def assembly_summary(pooled: DataFrame) -> DataFrame:
     return pooled.agg(F.count("*").alias("n_hash"), F.avg("count").alias("mean_count"))
 
 
-def support_table(pooled: DataFrame, depths: DataFrame, top: int = 19) -> DataFrame:
-    """``(count, depth, decile, n)`` of pooled single-copy hashes; both counts stop at ``top``."""
+def support_table(pooled: DataFrame, depths: DataFrame, top: int | None = None) -> DataFrame:
+    """``(count, depth, decile, n)`` of pooled single-copy hashes.
+
+    ``top`` lets both counts stop there, for parity with printed tables of that size.
+    """
     single = pooled.where(F.col("copy") == 1).join(depths, "hash")
-    limit = F.lit(top)
     decile = F.floor((10 * F.col("count") - 1) / F.col("depth"))
-    return single.groupBy(
-        F.least("count", limit).cast("int").alias("count"),
-        F.least("depth", limit).cast("int").alias("depth"),
-        decile.cast("int").alias("decile"),
-    ).agg(F.count("*").alias("n"))
+
+    def shown(name: str) -> Column:
+        return (F.col(name) if top is None else F.least(name, F.lit(top))).cast("bigint").alias(name)
+
+    return single.groupBy(shown("count"), shown("depth"), decile.cast("int").alias("decile")).agg(
+        F.count("*").alias("n")
+    )

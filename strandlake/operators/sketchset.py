@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import dna_text
-from ..spec import HashSpec, MAX_DEPTH, SKETCH_SPEC
+from ..spec import HashSpec, SKETCH_SPEC
 from .histogram import histogram
 from .sketch import sketch
 
@@ -19,14 +19,10 @@ SPACER_BASES = 7
 LINKED_PREFIX = BARCODE_BASES + SPACER_BASES
 
 
-def saturated(total: Column) -> Column:
-    return F.least(total, F.lit(MAX_DEPTH).cast("bigint")).cast("int")
-
-
 def count_hits(hits: DataFrame) -> DataFrame:
     """Sketch set of a hit table; the count is combined map-side, so a hot hash costs one row per task."""
     return hits.groupBy("hash").agg(
-        saturated(F.count("*")).alias("depth"), F.lit(0).cast("tinyint").alias("copy")
+        F.count("*").alias("depth"), F.lit(0).cast("tinyint").alias("copy")
     )
 
 
@@ -92,9 +88,9 @@ def merge(
     specs: Sequence[HashSpec] = (SKETCH_SPEC,),
     copy_mode: str = "additive",
 ) -> DataFrame:
-    """Union with added depths and copy classes, both saturating.
+    """Union with added depths and copy classes; classes stop at 3.
 
-    ``copy_mode="compat"`` ORs the left class with the saturated sum instead of replacing it.
+    ``copy_mode="compat"`` ORs the left class with the sum, up to 3, instead of replacing it.
     """
     _check(specs)
     if copy_mode not in ("additive", "compat"):
@@ -107,7 +103,7 @@ def merge(
     if copy_mode == "compat":
         copy = copy.bitwiseOR(F.sum(F.when(F.col("is_left"), F.col("copy")).otherwise(0)))
     return both.groupBy("hash").agg(
-        saturated(F.sum("depth")).alias("depth"), copy.cast("tinyint").alias("copy")
+        F.sum(F.col("depth").cast("bigint")).alias("depth"), copy.cast("tinyint").alias("copy")
     )
 
 
@@ -118,7 +114,7 @@ def merge_all(
     _check(specs)
     rows = reduce(DataFrame.unionByName, [s.select("hash", "depth", "copy") for s in sets])
     return rows.groupBy("hash").agg(
-        saturated(F.sum("depth")).alias("depth"),
+        F.sum(F.col("depth").cast("bigint")).alias("depth"),
         F.least(F.sum("copy"), F.lit(3)).cast("tinyint").alias("copy"),
     )
 

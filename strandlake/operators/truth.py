@@ -81,11 +81,11 @@ def build_crib(depths: DataFrame, genome_a: DataFrame, genome_b: DataFrame) -> D
     )
 
 
-def crib_table(crib: DataFrame, max_depth: int = 255) -> DataFrame:
-    """Hashes per depth (1 to ``max_depth``) and class; both heterozygous classes count as one."""
+def crib_table(crib: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Hashes per depth and class, up to ``max_depth`` if given; both heterozygous classes count as one."""
     kind = F.col("type")
     return (
-        crib.where(F.col("depth").between(1, max_depth))
+        (crib if max_depth is None else crib.where(F.col("depth") <= max_depth))
         .groupBy("depth")
         .agg(
             F.count_if(kind == "err").alias("err"),

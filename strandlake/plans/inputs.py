@@ -16,7 +16,8 @@ from ..session import cut_lineage
 COPY_LEVELS = (2, 50, 100)
 CODE_FACTOR = 2654435761
 PART_RANGE = (10, 60)
-READ_SET_MAX = 120
+#: Depths of suppliers that are scored for errors.
+SUPPLIER_RANGE = (500, 650)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +56,7 @@ def language_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     counted = cut_lineage(
         sketch(documents(spark, sf_dir, "lang"), ["lang"])
         .groupBy("lang", "hash")
-        .agg(sketchset.saturated(F.count("*")).alias("depth"), F.lit(0).cast("tinyint").alias("copy"))
+        .agg(F.count("*").alias("depth"), F.lit(0).cast("tinyint").alias("copy"))
     )
     return {
         lang: sketchset.set_copy(counted.where(F.col("lang") == lang).drop("lang"), *COPY_LEVELS)
@@ -66,7 +67,7 @@ def language_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def readset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read table, known hits and sketch set of the documents; the hits are written once."""
     reads = documents(spark, sf_dir)
-    chosen = cut_lineage(sketchset.prune(classed_set(spark, sf_dir), 1, READ_SET_MAX))
+    chosen = cut_lineage(classed_set(spark, sf_dir))
     every = cut_lineage(overlap.read_hits(reads, chosen))
     return overlap.read_table(reads, every), overlap.known_hits(every), chosen
 

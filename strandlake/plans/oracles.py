@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..spec import LINKED_READ_SPEC, SKETCH_SPEC, HashSpec
-from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, READ_SET_MAX
+from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SUPPLIER_RANGE
 
 ORACLES: dict[str, str] = {}
 
@@ -77,7 +77,7 @@ def hits(source: str, name: str = "hits", spec: HashSpec = SKETCH_SPEC) -> str:
 DOCS = f"SELECT doc_id AS sid, {dna('text')} AS dna FROM documents"
 DOC_HITS = hits(DOCS)
 REF_HITS = hits(f"SELECT item_id AS sid, {dna('text')} AS dna FROM benchmark", "ref")
-COUNTS = "counts AS (SELECT hash, least(count(*), 65535) AS depth FROM hits GROUP BY hash)"
+COUNTS = "counts AS (SELECT hash, count(*) AS depth FROM hits GROUP BY hash)"
 
 
 def copy_case(depth: str = "depth") -> str:
@@ -112,23 +112,23 @@ add(
 )
 LANGS = ("de", "en", "es", "fr")
 LANG_SETS = (
-    f"{DOC_HITS},\nlang_sets AS (SELECT lang, hash, least(count(*), 65535) AS depth, "
-    f"{copy_case('least(count(*), 65535)')} AS copy FROM hits JOIN documents ON sid = doc_id GROUP BY lang, hash)"
+    f"{DOC_HITS},\nlang_sets AS (SELECT lang, hash, count(*) AS depth, "
+    f"{copy_case('count(*)')} AS copy FROM hits JOIN documents ON sid = doc_id GROUP BY lang, hash)"
 )
 add(
     "sketch_merge", LANG_SETS,
-    "SELECT hash, least(sum(depth), 65535) AS depth, least(sum(copy), 3) AS copy FROM lang_sets "
+    "SELECT hash, sum(depth) AS depth, least(sum(copy), 3) AS copy FROM lang_sets "
     "WHERE lang IN ('en', 'fr') GROUP BY hash",
 )
 add(
     "sketch_merge_compat", LANG_SETS,
-    "SELECT hash, least(sum(depth), 65535) AS depth, (least(sum(copy), 3)::INT "
+    "SELECT hash, sum(depth) AS depth, (least(sum(copy), 3)::INT "
     "| coalesce(max(copy) FILTER (lang = 'en'), 0)::INT) AS copy FROM lang_sets "
     "WHERE lang IN ('en', 'fr') GROUP BY hash",
 )
 add(
     "sketch_merge_all", LANG_SETS,
-    "SELECT hash, least(sum(depth), 65535) AS depth, least(sum(copy), 3) AS copy FROM lang_sets GROUP BY hash",
+    "SELECT hash, sum(depth) AS depth, least(sum(copy), 3) AS copy FROM lang_sets GROUP BY hash",
 )
 add(
     "sketch_summary",
@@ -272,8 +272,8 @@ add(
 CONV = f"SELECT conv_id AS barcode, turn AS read, {dna('text')} AS seq FROM conversations"
 MATES = (
     "SELECT row_number() OVER () AS sid, barcode, read, dna FROM ("
-    f"SELECT barcode, read, substr(seq, 24, 127) AS dna FROM ({CONV}) "
-    f"UNION ALL SELECT barcode, read, substr({complement('seq')}, 1, 150) FROM ({CONV}))"
+    f"SELECT barcode, read, substr(seq, 24) AS dna FROM ({CONV}) "
+    f"UNION ALL SELECT barcode, read, {complement('seq')} FROM ({CONV}))"
 )
 add(
     "linked_read_incidence",
@@ -401,7 +401,8 @@ add(
     "SELECT depth, x, share, n FROM topless JOIN targets USING (x)",
 )
 SCORES = (
-    f"{ORDER_SUPPLIERS},\nranged AS (SELECT hash FROM depths),\n{neighbours('SELECT hash AS x FROM depths')},\n{TOPLESS},\n"
+    f"{ORDER_SUPPLIERS},\nranged AS (SELECT hash FROM depths WHERE depth >= {SUPPLIER_RANGE[0]} AND depth < {SUPPLIER_RANGE[1]}),\n"
+    f"{neighbours('SELECT hash AS x FROM ranged')},\n{TOPLESS},\n"
     "folded AS (SELECT x, max(share) AS max_share, sum(n) AS n, "
     "sum(CASE WHEN share > 3 THEN n * (share - 3) * (share - 3) ELSE 0 END) AS weight FROM topless GROUP BY x),\n"
     "scored AS (SELECT d.hash AS x, d.depth, max_share, CASE WHEN d.depth >= 5 AND max_share > 3 THEN "
@@ -443,7 +444,7 @@ add(
 add(
     "crib_table", CRIB,
     "SELECT depth, count(*) FILTER (type = 'err') AS err, count(*) FILTER (type IN ('htA', 'htB')) AS het, "
-    "count(*) FILTER (type = 'hom') AS hom, count(*) FILTER (type = 'mul') AS mul FROM crib WHERE depth BETWEEN 1 AND 255 GROUP BY depth",
+    "count(*) FILTER (type = 'hom') AS hom, count(*) FILTER (type = 'mul') AS mul FROM crib GROUP BY depth",
 )
 add(
     "crib_stats", CRIB,
@@ -476,11 +477,11 @@ def clusters(start: int = 1, only: str = "true") -> str:
         "chain AS (SELECT barcode, i, best AS root FROM joins j WHERE NOT EXISTS (SELECT 1 FROM joins p "
         "WHERE p.barcode = j.barcode AND p.i = j.best) UNION ALL SELECT j.barcode, j.i, c.root FROM joins j "
         "JOIN chain c ON c.barcode = j.barcode AND c.i = j.best),\n"
-        "roots AS (SELECT barcode, root, row_number() OVER (PARTITION BY barcode ORDER BY min(i)) AS raw, "
-        "count(*) OVER (PARTITION BY barcode) AS n_roots FROM (SELECT j.barcode, j.i, j.best AS root FROM joins j "
+        "roots AS (SELECT barcode, root, row_number() OVER (PARTITION BY barcode ORDER BY min(i)) AS raw "
+        "FROM (SELECT j.barcode, j.i, j.best AS root FROM joins j "
         "JOIN chain c ON c.barcode = j.barcode AND c.i = j.i AND c.root = j.best) GROUP BY barcode, root),\n"
         "member AS (SELECT barcode, i, root FROM chain UNION SELECT barcode, root, root FROM roots),\n"
-        "raws AS (SELECT m.barcode, m.i, CASE WHEN n_roots > 255 THEN 0 ELSE raw END AS raw FROM member m JOIN roots USING (barcode, root)),\n"
+        "raws AS (SELECT m.barcode, m.i, raw FROM member m JOIN roots USING (barcode, root)),\n"
         "marked AS (SELECT g.*, coalesce(r.raw, 0) AS raw FROM good g LEFT JOIN raws r USING (barcode, i)),\n"
         "edges AS (SELECT DISTINCT a.barcode, a.raw AS a, b.raw AS b FROM marked a JOIN marked b ON a.barcode = b.barcode "
         "AND a.read = b.read WHERE a.raw > 0 AND b.raw > 0),\n"
@@ -647,7 +648,7 @@ for _name, _support in (("query_chains", "n1"), ("query_chains_compat", "CASE WH
 
 READS = (
     f"{CLASSED},\n"
-    f"kept AS (SELECT * FROM classed WHERE depth < {READ_SET_MAX}),\n"
+    "kept AS (SELECT * FROM classed),\n"
     "every AS (SELECT sid AS read_id, ord, pos, hash, is_fwd, copy FROM hits LEFT JOIN kept USING (hash)),\n"
     "rh AS (SELECT * FROM every WHERE copy IS NOT NULL),\n"
     "single AS (SELECT * FROM rh WHERE copy = 1),\n"
@@ -744,7 +745,7 @@ add(
 )
 add(
     "overlap_hit_pairs",
-    f"{CONTAINED},\nread_depths AS (SELECT hash, least(count(*), 65535) AS depth FROM rh GROUP BY hash)",
+    f"{CONTAINED},\nread_depths AS (SELECT hash, count(*) AS depth FROM rh GROUP BY hash)",
     "SELECT c.read_id AS x, c.contained_in AS y, a.hash, depth, CASE WHEN a.is_fwd = b.is_fwd THEN '+' ELSE '-' END AS strand, "
     "a.pos AS x_pos, CASE WHEN a.is_fwd THEN 'F' ELSE 'R' END AS x_strand, b.pos AS y_pos, "
     "CASE WHEN b.is_fwd THEN 'F' ELSE 'R' END AS y_strand FROM contained c JOIN single a ON a.read_id = c.read_id "
@@ -775,7 +776,7 @@ add(
     recursive=True,
 )
 add(
-    "copy_class_stats", f"{READS},\nread_depths AS (SELECT hash, least(count(*), 65535) AS depth FROM rh GROUP BY hash)",
+    "copy_class_stats", f"{READS},\nread_depths AS (SELECT hash, count(*) AS depth FROM rh GROUP BY hash)",
     "SELECT copy, count(*) AS n_hash, round(count(*) FILTER (d.depth > 0)::DOUBLE / count(*), 6) AS frac_hit, "
     "round(count(*) FILTER (d.depth > 1)::DOUBLE / count(*), 6) AS frac_hit2, round(avg(d.depth) FILTER (d.depth > 1), 6) AS avg_depth2 "
     "FROM kept c LEFT JOIN read_depths d USING (hash) GROUP BY copy",
@@ -794,12 +795,13 @@ add(
 )
 add(
     "read_hit_gaps", READS,
-    "SELECT read_id, ord, pos, (pos - coalesce(lag(pos) OVER (PARTITION BY read_id ORDER BY ord), 0)) % 65536 AS dx FROM rh",
+    "SELECT read_id, ord, pos, (pos - coalesce(lag(pos) OVER (PARTITION BY read_id ORDER BY ord), 0)) AS dx FROM rh",
 )
+add("read_hit_positions", READS, "SELECT read_id, ord, pos FROM rh")
 add("assembly_hits", ASSEMBLY, "SELECT * FROM pooled")
 add(
-    "assembly_support", f"{ASSEMBLY},\nread_depths AS (SELECT hash, least(count(*), 65535) AS depth FROM rh GROUP BY hash)",
-    "SELECT least(count, 19) AS count, least(depth, 19) AS depth, (10 * count - 1) // depth AS decile, count(*) AS n "
+    "assembly_support", f"{ASSEMBLY},\nread_depths AS (SELECT hash, count(*) AS depth FROM rh GROUP BY hash)",
+    "SELECT count, depth, (10 * count - 1) // depth AS decile, count(*) AS n "
     "FROM pooled JOIN read_depths USING (hash) WHERE copy = 1 GROUP BY 1, 2, 3",
 )
 add(

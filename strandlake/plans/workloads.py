@@ -309,9 +309,8 @@ def share_scan(spark, sf):
 def _error_scores(spark, sf):
     inc = cut_lineage(inputs.order_supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
-    everyone = depths.select(F.col("hash").alias("x"))
-    ranged = incidence.in_range(depths, [(1, 1 << 40)])
-    shares = incidence.share_histogram(inc, ranged, everyone)
+    ranged = incidence.in_range(depths, [inputs.SUPPLIER_RANGE])
+    shares = incidence.share_histogram(inc, ranged, ranged.select(F.col("hash").alias("x")))
     scores = incidence.error_scores(shares, depths)
     return incidence.flag_errors(scores, inputs.supplier_crib(spark, sf))
 
@@ -572,7 +571,14 @@ def readset_stats(spark, sf):
 @query
 def read_hit_gaps(spark, sf):
     _, hits, _ = inputs.readset(spark, sf)
-    return overlap.with_gaps(hits, wrap=True).select("read_id", "ord", "pos", "dx")
+    return overlap.with_gaps(hits).select("read_id", "ord", "pos", "dx")
+
+
+@query
+def read_hit_positions(spark, sf):
+    """Positions restored from gaps."""
+    _, hits, _ = inputs.readset(spark, sf)
+    return overlap.positions_from_gaps(overlap.with_gaps(hits).drop("pos")).select("read_id", "ord", "pos")
 
 
 @query

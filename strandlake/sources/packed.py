@@ -83,9 +83,15 @@ class _Reader(DataSourceReader):
                 )
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    attempt: str
+    final: str
+
+
 class _Writer(DataSourceArrowWriter):
-    """One file per task, named by write and partition: a retried task replaces its own output, and a
-    later write to the same folder adds to it."""
+    """One file per task. An attempt writes a hidden file of its own; files get their names when the whole
+    write commits, and a later write to the same folder adds to it."""
 
     def __init__(self, path: str):
         self.path, self.run = path, uuid.uuid4().hex
@@ -93,15 +99,28 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = _file_system(self.path)
         system.create_dir(root, recursive=True)
-        name = f"{root}/part-{self.run}-{TaskContext.get().partitionId():05d}.pairs"
-        with system.open_output_stream(name) as out:
+        task = TaskContext.get()
+        final = f"part-{self.run}-{task.partitionId():05d}.pairs"
+        attempt = f"{root}/.{final}.{task.taskAttemptId()}"
+        with system.open_output_stream(attempt) as out:
             for batch in iterator:
-                for record in batch.column(batch.schema.get_field_index("record")):
-                    data = record.as_py()
-                    if len(data) != RECORD_BYTES:
-                        raise ValueError("a record must have 120 bytes")
-                    out.write(data)
-        return WriterCommitMessage()
+                # the cast demands that every record has its size, and then the batch is one buffer
+                records = batch.column(batch.schema.get_field_index("record")).cast(pa.binary(RECORD_BYTES))
+                start = records.offset * RECORD_BYTES
+                out.write(records.buffers()[1][start:start + len(records) * RECORD_BYTES])
+        return _Written(attempt, f"{root}/{final}")
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = _file_system(self.path)
+        for message in messages:
+            if message is not None:
+                system.move(message.attempt, message.final)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = _file_system(self.path)
+        for message in messages:
+            if message is not None:
+                system.delete_file(message.attempt)
 
 
 class PackedPairs(DataSource):
@@ -121,9 +140,12 @@ class PackedPairs(DataSource):
         return _Writer(self.options["path"])
 
 
-def read_packed_pairs(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
+def read_packed_pairs(
+    spark: SparkSession, path: str, limit: int = 0, lengths: tuple[int, int] | None = None
+) -> DataFrame:
     """``(barcode, read, seq1, qual1, seq2, qual2)``; ``limit`` keeps the first records of the file.
 
+    Records do not tell how long a read was and fill its place with A; ``lengths`` of both mates cut that off.
     The read number is the record number, unique over the file; rows of a barcode need not be adjacent.
     """
     spark.dataSource.register(PackedPairs)
@@ -131,7 +153,11 @@ def read_packed_pairs(spark: SparkSession, path: str, limit: int = 0) -> DataFra
     if limit:
         rows = rows.where(F.col("ordinal") < limit)
     unpacked = rows.select(F.col("ordinal").alias("read"), unpack_pair(F.col("record")).alias("p"))
-    return unpacked.select("p.barcode", "read", "p.seq1", "p.qual1", "p.seq2", "p.qual2")
+    pairs = unpacked.select("p.barcode", "read", "p.seq1", "p.qual1", "p.seq2", "p.qual2")
+    if lengths:
+        cut = {f"{kind}{mate}": F.substring(f"{kind}{mate}", 1, lengths[mate - 1]) for kind in ("seq", "qual") for mate in (1, 2)}
+        pairs = pairs.withColumns(cut)
+    return pairs
 
 
 def write_packed_pairs(pairs: DataFrame, path: str, record: str = "record") -> None:

@@ -115,11 +115,21 @@ def phred(qual: Column) -> Column:
     return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - QUALITY_ZERO)
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA or FASTQ, whichever ``path`` holds, without qualities."""
-    if sniff(spark, path) == "fasta":
-        return read_fasta(spark, path)
-    return read_fastq(spark, path).drop("qual")
+def read_sequences(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """FASTA or FASTQ, whichever each of ``paths`` holds, without qualities.
+
+    Record numbers run on over all files: first over those in FASTA, then over those in FASTQ.
+    """
+    kinds: dict[str, list[str]] = {"fasta": [], "fastq": []}
+    for path in [paths] if isinstance(paths, str) else paths:
+        kinds[sniff(spark, path)].append(path)
+    fasta = read_fasta(spark, kinds["fasta"]) if kinds["fasta"] else None
+    fastq = read_fastq(spark, kinds["fastq"]).drop("qual") if kinds["fastq"] else None
+    if fasta is None or fastq is None:
+        return fastq if fasta is None else fasta
+    last = fasta.agg(F.coalesce(F.max("seq_id"), F.lit(0)).alias("last"))
+    moved = fastq.crossJoin(F.broadcast(last)).withColumn("seq_id", F.col("seq_id") + F.col("last"))
+    return fasta.unionByName(moved.drop("last"))
 
 
 def _wrapped(column: str) -> Column:

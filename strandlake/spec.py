@@ -11,9 +11,6 @@ DEFAULT_K = 19
 DEFAULT_W = 31
 LINKED_READ_K = 21
 
-# Fixed value: counts in a sketch set saturate here.
-MAX_DEPTH = 65535
-
 
 @dataclass(frozen=True)
 class HashSpec:

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sketch import sketch
-from ..operators.sketchset import count_sequences, saturated
+from ..operators.sketchset import count_sequences
 from ..spec import HashSpec, SKETCH_SPEC
 
 
 def running_counts(stream: DataFrame, seq: str = "seq", spec: HashSpec = SKETCH_SPEC) -> DataFrame:
     """Streaming ``(hash, depth)``; run it in update or complete mode. Counts live in the state store."""
-    return sketch(stream, [], seq, spec).groupBy("hash").agg(
-        saturated(F.count("*")).alias("depth")
-    )
+    return sketch(stream, [], seq, spec).groupBy("hash").agg(F.count("*").alias("depth"))
 
 
 def start_accumulating(
@@ -40,6 +38,6 @@ def start_accumulating(
 def load_accumulated(spark: SparkSession, path: str) -> DataFrame:
     """The sketch set of everything accumulated so far."""
     return spark.read.parquet(path).groupBy("hash").agg(
-        saturated(F.sum("depth")).alias("depth"),
+        F.sum(F.col("depth").cast("bigint")).alias("depth"),
         F.least(F.sum("copy"), F.lit(3)).cast("tinyint").alias("copy"),
     )

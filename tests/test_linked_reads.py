@@ -137,30 +137,12 @@ def test_clusters_match_plain_loops(spark, start):
     assert {r["barcode"] for r in some} == set(range(3, 9))
 
 
-def test_common_hashes_do_not_change_clusters(spark, monkeypatch):
-    rng = random.Random(17)
-    inc = [(b, h, rng.randrange(9)) for b in range(20) for h in rng.sample(range(40), 15)]
-    inc += [(b, 1000, 0) for b in range(20)]
+def test_more_clusters_than_a_byte_counts(spark):
+    inc = [(0, 10 * k + h, k) for k in range(300) for h in range(4)]
+    inc += [(1 + 6 * k + b, 10 * k + h, h) for k in range(300) for b in range(6) for h in range(4)]
     df = spark.createDataFrame(inc, "barcode bigint, hash bigint, read bigint")
-    before = sorted(map(tuple, cluster.cluster_hashes(df, [(3, 12)], threshold=3).collect()))
-    monkeypatch.setattr(cluster, "HOT_DEPTH", 12)
-    assert sorted(map(tuple, cluster.cluster_hashes(df, [(3, 12)], threshold=3).collect())) == before
-
-
-def test_too_many_clusters_are_given_up(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_CLUSTERS", 1)
-    inc = [(b, h, h) for b in range(10) for h in range(4)] + [(0, 100 + h, h) for h in range(4)]
-    inc += [(b, 100 + h, h) for b in range(20, 29) for h in range(4)]
-    df = spark.createDataFrame(inc, "barcode bigint, hash bigint, read bigint")
-    labels = cluster.cluster_hashes(df, [(2, 50)], threshold=3).where("barcode = 0").collect()
-    assert {r["raw"] for r in labels} == {0} and any(r["share"] for r in labels)
-
-
-def test_oversize_barcodes_have_no_good_hashes(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MAX_CODE_HASHES", 3)
-    df = spark.createDataFrame(
-        [(1, h, h) for h in range(4)] + [(2, h, h) for h in range(3)], "barcode bigint, hash bigint, read bigint")
-    assert {r["barcode"] for r in cluster.good_hashes(df, [(1, 9)]).collect()} == {2}
+    labels = cluster.cluster_hashes(df, [(2, 50)], start=0, codes=(0, 1)).collect()
+    assert {r["raw"] for r in labels} == {r["sub"] for r in labels} == set(range(1, 301))
 
 
 @pytest.fixture(scope="module")
