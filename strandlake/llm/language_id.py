@@ -39,23 +39,61 @@ LEAST_SCORE = 0.5
 _MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TABLE_BITS = 17
+_MIXES = [((i * 0x5851F42D4C957F2D | 1) % 2**64, (i * 0x2545F4914F6CDD1D | 1) % 2**64) for i in range(1, 20)]
 _SMOOTH = 0.1
 _WORDS_AT_ONCE = 20_000
-_REMEMBERED = 400_000
+_REMEMBERED = 700_000
 _COUNTED_AT_ONCE = 300_000
 _CHARS_AT_ONCE = 1 << 21
 
 
 @dataclass
 class Pieces:
-    """The vocabulary as sorted hashes; the last number is the unknown piece."""
+    """The vocabulary as hashes, numbered from 0; the last number is the unknown piece.
+
+    Each hash has one of two places in a table, so that many are looked up at once.
+    """
 
     hashes: np.ndarray
     longest: int
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 1
+    def __post_init__(self):
+        self.size = len(self.hashes) + 1
+        for self.mix in _MIXES:
+            if (owner := self._settled()) is not None:
+                break
+        else:
+            raise ValueError("the pieces have no table")
+        self.table = np.zeros(1 << _TABLE_BITS, np.uint64)
+        self.number = np.full(1 << _TABLE_BITS, self.size - 1)
+        at, piece = (np.array(x, np.int64) for x in (list(owner), list(owner.values())))
+        self.table[at], self.number[at] = self.hashes[piece], piece
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - _TABLE_BITS)
+        first, second = ((hashes * np.uint64(mix)) >> shift for mix in self.mix)
+        return first.astype(np.int64), second.astype(np.int64)
+
+    def _settled(self) -> dict[int, int] | None:
+        """The piece at each place; one that is pushed out goes to its other place."""
+        first, second = (places.tolist() for places in self._places(self.hashes))
+        owner: dict[int, int] = {}
+        for piece, at in enumerate(first):
+            for _ in range(500):
+                owner[at], piece = piece, owner.get(at)
+                if piece is None:
+                    break
+                at = second[piece] if at == first[piece] else first[piece]
+            else:
+                return None
+        return owner
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are pieces, and their numbers."""
+        first, second = self._places(keys)
+        at = np.where(self.table[first] == keys, first, second)
+        return self.table[at] == keys, self.number[at]
 
 
 @dataclass
@@ -102,17 +140,27 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Marked words of a text, cut into blocks."""
-    words = [_MARK + w for w in (text or "").lower().split()]
-    if all(len(w) <= LONGEST for w in words):
+    """Words of a text; the blocks of a long word after its first begin with a new line."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) < LONGEST:
         return words
-    return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    blocks = []
+    for word in words:
+        blocks.append(word[:LONGEST - 1])
+        blocks += ["\n" + word[i:i + LONGEST] for i in range(LONGEST - 1, len(word), LONGEST)]
+    return blocks
+
+
+def marked(word: str) -> str:
+    """What of a word is cut into pieces."""
+    return word[1:] if word[0] == "\n" else _MARK + word
 
 
 class _Lattice:
     """All pieces that fit somewhere in some words, all words at a time."""
 
     def __init__(self, words: list[str], pieces: Pieces):
+        words = [marked(w) for w in words]
         self.size = np.array([len(w) for w in words])
         self.width = int(self.size.max(initial=0))
         prefix = _hash(_codes(words, self.width))
@@ -122,9 +170,7 @@ class _Lattice:
             here = np.flatnonzero(self.size >= end)
             edges, single = [], np.zeros(len(here), bool)
             for length in range(1, min(end, pieces.longest) + 1):
-                key = prefix[here, end] - prefix[here, end - length] * power[length]
-                at = np.searchsorted(pieces.hashes, key)
-                found = pieces.hashes[np.minimum(at, len(pieces.hashes) - 1)] == key
+                found, at = pieces.find(prefix[here, end] - prefix[here, end - length] * power[length])
                 if length == 1:
                     single = found
                 if found.any():
