@@ -120,6 +120,12 @@ def map_summary(spark, args):
     show(_mapped(spark, args)[0], args, "Q")
 
 
+def map_seeds(spark, args):
+    spec, ref = tables.load(spark, "reference", args.index)
+    queries = sequences.read_sequences(spark, args.reads).withColumnRenamed("seq_id", "query_id")
+    show(mapping.seed_places(mapping.query_seeds(queries, mapping.reference_index(ref["ref_hits"]), spec)), args)
+
+
 # ----------------------------------------------------------------------------------- reads
 
 
@@ -175,12 +181,15 @@ def reads_contain(spark, args):
     _, hits = _readset(spark, args)
     found = overlap.mark_contained(spark.read.parquet(args.flagged), overlap.overlaps(hits))
     show(found, args, "MC")
+    show(overlap.containment_summary(found), args)
 
 
 def reads_assemble(spark, args):
     hits, pairs = _of_read(spark, args)
     pooled = overlap.pooled_hits(hits, pairs)
     show(overlap.support_table(pooled, overlap.hit_depths(hits)), args, "AH")
+    show(overlap.assembly_summary(pooled), args)
+    show(overlap.successors(hits, pairs), args)
 
 
 # ---------------------------------------------------------------------------- linked reads
@@ -207,7 +216,7 @@ def linked_pack(spark, args):
 
 def linked_load(spark, args):
     spec = spec_of(args)
-    pairs = packed.read_packed_pairs(spark, args.pairs, args.limit)
+    pairs = packed.read_packed_pairs(spark, args.pairs, args.limit, tuple(args.lengths) if args.lengths else None)
     inc = incidence.build_incidence(incidence.linked_read_hits(pairs, spec))
     codes = incidence.code_table(inc, pairs)
     tables.save("incidence", args.out, spec, inc=inc, codes=codes)
@@ -225,6 +234,33 @@ def linked_stats(spark, args):
     show(histogram.summary(incidence.code_size_histogram(codes)), args, "CODE_SIZE_STATS")
 
 
+def linked_histograms(spark, args):
+    _, inc, codes = _incidence(spark, args)
+    for counted in (incidence.depth_histogram(inc), incidence.code_size_histogram(codes)):
+        show(histogram.cumulative(counted).select("bin", "n", "cum_frac", "cum_mass_frac").orderBy("bin"), args)
+
+
+def linked_classes(spark, args):
+    show(truth.crib_table(spark.read.parquet(args.crib)).orderBy("depth"), args)
+
+
+def linked_class_summary(spark, args):
+    _, inc, codes = _incidence(spark, args)
+    if "parent" not in codes.columns:
+        codes = codes.withColumn("parent", F.lit(None).cast("bigint"))
+    show(truth.crib_summary(inc, spark.read.parquet(args.crib), codes), args)
+
+
+def linked_explore_code(spark, args):
+    _, inc, _ = _incidence(spark, args)
+    found = cluster.explore_code(inc, [tuple(args.range)], spark.read.parquet(args.crib), args.code, args.threshold)
+    for name in ("clusters", "share_histogram", "share"):
+        report = found[name]
+        if "others" in report.columns:
+            report = report.withColumn("others", F.array_join("others", " "))
+        show(report, args)
+
+
 def _near(spark, args):
     _, inc, _ = _incidence(spark, args)
     depths = incidence.hash_depths(inc)
@@ -358,6 +394,7 @@ def parser() -> argparse.ArgumentParser:
     command(g, "index", map_index, "references+", out=True, **hashing())
     command(g, "queries", map_queries, "index", "reads+")
     command(g, "summary", map_summary, "index", "reads+")
+    command(g, "seeds", map_seeds, "index", "reads+")
     g = group("reads")
     command(g, "load", reads_load, "set", "reads", out=True)
     command(g, "stats", reads_stats, "readset")
@@ -370,8 +407,18 @@ def parser() -> argparse.ArgumentParser:
     g = group("linked")
     command(g, "codes", linked_codes, "reads", min={"type": int, "default": barcodes.GOOD_CODE_READS})
     command(g, "pack", linked_pack, "first", "second", out=True, whitelist={"default": None})
-    command(g, "load", linked_load, "pairs", out=True, limit={"type": int, "default": 0}, **hashing(LINKED_READ_K))
+    command(
+        g, "load", linked_load, "pairs", out=True, limit={"type": int, "default": 0},
+        lengths={"type": int, "nargs": 2, "default": None}, **hashing(LINKED_READ_K),
+    )
     command(g, "stats", linked_stats, "incidence")
+    command(g, "histograms", linked_histograms, "incidence")
+    command(g, "classes", linked_classes, "incidence", "crib")
+    command(g, "class-summary", linked_class_summary, "incidence", "crib")
+    command(
+        g, "explore-code", linked_explore_code, "incidence", "crib", range=span, code=number,
+        threshold={"type": int, "default": cluster.DEFAULT_THRESHOLD},
+    )
     command(g, "explore", linked_explore, "incidence", range=span, hashes=numbers)
     command(g, "info", linked_info, "incidence", range=span, hashes=numbers)
     command(g, "shared", linked_shared, "incidence", range=span, hashes=numbers)

@@ -106,50 +106,67 @@ def sampled_hits(seqs: pa.Array, spec: HashSpec) -> pa.Array:
     return _as_lists(rows, n_rows, at - offsets[rows], hashes, is_fwd)
 
 
-def jump_minimizer_positions(hashes: np.ndarray, w: int) -> list[int]:
-    """Indices a jumping minimizer visits: the least hash of the first ``w`` k-mers, then the least
-    of the ``w`` k-mers after each visited one, until a window touches the end.
+def jump_minimizer_positions(hashes: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and indices that jumping minimizers visit, for rows of ``sizes`` hashes laid end to end.
 
-    A last window shorter than ``w`` counts only where it beats the previous hash. Among equal
-    hashes the least index modulo ``w`` wins.
+    A row visits the least hash of its first ``w`` k-mers, then the least of the ``w`` k-mers after each
+    visited one, until a window touches the end. A last window shorter than ``w`` counts only where it
+    beats the previous hash. Among equal hashes the least index modulo ``w`` wins.
+
+    The winner of the window at every index is found at once, by windows of doubling length; then all rows
+    walk from window to window together.
     """
-    n = len(hashes)
-    visited: list[int] = []
-    start = 0
-    while start < n:
-        window = hashes[start:start + w]
-        least = window.min()
-        if visited and len(window) < w and least >= hashes[visited[-1]]:
-            break
-        ties = np.flatnonzero(window == least) + start
-        visited.append(int(ties[np.argmin(ties % w)]))
-        if start + w >= n:
-            break
-        start = visited[-1] + 1
-    return visited
+    first = np.cumsum(sizes) - sizes
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    index = np.arange(len(hashes)) - first[row_of]
+    # rows are set apart, so that no window takes a hash of the next row
+    apart = np.arange(len(hashes)) + row_of * w
+    order = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    key = np.full(len(hashes) + len(sizes) * w, np.iinfo(np.int64).max)
+    key[apart] = order * w + index % w
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        key[:-step] = np.minimum(key[:-step], key[step:])
+        size += step
+    winner = index + (key[apart] % w - index) % w
+    start = np.zeros(len(sizes), np.int64)
+    rows = np.flatnonzero(sizes > 0)
+    last = np.full(len(sizes), np.iinfo(np.int64).max)
+    found_rows, found = [], []
+    while len(rows):
+        at = winner[first[rows] + start[rows]]
+        value = order[first[rows] + at]
+        beaten = (start[rows] + w <= sizes[rows]) | (value < last[rows])
+        rows, at, value = rows[beaten], at[beaten], value[beaten]
+        found_rows.append(rows)
+        found.append(at)
+        last[rows] = value
+        more = start[rows] + w < sizes[rows]
+        start[rows] = at + 1
+        rows = rows[more]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found_rows, found = np.concatenate(found_rows), np.concatenate(found)
+    by_row = np.argsort(found_rows, kind="stable")
+    return found_rows[by_row], found[by_row]
 
 
 def minimizer_hits(seqs: pa.Array, spec: HashSpec) -> pa.Array:
     """For each row the k-mers that the jumping minimizer visits."""
     bases, offsets = _row_bases(seqs)
-    rows, pos, hashes, is_fwd = [], [], [], []
-    for row in range(len(offsets) - 1):
-        own = bases[offsets[row]:offsets[row + 1]]
-        if len(own) < spec.k:
-            continue
-        row_hashes, row_fwd = strand_hashes(own, spec)
-        at = np.array(jump_minimizer_positions(row_hashes, spec.w))
-        rows.append(np.full(len(at), row))
-        pos.append(at)
-        hashes.append(row_hashes[at])
-        is_fwd.append(row_fwd[at])
-    if not rows:
+    n_rows = len(offsets) - 1
+    sizes = np.maximum(np.diff(offsets) - spec.k + 1, 0)
+    if not sizes.sum():
         empty = np.zeros(0, np.int64)
-        return _as_lists(empty, len(offsets) - 1, empty, empty, np.zeros(0, bool))
-    return _as_lists(
-        np.concatenate(rows), len(offsets) - 1, np.concatenate(pos),
-        np.concatenate(hashes), np.concatenate(is_fwd),
-    )
+        return _as_lists(empty, n_rows, empty, empty, np.zeros(0, bool))
+    hashes, is_fwd = strand_hashes(bases, spec)
+    first = np.cumsum(sizes) - sizes
+    inside = np.repeat(offsets[:-1] - first, sizes) + np.arange(sizes.sum())
+    hashes, is_fwd = hashes[inside], is_fwd[inside]
+    rows, at = jump_minimizer_positions(hashes, sizes, spec.w)
+    where = first[rows] + at
+    return _as_lists(rows, n_rows, at, hashes[where], is_fwd[where])
 
 
 def sketch_udf(spec: HashSpec):

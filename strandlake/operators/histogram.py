@@ -1,7 +1,8 @@
 """Histograms with cumulative fractions and percentile summaries.
 
 A histogram of depths or sizes has at most sqrt(2 * mass) distinct bins (distinct bins sum to no
-more than the mass they count), so ordering its bins in one window is safe at any input size.
+more than the mass they count), so ordering its bins in one window is safe at any input size. ``dense`` adds
+empty bins and is for display: sums run over the bins that occur.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 
 def dense(hist: DataFrame) -> DataFrame:
     """Fill empty bins from 0 to the largest with ``n = 0``."""
-    bins = hist.agg(F.max("bin").alias("top")).where("top is not null").select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("bin")
-    )
+    top = hist.agg(F.max("bin")).first()[0]
+    bins = hist.sparkSession.range(0, 0 if top is None else top + 1).toDF("bin")
     return bins.join(hist, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 

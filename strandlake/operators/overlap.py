@@ -194,6 +194,29 @@ def bad_overlap_counts(pairs: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------- quality flags
 
 
+def _judged(state: DataFrame, least_bad: int, flag: str) -> DataFrame:
+    """What each read earns in a pass, from its tallies ``n_seen`` and ``n_bad``."""
+    lonely = F.col("n_seen") == 0
+    hit = F.col("n_bad") >= least_bad
+    if flag != "bad_order10":
+        hit = hit & ~F.col("bad_order10")
+    judged = state.withColumns({
+        "new_no_match": lonely,
+        "new_low_hit": lonely & (F.col("n_hit") < THIN_READ),
+        "new_low_copy1": lonely & (F.col("n_hit") >= THIN_READ) & (F.col("n_copy1") < THIN_READ),
+        "new_flag": hit,
+    })
+    now = F.col("bad_repeat") | F.col("new_no_match") | F.col("new_flag")
+    return judged.withColumn("was_now", F.col("bad_now")).withColumn("bad_now", now)
+
+
+def _tally(links: DataFrame, sign: Column | int = 1) -> DataFrame:
+    sign = F.lit(sign) if isinstance(sign, int) else sign
+    return links.groupBy(F.col("x").alias("read_id")).agg(
+        F.sum(sign).alias("seen"), F.sum(F.when(F.col("is_bad"), sign).otherwise(0)).alias("bad_seen")
+    )
+
+
 def _pass(
     state: DataFrame, links: DataFrame, least_bad: int, flag: str, sequential: bool
 ) -> tuple[DataFrame, int]:
@@ -201,49 +224,43 @@ def _pass(
 
     ``state`` carries the flags before the pass; ``links(x, y, is_bad)`` the overlaps. A read looks at
     overlaps with reads that are not bad. In a sequential pass it also sees the flags that smaller read
-    ids earn in the same pass: those are found by repeating the pass until the flags stand still. Flags
+    ids earn in the same pass: those are found by judging until the flags stand still. Flags
     of a read depend on smaller ids only, so the fixed point is unique and is what a scan in id order
-    gives.
+    gives. Tallies are kept: after the first round only overlaps with reads whose flag has just changed are
+    joined, and change them.
     """
-    def judge(seen: DataFrame) -> DataFrame:
-        view = seen.select(F.col("read_id").alias("y"), "bad_before", "bad_now", "bad_repeat")
-        hidden = F.col("bad_before")
-        if sequential:
-            hidden = hidden | (F.col("bad_now") & (F.col("y") < F.col("x")))
-        hidden = hidden | (F.col("bad_repeat") & (F.col("y") == F.col("x")))
-        tally = (
-            links.join(view, "y").where(~hidden).groupBy(F.col("x").alias("read_id"))
-            .agg(F.count("*").alias("n_seen"), F.count_if("is_bad").alias("n_bad"))
-        )
-        judged = seen.join(tally, "read_id", "left").fillna(0, ["n_seen", "n_bad"])
-        lonely = F.col("n_seen") == 0
-        thin = lonely & (F.col("n_hit") < THIN_READ)
-        poor = lonely & (F.col("n_hit") >= THIN_READ) & (F.col("n_copy1") < THIN_READ)
-        hit = F.col("n_bad") >= least_bad
-        if flag != "bad_order10":
-            hit = hit & ~F.col("bad_order10")
-        news = {
-            "new_no_match": lonely, "new_low_hit": thin, "new_low_copy1": poor, "new_flag": hit,
-        }
-        judged = judged.withColumns(news)
-        now = F.col("bad_repeat") | F.col("new_no_match") | F.col("new_flag")
-        return judged.withColumn("was_now", F.col("bad_now")).withColumn("bad_now", now).drop(
-            "n_seen", "n_bad"
-        )
-
     any_bad = F.lit(False)
     for name in FLAGS:
         any_bad = any_bad | F.col(name)
     # The repeat flag is set when a read is first looked at, so the first pass does not know it before.
     before = F.lit(False) if flag == "bad_order10" else any_bad
-    current = state.withColumn("bad_before", before).withColumn("bad_now", F.col("bad_repeat"))
+    view = state.select(F.col("read_id").alias("y"), before.alias("bad_before"), "bad_repeat")
+    hidden = F.col("bad_before") | (F.col("bad_repeat") & (F.col("y") == F.col("x")))
+    open_links = links.join(view, "y").where(~hidden)
+    if sequential:
+        first = open_links.where(~(F.col("bad_repeat") & (F.col("y") < F.col("x"))))
+        later = cut_lineage(open_links.where(F.col("y") < F.col("x")).select("x", "y", "is_bad"))
+    else:
+        first = open_links
+    current = (
+        state.withColumn("bad_now", F.col("bad_repeat"))
+        .join(_tally(first), "read_id", "left").fillna(0, ["seen", "bad_seen"])
+        .withColumnsRenamed({"seen": "n_seen", "bad_seen": "n_bad"})
+    )
     working = list(current.columns)
-    while True:
-        judged = cut_lineage(judge(current.select(*working)))
-        changed = judged.where(F.col("bad_now") != F.col("was_now")).limit(1).count()
-        current = judged
-        if not sequential or not changed:
+    judged = cut_lineage(_judged(current, least_bad, flag))
+    while sequential:
+        flipped = judged.where(F.col("bad_now") != F.col("was_now")).select(
+            F.col("read_id").alias("y"), F.when(F.col("bad_now"), -1).otherwise(1).alias("sign")
+        )
+        if flipped.isEmpty():
             break
+        change = _tally(later.join(flipped, "y"), F.col("sign"))
+        current = judged.select(*working).join(change, "read_id", "left").fillna(0, ["seen", "bad_seen"])
+        current = current.withColumns(
+            {"n_seen": F.col("n_seen") + F.col("seen"), "n_bad": F.col("n_bad") + F.col("bad_seen")}
+        )
+        judged = cut_lineage(_judged(current.select(*working), least_bad, flag))
     n_flagged = judged.where("new_flag").count()
     done = judged.select(
         *[c for c in state.columns if c not in FLAGS],

@@ -94,6 +94,39 @@ def add(name: str, ctes: str, select: str, recursive: bool = False) -> None:
 CLASSED = f"{DOC_HITS},\n{COUNTS},\nclassed AS (SELECT hash, depth, {copy_case()} AS copy FROM counts)"
 
 add("sketch_hits", DOC_HITS, "SELECT sid AS read_id, ord, pos, hash, is_fwd FROM hits")
+
+
+def minimizers(w: int = SKETCH_SPEC.w, doublings: int = 17) -> tuple[str, str]:
+    """CTEs and SELECT of jumping minimizers: the windows of a document that its first one leads to.
+
+    A jump leads from the start of one window to the next; jumps of 2, 4, 8, ... steps come from joining jumps.
+    """
+    residue = 1 << (w - 1).bit_length()
+    ctes = [
+        DOC_HITS,
+        "kmers AS MATERIALIZED (SELECT sid, pos, least(hf, hr) AS hash, hf < hr AS is_fwd, count(*) OVER (PARTITION BY sid) AS n FROM hits_h)",
+        f"windows AS (SELECT sid, pos AS s, n, min(hash * {residue} + pos % {w}) OVER (PARTITION BY sid ORDER BY pos "
+        f"ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS key FROM kmers)",
+        f"nexts AS MATERIALIZED (SELECT sid, s, n, key // {residue} AS hash, s + ((key % {residue} - s) % {w} + {w}) % {w} AS v FROM windows)",
+        "jump_0 AS MATERIALIZED (SELECT a.sid, a.s, b.s AS t FROM nexts a JOIN nexts b ON b.sid = a.sid AND b.s = a.v + 1 "
+        f"WHERE a.s + {w} < a.n AND (b.s + {w} <= a.n OR b.hash < a.hash))",
+    ]
+    for i in range(1, doublings):
+        ctes.append(
+            f"jump_{i} AS MATERIALIZED (SELECT a.sid, a.s, b.t FROM jump_{i - 1} a JOIN jump_{i - 1} b ON b.sid = a.sid AND b.s = a.t)"
+        )
+    reached = "SELECT sid, s FROM nexts WHERE s = 0"
+    for i in reversed(range(doublings)):
+        ctes.append(f"reach_{i} AS MATERIALIZED ({reached})")
+        reached = f"SELECT sid, s FROM reach_{i} UNION ALL SELECT r.sid, j.t FROM reach_{i} r JOIN jump_{i} j ON j.sid = r.sid AND j.s = r.s"
+    ctes.append(f"reached AS ({reached})")
+    return ",\n".join(ctes), (
+        "SELECT sid AS read_id, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS ord, pos, k.hash, is_fwd "
+        "FROM reached JOIN nexts USING (sid, s) JOIN kmers k USING (sid) WHERE k.pos = v"
+    )
+
+
+add("sketch_minimizers", *minimizers())
 add("sketch_depth_histogram", f"{DOC_HITS},\n{COUNTS}", "SELECT depth, count(*) AS n FROM counts GROUP BY depth")
 add(
     "sketch_totals", DOC_HITS,
@@ -348,8 +381,7 @@ _ctes, _select = histogram_stats("SELECT n_hash AS bin FROM codes", skip_zero=Tr
 add("code_size_stats", f"{ORDERS},\n{_ctes}", _select)
 add(
     "hash_depth_histogram",
-    f"{ORDERS},\nhist AS (SELECT b.bin, count(hash) AS n FROM "
-    "(SELECT unnest(range((SELECT max(depth) FROM depths) + 1)) AS bin) b LEFT JOIN depths ON depth = bin GROUP BY b.bin)",
+    f"{ORDERS},\nhist AS (SELECT depth AS bin, count(*) AS n FROM depths GROUP BY depth)",
     "SELECT bin, n, round(sum(n) OVER (ORDER BY bin)::DOUBLE / sum(n) OVER (), 6) AS cum_frac, "
     "round(sum(bin * n) OVER (ORDER BY bin)::DOUBLE / sum(bin * n) OVER (), 6) AS cum_mass_frac FROM hist",
 )

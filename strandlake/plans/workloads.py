@@ -238,7 +238,7 @@ def hash_ids(spark, sf):
 
 @query
 def hash_depth_histogram(spark, sf):
-    hist = histogram.dense(incidence.depth_histogram(inputs.order_incidence(spark, sf)))
+    hist = incidence.depth_histogram(inputs.order_incidence(spark, sf))
     return rounded(
         histogram.cumulative(hist).select("bin", "n", "cum_frac", "cum_mass_frac"),
         "cum_frac", "cum_mass_frac",

@@ -1,13 +1,10 @@
-"""Session settings and the helpers that cut lineage and bound broadcasts."""
+"""Session settings and the helper that cuts lineage."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, app: str = "strandlake", **conf) -> SparkSession:
@@ -20,6 +17,8 @@ def build_session(master: str | None = None, app: str = "strandlake", **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -42,11 +41,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="strandlake-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting: a side above ``max_rows`` is left to a shuffle join.
-
-    The count stops at ``max_rows + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

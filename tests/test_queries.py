@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import connect, rows_of
+from strandlake.plans.oracles import ORACLES
+from strandlake.plans.workloads import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,17 +13,17 @@ def duck(sf):
     return connect(sf)
 
 
-def test_every_query_but_the_minimizers_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"sketch_minimizers"}
+def test_every_query_has_sql():
+    assert set(ORACLES) == set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf, name):
-    result = queries()[name](spark, sf)
+    result = QUERIES[name](spark, sf)
     mine = rows_of(result.columns, [tuple(r) for r in result.collect()])
-    if name in oracle_sql():
-        cursor = duck.execute(oracle_sql()[name])
+    if name in ORACLES:
+        cursor = duck.execute(ORACLES[name])
         assert mine == rows_of([d[0] for d in cursor.description], cursor.fetchall())
 
 

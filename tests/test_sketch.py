@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -109,14 +110,19 @@ def test_minimizers(reads):
         assert got.get(row["id"], []) == want
 
 
+def jumps(*rows, w):
+    row, at = jump_minimizer_positions(np.array([h for r in rows for h in r]), np.array([len(r) for r in rows]), w)
+    return [at[row == i].tolist() for i in range(len(rows))]
+
+
 def test_minimizer_shapes():
     import numpy as np
 
-    assert jump_minimizer_positions(np.array([5]), 3) == [0]
-    assert jump_minimizer_positions(np.array([3, 1, 2]), 3) == [1]
-    assert jump_minimizer_positions(np.array([1, 5, 5, 5, 5]), 3) == [0, 3]
-    assert jump_minimizer_positions(np.array([1, 5, 6, 7, 0]), 4) == [0, 4]
-    assert jump_minimizer_positions(np.array([1, 5, 6, 0, 2]), 4) == [3]
+    assert jumps([5], w=3) == [[0]]
+    assert jumps([3, 1, 2], w=3) == [[1]]
+    assert jumps([1, 5, 5, 5, 5], w=3) == [[0, 3]]
+    assert jumps([1, 5, 6, 7, 0], w=4) == [[0, 4]]
+    assert jumps([1, 5, 6, 0, 2], w=4) == [[3]]
 
 
 def test_spec_limits():
@@ -132,3 +138,9 @@ def test_alphabets(spark):
         encode_kmer(F.lit("ACGTN")),
     ).head()
     assert tuple(row) == ("ACGTN", "ACGTNRY-", "ACGTNNN-", "01230", 0b0001101100)
+
+
+def test_minimizers_of_rows_laid_end_to_end():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 9, n).tolist() for n in (0, 1, 30, 2, 0, 57, 5)]
+    assert jumps(*rows, w=5) == [jumps(r, w=5)[0] if r else [] for r in rows]

@@ -172,3 +172,11 @@ def test_save_and_load(spark, tmp_path):
         tables.save("reference", str(tmp_path / "t"), spec, sketch=made)
     tables.write_report(made, str(tmp_path / "r"), "MH")
     assert all(l.startswith("MH\t") for f in (tmp_path / "r").glob("part*") for l in f.read_text().splitlines())
+
+
+def test_records_have_room_for_160_bases(spark):
+    df = spark.createDataFrame([("A" * 250, "I" * 250, "C" * 100, "I" * 100)], "s1 string, q1 string, s2 string, q2 string")
+    with pytest.raises(Exception, match="room for 160"):
+        df.select(packing.pack_pair("s1", "q1", "s2", "q2")).collect()
+    with pytest.raises(Exception, match="more than 160"):
+        df.select(packing.pack_bases(F.col("s1"), 10)).collect()
