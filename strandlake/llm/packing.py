@@ -111,17 +111,19 @@ def _key_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
         quick = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = {t.content[0] for t in tokenizer.get_added_tokens_decoder().values()}
+
+    packers = [struct.Struct(f"<{n}I").pack for n in range(65)]
 
     def encode(keys: list[str]) -> list[bytes]:
         coded = []
         for key in keys:
             text = key[1:] if key[0] == "\n" else " " + key
-            if quick and max(text) < _NOT_LATIN and not any(map(text.__contains__, special)):
+            if quick and (text.isascii() or max(text) < _NOT_LATIN) and special.isdisjoint(text):
                 ids = quick(text)
             else:
                 ids = tokenizer.encode(text, add_special_tokens=False).ids
-            coded.append(np.array(ids, "<u4").tobytes() if len(ids) > 64 else struct.pack(f"<{len(ids)}I", *ids))
+            coded.append(packers[len(ids)](*ids) if len(ids) < 65 else np.array(ids, "<u4").tobytes())
         return coded
 
     return encode
@@ -137,7 +139,9 @@ def id_encoder(tokenizer) -> Callable[[list[str]], list[bytes]]:
             known.clear()
         cut = [_chunks(text) if text else [] for text in texts]
         new = {key for keys in cut for key in keys} - known.keys()
-        made = {key: parts for key in new if len(parts := _parts(key)) > 1}
+        made = {
+            key: parts for key in new if (key[-1] in ".,\n" or "\n" in key) and len(parts := _parts(key)) > 1
+        }
         plain = new - made.keys() | {part for parts in made.values() for part in parts} - known.keys()
         plain = list(plain)
         known.update(zip(plain, encode_keys(plain), strict=True))
