@@ -13,7 +13,7 @@ goes if a line before it, in order of id and line number, matches it; lines with
 4. ``earliest``: lines that are equal without their word number ``i`` all match each other; a line matches each that
    equals it without some word. So the first line of every such group is offered to its members: an aggregation, in
    which no pairs are formed however large the group.
-5. Offers are verified: the edit distance of both lines' words is found.
+5. Offers are verified on the words of both lines.
 
 Rows that repeat id and text are one document; a null id comes last. Null and empty texts have no lines.
 """
@@ -34,6 +34,8 @@ FILTER_BITS = 26
 _LINES_AT_ONCE = 50_000
 _ROWS_AT_ONCE = 200_000
 _LAST = 2**63 - 1
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_SIZE = 0xA0761D6478BD642F
 
 _PLACE = ["doc_id", "text_key", "line_no"]
 _HASH = ["h1", "h2"]
@@ -63,14 +65,31 @@ def half_hashes(words: list[bytes]) -> list[int]:
     return halves
 
 
-def edit_distance(one: list[str], other: list[str]) -> int:
-    """Insertions, deletions and replacements of words."""
-    row = list(range(len(other) + 1))
-    for i, word in enumerate(one, 1):
-        before, row[0] = row[0], i
-        for j, with_ in enumerate(other, 1):
-            before, row[j] = row[j], min(before + (word != with_), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+def cut_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a line, and then of the line without each of its words, in time that grows with the line.
+
+    A line hashes to the sum of its words' hashes times powers of a base; without a word, the later terms lose one power.
+    """
+    n = len(words)
+    sizes = np.full(n + 1, n - 1, np.uint64)
+    sizes[0] = n
+    hashes = []
+    for seed, base in enumerate(_BASES):
+        own = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in words), np.uint64, n)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+        sums = np.append(np.uint64(0), np.cumsum(own * powers))
+        cuts = sums[:-1] + (sums[-1:] - sums[1:]) * np.uint64(pow(base, -1, 2**64))
+        hashes.append((np.append(sums[-1:], cuts) + sizes * np.uint64(_SIZE)).view(np.int64))
+    return hashes[0], hashes[1]
+
+
+def within_one_edit(one: list[str], other: list[str]) -> bool:
+    """Whether one word inserted, dropped or replaced makes the lines equal, or they are."""
+    least = min(len(one), len(other))
+    same = next((i for i in range(least) if one[i] != other[i]), least)
+    left = least - same
+    back = next((i for i in range(left) if one[-1 - i] != other[-1 - i]), left)
+    return max(len(one), len(other)) - same - back <= 1
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,22 +149,31 @@ def neighbourhoods(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     size = len(bits) * 64
 
     def emit(held):
-        rows = []
+        lines, rows = [], 0
         for digest, (place, words) in held.items():
-            rows.append((digest, -1, digest, place, b" ".join(words)))
-            for i in range(len(words)):
-                rows.append((_pair(b" ".join(words[:i] + words[i + 1:])), i, digest, place, None))
-            if len(rows) >= _ROWS_AT_ONCE:
-                yield batch_of(rows)
-                rows = []
-        if rows:
-            yield batch_of(rows)
-
-    def batch_of(rows):
-        place = pa.array([dict(zip(_PLACE, r[3], strict=True)) for r in rows], kind)
+            lines.append((digest, place, words))
+            rows += len(words) + 1
+            if rows >= _ROWS_AT_ONCE:
+                yield batch_of(lines)
+                lines, rows = [], 0
+        if lines:
+            yield batch_of(lines)
+
+    def batch_of(lines):
+        """For each line a row of its own, then one without each word."""
+        sizes = np.array([len(words) + 1 for _, _, words in lines])
+        line_of = np.repeat(np.arange(len(lines)), sizes)
+        start = np.cumsum(sizes) - sizes
+        cut = np.arange(len(line_of)) - start[line_of] - 1
+        both = [cut_hashes(words) for _, _, words in lines]
+        whole = pa.array([b" ".join(words) for _, _, words in lines], pa.binary())
+        texts = whole.take(pa.array(np.where(cut < 0, line_of, -1), pa.int64(), mask=cut >= 0))
+        places = [np.array([place[i] for _, place, _ in lines], np.int64)[line_of] for i in range(3)]
         return pa.RecordBatch.from_arrays(
-            [*_longs([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), *_longs([r[2] for r in rows]), place,
-             pa.array([r[4] for r in rows], pa.binary())], names=["v1", "v2", "cut", *_HASH, "place", "line"],
+            [*(pa.array(np.concatenate([b[i] for b in both])) for i in (0, 1)), pa.array(cut),
+             *(h.take(pa.array(line_of)) for h in _longs([digest for digest, _, _ in lines])),
+             pa.StructArray.from_arrays([pa.array(x) for x in places], _PLACE), texts],
+            names=["v1", "v2", "cut", *_HASH, "place", "line"],
         )
 
     def search(batches):
@@ -169,7 +197,6 @@ def neighbourhoods(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                         held = {}
         yield from emit(held)
 
-    kind = pa.struct([(name, pa.int64()) for name in _PLACE])
     place = "struct<doc_id:bigint,text_key:bigint,line_no:bigint>"
     rows = map_batches(texts, search, f"v1 bigint, v2 bigint, cut bigint, h1 bigint, h2 bigint, place {place}, line binary")
     # tasks may have met the same line
@@ -195,13 +222,13 @@ def earliest(near: DataFrame) -> DataFrame:
     return before.select(*_HASH, F.col("first.h1").alias("f1"), F.col("first.h2").alias("f2"))
 
 
-def _verified(offers: DataFrame, near: DataFrame, bound: int = 1) -> DataFrame:
-    """``(h1, h2)`` of lines whose offered line is within the bound."""
+def _verified(offers: DataFrame, near: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of lines whose offered line is within one edit."""
 
     def check(batches):
         for batch in batches:
             one, other = (batch.column(i).to_pylist() for i in (2, 3))
-            close = [edit_distance(a.split(), b.split()) <= bound for a, b in zip(one, other, strict=True)]
+            close = [within_one_edit(a.split(), b.split()) for a, b in zip(one, other, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(close, pa.bool_())) for c in batch.columns[:2]], names=_HASH)
 
     lines = near.where("cut < 0").select(*_HASH, "line")

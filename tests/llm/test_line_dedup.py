@@ -88,3 +88,10 @@ def test_clean(spark):
     rows = line_dedup.clean(docs)
     assert rows.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in rows.collect()) == [(1, "a\n\nb"), (2, "c"), (3, None)]
+
+
+def test_within_one_edit():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = (rng.choices("ab", k=rng.randint(0, 5)) for _ in range(2))
+        assert line_dedup.within_one_edit(a, b) == (distance(a, b) <= 1)
