@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..spec import LINKED_READ_SPEC, SKETCH_SPEC, HashSpec
-from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SUPPLIER_RANGE
+from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SECOND_COPY, SUPPLIER_RANGE
 
 ORACLES: dict[str, str] = {}
 
@@ -77,6 +77,9 @@ def hits(source: str, name: str = "hits", spec: HashSpec = SKETCH_SPEC) -> str:
 DOCS = f"SELECT doc_id AS sid, {dna('text')} AS dna FROM documents"
 DOC_HITS = hits(DOCS)
 REF_HITS = hits(f"SELECT item_id AS sid, {dna('text')} AS dna FROM benchmark", "ref")
+TWICE_HITS = hits(
+    f"SELECT item_id + copy AS sid, {dna('text')} AS dna FROM benchmark, (SELECT unnest([0, {SECOND_COPY}]) AS copy)", "ref"
+)
 COUNTS = "counts AS (SELECT hash, count(*) AS depth FROM hits GROUP BY hash)"
 
 
@@ -669,7 +672,7 @@ CHAINS = (
 )
 for _name, _support in (("query_chains", "n1"), ("query_chains_compat", "CASE WHEN is_last THEN n2 ELSE n1 END")):
     add(
-        _name, CHAINS,
+        _name, CHAINS if _name == "query_chains" else CHAINS.replace(REF_HITS, TWICE_HITS),
         "SELECT e.query_id, q0 AS q_start, q9 AS q_end, len, ref AS ref_id, f0 AS ref_start, f9 AS ref_end, n1, n2, "
         "round((n1 + n2)::DOUBLE / nullif(abs(o9 - o0), 0), 6) AS density, round(n1::DOUBLE / nullif(copy1, 0), 6) AS copy1_frac "
         f"FROM judged e JOIN summary s ON s.query_id = e.query_id WHERE {_support} > 2",
