@@ -91,10 +91,10 @@ def deduplicate(
     """The rows of ``docs`` that stay. Only rows that may have a copy are shuffled with their columns."""
     rows, words = _hashed(docs, id_col, text_col, filter_bits)
     keepers = _groups(flag_repeats(rows, words, filter_bits).where("__maybe")).select(
-        F.col(_SHA).alias("__keep_sha"), "keep_id"
+        F.col(_SHA).alias("__keep_sha"), F.col("keep_id").alias("__keep_id")
     )
     flagged = flag_repeats(docs.withColumn(_SHA, text_sha256(F.col(text_col))), words, filter_bits)
     alone = flagged.where("NOT __maybe").drop("__maybe", _SHA)
-    same = (F.col(_SHA) == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("keep_id"))
+    same = (F.col(_SHA) == F.col("__keep_sha")) & F.col(id_col).eqNullSafe(F.col("__keep_id"))
     stay = flagged.where("__maybe").join(keepers, same, "left_semi").dropDuplicates([id_col, _SHA])
     return alone.unionByName(stay.select(*alone.columns))
