@@ -37,7 +37,7 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.5
 
 _MARK = "▁"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some numbers
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 17
 _MIXES = [((i * 0x5851F42D4C957F2D | 1) % 2**64, (i * 0x2545F4914F6CDD1D | 1) % 2**64) for i in range(1, 20)]
@@ -308,7 +308,7 @@ class Scorer:
         return [self._best(text, words) for text, words in zip(texts, cut, strict=True)]
 
     def _best(self, text: str | None, words: list[str]) -> tuple[str, float]:
-        if not text or not _LETTER.search(text):
+        if not text or not any(found[0].isalpha() for found in _LETTER.finditer(text)):
             return UNKNOWN, 0.0
         rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         total = self.scores[rows].sum(axis=0) + self.model.prior

@@ -67,7 +67,7 @@ def test_held_out_accuracy(spark, sf):
 
 def test_odd_rows(spark):
     docs = [(1, "hello there friend", "en", "x"), (2, "bonjour mon ami", "fr", None), (3, None, "en", None), (4, "", None, None),
-            (5, "123 ...", "en", None), (6, "hello " * 40_000, None, None), (None, "ami", None, None), (2, "bonjour", "fr", "y"),
+            (5, "123 ½² Ⅷ ...", "en", None), (6, "hello " * 40_000, None, None), (None, "ami", None, None), (2, "bonjour", "fr", "y"),
             (7, "x" * 100_000, None, None)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, score string")
     model = li.train(table)
