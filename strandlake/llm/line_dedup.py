@@ -6,10 +6,10 @@ goes if a line before it, in order of id and line number, matches it; lines with
 
 1. ``line_rows``: one pass over the texts gives each line's 128-bit hash and four hashes of its halves. Equal lines are
    grouped, so that a common line is one row.
-2. One edit leaves one half as it is. Lines that share no half with another line cannot match one, and need nothing
-   more; the others set bits in a filter of fixed size.
-3. ``neighbourhoods``: a second pass takes the lines that the filter lets through (some too many are harmless) and emits
-   the hash of the line and of the line without each of its words.
+2. One edit leaves one half as it is. Halves that more than one line has set bits in a filter of fixed size, and a
+   second pass takes the lines that it lets through (some too many are harmless). The others match no line.
+3. ``neighbourhoods``: the hash of such a line, and of the line without each of its words. Again only hashes that
+   more than one line has go on, by a filter of fixed size.
 4. ``earliest``: lines that are equal without their word number ``i`` all match each other; a line matches each that
    equals it without some word. So the first line of every such group is offered to its members: an aggregation, in
    which no pairs are formed however large the group.
@@ -32,7 +32,6 @@ from .common import all_salts, map_batches, salt, text_bytes
 MIN_WORDS = 8
 FILTER_BITS = 26
 _LINES_AT_ONCE = 50_000
-_ROWS_AT_ONCE = 200_000
 _LAST = 2**63 - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SIZE = 0xA0761D6478BD642F
@@ -126,58 +125,43 @@ def line_rows(texts: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_bits(lines: DataFrame, filter_bits: int) -> np.ndarray:
-    """A bit for each distinct line that shares a half with another, at a slot of its hash."""
-    halves = lines.where("halves IS NOT NULL").select(*_HASH, F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    # very many lines may share a half
-    shared = shared.select("half", all_salts().alias("salt"))
-    met = halves.withColumn("salt", salt(*_HASH)).join(shared, ["half", "salt"], "left_semi")
-    slot = F.pmod("h1", F.lit(1 << filter_bits))
-    words = met.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("mask")
-    )
+def _shared_bits(hashes: DataFrame, filter_bits: int) -> np.ndarray:
+    """A bit for each value of the only column that more than one row has, at its slot in a filter of fixed size."""
+    value = F.col(hashes.columns[0])
+    shared = hashes.groupBy(value.alias("value")).agg(F.count("*").alias("n")).where("n > 1")
+    words = shared.select(F.pmod("value", F.lit(1 << filter_bits)).alias("slot")).groupBy(
+        F.shiftright("slot", 6).alias("word")
+    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("mask"))
     found = words.toArrow()  # at most 2 ** (filter_bits - 6) rows
     bits = np.zeros(1 << (filter_bits - 6), np.int64)
     bits[found.column("word").to_numpy()] = found.column("mask").to_numpy()
     return bits
 
 
-def neighbourhoods(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(v1, v2, cut, h1, h2, place, line)``: a hash without word ``cut``; ``cut`` -1 is the line, with its words."""
-    shared_bits = texts.sparkSession.sparkContext.broadcast(bits)
-    size = len(bits) * 64
-
-    def emit(held):
-        lines, rows = [], 0
-        for digest, (place, words) in held.items():
-            lines.append((digest, place, words))
-            rows += len(words) + 1
-            if rows >= _ROWS_AT_ONCE:
-                yield batch_of(lines)
-                lines, rows = [], 0
-        if lines:
-            yield batch_of(lines)
-
-    def batch_of(lines):
-        """For each line a row of its own, then one without each word."""
-        sizes = np.array([len(words) + 1 for _, _, words in lines])
-        line_of = np.repeat(np.arange(len(lines)), sizes)
-        start = np.cumsum(sizes) - sizes
-        cut = np.arange(len(line_of)) - start[line_of] - 1
-        both = [cut_hashes(words) for _, _, words in lines]
-        whole = pa.array([b" ".join(words) for _, _, words in lines], pa.binary())
-        texts = whole.take(pa.array(np.where(cut < 0, line_of, -1), pa.int64(), mask=cut >= 0))
-        places = [np.array([place[i] for _, place, _ in lines], np.int64)[line_of] for i in range(3)]
+def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slots = values % (len(bits) * 64)
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+_PLACE_TYPE = "struct<doc_id:bigint,text_key:bigint,line_no:bigint>"
+
+
+def _places(places: list[tuple[int, int, int]]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([p[i] for p in places], pa.int64()) for i in range(3)], _PLACE)
+
+
+def candidate_lines(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(h1, h2, place, line)`` of each distinct line with a half whose bit is set, at its first place."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def batch_of(held):
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(np.concatenate([b[i] for b in both])) for i in (0, 1)), pa.array(cut),
-             *(h.take(pa.array(line_of)) for h in _longs([digest for digest, _, _ in lines])),
-             pa.StructArray.from_arrays([pa.array(x) for x in places], _PLACE), texts],
-            names=["v1", "v2", "cut", *_HASH, "place", "line"],
+            [*_longs(list(held)), _places([place for place, _ in held.values()]),
+             pa.array([line for _, line in held.values()], pa.binary())], names=[*_HASH, "place", "line"],
         )
 
     def search(batches):
-        known = shared_bits.value
+        known = shared.value
         held: dict[bytes, tuple] = {}
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -185,22 +169,61 @@ def neighbourhoods(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                 for line_no, words in enumerate(lines_of(text)):
                     if len(words) < MIN_WORDS:
                         continue
-                    digest = _pair(b" ".join(words))
-                    slot = int.from_bytes(digest[:8], "little", signed=True) % size
-                    if not (int(known[slot >> 6]) >> (slot & 63)) & 1:
-                        continue
-                    place = (doc, key, line_no)
-                    if digest not in held or place < held[digest][0]:
-                        held[digest] = (place, words)
-                    if len(held) >= _LINES_AT_ONCE:
-                        yield from emit(held)
-                        held = {}
-        yield from emit(held)
-
-    place = "struct<doc_id:bigint,text_key:bigint,line_no:bigint>"
-    rows = map_batches(texts, search, f"v1 bigint, v2 bigint, cut bigint, h1 bigint, h2 bigint, place {place}, line binary")
+                    halves = np.array(half_hashes(words), np.uint64).view(np.int64)
+                    if _is_set(known, halves).any():
+                        line, place = b" ".join(words), (doc, key, line_no)
+                        digest = _pair(line)
+                        if digest not in held or place < held[digest][0]:
+                            held[digest] = (place, line)
+                        if len(held) >= _LINES_AT_ONCE:
+                            yield batch_of(held)
+                            held = {}
+        if held:
+            yield batch_of(held)
+
+    rows = map_batches(texts, search, f"h1 bigint, h2 bigint, place {_PLACE_TYPE}, line binary")
     # tasks may have met the same line
-    return rows.groupBy("v1", "v2", "cut", *_HASH).agg(F.min("place").alias("place"), F.max("line").alias("line"))
+    return rows.groupBy(*_HASH).agg(F.min("place").alias("place"), F.max("line").alias("line"))
+
+
+def _variant_keys(batches):
+    for batch in batches:
+        keys = [np.unique(cut_hashes(line.as_py().split())[0]) for line in batch.column(0)]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["v1"])
+
+
+def neighbourhoods(lines: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(v1, v2, cut, h1, h2, place, line)``: a hash without word ``cut``, if its bit is set; ``cut`` -1 is the whole
+    line, with its words."""
+    shared = lines.sparkSession.sparkContext.broadcast(bits)
+
+    def emit(batches):
+        for batch in batches:
+            row, cuts, first, second = [], [], [], []
+            for i, line in enumerate(batch.column(3)):
+                one, other = cut_hashes(line.as_py().split())
+                keep = _is_set(shared.value, one)
+                keep[0] = True
+                some = np.flatnonzero(keep)
+                row.append(np.full(len(some), i))
+                cuts.append(some - 1)
+                first.append(one[some])
+                second.append(other[some])
+            if not row:
+                continue
+            row, cuts = np.concatenate(row), np.concatenate(cuts)
+            taken = pa.array(row)
+            texts = batch.column(3).take(pa.array(row, pa.int64(), mask=cuts >= 0))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), pa.array(cuts),
+                 *(batch.column(j).take(taken) for j in range(3)), texts],
+                names=["v1", "v2", "cut", *_HASH, "place", "line"],
+            )
+
+    return map_batches(
+        lines, emit, f"v1 bigint, v2 bigint, cut bigint, h1 bigint, h2 bigint, place {_PLACE_TYPE}, line binary"
+    )
 
 
 def earliest(near: DataFrame) -> DataFrame:
@@ -246,7 +269,10 @@ def kept_lines(
         F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves")
     )
     lines = cut_lineage(lines)
-    near = cut_lineage(neighbourhoods(texts, _candidate_bits(lines, filter_bits)))
+    halves = lines.where("halves IS NOT NULL").select(F.explode("halves").alias("half"))
+    some = cut_lineage(candidate_lines(texts, _shared_bits(halves, filter_bits)))
+    keys = map_batches(some.select("line"), _variant_keys, "v1 bigint")
+    near = cut_lineage(neighbourhoods(some, _shared_bits(keys, filter_bits)))
     gone = _verified(cut_lineage(earliest(near)), near)
     stay = lines.join(gone, _HASH, "left_anti").select("place.*")
     stay = stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
