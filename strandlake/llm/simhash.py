@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import map_batches, salt, text_bytes
+from .common import all_salts, map_batches, salt, text_bytes
 from .components import components
 
 WORDS = 3
@@ -44,16 +44,16 @@ _ROWS_AT_ONCE = 1 << 16
 _WORDS_AT_ONCE = 1 << 16
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, n_words: int = WORDS) -> list[int]:
     words = text.lower().split()
     if not words:
         return []
     joined = b" ".join(words)
-    if len(words) < WORDS:
+    if len(words) < n_words:
         return [xxhash.xxh64_intdigest(joined, SEED)]
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends)]
-    shingles = [joined[a:b] for a, b in zip(starts, ends[WORDS - 1:], strict=False)]
+    shingles = [joined[a:b] for a, b in zip(starts, ends[n_words - 1:], strict=False)]
     return list(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)))
 
 
@@ -218,8 +218,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def drop_surplus(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one document of each group: the lowest id, nulls last, then the lowest hash of the text.
+
+    ``members(id, text_key, group)`` has a row for each row of ``docs``; rows that repeat id and text are one document.
+    """
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
+    firsts = members.groupBy("group").agg(F.min(rank).alias("first"), F.max(rank).alias("end")).where("first <> end")
+    dealt = firsts.select("group", "first", all_salts().alias("salt"))
+    grouped = members.withColumn("salt", salt("id", "text_key")).join(dealt, ["group", "salt"])
+    gone = grouped.where(rank != F.col("first")).select(F.col("id").alias("__gone"), F.col("text_key").alias("__gone_key"))
+    text_key = F.xxhash64(F.col(text_col).cast("string"))
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (text_key == F.col("__gone_key"))
+    return docs.join(gone.distinct(), same, "left_anti")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone"))
-    return docs.join(dropped.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents of ``docs`` that are the first of their component, as ``drop_surplus`` says."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def hashed(batches):
+        for batch in batches:
+            prints = [fingerprint(text) for text in text_bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["id", "text_key", "fp"]
+            )
+
+    keyed = rows.select("id", F.xxhash64("text").alias("text_key"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    members = cut_lineage(map_batches(keyed, hashed, f"id {kind}, text_key bigint, fp bigint"))
+    roots = components(fingerprint_links(cut_lineage(members.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    members = members.join(roots, "fp", "left").select("id", "text_key", F.coalesce("root", "fp").alias("group"))
+    return drop_surplus(docs, members, id_col, text_col)

@@ -91,3 +91,13 @@ def test_drop_keeps_one_of_each(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9, 10]
     assert kept.columns == ["doc_id", "text", "lang"]
+
+
+def test_drop_tells_rows_of_one_id_apart(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, base), (2, base + " "), (2, "a clean text of the same id"), (None, base + "\n"), (None, "clean without an id"),
+            (7, "shared by two"), (7, "shared  by two"), (None, "only nulls here"), (None, "only  nulls here")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = sorted((str(r.doc_id), " ".join(r.text.split())) for r in kept)
+    assert found == sorted([("1", base), ("2", "a clean text of the same id"), ("None", "clean without an id"),
+                            ("7", "shared by two"), ("None", "only nulls here")])
