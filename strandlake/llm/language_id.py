@@ -8,6 +8,7 @@ of its words, and that of a word is the sum over all its segmentations into piec
 * ``train`` counts the words of each language over all training rows (tasks count before the shuffle), then runs a
   few rounds of expectation maximisation from equal probabilities. Each round is a job over the distinct words, in
   which tasks add up expected pieces; the driver gets one number for each piece and language.
+* Words whose probability comes near the smallest number of a double, in any language, are done in logarithms.
 * ``predict`` scores whole texts; forward passes run for all new words of a batch together, and words are
   remembered within a task. ``score`` is the posterior of the best language.
 
@@ -42,6 +43,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 17
 _MIXES = [((i * 0x5851F42D4C957F2D | 1) % 2**64, (i * 0x2545F4914F6CDD1D | 1) % 2**64) for i in range(1, 20)]
 _SMOOTH = 0.1
+#: Words with a probability below are done in logarithms. Prefixes that underflow in other words carry less than 1e-58 of it.
+_TINY = 1e-250
 _WORDS_AT_ONCE = 20_000
 _REMEMBERED = 700_000
 _COUNTED_AT_ONCE = 300_000
@@ -160,6 +163,7 @@ class _Lattice:
     """All pieces that fit somewhere in some words, all words at a time."""
 
     def __init__(self, words: list[str], pieces: Pieces):
+        self.words, self.pieces = words, pieces
         words = [marked(w) for w in words]
         self.size = np.array([len(w) for w in words])
         self.width = int(self.size.max(initial=0))
@@ -192,9 +196,13 @@ class _Lattice:
         """Expected occurrences of each piece, by language, in ``times`` of each word."""
         alpha = self.forward(probability)
         word = np.arange(len(self.size))
+        whole = alpha[self.size, word]
+        tiny = (whole < _TINY).any(axis=1)
         beta = np.zeros_like(alpha)
-        beta[self.size, word] = times / alpha[self.size, word]
+        beta[self.size[~tiny], word[~tiny]] = times[~tiny] / whole[~tiny]
         counts = np.zeros_like(probability)
+        if tiny.any():
+            counts += self._part(tiny)._expected_by_logs(probability, times[tiny])
         for end in range(self.width, 0, -1):
             for length, words, piece in self.edges[end - 1]:
                 passed = probability[piece] * beta[end, words]
@@ -204,6 +212,43 @@ class _Lattice:
                     counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
         return counts
 
+    def log_scores(self, probability: np.ndarray) -> np.ndarray:
+        """Log probability of each word, by language."""
+        whole = self.forward(probability)[self.size, np.arange(len(self.size))]
+        tiny = (whole < _TINY).any(axis=1)
+        scores = np.log(np.where(tiny[:, None], 1, whole))
+        if tiny.any():
+            part = self._part(tiny)
+            scores[tiny] = part._log_forward(np.log(probability))[part.size, np.arange(len(part.size))]
+        return scores
+
+    def _part(self, some: np.ndarray) -> _Lattice:
+        return _Lattice([self.words[i] for i in np.flatnonzero(some)], self.pieces)
+
+    def _log_forward(self, logs: np.ndarray) -> np.ndarray:
+        alpha = np.full((self.width + 1, len(self.size), logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for end, edges in enumerate(self.edges, 1):
+            for length, words, piece in edges:
+                alpha[end, words] = np.logaddexp(alpha[end, words], alpha[end - length, words] + logs[piece])
+        return alpha
+
+    def _expected_by_logs(self, probability: np.ndarray, times: np.ndarray) -> np.ndarray:
+        logs = np.log(probability)
+        alpha = self._log_forward(logs)
+        word = np.arange(len(self.size))
+        beta = np.full_like(alpha, -np.inf)
+        beta[self.size, word] = -alpha[self.size, word]
+        counts = np.zeros_like(probability)
+        for end in range(self.width, 0, -1):
+            for length, words, piece in self.edges[end - 1]:
+                passed = logs[piece] + beta[end, words]
+                beta[end - length, words] = np.logaddexp(beta[end - length, words], passed)
+                passed = np.exp(passed + alpha[end - length, words]) * times[words]
+                for language in range(probability.shape[1]):
+                    counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
+        return counts
+
 
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """Log probability of each word, by language."""
@@ -212,7 +257,7 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
     for at in range(0, len(words), _WORDS_AT_ONCE):
         some = order[at:at + _WORDS_AT_ONCE]
         lattice = _Lattice([words[i] for i in some], model.pieces)
-        scores[some] = np.log(lattice.forward(model.probability)[lattice.size, np.arange(len(some))])
+        scores[some] = lattice.log_scores(model.probability)
     return scores
 
 

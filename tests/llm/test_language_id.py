@@ -1,5 +1,6 @@
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -83,3 +84,35 @@ def test_nothing_to_learn_from(spark):
     assert li.predict(empty, model).count() == 0
     one = spark.createDataFrame([(1, "words", None)], empty.schema)
     assert [tuple(r) for r in li.predict(one, model).collect()] == [(1, "und", 0.0)]
+
+
+def test_runs_of_pieces_never_seen(pieces):
+    unseen = 1e-15
+    probability = np.full((pieces.size, 2), unseen)
+    probability[:, 1] = 1 / pieces.size
+    run = "\n" + "\u0e01\u0e02\u0e03\u0e04" * 8
+    words = [run, "the", "\n" + "\u0e01" * 32]
+    lattice = li._Lattice(words, pieces)
+    assert lattice.forward(probability)[32, 0, 0] == 0  # beyond a double
+    model = li.Model(pieces, ["a", "b"], np.zeros(2), probability)
+    scores = li.word_scores(words, model)
+    assert np.isfinite(scores).all()
+    # with one probability for all pieces, lengths decide: compare with exact fractions
+    exact = [0] * 33
+    exact[0] = 1
+    fraction = Fraction(unseen)
+    for end in range(1, 33):
+        here = [length for length, some, _ in lattice.edges[end - 1] if 0 in some]
+        exact[end] = sum(exact[end - length] for length in here) * fraction
+    expected = math.log(exact[32].numerator) - math.log(exact[32].denominator)
+    assert math.isclose(scores[0, 0], expected, rel_tol=1e-12)
+    assert math.isclose(scores[1, 0], math.log(plain_probability("the", pieces, probability[:, 0])), rel_tol=1e-12)
+    times = np.array([[0.0, 2.0], [3.0, 1.0], [5.0, 0.0]])
+    counts = lattice.expected(probability, times)
+    assert np.isfinite(counts).all() and counts[:, 0].sum() > 5 and counts[:, 1].sum() > 2
+    alone = [li._Lattice([w], pieces).expected(probability, t[None]) for w, t in zip(words, times, strict=True)]
+    assert np.allclose(counts, sum(alone))
+    plain = np.full((pieces.size, 1), 1 / pieces.size)
+    once = np.array([[1.0]])
+    ordinary = li._Lattice(["whether"], pieces)
+    assert np.allclose(ordinary.expected(plain, once), ordinary._expected_by_logs(plain, once), rtol=1e-9)
