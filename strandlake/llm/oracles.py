@@ -11,6 +11,82 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 """
 
+#: A table-driven CRC-32 over the bytes of ``key``, which is a text; the table is made by its rule.
+_CRC32 = """
+crc_table AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), (x, i) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+              ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+),
+crc AS (
+  SELECT key, xor(list_reduce(list_concat([4294967295::BIGINT], key_bytes),
+                              (x, b) -> xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT DISTINCT key,
+               [('0x' || hex(encode(key))[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, octet_length(encode(key)) + 1)] AS key_bytes
+        FROM keyed), crc_table
+)"""
+
+OP11 = f"""
+WITH RECURSIVE keyed AS (
+  SELECT DISTINCT coalesce(doc_id::VARCHAR, 'null') || ':' || run AS key, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+),
+{_CRC32},
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, sum(times)::BIGINT AS n
+  FROM keyed JOIN crc USING (key) GROUP BY 1 HAVING length(word) >= 5 AND sum(times) >= 3
+),
+variants AS (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+longer AS (SELECT DISTINCT a.word, a.n, w.word AS near, w.n AS near_n FROM variants a JOIN words w ON a.less = w.word),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM variants a JOIN variants b USING (less, i) WHERE a.word <> b.word
+  UNION SELECT word, n, near, near_n FROM longer
+  UNION SELECT near, near_n, word, n FROM longer
+),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS form_n, min(near) FILTER (near_n = m) AS form
+  FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word
+),
+forms AS (
+  SELECT word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+way AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT way.word, way.next, forms.form FROM way JOIN forms ON forms.word = way.next
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM way WHERE next IS NULL) USING (word)
+"""
+
+_TERMS = f"regexp_extract_all({_ASCII_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH terms AS (SELECT row_number() OVER () AS doc, doc_id, unnest({_TERMS}) AS term FROM documents),
+postings AS (SELECT doc, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc, sum(tf)::BIGINT AS n FROM postings GROUP BY doc),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, whole GROUP BY term, n_docs
+),
+items AS (
+  SELECT DISTINCT item, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)
+),
+scores AS (
+  SELECT item, item_id, doc, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc), whole
+  GROUP BY item, item_id, doc, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op9_exact_dedup": OP9,
+    "op11_spelling": OP11,
+    "op13_ranked_search": OP13,
 }
