@@ -14,13 +14,13 @@ FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 #: A table-driven CRC-32 over the bytes of ``key``, which is a text; the table is made by its rule.
 _CRC32 = """
 crc_table AS (
-  SELECT list(list_reduce(list_concat([b], range(8)), (x, i) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
               ORDER BY b) AS t
   FROM (SELECT unnest(range(256)) AS b)
 ),
 crc AS (
   SELECT key, xor(list_reduce(list_concat([4294967295::BIGINT], key_bytes),
-                              (x, b) -> xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) AS h
+                              lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) AS h
   FROM (SELECT DISTINCT key,
                [('0x' || hex(encode(key))[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, octet_length(encode(key)) + 1)] AS key_bytes
         FROM keyed), crc_table
