@@ -3,23 +3,26 @@
 Every language has a probability for each piece of a fixed public vocabulary. The score of a text is the probability
 of its words, and that of a word is the sum over all its segmentations into pieces, found by a forward pass.
 
-* A word is a run without white space, in lower case, with a mark before it; runs above ``LONGEST`` characters are
-  cut into blocks of that length, and no piece goes across a cut. A character without a piece is one unknown piece.
+* A word is a run without white space of any length, in lower case, with a mark before it. A character without a piece
+  is one unknown piece.
 * ``train`` counts the words of each language over all training rows (tasks count before the shuffle), then runs a
   few rounds of expectation maximisation from equal probabilities. Each round is a job over the distinct words, in
   which tasks add up expected pieces; the driver gets one number for each piece and language.
-* Words whose probability comes near the smallest number of a double, in any language, are done in logarithms.
-* ``predict`` scores whole texts; forward passes run for all new words of a batch together, and words are
-  remembered within a task. ``score`` is the posterior of the best language.
+* Passes run for many words together, as many as have ``_CELLS`` characters, or for one longer word. Words whose
+  probability comes near the smallest number of a double, in any language, and very long ones, are done in logarithms.
+* ``predict`` scores whole texts; short words are remembered within a task. ``score`` is the posterior of the best
+  language. Only texts go to Python; other columns stay in the JVM.
 
 Null texts and texts without a letter are ``und`` with score 0. Training ignores rows with null language, text or id. A
-table without training rows predicts ``und`` with score 0. Ties go to the language first in the alphabet.
+table without training rows predicts ``und`` with score 0. Ties go to the language first in the alphabet. Rows that repeat
+are scored alike. Memory grows with the longest word of a text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import map_batches
+from .common import BATCH_ROWS, map_batches
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST = 32
 ROUNDS = 3
 UNKNOWN = "und"
 #: Rows whose score is below are rejected by ``keep_known``.
 LEAST_SCORE = 0.5
+#: Texts of a batch that is scored have about so many bytes at most, but always one text.
+PREDICT_BYTES = 8 << 20
 
 _MARK = "▁"
 _LETTER = re.compile(r"[^\W\d_]")  # and some numbers
@@ -45,10 +49,14 @@ _MIXES = [((i * 0x5851F42D4C957F2D | 1) % 2**64, (i * 0x2545F4914F6CDD1D | 1) %
 _SMOOTH = 0.1
 #: Words with a probability below are done in logarithms. Prefixes that underflow in other words carry less than 1e-58 of it.
 _TINY = 1e-250
-_WORDS_AT_ONCE = 20_000
-_REMEMBERED = 700_000
-_COUNTED_AT_ONCE = 300_000
-_CHARS_AT_ONCE = 1 << 21
+#: Longer words may underflow in most of their length; they are done in logarithms from the start.
+_LONG = 64
+_CELLS = 1 << 17
+_REMEMBERED = 300_000
+_REMEMBERED_LENGTH = 24
+_COUNTED_AT_ONCE = 150_000
+_COUNTED_CHARS = 1 << 24
+_CHARS_AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -127,9 +135,9 @@ def load_pieces(name: str = VOCABULARY) -> Pieces:
         model.id_to_piece(i) for i in range(model.get_piece_size())
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))
     }
-    words = sorted(w for w in words if len(w) <= LONGEST)
-    codes = _codes(words, LONGEST)
+    words = sorted(words)
     sizes = np.array([len(w) for w in words])
+    codes = _codes(words, int(sizes.max()))
     hashes = np.unique(_hash(codes)[np.arange(len(words)), sizes])
     return Pieces(hashes, int(sizes.max()))
 
@@ -143,20 +151,12 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words of a text; the blocks of a long word after its first begin with a new line."""
-    words = (text or "").lower().split()
-    if max(map(len, words), default=0) < LONGEST:
-        return words
-    blocks = []
-    for word in words:
-        blocks.append(word[:LONGEST - 1])
-        blocks += ["\n" + word[i:i + LONGEST] for i in range(LONGEST - 1, len(word), LONGEST)]
-    return blocks
+    return (text or "").lower().split()
 
 
 def marked(word: str) -> str:
     """What of a word is cut into pieces."""
-    return word[1:] if word[0] == "\n" else _MARK + word
+    return _MARK + word
 
 
 class _Lattice:
@@ -165,74 +165,97 @@ class _Lattice:
     def __init__(self, words: list[str], pieces: Pieces):
         self.words, self.pieces = words, pieces
         words = [marked(w) for w in words]
-        self.size = np.array([len(w) for w in words])
+        self.size = np.array([len(w) for w in words], np.int64)
         self.width = int(self.size.max(initial=0))
-        prefix = _hash(_codes(words, self.width))
-        power = np.cumprod(np.append(np.uint64(1), np.full(pieces.longest, _BASE)))
-        self.edges = []  # of each end: (length, words, pieces)
-        for end in range(1, self.width + 1):
-            here = np.flatnonzero(self.size >= end)
-            edges, single = [], np.zeros(len(here), bool)
-            for length in range(1, min(end, pieces.longest) + 1):
-                found, at = pieces.find(prefix[here, end] - prefix[here, end - length] * power[length])
-                if length == 1:
-                    single = found
-                if found.any():
-                    edges.append((length, here[found], at[found]))
-            if not single.all():
-                edges.append((1, here[~single], np.full((~single).sum(), pieces.size - 1)))
-            self.edges.append(edges)
+        n = len(words)
+        prefix = _hash(_codes(words, self.width)) if n else np.zeros((0, 1), np.uint64)
+        inside = np.arange(1, self.width + 1) <= self.size[:, None]
+        most = min(pieces.longest, self.width)
+        # by end, word and length: the pieces that end there
+        there = np.zeros((self.width, n, most), bool)
+        number = np.zeros((self.width, n, most), np.int32)
+        power = np.ones(1, np.uint64)
+        for length in range(1, most + 1):
+            power *= _BASE
+            found, at = pieces.find(prefix[:, length:] - prefix[:, :-length] * power)
+            if length == 1:
+                at, found = np.where(found, at, pieces.size - 1), True
+            there[length - 1:, :, length - 1] = (found & inside[:, length - 1:]).T
+            number[length - 1:, :, length - 1] = at.T
+        end, self.word, self.length = np.nonzero(there)
+        self.piece = number[end, self.word, self.length]
+        self.length += 1
+        self.starts = np.searchsorted(end, np.arange(self.width + 1))
+
+    def _edges(self, end: int):
+        """``(words, lengths, pieces)`` of the pieces that end at ``end``, by word."""
+        some = slice(self.starts[end - 1], self.starts[end])
+        return self.word[some], self.length[some], self.piece[some]
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Probability of each prefix of each word, by language."""
-        alpha = np.zeros((self.width + 1, len(self.size), probability.shape[1]))
-        alpha[0] = 1
-        for end, edges in enumerate(self.edges, 1):
-            for length, words, piece in edges:
-                alpha[end, words] += alpha[end - length, words] * probability[piece]
+        return self._forward(probability, np.multiply, np.add, 1.0, 0.0)
+
+    def _log_forward(self, logs: np.ndarray) -> np.ndarray:
+        return self._forward(logs, np.add, np.logaddexp, 0.0, -np.inf)
+
+    def _forward(self, weights, along, over, start, nothing):
+        alpha = np.full((self.width + 1, len(self.size), weights.shape[1]), nothing)
+        alpha[0] = start
+        for end in range(1, self.width + 1):
+            word, length, piece = self._edges(end)
+            passed = along(alpha[end - length, word], weights[piece])
+            if len(word) and word[0] == word[-1]:
+                alpha[end, word[0]] = over.reduce(passed, axis=0)
+            elif len(word):
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                alpha[end, word[first]] = over.reduceat(passed, first, axis=0)
         return alpha
 
+    def _whole(self, alpha: np.ndarray) -> np.ndarray:
+        return alpha[self.size, np.arange(len(self.size))]
+
+    def _apart(self, probability: np.ndarray):
+        """Forward probabilities, those of whole words, and which words are to be done in logarithms."""
+        if self.width > _LONG:
+            return None, None, np.ones(len(self.size), bool)
+        alpha = self.forward(probability)
+        whole = self._whole(alpha)
+        return alpha, whole, (whole < _TINY).any(axis=1)
+
     def expected(self, probability: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected occurrences of each piece, by language, in ``times`` of each word."""
-        alpha = self.forward(probability)
-        word = np.arange(len(self.size))
-        whole = alpha[self.size, word]
-        tiny = (whole < _TINY).any(axis=1)
-        beta = np.zeros_like(alpha)
-        beta[self.size[~tiny], word[~tiny]] = times[~tiny] / whole[~tiny]
+        alpha, whole, tiny = self._apart(probability)
+        if tiny.all():
+            return self._expected_by_logs(probability, times)
         counts = np.zeros_like(probability)
         if tiny.any():
             counts += self._part(tiny)._expected_by_logs(probability, times[tiny])
+        word = np.flatnonzero(~tiny)
+        beta = np.zeros_like(alpha)
+        beta[self.size[word], word] = times[word] / whole[word]
         for end in range(self.width, 0, -1):
-            for length, words, piece in self.edges[end - 1]:
-                passed = probability[piece] * beta[end, words]
-                beta[end - length, words] += passed
-                passed = passed * alpha[end - length, words]
-                for language in range(probability.shape[1]):
-                    counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
+            word, length, piece = self._edges(end)
+            passed = probability[piece] * beta[end, word]
+            # a start has one piece that ends here
+            beta[end - length, word] += passed
+            _add(counts, piece, passed * alpha[end - length, word])
         return counts
 
     def log_scores(self, probability: np.ndarray) -> np.ndarray:
         """Log probability of each word, by language."""
-        whole = self.forward(probability)[self.size, np.arange(len(self.size))]
-        tiny = (whole < _TINY).any(axis=1)
+        _, whole, tiny = self._apart(probability)
+        if tiny.all():
+            return self._whole(self._log_forward(np.log(probability)))
         scores = np.log(np.where(tiny[:, None], 1, whole))
         if tiny.any():
             part = self._part(tiny)
-            scores[tiny] = part._log_forward(np.log(probability))[part.size, np.arange(len(part.size))]
+            scores[tiny] = part._whole(part._log_forward(np.log(probability)))
         return scores
 
     def _part(self, some: np.ndarray) -> _Lattice:
         return _Lattice([self.words[i] for i in np.flatnonzero(some)], self.pieces)
 
-    def _log_forward(self, logs: np.ndarray) -> np.ndarray:
-        alpha = np.full((self.width + 1, len(self.size), logs.shape[1]), -np.inf)
-        alpha[0] = 0
-        for end, edges in enumerate(self.edges, 1):
-            for length, words, piece in edges:
-                alpha[end, words] = np.logaddexp(alpha[end, words], alpha[end - length, words] + logs[piece])
-        return alpha
-
     def _expected_by_logs(self, probability: np.ndarray, times: np.ndarray) -> np.ndarray:
         logs = np.log(probability)
         alpha = self._log_forward(logs)
@@ -241,22 +264,37 @@ class _Lattice:
         beta[self.size, word] = -alpha[self.size, word]
         counts = np.zeros_like(probability)
         for end in range(self.width, 0, -1):
-            for length, words, piece in self.edges[end - 1]:
-                passed = logs[piece] + beta[end, words]
-                beta[end - length, words] = np.logaddexp(beta[end - length, words], passed)
-                passed = np.exp(passed + alpha[end - length, words]) * times[words]
-                for language in range(probability.shape[1]):
-                    counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
+            word, length, piece = self._edges(end)
+            passed = logs[piece] + beta[end, word]
+            beta[end - length, word] = np.logaddexp(beta[end - length, word], passed)
+            _add(counts, piece, np.exp(passed + alpha[end - length, word]) * times[word])
         return counts
 
 
+def _add(counts: np.ndarray, piece: np.ndarray, passed: np.ndarray) -> None:
+    if len(piece) > 1000:
+        for language in range(counts.shape[1]):
+            counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
+    else:
+        np.add.at(counts, piece, passed)
+
+
+def lattices(words: list[str], pieces: Pieces):
+    """Numbers of words and their lattice, a bounded number of characters at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * (len(words[order[to]]) + 1) <= _CELLS:
+            to += 1
+        yield order[at:to], _Lattice([words[i] for i in order[at:to]], pieces)
+        at = to
+
+
 def word_scores(words: list[str], model: Model) -> np.ndarray:
     """Log probability of each word, by language."""
     scores = np.zeros((len(words), len(model.languages)))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for at in range(0, len(words), _WORDS_AT_ONCE):
-        some = order[at:at + _WORDS_AT_ONCE]
-        lattice = _Lattice([words[i] for i in some], model.pieces)
+    for some, lattice in lattices(words, model.pieces):
         scores[some] = lattice.log_scores(model.probability)
     return scores
 
@@ -273,11 +311,15 @@ def _count_words(batches):
         return result
 
     seen: Counter[tuple[str, str]] = Counter()
+    chars = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            seen.update((lang, w) for w in words_of(text.as_py()))
-            if len(seen) > _COUNTED_AT_ONCE:
+            words = words_of(text.as_py())
+            seen.update((lang, w) for w in words)
+            chars += sum(len(w) for w in words if len(w) > _REMEMBERED_LENGTH)
+            if len(seen) > _COUNTED_AT_ONCE or chars > _COUNTED_CHARS:
                 yield rows()
+                chars = 0
     yield rows()
 
 
@@ -290,10 +332,7 @@ def _expect(words: DataFrame, model: Model) -> np.ndarray:
         for batch in batches:
             found = batch.column(0).to_pylist()
             times = np.array(batch.column(1).to_pylist(), dtype=float)
-            order = sorted(range(len(found)), key=lambda i: len(found[i]))
-            for at in range(0, len(order), _WORDS_AT_ONCE):
-                some = order[at:at + _WORDS_AT_ONCE]
-                lattice = _Lattice([found[i] for i in some], model.pieces)
+            for some, lattice in lattices(found, model.pieces):
                 counts += lattice.expected(model.probability, times[some])
         piece, language = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -334,29 +373,45 @@ def train(
 
 
 class Scorer:
-    """Predictions of one task; remembers words."""
+    """Predictions of one task; remembers short words."""
 
     def __init__(self, model: Model):
         self.model = model
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)))
+        self.scores = np.zeros((_REMEMBERED, len(model.languages)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        if len(self.number) > _REMEMBERED:
-            self.number, self.scores = {}, self.scores[:0]
         cut = [words_of(text) for text in texts]
         new = list({w for words in cut for w in words} - self.number.keys())
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.scores = np.concatenate([self.scores, word_scores(new, self.model)])
-        return [self._best(text, words) for text, words in zip(texts, cut, strict=True)]
-
-    def _best(self, text: str | None, words: list[str]) -> tuple[str, float]:
+        new_scores = word_scores(new, self.model)
+        if len(self.number) + len(new) > _REMEMBERED:
+            once = dict(zip(new, new_scores, strict=True))
+            found = [self._total(words, once) for words in cut]
+            self.number = {}
+        else:
+            found = None
+        keep = [i for i, w in enumerate(new) if len(w) <= _REMEMBERED_LENGTH][:_REMEMBERED]
+        at = len(self.number)
+        self.scores[at:at + len(keep)] = new_scores[keep]
+        self.number.update(zip((new[i] for i in keep), range(at, at + len(keep)), strict=True))
+        if found is None:
+            long = {w: new_scores[i] for i, w in enumerate(new) if len(w) > _REMEMBERED_LENGTH}
+            found = [self._total(words, long) for words in cut]
+        return [self._best(text, total) for text, total in zip(texts, found, strict=True)]
+
+    def _total(self, words: list[str], others: dict[str, np.ndarray]) -> np.ndarray:
+        """Log probability of the words, which are remembered or among ``others``."""
+        at = [self.number[w] for w in words if w in self.number]
+        total = self.scores[at].sum(axis=0) + self.model.prior
+        if len(at) < len(words):
+            total = total + np.sum([others[w] for w in words if w not in self.number], axis=0)
+        return total
+
+    def _best(self, text: str | None, total: np.ndarray) -> tuple[str, float]:
         if not text or not any(found[0].isalpha() for found in _LETTER.finditer(text)):
             return UNKNOWN, 0.0
-        rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        total = self.scores[rows].sum(axis=0) + self.model.prior
         best = int(total.argmax())
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -373,42 +428,33 @@ def _grouped(texts: list[str | None]):
         yield group
 
 
-def _predictions(model: Model, column: str):
-    """A function that adds predictions to Arrow batches."""
-    def predict(batches):
+def _predicted(spark, model: Model, text: Column) -> Column:
+    """A column ``(lang, score)``; only ``text`` goes to Python, in bounded batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PREDICT_BYTES))
+
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = Scorer(model)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-            yield batch, [p for group in _grouped(texts) for p in score(group)]
+        for column in columns:
+            found = [p for group in _grouped(column.to_pylist()) for p in score(group)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())], ["lang", "score"]
+            )
 
-    return predict
+    return predicted(text)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, lang_pred, score)`` of every row."""
-    added = _predictions(model, "text")
-
-    def rows(batches):
-        for batch, found in added(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.float64())],
-                names=["id", "lang_pred", "score"],
-            )
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["id"].dataType.simpleString()
-    return map_batches(texts, rows, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    found = docs.select(F.col(id_col), _predicted(docs.sparkSession, model, F.col(text_col).cast("string")).alias("__found"))
+    return found.select(id_col, F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"))
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` that get a language with a score of at least ``least``; nothing is shuffled."""
-    added = _predictions(model, text_col)
-
-    def rows(batches):
-        for batch, found in added(batches):
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
-
-    return map_batches(docs, rows, docs.schema)
+    found = docs.withColumn("__found", _predicted(docs.sparkSession, model, F.col(text_col).cast("string")))
+    return found.where((F.col("__found.lang") != UNKNOWN) & (F.col("__found.score") >= least)).select(*docs.columns)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
