@@ -2,12 +2,12 @@ import math
 
 import corpus_pipeline
 from strandlake.llm import language_id as li
-from strandlake.llm import packing
+from strandlake.llm import near_copies, packing
 
-from .test_language_id import plain_probability
+from .test_language_id import plain_log_probability
+from .test_near_copies import plain_distance, plain_groups
 from .test_packing import check_packed
 from .test_phrases import plain as plain_contamination
-from .test_simhash import plain_components, plain_fingerprint
 
 
 def plain_languages(spark, docs):
@@ -22,7 +22,7 @@ def plain_languages(spark, docs):
         total = [float(p) for p in model.prior]
         for word in li.words_of(doc[1]):
             if word not in known:
-                known[word] = [math.log(plain_probability(word, model.pieces, model.probability[:, i])) for i in range(len(total))]
+                known[word] = [plain_log_probability(word, model.pieces, model.probability[:, i]) for i in range(len(total))]
             total = [a + b for a, b in zip(total, known[word], strict=True)]
         if 1 / sum(math.exp(x - max(total)) for x in total) >= 0.5:
             kept.append(doc)
@@ -49,9 +49,9 @@ def test_stages_and_run(spark, sf, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     expected = [docs := plain_languages(spark, docs)]
     expected.append(docs := plain_copies(docs))
-    prints = [plain_fingerprint(d[1]) for d in docs]
-    classes = plain_components([d[0] for d in docs], prints)
-    expected.append(docs := [d for d, c in zip(docs, classes, strict=True) if d[0] == c])
+    prints = [near_copies.fingerprint((d[1] or "").encode()) for d in docs]
+    groups = plain_groups(prints, lambda a, b: plain_distance(a, b) <= near_copies.RADIUS)
+    expected.append(docs := [d for d, g in zip(docs, groups, strict=True) if d[0] == min(e[0] for e, h in zip(docs, groups, strict=True) if h == g)])
     dirty = {r[0] for r in plain_contamination([(d[0], d[1]) for d in docs], items) if r[-1]}
     expected.append(docs := [d for d in docs if d[0] not in dirty])
     at = spark.read.parquet(f"{folder}/documents.parquet")
