@@ -2,7 +2,8 @@
 
 1. ``language_id`` keeps documents with a language; those without a letter, or with an unsure language, go.
 2. ``exact_dedup`` keeps the document with the largest id of each text.
-3. ``simhash`` keeps the document with the smallest id of each group of near copies: of the five-word runs of two, 4/5 agree.
+3. ``simhash`` keeps the document with the smallest id of each group of near copies, by wide SimHash fingerprints of
+   five-word runs and a radius for a similarity of 0.8.
 4. ``decontamination`` keeps documents without a window of a benchmark item.
 5. ``packing`` returns the pieces of the documents that are left, with their places in sequences.
 
