@@ -316,7 +316,7 @@ def linked_errors(spark, args):
     ranged = incidence.in_range(depths, [tuple(args.range)])
     shares = incidence.share_histogram(inc, ranged, depths.select(F.col("hash").alias("x")))
     typed = incidence.flag_errors(incidence.error_scores(shares, depths), spark.read.parquet(args.crib))
-    show(incidence.score_summary(typed), args)
+    show(incidence.score_summary(typed, ranged), args)
 
 
 def linked_cluster(spark, args):

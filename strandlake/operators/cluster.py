@@ -4,9 +4,14 @@ For every barcode the *good* hashes (those in the depth range) are numbered by a
 good hash joins the cluster of the earlier good hash through which most of the barcodes sharing it
 were first met.
 
-All steps are joins and aggregations keyed by barcode and a second column, so neither a large barcode nor one
-with many clusters meets in one row or task. The pairs of barcodes formed are bounded by the range: a
-hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
+* Numbers within a barcode come from sampled ranges that cut large barcodes (``ranks.grouped_rank``).
+* Pairs of barcodes are dealt once, by the pair: the first meeting is a hash aggregation there, and comes back to the pairs
+  without another exchange. Counts of first meetings are dealt once more, by barcode and hash; the best, the total and
+  the counts of the hashes that join a cluster are found on that partitioning.
+* Clusters are found on the hashes that join one, and united on the reads that lie in several: small tables.
+
+So neither a large barcode nor one with many clusters meets in one row or task. The pairs of barcodes formed are bounded
+by the range: a hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import histogram as hist
 from .incidence import hash_depths, in_range
-from .ranks import running_sum
+from .ranks import grouped_rank, running_sum
 
 # Fixed value: the support a hash needs to join a cluster.
 DEFAULT_THRESHOLD = 5
@@ -37,22 +42,32 @@ def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
 def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     """``(barcode, hash, read, depth, i)``: the in-range hashes of every barcode, numbered from 0."""
     rows = inc.join(in_range(hash_depths(inc), ranges), "hash")
-    order = Window.partitionBy("barcode").orderBy("depth", "hash")
-    return rows.select(
-        *[F.col(c).cast("bigint").alias(c) for c in ("barcode", "hash", "read")], "depth",
-        (F.row_number().over(order) - 1).alias("i"),
-    )
+    rows = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "hash", "read")], "depth")
+    return grouped_rank(rows, ["barcode"], ["depth", "hash"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
 
 
 def _first_meetings(good: DataFrame, mine: DataFrame, start: int) -> DataFrame:
-    """``(barcode, i, ms, n)``: of the other barcodes on good hash ``i`` of ``mine``, ``n`` were first met on the
-    earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
+    """``(barcode, i, ms, n)``, dealt by barcode and ``i``: of the other barcodes on good hash ``i`` of ``mine``, ``n`` were
+    first met on the earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
     others = good.select("hash", F.col("barcode").alias("other"))
     met = mine.where(F.col("i") >= start).select("barcode", "hash", "i").join(others, "hash")
-    met = met.where(F.col("barcode") != F.col("other"))
-    pair = Window.partitionBy("barcode", "other")
-    first = met.select("barcode", "i", F.min("i").over(pair).alias("ms"))
-    return first.where("ms < i").groupBy("barcode", "i", "ms").agg(F.count("*").alias("n"))
+    met = met.where(F.col("barcode") != F.col("other")).select("barcode", "other", "i").repartition("barcode", "other")
+    first = met.groupBy("barcode", "other").agg(F.min("i").alias("ms"))
+    pairs = met.join(first.hint("shuffle_hash"), ["barcode", "other"]).where("ms < i")
+    return pairs.select("barcode", "i", "ms").repartition("barcode", "i").groupBy("barcode", "i", "ms").agg(F.count("*").alias("n"))
+
+
+def _joined(tally: DataFrame, threshold: int) -> DataFrame:
+    """``(barcode, i, ms, n, parent, total)``: the tally of the good hashes that join a cluster, and where they join.
+
+    Count and place are one number, the highest of which is the largest count at the earliest place.
+    """
+    packed = F.col("n") * (1 << 32) + ((1 << 32) - 1 - F.col("ms"))
+    best = tally.groupBy("barcode", "i").agg(F.max(packed).alias("best"), F.sum("n").alias("total"))
+    best = best.where(F.shiftright("best", 32) >= threshold)
+    parent = ((1 << 32) - 1 - F.col("best").bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
+    best = best.select("barcode", "i", parent.alias("parent"), "total")
+    return tally.join(best.hint("shuffle_hash"), ["barcode", "i"])
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -60,7 +75,7 @@ def _roots(parents: DataFrame) -> DataFrame:
 
     Each round doubles the steps that a pointer takes.
     """
-    at = cut_lineage(parents.select("barcode", "i", F.col("parent").alias("root")))
+    at = parents.select("barcode", "i", F.col("parent").alias("root"))
     while True:
         upper = at.select("barcode", F.col("i").alias("root"), F.col("root").alias("above"))
         moved = cut_lineage(at.join(upper, ["barcode", "root"], "left"))
@@ -70,9 +85,15 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 
 def _merge_by_read(members: DataFrame) -> DataFrame:
-    """``(barcode, raw, sub)``: clusters that share a read are united; numbered by their least member."""
-    on = cut_lineage(members.select("barcode", "raw", "read").distinct())
-    label = cut_lineage(on.select("barcode", "raw").distinct().withColumn("low", F.col("raw")))
+    """``(barcode, raw, low)``: clusters that share a read are united under the least of them.
+
+    Only reads that lie in several clusters are looked at; every round moves each cluster to the least that one of
+    its reads, or its own place, knows.
+    """
+    on = members.select("barcode", "raw", "read").distinct()
+    several = on.groupBy("barcode", "read").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high")
+    on = cut_lineage(on.join(several.select("barcode", "read"), ["barcode", "read"]))
+    label = on.select("barcode", "raw").distinct().withColumn("low", F.col("raw"))
     while True:
         by_read = on.join(label, ["barcode", "raw"]).groupBy("barcode", "read").agg(F.min("low").alias("low"))
         lower = on.join(by_read, ["barcode", "read"]).groupBy("barcode", "raw").agg(F.min("low").alias("to"))
@@ -83,9 +104,7 @@ def _merge_by_read(members: DataFrame) -> DataFrame:
         )
         label = moved.select("barcode", "raw", F.col("to").alias("low"))
         if moved.where("to < low").isEmpty():
-            break
-    order = Window.partitionBy("barcode").orderBy("low")
-    return label.select("barcode", "raw", F.dense_rank().over(order).alias("sub"))
+            return label
 
 
 def cluster_hashes(
@@ -100,6 +119,7 @@ def cluster_hashes(
     One row per good hash: ``(barcode, hash, read, depth, i, raw, sub, share)``, where ``raw`` and
     ``sub`` are its cluster before and after uniting clusters that share a read (0: none), and
     ``share`` is the part of the met barcodes that were first met at the founder of the cluster.
+    A barcode has room for 2**31 good hashes.
     """
     good = cut_lineage(good_hashes(inc, ranges))
     mine = good
@@ -107,29 +127,27 @@ def cluster_hashes(
         low, high = codes
         mine = mine.where(F.col("barcode") >= low)
         mine = mine.where(F.col("barcode") < high) if high else mine
-    tally = cut_lineage(_first_meetings(good, mine, start))
-    best = tally.groupBy("barcode", "i").agg(
-        F.max(F.struct("n", (-F.col("ms")).alias("before"))).alias("best"), F.sum("n").alias("total")
-    )
-    best = best.where(F.col("best.n") >= threshold)
-    joined = best.select("barcode", "i", (-F.col("best.before")).alias("parent"), "total")
-    roots = _roots(joined).join(joined.select("barcode", "i", "total"), ["barcode", "i"])
+    joined = cut_lineage(_joined(_first_meetings(good, mine, start), threshold))
+    # the place where a hash joins is one row of its tally
+    roots = _roots(joined.where("ms = parent").select("barcode", "i", "parent"))
     # clusters are numbered as they are founded: by the first hash that joins the founder
-    founders = roots.groupBy("barcode", "root").agg(F.min("i").alias("founded"))
-    number = Window.partitionBy("barcode").orderBy("founded")
-    founders = founders.select("barcode", "root", F.row_number().over(number).alias("raw"))
-    at_founder = tally.select("barcode", "i", F.col("ms").alias("root"), "n")
+    founders = grouped_rank(roots.groupBy("barcode", "root").agg(F.min("i").alias("founded")), ["barcode"], ["founded"], "raw")
+    founders = founders.select("barcode", "root", F.col("raw").cast("int").alias("raw"))
+    at_founder = joined.select("barcode", "i", F.col("ms").alias("root"), (F.col("n") / F.col("total")).alias("share"))
     inner = roots.join(at_founder, ["barcode", "i", "root"], "left").join(founders, ["barcode", "root"]).select(
-        "barcode", "i", "raw", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share")
+        "barcode", "i", "raw", F.coalesce("share", F.lit(0.0)).alias("share")
     )
     first = founders.select("barcode", F.col("root").alias("i"), "raw", F.lit(0.0).alias("share"))
-    members = cut_lineage(
-        mine.join(inner.unionByName(first), ["barcode", "i"])
-    )
-    subs = _merge_by_read(members)
-    labelled = members.join(subs, ["barcode", "raw"]).select("barcode", "i", "raw", "sub", "share")
-    return mine.join(labelled, ["barcode", "i"], "left").select(
-        "barcode", "hash", "read", "depth", F.col("i").cast("int").alias("i"),
+    members = cut_lineage(mine.join(inner.unionByName(first), ["barcode", "i"], "left"))
+    clustered = members.where("raw IS NOT NULL")
+    united = _merge_by_read(clustered)
+    # the clusters that are left are numbered by their least
+    labels = clustered.select("barcode", "raw").distinct().join(united, ["barcode", "raw"], "left")
+    labels = labels.select("barcode", "raw", F.coalesce("low", "raw").alias("low"))
+    numbers = grouped_rank(labels.where("low = raw").select("barcode", "low"), ["barcode"], ["low"], "sub")
+    labels = labels.join(numbers, ["barcode", "low"]).select("barcode", "raw", F.col("sub").cast("int").alias("sub"))
+    return members.join(labels, ["barcode", "raw"], "left").select(
+        "barcode", "hash", "read", "depth", "i",
         F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("sub", F.lit(0)).alias("sub"),
         F.coalesce("share", F.lit(0.0)).alias("share"),
     )
@@ -225,8 +243,8 @@ def split_codes(
         F.col("barcode").alias("parent"),
     )
     first = moved.groupBy("barcode", "read").agg(F.min("hash").alias("first"))
-    order = Window.partitionBy("barcode").orderBy("first", "read")
-    reads = first.select("barcode", "read", (F.row_number().over(order) - 1).alias("new_read"))
+    reads = grouped_rank(first, ["barcode"], ["first", "read"], "new_read")
+    reads = reads.select("barcode", "read", (F.col("new_read") - 1).alias("new_read"))
     moved = moved.join(reads, ["barcode", "read"]).select(
         "barcode", "hash", F.col("new_read").cast("bigint").alias("read"), "parent"
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..spec import HashSpec, LINKED_READ_SPEC
 from . import histogram as hist
+from . import skew
 from .ranks import global_rank
 from .sketch import sketch
 
@@ -106,6 +107,12 @@ def in_range(depths: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     return depths.where(wanted)
 
 
+def middle_range(depths: DataFrame, factor: int = 2) -> tuple[int, int]:
+    """The depths from a ``factor``-th of the median to ``factor`` times it, as a half-open range."""
+    median = hist.summary(hist.histogram(depths, "depth")).first()["median"] or 0
+    return -(-median // factor), median * factor + 1
+
+
 def depth_histogram(inc: DataFrame) -> DataFrame:
     return hist.histogram(hash_depths(inc), "depth")
 
@@ -144,11 +151,14 @@ def share_histogram(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> Da
     """``(x, share, n)``: number of ranged hashes sharing ``share`` barcodes with each target ``x``.
 
     Both sides are cut to their hashes before they meet within barcodes, so that the pairs formed are those
-    asked for; a depth range bounds them by the range times the rows of the targets.
+    asked for; a depth range bounds them by the range times the rows of the targets. A barcode with very many ranged
+    hashes is cut into parts, which its targets meet one by one.
     """
     kept = inc.join(ranged.select("hash").distinct(), "hash", "left_semi").select("barcode", "hash")
     carriers = inc.join(targets.select(F.col("x").alias("hash")).distinct(), "hash", "left_semi")
-    met = carriers.select(F.col("hash").alias("x"), "barcode").join(kept, "barcode")
+    hot = skew.hot_keys(kept, "barcode")
+    carriers = skew.copied(carriers.select(F.col("hash").alias("x"), "barcode"), hot, "barcode")
+    met = carriers.join(skew.cut(kept, hot, "barcode", "hash"), ["barcode", "_part"])
     near = met.where(F.col("x") != F.col("hash")).groupBy("x", "hash").agg(F.count("*").alias("share"))
     return share_counts(near)
 
@@ -251,14 +261,17 @@ def flag_errors(scores: DataFrame, crib: DataFrame) -> DataFrame:
     return typed.withColumn("flagged", F.coalesce(wrong, F.lit(False)))
 
 
-def score_summary(typed_scores: DataFrame) -> DataFrame:
-    """Per truth class: targets too thin, scored targets, and the least, mean and largest score."""
-    return typed_scores.groupBy("type").agg(
+def score_summary(typed_scores: DataFrame, ranged: DataFrame) -> DataFrame:
+    """Per truth class: targets too thin, scored targets, the least, mean and largest score, and how many targets lie
+    outside the depth range, so that they are nobody's neighbours."""
+    inside = ranged.select(F.col("hash").alias("x"), F.lit(True).alias("inside"))
+    return typed_scores.join(inside, "x", "left").groupBy("type").agg(
         F.count_if(F.col("score").isNull()).alias("low"),
         F.count("score").alias("n"),
         F.coalesce(F.min("score"), F.lit(1.0)).alias("min_score"),
         F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("max_score"),
+        F.count_if(F.col("inside").isNull()).alias("outside"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..spec import HashSpec, SKETCH_SPEC
+from . import skew
 from .sketch import sketch
 
 # Shared hits that make an overlap, hits below which a read without overlaps is
@@ -80,7 +81,8 @@ def first_hits(hits: DataFrame) -> DataFrame:
 def shared_hits(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Pairs of hits ``x`` (first occurrence in its read) and ``y`` (any occurrence), also within one read.
 
-    ``wanted(read_id)`` restricts ``x``.
+    ``wanted(read_id)`` restricts ``x``. Copy classes of the reads' own set bound the occurrences of a hash; those of
+    another set do not, so a hash with very many is cut into parts.
     """
     single = single_copy_hits(hits)
     x_side = single.join(wanted, "read_id", "left_semi") if wanted is not None else single
@@ -92,7 +94,8 @@ def shared_hits(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         "hash", F.col("read_id").alias("y"), F.col("ord").alias("y_ord"),
         F.col("pos").alias("y_pos"), F.col("is_fwd").alias("y_fwd"),
     )
-    return x.join(y, "hash")
+    hot = skew.hot_keys(single, "hash")
+    return skew.copied(x, hot, "hash").join(skew.cut(y, hot, "hash", "y", "y_ord"), ["hash", "_part"]).drop("_part")
 
 
 def overlaps(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

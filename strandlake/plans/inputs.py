@@ -18,8 +18,6 @@ CODE_FACTOR = 2654435761
 PART_RANGE = (10, 60)
 #: Added to the numbers of references that are there a second time.
 SECOND_COPY = 1_000_000
-#: Depths of suppliers that are scored for errors.
-SUPPLIER_RANGE = (500, 650)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

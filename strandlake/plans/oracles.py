@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..spec import LINKED_READ_SPEC, SKETCH_SPEC, HashSpec
-from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SECOND_COPY, SUPPLIER_RANGE
+from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SECOND_COPY
 
 ORACLES: dict[str, str] = {}
 
@@ -436,8 +436,11 @@ add(
     "SELECT depth, x, share, n FROM topless JOIN targets USING (x)",
 )
 SCORES = (
-    f"{ORDER_SUPPLIERS},\nranged AS (SELECT hash FROM depths WHERE depth >= {SUPPLIER_RANGE[0]} AND depth < {SUPPLIER_RANGE[1]}),\n"
-    f"{neighbours('SELECT hash AS x FROM ranged')},\n{TOPLESS},\n"
+    f"{ORDER_SUPPLIERS},\n"
+    "running AS (SELECT depth, sum(count(*)) OVER (ORDER BY depth) AS up_to, sum(count(*)) OVER () AS total FROM depths GROUP BY depth),\n"
+    "middle AS (SELECT min(depth) AS median FROM running WHERE up_to > floor(total * 0.5)),\n"
+    "ranged AS (SELECT hash FROM depths, middle WHERE depth >= (median + 1) // 2 AND depth <= 2 * median),\n"
+    f"{neighbours('SELECT hash AS x FROM depths')},\n{TOPLESS},\n"
     "folded AS (SELECT x, max(share) AS max_share, sum(n) AS n, "
     "sum(CASE WHEN share > 3 THEN n * (share - 3) * (share - 3) ELSE 0 END) AS weight FROM topless GROUP BY x),\n"
     "scored AS (SELECT d.hash AS x, d.depth, max_share, CASE WHEN d.depth >= 5 AND max_share > 3 THEN "
@@ -452,7 +455,8 @@ add(
 add(
     "error_score_summary", SCORES,
     "SELECT type, count(*) - count(score) AS low, count(score) AS n, round(coalesce(min(score), 1.0), 6) AS min_score, "
-    "round(coalesce(avg(score), 0.0), 6) AS mean_score, round(coalesce(max(score), 0.0), 6) AS max_score FROM typed GROUP BY type",
+    "round(coalesce(avg(score), 0.0), 6) AS mean_score, round(coalesce(max(score), 0.0), 6) AS max_score, "
+    "count(*) FILTER (x NOT IN (SELECT hash FROM ranged)) AS outside FROM typed GROUP BY type",
 )
 
 # ------------------------------------------------------------------------------------ truth

@@ -307,22 +307,23 @@ def share_scan(spark, sf):
 
 
 def _error_scores(spark, sf):
+    """Scores of every supplier, whose neighbours are those around the median depth; and these."""
     inc = cut_lineage(inputs.order_supplier_incidence(spark, sf))
     depths = incidence.hash_depths(inc)
-    ranged = incidence.in_range(depths, [inputs.SUPPLIER_RANGE])
-    shares = incidence.share_histogram(inc, ranged, ranged.select(F.col("hash").alias("x")))
+    ranged = incidence.in_range(depths, [incidence.middle_range(depths)])
+    shares = incidence.share_histogram(inc, ranged, depths.select(F.col("hash").alias("x")))
     scores = incidence.error_scores(shares, depths)
-    return incidence.flag_errors(scores, inputs.supplier_crib(spark, sf))
+    return incidence.flag_errors(scores, inputs.supplier_crib(spark, sf)), ranged
 
 
 @query
 def error_scores(spark, sf):
-    return rounded(_error_scores(spark, sf), "score")
+    return rounded(_error_scores(spark, sf)[0], "score")
 
 
 @query
 def error_score_summary(spark, sf):
-    summary = incidence.score_summary(_error_scores(spark, sf))
+    summary = incidence.score_summary(*_error_scores(spark, sf))
     return rounded(summary, "min_score", "mean_score", "max_score")
 
 
