@@ -52,7 +52,9 @@ _TINY = 1e-250
 #: Longer words may underflow in most of their length; they are done in logarithms from the start.
 _LONG = 64
 _CELLS = 1 << 17
-_REMEMBERED = 300_000
+#: Below so many words at a place their pieces are added up together, not by length.
+_FEW = 64
+_REMEMBERED = 600_000
 _REMEMBERED_LENGTH = 24
 _COUNTED_AT_ONCE = 150_000
 _COUNTED_CHARS = 1 << 24
@@ -167,30 +169,44 @@ class _Lattice:
         words = [marked(w) for w in words]
         self.size = np.array([len(w) for w in words], np.int64)
         self.width = int(self.size.max(initial=0))
-        n = len(words)
-        prefix = _hash(_codes(words, self.width)) if n else np.zeros((0, 1), np.uint64)
-        inside = np.arange(1, self.width + 1) <= self.size[:, None]
-        most = min(pieces.longest, self.width)
-        # by end, word and length: the pieces that end there
-        there = np.zeros((self.width, n, most), bool)
-        number = np.zeros((self.width, n, most), np.int32)
-        power = np.ones(1, np.uint64)
-        for length in range(1, most + 1):
-            power *= _BASE
-            found, at = pieces.find(prefix[:, length:] - prefix[:, :-length] * power)
-            if length == 1:
-                at, found = np.where(found, at, pieces.size - 1), True
-            there[length - 1:, :, length - 1] = (found & inside[:, length - 1:]).T
-            number[length - 1:, :, length - 1] = at.T
-        end, self.word, self.length = np.nonzero(there)
-        self.piece = number[end, self.word, self.length]
-        self.length += 1
-        self.starts = np.searchsorted(end, np.arange(self.width + 1))
-
-    def _edges(self, end: int):
-        """``(words, lengths, pieces)`` of the pieces that end at ``end``, by word."""
-        some = slice(self.starts[end - 1], self.starts[end])
-        return self.word[some], self.length[some], self.piece[some]
+        codes = np.ascontiguousarray(_codes(words, self.width).T) if words else np.zeros((0, 0), np.uint64)
+        prefix = np.zeros((self.width + 1, len(words)), np.uint64)
+        for end in range(self.width):
+            prefix[end + 1] = prefix[end] * _BASE + codes[end]
+        power = np.cumprod(np.full((min(pieces.longest, max(1, self.width)), 1), _BASE), axis=0)
+        # of each end: (lengths, words, pieces); words stand once in each, or all are in one
+        self.edges = self._by_end(prefix, power) if len(words) >= _FEW else self._at_once(prefix, power)
+
+    def _by_end(self, prefix: np.ndarray, power: np.ndarray) -> list[list[tuple]]:
+        edges = []
+        for end in range(1, self.width + 1):
+            here = np.flatnonzero(self.size >= end)
+            some = prefix if len(here) == len(self.size) else prefix[max(0, end - len(power)):end + 1, here]
+            last = end if some is prefix else len(some) - 1
+            most = min(end, len(power))
+            found, number = self.pieces.find(some[last] - some[last - most:last][::-1] * power[:most])
+            number[0][~found[0]] = self.pieces.size - 1
+            found[0] = True
+            edges.append([
+                (length + 1, here[word], number[length, word])
+                for length in range(most) if len(word := np.flatnonzero(found[length]))
+            ])
+        return edges
+
+    def _at_once(self, prefix: np.ndarray, power: np.ndarray) -> list[list[tuple]]:
+        """For few words, which may be long."""
+        inside = np.arange(1, self.width + 1)[:, None] <= self.size
+        there = np.zeros((self.width, len(power), len(self.size)), bool)
+        number = np.zeros(there.shape, np.int32)
+        for i in range(min(len(power), self.width)):
+            found, at = self.pieces.find(prefix[i + 1:] - prefix[:-i - 1] * power[i])
+            there[i:, i] = (found | (i == 0)) & inside[i:]
+            number[i:, i] = np.where(found, at, self.pieces.size - 1)
+        end, length, word = np.nonzero(there)
+        piece = number[end, length, word]
+        length += 1
+        cut = np.searchsorted(end, np.arange(self.width + 1)).tolist()
+        return [[(length[a:b], word[a:b], piece[a:b])] for a, b in zip(cut, cut[1:], strict=False)]
 
     def forward(self, probability: np.ndarray) -> np.ndarray:
         """Probability of each prefix of each word, by language."""
@@ -202,14 +218,13 @@ class _Lattice:
     def _forward(self, weights, along, over, start, nothing):
         alpha = np.full((self.width + 1, len(self.size), weights.shape[1]), nothing)
         alpha[0] = start
-        for end in range(1, self.width + 1):
-            word, length, piece = self._edges(end)
-            passed = along(alpha[end - length, word], weights[piece])
-            if len(word) and word[0] == word[-1]:
-                alpha[end, word[0]] = over.reduce(passed, axis=0)
-            elif len(word):
-                first = np.flatnonzero(np.diff(word, prepend=-1))
-                alpha[end, word[first]] = over.reduceat(passed, first, axis=0)
+        for end, edges in enumerate(self.edges, 1):
+            for length, word, piece in edges:
+                passed = along(alpha[end - length, word], weights[piece])
+                if isinstance(length, int):
+                    alpha[end, word] = over(alpha[end, word], passed)
+                else:
+                    over.at(alpha[end], word, passed)
         return alpha
 
     def _whole(self, alpha: np.ndarray) -> np.ndarray:
@@ -235,11 +250,11 @@ class _Lattice:
         beta = np.zeros_like(alpha)
         beta[self.size[word], word] = times[word] / whole[word]
         for end in range(self.width, 0, -1):
-            word, length, piece = self._edges(end)
-            passed = probability[piece] * beta[end, word]
-            # a start has one piece that ends here
-            beta[end - length, word] += passed
-            _add(counts, piece, passed * alpha[end - length, word])
+            for length, word, piece in self.edges[end - 1]:
+                passed = probability[piece] * beta[end, word]
+                # a start has one piece that ends here
+                beta[end - length, word] += passed
+                _add(counts, piece, passed * alpha[end - length, word])
         return counts
 
     def log_scores(self, probability: np.ndarray) -> np.ndarray:
@@ -264,15 +279,15 @@ class _Lattice:
         beta[self.size, word] = -alpha[self.size, word]
         counts = np.zeros_like(probability)
         for end in range(self.width, 0, -1):
-            word, length, piece = self._edges(end)
-            passed = logs[piece] + beta[end, word]
-            beta[end - length, word] = np.logaddexp(beta[end - length, word], passed)
-            _add(counts, piece, np.exp(passed + alpha[end - length, word]) * times[word])
+            for length, word, piece in self.edges[end - 1]:
+                passed = logs[piece] + beta[end, word]
+                beta[end - length, word] = np.logaddexp(beta[end - length, word], passed)
+                _add(counts, piece, np.exp(passed + alpha[end - length, word]) * times[word])
         return counts
 
 
 def _add(counts: np.ndarray, piece: np.ndarray, passed: np.ndarray) -> None:
-    if len(piece) > 1000:
+    if len(piece) > _FEW * 32:
         for language in range(counts.shape[1]):
             counts[:, language] += np.bincount(piece, passed[:, language], len(counts))
     else:
@@ -281,12 +296,14 @@ def _add(counts: np.ndarray, piece: np.ndarray, passed: np.ndarray) -> None:
 
 def lattices(words: list[str], pieces: Pieces):
     """Numbers of words and their lattice, a bounded number of characters at a time."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order] + 1
     at = 0
     while at < len(order):
-        to = at + 1
-        while to < len(order) and (to + 1 - at) * (len(words[order[to]]) + 1) <= _CELLS:
-            to += 1
+        most = max(1, _CELLS // int(sizes[at]))
+        fits = sizes[at:at + most] * np.arange(1, min(most, len(order) - at) + 1) <= _CELLS
+        to = at + max(1, int(fits.sum()))
         yield order[at:to], _Lattice([words[i] for i in order[at:to]], pieces)
         at = to
 
@@ -403,11 +420,11 @@ class Scorer:
 
     def _total(self, words: list[str], others: dict[str, np.ndarray]) -> np.ndarray:
         """Log probability of the words, which are remembered or among ``others``."""
-        at = [self.number[w] for w in words if w in self.number]
-        total = self.scores[at].sum(axis=0) + self.model.prior
-        if len(at) < len(words):
-            total = total + np.sum([others[w] for w in words if w not in self.number], axis=0)
-        return total
+        at = list(map(self.number.get, words))
+        if None not in at:
+            return self.scores[at].sum(axis=0) + self.model.prior
+        total = self.scores[[i for i in at if i is not None]].sum(axis=0) + self.model.prior
+        return total + np.sum([others[w] for w, i in zip(words, at, strict=True) if i is None], axis=0)
 
     def _best(self, text: str | None, total: np.ndarray) -> tuple[str, float]:
         if not text or not any(found[0].isalpha() for found in _LETTER.finditer(text)):
