@@ -1,21 +1,26 @@
 """Near-duplicate lines by a join of deletion neighbourhoods; the earliest line stays.
 
 Lines are compared by their words (A-Z in lower case, split at ASCII white space). Two lines match if their words are
-equal, or, for lines of at least ``MIN_WORDS`` words, if one word inserted, dropped or replaced makes them equal. A line
-goes if a line before it, in order of id and line number, matches it; lines without words always stay.
+equal, or if one edit in ``PARTS`` = 8 (one part inserted, dropped or replaced) makes them equal. What may be edited grows with
+the line: a word, where the longer of the two has 8 or more; a code point of the words joined by blanks, where the shorter
+has fewer words and the longer 8 or more code points; nothing in lines below that. So "Page 3 of 10" goes after "Page 2 of
+10", and short lines that differ in a whole word stay. A line goes if a line before it, in order of id and line number,
+matches it; lines without words always stay.
 
 1. ``line_rows``: one pass over the texts gives each line's 128-bit hash and four hashes of its halves. Equal lines are
    grouped, so that a common line is one row.
 2. One edit leaves one half as it is. Halves that more than one line has set bits in a filter of fixed size, and a
    second pass takes the lines that it lets through (some too many are harmless). The others match no line.
-3. ``neighbourhoods``: the hash of such a line, and of the line without each of its words. Again only hashes that
-   more than one line has go on, by a filter of fixed size.
-4. ``earliest``: lines that are equal without their word number ``i`` all match each other; a line matches each that
-   equals it without some word. So the first line of every such group is offered to its members: an aggregation, in
+3. ``neighbourhoods``: the hash of such a line, and of the line without each of its words (code points; lines of a length
+   between emit both). Again only hashes that more than one line has go on, by a filter of fixed size.
+4. ``earliest``: lines that are equal without their part number ``i`` all match each other; a line matches each that
+   equals it without some part. So the first line of every such group is offered to its members: an aggregation, in
    which no pairs are formed however large the group.
 5. Offers are verified on the words of both lines.
 
-Rows that repeat id and text are one document; a null id comes last. Null and empty texts have no lines.
+Rows that repeat id and text are one document. A null id comes last; rows that share an id go by a hash of the text. Null and
+empty texts have no lines, empty tables no rows. A very long line takes memory in proportion to its length; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import all_salts, map_batches, salt, text_bytes
 
-MIN_WORDS = 8
+PARTS = 8
 FILTER_BITS = 26
 _LINES_AT_ONCE = 50_000
 _LAST = 2**63 - 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _SIZE = 0xA0761D6478BD642F
+_KINDS = (b"w", b"c")
 
 _PLACE = ["doc_id", "text_key", "line_no"]
 _HASH = ["h1", "h2"]
@@ -54,27 +60,40 @@ def lines_of(text: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in (text or b"").lower().split(b"\n")]
 
 
-def half_hashes(words: list[bytes]) -> list[int]:
+def parts_of(words: list[bytes]) -> list[tuple[bytes, list[bytes]]]:
+    """What is edited in a line, with its kind: words, code points, or either."""
+    kinds = []
+    if len(words) >= PARTS - 1:
+        kinds.append((b"w", words))
+    if len(words) <= PARTS and len(chars := b" ".join(words).decode()) >= PARTS - 1:
+        kinds.append((b"c", [c.encode() for c in chars]))
+    return kinds
+
+
+def half_hashes(words: list[bytes]) -> np.ndarray:
     """Hashes of the halves of a line, as the shorter and as the longer of two lines."""
     halves = []
-    for n in (len(words), len(words) - 1):
-        cut = n // 2
-        for side, half in ((b"first", words[:cut]), (b"last", words[len(words) - (n - cut):])):
-            halves.append(xxhash.xxh64_intdigest(b"%b %d %b" % (side, n, b" ".join(half))))
-    return halves
+    for kind, parts in parts_of(words):
+        glue = b" " if kind == b"w" else b""
+        for n in (len(parts), len(parts) - 1):
+            cut = n // 2
+            for side, half in ((b"first", parts[:cut]), (b"last", parts[len(parts) - (n - cut):])):
+                halves.append(xxhash.xxh64_intdigest(b"%b %b %d %b" % (kind, side, n, glue.join(half))))
+    return np.array(halves, np.uint64).view(np.int64)
 
 
-def cut_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of a line, and then of the line without each of its words, in time that grows with the line.
+def cut_hashes(parts: list[bytes], kind: bytes = b"w") -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a line, and then of the line without each of its parts, in time that grows with the line.
 
-    A line hashes to the sum of its words' hashes times powers of a base; without a word, the later terms lose one power.
+    A line hashes to the sum of its parts' hashes times powers of a base; without a part, the later terms lose one power.
     """
-    n = len(words)
+    n = len(parts)
     sizes = np.full(n + 1, n - 1, np.uint64)
     sizes[0] = n
     hashes = []
     for seed, base in enumerate(_BASES):
-        own = np.fromiter((xxhash.xxh64_intdigest(word, seed) for word in words), np.uint64, n)
+        seed += 2 * _KINDS.index(kind)
+        own = np.fromiter((xxhash.xxh64_intdigest(part, seed) for part in parts), np.uint64, n)
         powers = np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
         sums = np.append(np.uint64(0), np.cumsum(own * powers))
         cuts = sums[:-1] + (sums[-1:] - sums[1:]) * np.uint64(pow(base, -1, 2**64))
@@ -82,8 +101,17 @@ def cut_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes[0], hashes[1]
 
 
-def within_one_edit(one: list[str], other: list[str]) -> bool:
-    """Whether one word inserted, dropped or replaced makes the lines equal, or they are."""
+def match(one: list[bytes], other: list[bytes]) -> bool:
+    """Whether lines with these words match."""
+    if max(len(one), len(other)) >= PARTS and within_one_edit(one, other):
+        return True
+    few = min(len(one), len(other)) < PARTS
+    one, other = (b" ".join(words).decode() for words in (one, other))
+    return few and max(len(one), len(other)) >= PARTS and within_one_edit(one, other)
+
+
+def within_one_edit(one, other) -> bool:
+    """Whether one part inserted, dropped or replaced makes two sequences equal, or they are."""
     least = min(len(one), len(other))
     same = next((i for i in range(least) if one[i] != other[i]), least)
     left = least - same
@@ -91,16 +119,18 @@ def within_one_edit(one: list[str], other: list[str]) -> bool:
     return max(len(one), len(other)) - same - back <= 1
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """Tells the texts of an id apart, and a null id from the largest."""
+    return F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).isNull())
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("text_key"),
-        text.alias("text"),
-    )
+    number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST))
+    return docs.select(number.alias("doc_id"), _key(id_col, text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
 
 
 def line_rows(texts: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, line_no, h1, h2, halves)`` of every line with words; ``halves`` is null for short lines."""
+    """``(doc_id, text_key, line_no, h1, h2, halves)`` of every line with words."""
 
     def hashed(batches):
         for batch in batches:
@@ -111,9 +141,7 @@ def line_rows(texts: DataFrame) -> DataFrame:
                         row.append(i)
                         number.append(line_no)
                         digests.append(_pair(b" ".join(words)))
-                        halves.append(
-                            np.array(half_hashes(words), np.uint64).view(np.int64) if len(words) >= MIN_WORDS else None
-                        )
+                        halves.append(half_hashes(words))
             taken = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(number, pa.int64()), *_longs(digests),
@@ -167,10 +195,7 @@ def candidate_lines(texts: DataFrame, bits: np.ndarray) -> DataFrame:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, key, text in zip(ids, keys, text_bytes(batch.column(2)), strict=True):
                 for line_no, words in enumerate(lines_of(text)):
-                    if len(words) < MIN_WORDS:
-                        continue
-                    halves = np.array(half_hashes(words), np.uint64).view(np.int64)
-                    if _is_set(known, halves).any():
+                    if words and _is_set(known, half_hashes(words)).any():
                         line, place = b" ".join(words), (doc, key, line_no)
                         digest = _pair(line)
                         if digest not in held or place < held[digest][0]:
@@ -188,33 +213,35 @@ def candidate_lines(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def _variant_keys(batches):
     for batch in batches:
-        keys = [np.unique(cut_hashes(line.as_py().split())[0]) for line in batch.column(0)]
+        keys = [np.unique(cut_hashes(parts, kind)[0]) for line in batch.column(0) for kind, parts in parts_of(line.as_py().split())]
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["v1"])
 
 
 def neighbourhoods(lines: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(v1, v2, cut, h1, h2, place, line)``: a hash without word ``cut``, if its bit is set; ``cut`` -1 is the whole
-    line, with its words."""
+    """``(v1, v2, cut, h1, h2, place, line)``: a hash without part ``cut``, if its bit is set; ``cut`` -1 is the whole
+    line, once with its words."""
     shared = lines.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches):
         for batch in batches:
-            row, cuts, first, second = [], [], [], []
+            row, cuts, first, second, bare = [], [], [], [], []
             for i, line in enumerate(batch.column(3)):
-                one, other = cut_hashes(line.as_py().split())
-                keep = _is_set(shared.value, one)
-                keep[0] = True
-                some = np.flatnonzero(keep)
-                row.append(np.full(len(some), i))
-                cuts.append(some - 1)
-                first.append(one[some])
-                second.append(other[some])
+                for number, (kind, parts) in enumerate(parts_of(line.as_py().split())):
+                    one, other = cut_hashes(parts, kind)
+                    keep = _is_set(shared.value, one)
+                    keep[0] = True
+                    some = np.flatnonzero(keep)
+                    row.append(np.full(len(some), i))
+                    cuts.append(some - 1)
+                    first.append(one[some])
+                    second.append(other[some])
+                    bare.append((some > 0) | (number > 0))
             if not row:
                 continue
             row, cuts = np.concatenate(row), np.concatenate(cuts)
             taken = pa.array(row)
-            texts = batch.column(3).take(pa.array(row, pa.int64(), mask=cuts >= 0))
+            texts = batch.column(3).take(pa.array(row, pa.int64(), mask=np.concatenate(bare)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(first)), pa.array(np.concatenate(second)), pa.array(cuts),
                  *(batch.column(j).take(taken) for j in range(3)), texts],
@@ -251,10 +278,10 @@ def _verified(offers: DataFrame, near: DataFrame) -> DataFrame:
     def check(batches):
         for batch in batches:
             one, other = (batch.column(i).to_pylist() for i in (2, 3))
-            close = [within_one_edit(a.split(), b.split()) for a, b in zip(one, other, strict=True)]
+            close = [match(a.split(), b.split()) for a, b in zip(one, other, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(close, pa.bool_())) for c in batch.columns[:2]], names=_HASH)
 
-    lines = near.where("cut < 0").select(*_HASH, "line")
+    lines = near.where("line IS NOT NULL").select(*_HASH, "line")
     first = lines.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("line").alias("first"))
     pairs = offers.join(lines, _HASH).join(first, ["f1", "f2"]).select(*_HASH, "line", "first")
     return map_batches(pairs, check, "h1 bigint, h2 bigint")
@@ -269,7 +296,7 @@ def kept_lines(
         F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves")
     )
     lines = cut_lineage(lines)
-    halves = lines.where("halves IS NOT NULL").select(F.explode("halves").alias("half"))
+    halves = lines.select(F.explode("halves").alias("half"))
     some = cut_lineage(candidate_lines(texts, _shared_bits(halves, filter_bits)))
     keys = map_batches(some.select("line"), _variant_keys, "v1 bigint")
     near = cut_lineage(neighbourhoods(some, _shared_bits(keys, filter_bits)))
@@ -278,7 +305,7 @@ def kept_lines(
     stay = stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
     rows = docs.select(
         F.col(id_col), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("__id"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_key"),
+        _key(id_col, text_col).alias("text_key"),
     )
     stay = stay.select(F.col("doc_id").alias("__id"), "text_key", "kept")
     return rows.join(stay, ["__id", "text_key"], "left").select(
@@ -290,7 +317,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``docs`` with only the lines that stay, and those without words, in their texts."""
     kept = kept_lines(docs, id_col, text_col).distinct()
     kept = kept.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__key"), F.col("kept").alias("__kept"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_key(id_col, text_col) == F.col("__key"))
     lines = F.split(text_col, "\n", -1)
     some = F.filter(lines, lambda line, i: ~F.rlike(line, F.lit(r"[^ \t\x0b\f\r]")) | F.array_contains("__kept", i.cast("bigint")))
     return docs.join(kept, same).withColumn(text_col, F.array_join(some, "\n")).select(*docs.columns)
