@@ -13,8 +13,8 @@ Search, over distinct fingerprints only:
   input beyond some hundred million texts; longer keys and more tables are then due.
 * Within a bucket the fingerprints are stored as bit planes, 64 to a word. Distances are counted for a word at a time, with
   carry-save counters that start so that they overflow just beyond the radius; a word is dropped as soon as all its 64 have.
-* Members that are of one group already are not compared. So the first ``FIRST_TABLES`` tables are searched alone; what
-  they find is known in the others, where a large group of copies costs no more than one member. In every bucket, members are
+* Members that are of one group already are not compared. So the first ``FIRST_TABLES`` tables are searched alone; each
+  member's lowest neighbour in them is its root in the others, where a large group of copies costs no more than one member. In every bucket, members are
   first compared with its first 64.
 * A bucket returns one link for each group that it joins to another.
 
@@ -201,9 +201,10 @@ def _link_batches(batches):
 
 def fingerprint_links(prints: DataFrame, tables: list[tuple[int, int]]) -> DataFrame:
     """Links ``(u, v)`` between the roots of ``prints(fp, root)`` that have members within the radius."""
-    keys = F.array(*[F.concat(F.substring("fp", i + 1, 1), F.substring("fp", j + 1, 1)) for i, j in tables])
-    buckets = prints.select("fp", "root", F.posexplode(keys).alias("table", "key"))
-    number = F.col("table") * 65536 + F.conv(F.hex("key"), 16, 10).cast("int")
+    places = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j")) for i, j in tables])
+    buckets = prints.select("fp", "root", F.posexplode(places).alias("table", "at"))
+    key = F.concat(F.substring("fp", F.col("at.i"), F.lit(1)), F.substring("fp", F.col("at.j"), F.lit(1)))
+    number = F.col("table") * 65536 + F.conv(F.hex(key), 16, 10).cast("int")
     dealt = buckets.select(number.alias("bucket"), "root", "fp").repartition("bucket").sortWithinPartitions("bucket", "root")
     return cut_lineage(map_batches(dealt, _link_batches, "u bigint, v bigint").distinct())
 
@@ -215,8 +216,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = cut_lineage(_members(texts))
     prints = members.groupBy("node").agg(F.first("fp").alias("fp"))
     links = fingerprint_links(prints.select("fp", F.col("node").alias("root")), TABLES[:FIRST_TABLES])
-    roots = components(links)
-    rooted = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    rooted = prints.join(lowest, "node", "left").select("fp", F.least("node", "root").alias("root"))
     links = links.unionByName(fingerprint_links(rooted, TABLES[FIRST_TABLES:]))
     groups = components(links)
     return members.join(groups, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("group"))

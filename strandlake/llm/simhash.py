@@ -226,7 +226,8 @@ def drop_surplus(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
     firsts = members.groupBy("group").agg(F.min(rank).alias("first"), F.max(rank).alias("end")).where("first <> end")
     dealt = firsts.select("group", "first", all_salts().alias("salt"))
-    grouped = members.withColumn("salt", salt("id", "text_key")).join(dealt, ["group", "salt"])
+    # the copies for all salts are not to be broadcast
+    grouped = members.withColumn("salt", salt("id", "text_key")).join(dealt.hint("merge"), ["group", "salt"])
     gone = grouped.where(rank != F.col("first")).select(F.col("id").alias("__gone"), F.col("text_key").alias("__gone_key"))
     text_key = F.xxhash64(F.col(text_col).cast("string"))
     same = F.col(id_col).eqNullSafe(F.col("__gone")) & (text_key == F.col("__gone_key"))
