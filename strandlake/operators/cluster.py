@@ -5,9 +5,9 @@ good hash joins the cluster of the earlier good hash through which most of the b
 were first met.
 
 * Numbers within a barcode come from sampled ranges that cut large barcodes (``ranks.grouped_rank``).
-* Pairs of barcodes are dealt once, by the pair: the first meeting is a hash aggregation there, and comes back to the pairs
-  without another exchange. Counts of first meetings are dealt once more, by barcode and hash; the best, the total and
-  the counts of the hashes that join a cluster are found on that partitioning.
+* Pairs of barcodes are never rows: a good hash travels to its barcodes with the list of the others that carry it, which
+  the range bounds. First meetings and their counts are then found for many barcodes at once, as columns of an Arrow batch.
+  A barcode with more than ``PAIRS`` pairs is cut by the other barcode, and its counts are added up by barcode and hash.
 * Clusters are found on the hashes that join one, and united on the reads that lie in several: small tables.
 
 So neither a large barcode nor one with many clusters meets in one row or task. The pairs of barcodes formed are bounded
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ from .ranks import grouped_rank, running_sum
 
 # Fixed value: the support a hash needs to join a cluster.
 DEFAULT_THRESHOLD = 5
+#: Pairs of a barcode and another on some good hash that one task takes.
+PAIRS = 4_000_000
+
+_PAIRS_AT_ONCE = 1_000_000
+_TALLY = ["barcode", "i", "ms", "n", "parent", "total", "whole"]
+_TALLY_SCHEMA = "barcode bigint, i int, ms int, n bigint, parent int, total bigint, whole boolean"
 
 
 def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
@@ -46,28 +54,93 @@ def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     return grouped_rank(rows, ["barcode"], ["depth", "hash"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
 
 
-def _first_meetings(good: DataFrame, mine: DataFrame, start: int) -> DataFrame:
-    """``(barcode, i, ms, n)``, dealt by barcode and ``i``: of the other barcodes on good hash ``i`` of ``mine``, ``n`` were
-    first met on the earlier good hash ``ms``. Good hashes before ``start`` are not looked at."""
-    others = good.select("hash", F.col("barcode").alias("other"))
-    met = mine.where(F.col("i") >= start).select("barcode", "hash", "i").join(others, "hash")
-    met = met.where(F.col("barcode") != F.col("other")).select("barcode", "other", "i").repartition("barcode", "other")
-    first = met.groupBy("barcode", "other").agg(F.min("i").alias("ms"))
-    pairs = met.join(first.hint("shuffle_hash"), ["barcode", "other"]).where("ms < i")
-    return pairs.select("barcode", "i", "ms").repartition("barcode", "i").groupBy("barcode", "i", "ms").agg(F.count("*").alias("n"))
+def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.ListArray):
+    """``(row, ms, n)``, by row and ``ms``: of the barcodes in ``others`` of a row, ``n`` were first met on the earlier ``ms``.
+
+    Rows of a ``group`` stand together, by ``i``; a barcode does not meet its own.
+    """
+    row = np.repeat(np.arange(len(i)), np.diff(others.offsets.to_numpy()))
+    other = others.flatten().to_numpy()
+    met = other != own[row]
+    row, other = row[met], other[met]
+    order = np.lexsort((other, group[row]))
+    new = np.ones(len(order), bool)
+    new[1:] = (other[order][1:] != other[order][:-1]) | (group[row[order]][1:] != group[row[order]][:-1])
+    at = np.flatnonzero(new)
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(i[row[order[at]]], np.diff(np.append(at, len(order))))
+    later = first < i[row]
+    key, n = np.unique((row[later] << 32) | first[later], return_counts=True)
+    return key >> 32, key & ((1 << 32) - 1), n
+
+
+def _tally_batches(batches, threshold: int):
+    """Rows ``(barcode, part, parts, i, others)`` come by barcode, part and ``i``; a group is held until its last row came."""
+    held: list[pa.RecordBatch] = []
+    pairs = 0
+
+    def tally(last: bool):
+        nonlocal held, pairs
+        rows = pa.Table.from_batches(held).combine_chunks()
+        barcode, part, parts, i = (rows.column(k).to_numpy() for k in range(4))
+        new = np.ones(len(i), bool)
+        new[1:] = (barcode[1:] != barcode[:-1]) | (part[1:] != part[:-1])
+        done = len(i) if last else int(np.flatnonzero(new)[-1])
+        held = rows.slice(done).to_batches()
+        pairs = sum(len(b.column(4).flatten()) for b in held)
+        others = rows.slice(0, done).column(4)
+        others = others.chunk(0) if others.num_chunks else pa.array([], others.type)
+        row, ms, n = _meetings_of(np.cumsum(new)[:done], barcode[:done], i[:done].astype(np.int64), others)
+        # count and place in one number, the highest of which is the largest count at the earliest place
+        packed = (n << 32) | ((1 << 32) - 1 - ms)
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        best, total = np.zeros(done, np.int64), np.zeros(done, np.int64)
+        if len(starts):
+            best[row[starts]] = np.maximum.reduceat(packed, starts)
+            total[row[starts]] = np.add.reduceat(n, starts)
+        keep = (best[row] >> 32 >= threshold) | (parts[row] > 1)
+        row, ms, n = row[keep], ms[keep], n[keep]
+        parent = (1 << 32) - 1 - (best[row] & ((1 << 32) - 1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(barcode[row]), pa.array(i[row].astype(np.int32)), pa.array(ms.astype(np.int32)), pa.array(n),
+             pa.array(parent.astype(np.int32)), pa.array(total[row]), pa.array(parts[row] == 1)], names=_TALLY,
+        )
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            pairs += len(batch.column(4).flatten())
+        if pairs >= _PAIRS_AT_ONCE:
+            yield tally(last=False)
+    if held:
+        yield tally(last=True)
 
 
-def _joined(tally: DataFrame, threshold: int) -> DataFrame:
-    """``(barcode, i, ms, n, parent, total)``: the tally of the good hashes that join a cluster, and where they join.
+def _joined(good: DataFrame, mine: DataFrame, start: int, threshold: int) -> DataFrame:
+    """``(barcode, i, ms, n, parent, total)``: first meetings of the good hashes of ``mine`` that join a cluster.
 
-    Count and place are one number, the highest of which is the largest count at the earliest place.
+    Of the ``total`` other barcodes on such a hash that were met before, ``n`` were first met on the earlier good hash
+    ``ms``; it joins ``parent``, the first of those with the largest ``n``, which is at least ``threshold``. Good hashes before
+    ``start`` are not looked at.
     """
+    members = good.groupBy("hash").agg(F.collect_list("barcode").alias("others"))
+    rows = mine.where(F.col("i") >= start)
+    sizes = rows.groupBy("barcode").agg(F.ceil(F.sum("depth") / PAIRS).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.select("barcode", "hash", "i").join(members, "hash").join(sizes, "barcode", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.select("barcode", parts.alias("parts"), "i", "others", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    mine_of = F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts").cast("bigint")) == F.col("part"))
+    rows = rows.select("barcode", "part", "parts", "i", F.when(F.col("parts") == 1, F.col("others")).otherwise(mine_of).alias("others"))
+    dealt = rows.repartition("barcode", "part").sortWithinPartitions("barcode", "part", "i")
+    tallies = cut_lineage(dealt.mapInArrow(lambda batches: _tally_batches(batches, threshold), _TALLY_SCHEMA))
+    whole = tallies.where("whole").drop("whole")
+    # of barcodes that were cut
+    cut = tallies.where("NOT whole").groupBy("barcode", "i", "ms").agg(F.sum("n").alias("n"))
     packed = F.col("n") * (1 << 32) + ((1 << 32) - 1 - F.col("ms"))
-    best = tally.groupBy("barcode", "i").agg(F.max(packed).alias("best"), F.sum("n").alias("total"))
-    best = best.where(F.shiftright("best", 32) >= threshold)
+    best = cut.groupBy("barcode", "i").agg(F.max(packed).alias("best"), F.sum("n").alias("total"))
     parent = ((1 << 32) - 1 - F.col("best").bitwiseAND(F.lit((1 << 32) - 1))).cast("int")
-    best = best.select("barcode", "i", parent.alias("parent"), "total")
-    return tally.join(best.hint("shuffle_hash"), ["barcode", "i"])
+    best = best.where(F.shiftright("best", 32) >= threshold).select("barcode", "i", parent.alias("parent"), "total")
+    return whole.unionByName(cut.join(best, ["barcode", "i"]))
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -127,7 +200,7 @@ def cluster_hashes(
         low, high = codes
         mine = mine.where(F.col("barcode") >= low)
         mine = mine.where(F.col("barcode") < high) if high else mine
-    joined = cut_lineage(_joined(_first_meetings(good, mine, start), threshold))
+    joined = cut_lineage(_joined(good, mine, start, threshold))
     # the place where a hash joins is one row of its tally
     roots = _roots(joined.where("ms = parent").select("barcode", "i", "parent"))
     # clusters are numbered as they are founded: by the first hash that joins the founder

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plain import random_dna, reverse_complement, sampled
 from strandlake import LINKED_READ_SPEC
-from strandlake.operators import barcodes, cluster, incidence, ranks, truth
+from strandlake.operators import barcodes, cluster, incidence, ranks, skew, truth
 from strandlake.operators.sketch import sketch
 
 
@@ -86,6 +86,40 @@ def test_global_rank_and_running_sum(spark):
     assert got == {row: i for i, row in enumerate(sorted(rows), start=1)}
 
 
+def test_ranks_with_an_outlier_and_a_key_of_half_the_rows(spark):
+    rows = [(5, i) for i in range(2000)] + [(rng, -1) for rng in range(10, 1900)] + [(10**17, 3), (-(10**17), 4)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint").repartition(7)
+    ranked = ranks.global_rank(df, "k", "t", "rank")
+    got = {(r["k"], r["t"]): r["rank"] for r in ranked.collect()}
+    assert got == {row: i for i, row in enumerate(sorted(rows), start=1)}
+    # ranges follow the rows: half of them stand under one key, and are cut
+    sizes = [r["count"] for r in ranks._dealt(df, ["k", "t"]).groupBy("_part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * len(rows) / 4
+
+
+def test_grouped_rank_and_running_sum(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.randrange(50), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g bigint, o bigint, t bigint")
+    got = {r["t"]: r["number"] for r in ranks.grouped_rank(df, ["g"], ["o", "t"], "number").collect()}
+    for group in (None, 1, 2, 3):
+        mine = sorted((o, t) for g, o, t in rows if g == group)
+        assert [got[t] for _, t in mine] == list(range(1, len(mine) + 1))
+    sums = {r["t"]: r["before"] for r in ranks.running_sum(df, "t", "o", "before").collect()}
+    assert sums == {t: sum(o for _, o, u in rows if u < t) for _, _, t in rows}
+
+
+def test_hot_keys_are_cut_and_copied(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k bigint, a bigint")
+    right = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 7), (3, 8)], "k bigint, b bigint")
+    hot = skew.hot_keys(right, "k", rows=10)
+    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
+    cut = skew.cut(right, hot, "k", "b")
+    met = skew.copied(left, hot, "k").join(cut, ["k", "_part"]).select("k", "a", "b").collect()
+    assert sorted(map(tuple, met)) == sorted([(1, a, b) for a in range(50) for b in range(100)] + [(2, 0, 7)])
+    assert max(r["count"] for r in cut.groupBy("k", "_part").count().collect()) < 30
+
+
 def plain_clusters(inc, low, high, threshold, start):
     """Straight loops over dictionaries: labels and shares of the good hashes of every barcode."""
     carried = defaultdict(list)
@@ -122,8 +156,11 @@ def plain_clusters(inc, low, high, threshold, start):
     return out
 
 
-@pytest.mark.parametrize("start", [0, 1])
-def test_clusters_match_plain_loops(spark, start):
+@pytest.mark.parametrize("start, pairs, at_once", [(0, 4_000_000, 1_000_000), (1, 50, 1), (0, 200, 300)])
+def test_clusters_match_plain_loops(spark, start, pairs, at_once, monkeypatch):
+    """Whole, or every barcode cut into parts; one group of rows at a time, or many."""
+    monkeypatch.setattr(cluster, "PAIRS", pairs)
+    monkeypatch.setattr(cluster, "_PAIRS_AT_ONCE", at_once)
     rng = random.Random(9)
     rows = sorted({(b, h): rng.randrange(12) for b in range(30) for h in rng.sample(range(60), 25)}.items())
     inc = [(b, h, r) for (b, h), r in rows]
