@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import letters_as_dna
 from ..functions.packing import word_to_bases
-from ..operators import overlap, sketchset
+from ..operators import overlap, ranks, sketchset
 from ..operators.incidence import CRIB_TYPES, build_incidence
 from ..operators.sketch import sketch
 from ..session import cut_lineage
@@ -18,6 +18,8 @@ CODE_FACTOR = 2654435761
 PART_RANGE = (10, 60)
 #: Added to the numbers of references that are there a second time.
 SECOND_COPY = 1_000_000
+#: Lines of a split of :func:`fastq_lines`; no multiple of the lines of a record.
+SPLIT_LINES = 997
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,28 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("ref_id"), letters_as_dna(F.col("text")).alias("seq"))
 
 
+def fastq_lines(spark: SparkSession, sf_dir: str, wrap: int | None = None) -> DataFrame:
+    """``(file, block, value)``: documents as the lines of one FASTQ file, dealt over splits that cut records anywhere.
+
+    Qualities are made of marks that also start headers and plus lines. With ``wrap``, sequences are cut into lines of so many
+    bases, and qualities into lines of ten less.
+    """
+    rows = documents(spark, sf_dir, "lang").withColumn("qual", F.translate("seq", "ACGT", "@+I5"))
+
+    def cut(column: str, size: int | None) -> Column:
+        if size is None:
+            return F.array(column)
+        lines = F.split(F.regexp_replace(column, f"(.{{{size}}})(?=.)", "$1\n"), "\n")
+        return lines
+
+    header = F.concat(F.lit("@"), F.col("read_id"), F.lit(" "), F.coalesce("lang", F.lit("")))
+    parts = F.concat(F.array(header), cut("seq", wrap), F.array(F.lit("+")), cut("qual", wrap and wrap - 10))
+    lines = rows.select("read_id", F.posexplode(parts).alias("part", "value"))
+    numbered = ranks.grouped_rank(lines, [], ["read_id", "part"], "line").withColumn("block", F.floor((F.col("line") - 1) / SPLIT_LINES))
+    dealt = numbered.repartition("block").sortWithinPartitions("block", "line")
+    return dealt.select(F.lit("documents").alias("file"), "block", "value")
+
+
 def document_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketchset.count_sequences(documents(spark, sf_dir))
 

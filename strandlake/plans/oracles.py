@@ -96,6 +96,14 @@ def add(name: str, ctes: str, select: str, recursive: bool = False) -> None:
 
 CLASSED = f"{DOC_HITS},\n{COUNTS},\nclassed AS (SELECT hash, depth, {copy_case()} AS copy FROM counts)"
 
+for _reader in ("fastq_records", "fastq_multi_line_records"):
+    ORACLES[_reader] = (
+        f"WITH reads AS (SELECT doc_id, lang, {dna('text')} AS seq FROM documents) "
+        "SELECT row_number() OVER (ORDER BY doc_id) AS seq_id, doc_id::VARCHAR AS name, coalesce(lang, '') AS \"desc\", seq, "
+        "translate(seq, 'ACGT', '@+I5') AS qual FROM reads"
+    )
+
+
 add("sketch_hits", DOC_HITS, "SELECT sid AS read_id, ord, pos, hash, is_fwd FROM hits")
 
 

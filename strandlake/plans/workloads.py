@@ -14,6 +14,7 @@ from ..operators import (
 )
 from ..operators.sketch import minimizers, sketch
 from ..session import cut_lineage
+from ..sources import fastq, sequences
 from . import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,20 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in columns})
 
 
+# ---------------------------------------------------------------------------------- readers
+
+
+@query
+def fastq_records(spark, sf):
+    """Records of four lines, which lie across splits."""
+    return sequences.fastq_reads(fastq.four_line_records(inputs.fastq_lines(spark, sf)))
+
+
+@query
+def fastq_multi_line_records(spark, sf):
+    return sequences.fastq_reads(fastq.multi_line_records(inputs.fastq_lines(spark, sf, wrap=60)))
+
+
 # ------------------------------------------------------------------------------ sketch sets
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import IUPAC, dna_text_ambiguous
+from . import fastq
 from .lines import numbered
 
 # Wrapped line length of written records, and the first character of the quality scale.
@@ -68,46 +69,40 @@ def read_fasta(
     )
 
 
+def split_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(file, block, value)``: lines with the split they stand in."""
+    rows = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def fastq_reads(records: DataFrame, strict: bool = True, fixed_length: int | None = None) -> DataFrame:
+    """``(seq_id, name, desc, seq, qual)`` from records of :mod:`fastq`."""
+    if fixed_length is not None:
+        fits = F.length("seq") == fixed_length
+        message = F.concat(F.lit("bad record "), F.col("rec").cast("string"), F.lit(" in "), F.col("file"))
+        if strict:
+            records = records.withColumn("seq", F.when(fits, F.col("seq")).otherwise(F.raise_error(message)))
+        else:
+            records = records.where(fits)
+    header = F.substring(F.col("header"), F.lit(2), F.length("header"))
+    return records.select("seq_id", _name(header).alias("name"), _desc(header).alias("desc"), "seq", "qual")
+
+
 def read_fastq(
     spark: SparkSession,
     paths: str | Sequence[str],
     strict: bool = True,
     fixed_length: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Four-line FASTQ. ``strict`` raises on a record that breaks the format, otherwise it is dropped.
+    """FASTQ of four lines a record, or of ``multi_line`` ones. ``strict`` raises on a record that breaks the format, otherwise
+    it is dropped; multi-line files are always strict.
 
     ``fixed_length`` demands that every read has that many bases.
     """
-    lines = numbered(spark, paths).select(
-        "file", F.floor(F.col("in_file") / 4).alias("rec"), (F.col("in_file") % 4).alias("part"),
-        "value", "seq_id",
-    )
-
-    def line(part: int) -> Column:
-        return F.max(F.when(F.col("part") == part, F.col("value")))
-
-    records = lines.groupBy("file", "rec").agg(
-        line(0).alias("header"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual"),
-        F.min("seq_id").alias("first_line"),
-    )
-    whole = (
-        F.col("header").startswith("@")
-        & F.col("plus").startswith("+")
-        & (F.length("seq") == F.length("qual"))
-    )
-    if fixed_length is not None:
-        whole = whole & (F.length("seq") == fixed_length)
-    whole = F.coalesce(whole, F.lit(False))
-    if strict:
-        message = F.concat(F.lit("bad record "), F.col("rec").cast("string"), F.lit(" in "), F.col("file"))
-        records = records.withColumn("seq", F.when(whole, F.col("seq")).otherwise(F.raise_error(message)))
-    else:
-        records = records.where(whole)
-    header = F.substring(F.col("header"), F.lit(2), F.length("header"))
-    return records.select(
-        (F.floor((F.col("first_line") - 1) / 4) + 1).alias("seq_id"),
-        _name(header).alias("name"), _desc(header).alias("desc"), "seq", "qual",
-    )
+    lines = split_lines(spark, paths)
+    records = fastq.multi_line_records(lines) if multi_line else fastq.four_line_records(lines, strict)
+    return fastq_reads(records, strict, fixed_length)
 
 
 def phred(qual: Column) -> Column:

@@ -8,7 +8,7 @@ from plain import random_dna
 from strandlake import HashSpec
 from strandlake.functions import packing
 from strandlake.operators import sketchset
-from strandlake.sources import packed, sequences, tables
+from strandlake.sources import fastq, packed, sequences, tables
 
 
 @pytest.fixture
@@ -69,6 +69,66 @@ def test_fastq_over_splits_and_gzip(spark, tmp_path, small_splits):
     assert sequences.read_sequences(spark, str(tmp_path / "p" / "a.fq")).count() == 70
 
 
+def dealt(spark, lines, sizes):
+    """``lines`` of one file as splits of the given sizes, over and over."""
+    rows, block = [], 0
+    while lines:
+        size = sizes[block % len(sizes)]
+        rows += [("f", block, value) for value in lines[:size]]
+        lines, block = lines[size:], block + 1
+    df = spark.createDataFrame(rows, "file string, block bigint, value string").withColumn("at", F.monotonically_increasing_id())
+    return df.repartition(3, "block").sortWithinPartitions("block", "at").drop("at")
+
+
+def random_records(rng, n, least=0):
+    out = []
+    for i in range(n):
+        size = rng.randrange(least, 90)
+        out.append((f"q{i}", random_dna(rng, size), "".join(rng.choice("@+I5") for _ in range(size))))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[1], [2, 3, 0, 1, 5], [4], [7], [50], [10_000]])
+def test_four_lines_over_any_splits(spark, sizes):
+    rng = random.Random(len(sizes) + sizes[0])
+    records = random_records(rng, 60)
+    sizes = [s for s in sizes if s]
+    df = fastq.four_line_records(dealt(spark, fastq_text(records).split("\n")[:-1], sizes))
+    rows = [(r["rec"], r["seq_id"], r["header"], r["seq"], r["qual"]) for r in df.orderBy("rec").collect()]
+    assert rows == [(i, i + 1, f"@{n} x", s, q) for i, (n, s, q) in enumerate(records)]
+
+
+@pytest.mark.parametrize("sizes", [[1], [3, 2, 1], [11], [40], [10_000]])
+def test_lines_of_any_number_over_any_splits(spark, sizes):
+    rng = random.Random(7 + sizes[0])
+    records = random_records(rng, 60)
+    text = "".join(f"@{n} x\n{wrapped(s, 20)}\n+{rng.choice(['', n, n + ' x'])}\n{wrapped(q, 13)}\n" for n, s, q in records)
+    df = fastq.multi_line_records(dealt(spark, text.split("\n")[:-1], sizes))
+    rows = [(r["rec"], r["seq_id"], r["header"], r["seq"], r["qual"]) for r in df.orderBy("rec").collect()]
+    assert rows == [(i, i + 1, f"@{n} x", s, q) for i, (n, s, q) in enumerate(records)]
+
+
+def test_multi_line_files(spark, tmp_path, small_splits):
+    rng = random.Random(8)
+    records = random_records(rng, 150)
+    for name, some in (("a.fq", records[:100]), ("b.fq", records[100:])):
+        (tmp_path / name).write_text("".join(f"@{n} x\n{wrapped(s, 30)}\n+\n{wrapped(q, 30)}\n" for n, s, q in some))
+    df = sequences.read_fastq(spark, str(tmp_path), multi_line=True)
+    assert [(r["seq_id"], r["name"], r["seq"], r["qual"]) for r in df.orderBy("seq_id").collect()] == [(i, *r) for i, r in enumerate(records, 1)]
+
+
+@pytest.mark.parametrize("text", ["@a\nAC\nGT\n+\nIII\n", "@a\nACGT\n+\nIIIII\n@b\nA\n+\nI\n", "ACGT\n@b\nA\n+\nI\n", "@a\nAC\n+b\nII\n", "@a\nAC\n"])
+@pytest.mark.parametrize("sizes", [[2], [100]])
+def test_multi_line_errors(spark, text, sizes):
+    with pytest.raises(Exception, match="no certain record|mismatching"):
+        fastq.multi_line_records(dealt(spark, text.split("\n")[:-1], sizes)).collect()
+
+
+def test_no_lines(spark):
+    empty = spark.createDataFrame([], "file string, block bigint, value string")
+    assert fastq.four_line_records(empty).count() == fastq.multi_line_records(empty).count() == 0
+
+
 def test_fastq_errors(spark, tmp_path):
     path = tmp_path / "bad.fq"
     path.write_text("@a\nACGT\n+\nIIII\n@b\nACG\n+\nII\n@c\nACGT\n")
