@@ -20,14 +20,20 @@ BASE_SETS = {
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _only(seq: Column, symbols: str) -> Column:
+    """The characters of ``symbols``, in upper case; others are dropped first, as some become such letters."""
+    both = symbols + "".join(c.lower() for c in symbols if c.isalpha())
+    return F.upper(F.regexp_replace(seq, f"[^{both}]", ""))
+
+
 def dna_text(seq: Column) -> Column:
     """Upper-case ACGTN; every other character is dropped."""
-    return F.regexp_replace(F.upper(seq), f"[^{BASES_N}]", "")
+    return _only(seq, BASES_N)
 
 
 def dna_text_ambiguous(seq: Column) -> Column:
     """Upper-case nucleotides, ambiguity codes and gaps; the rest is dropped."""
-    return F.regexp_replace(F.upper(seq), f"[^{IUPAC}-]", "")
+    return _only(seq, f"-{IUPAC}")
 
 
 def dna_ambiguous_to_n(seq: Column) -> Column:
@@ -41,7 +47,7 @@ def dna_index(seq: Column) -> Column:
 
 
 def protein_text(seq: Column) -> Column:
-    return F.regexp_replace(F.upper(seq), r"[^ACDEFGHIKLMNPQRSTVWXY*]", "")
+    return _only(seq, AMINO_ACIDS)
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -51,13 +51,17 @@ def fastq_lines(spark: SparkSession, sf_dir: str, wrap: int | None = None) -> Da
     Qualities are made of marks that also start headers and plus lines. With ``wrap``, sequences are cut into lines of so many
     bases, and qualities into lines of ten less.
     """
-    rows = documents(spark, sf_dir, "lang").withColumn("qual", F.translate("seq", "ACGT", "@+I5"))
+    return as_fastq_lines(documents(spark, sf_dir, "lang"), wrap)
+
+
+def as_fastq_lines(reads: DataFrame, wrap: int | None = None) -> DataFrame:
+    """The same of ``reads(read_id, lang, seq)``."""
+    rows = reads.withColumn("qual", F.translate("seq", "ACGT", "@+I5"))
 
     def cut(column: str, size: int | None) -> Column:
         if size is None:
             return F.array(column)
-        lines = F.split(F.regexp_replace(column, f"(.{{{size}}})(?=.)", "$1\n"), "\n")
-        return lines
+        return F.split(F.regexp_replace(column, f"(.{{{size}}})(?=.)", "$1\n"), "\n")
 
     header = F.concat(F.lit("@"), F.col("read_id"), F.lit(" "), F.coalesce("lang", F.lit("")))
     parts = F.concat(F.array(header), cut("seq", wrap), F.array(F.lit("+")), cut("qual", wrap and wrap - 10))
@@ -67,6 +71,19 @@ def fastq_lines(spark: SparkSession, sf_dir: str, wrap: int | None = None) -> Da
     return dealt.select(F.lit("documents").alias("file"), "block", "value")
 
 
+def titled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(read_id, name, desc, seq)``."""
+    return documents(spark, sf_dir, "lang").select("read_id", F.col("read_id").cast("string").alias("name"), F.col("lang").alias("desc"), "seq")
+
+
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(in_file, seq_id, value)``: documents as the records of one FASTA file, with their own texts as sequences."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    numbered = ranks.grouped_rank(rows, [], ["doc_id"], "seq_id")
+    header = F.concat(F.when(F.col("seq_id") == 1, ">").otherwise(""), F.col("doc_id"), F.lit(" "), F.coalesce("lang", F.lit("")))
+    return numbered.select((F.col("seq_id") - 1).alias("in_file"), "seq_id", F.concat_ws("\n", header, "text").alias("value"))
+
+
 def document_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketchset.count_sequences(documents(spark, sf_dir))
 

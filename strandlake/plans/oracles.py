@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.alphabet import AMBIGUOUS, AMINO_ACIDS, BASES_N, IUPAC
 from ..spec import LINKED_READ_SPEC, SKETCH_SPEC, HashSpec
 from .inputs import CODE_FACTOR, COPY_LEVELS, PART_RANGE, SECOND_COPY
 
@@ -96,6 +97,31 @@ def add(name: str, ctes: str, select: str, recursive: bool = False) -> None:
 
 CLASSED = f"{DOC_HITS},\n{COUNTS},\nclassed AS (SELECT hash, depth, {copy_case()} AS copy FROM counts)"
 
+def _only(symbols: str) -> str:
+    both = symbols + "".join(c.lower() for c in symbols if c.isalpha())
+    return f"upper(regexp_replace(text, '[^{both}]', '', 'g'))"
+
+
+_WRAPPED = "regexp_replace({seq}, '(.{{60}})', '\\1' || chr(10), 'g')"
+# no line after the last, if that is full
+_LINES = "CASE WHEN length({seq}) % 60 = 0 AND length({seq}) > 0 THEN left(" + _WRAPPED + ", -1) ELSE " + _WRAPPED + " END"
+_TITLED = f"SELECT doc_id, doc_id || CASE WHEN coalesce(lang, '') = '' THEN '' ELSE ' ' || lang END AS title, {dna('text')} AS seq FROM documents"
+ORACLES["fasta_texts"] = (
+    f"WITH reads AS ({_TITLED}) SELECT doc_id AS read_id, '>' || title || chr(10) || {_LINES.format(seq='seq')} AS value FROM reads"
+)
+ORACLES["fastq_texts"] = (
+    f"WITH reads AS ({_TITLED}) SELECT doc_id AS read_id, "
+    "'@' || title || chr(10) || seq || chr(10) || '+' || chr(10) || translate(seq, 'ACGT', '@+I5') AS value FROM reads"
+)
+ORACLES["fasta_records"] = (
+    "SELECT row_number() OVER (ORDER BY doc_id) AS seq_id, doc_id::VARCHAR AS name, coalesce(lang, '') AS \"desc\", "
+    f"{_only('-' + IUPAC)} AS seq FROM documents"
+)
+ORACLES["converted_texts"] = (
+    f"SELECT doc_id, {_only(BASES_N)} AS bases, {_only('-' + IUPAC)} AS ambiguous, "
+    f"translate({_only('-' + IUPAC)}, '{AMBIGUOUS}', '{'N' * len(AMBIGUOUS)}') AS to_n, translate({_only(BASES_N)}, 'ACGTN', '01230') AS digits, "
+    f"{_only(AMINO_ACIDS)} AS amino_acids FROM documents"
+)
 for _reader in ("fastq_records", "fastq_multi_line_records"):
     ORACLES[_reader] = (
         f"WITH reads AS (SELECT doc_id, lang, {dna('text')} AS seq FROM documents) "
@@ -233,6 +259,18 @@ def overlay(text: str, base: str, at: str) -> str:
     return f"(substr({text}, 1, {at}) || {base} || substr({text}, {at} + 2))"
 
 
+ORACLES["whitelist_lines"] = (
+    "WITH lines AS (SELECT c_custkey, barcode FROM (SELECT c_custkey, "
+    f"{user_barcode('c_custkey')} AS barcode FROM customer) UNION ALL SELECT c_custkey, '' FROM customer WHERE c_custkey % 7 = 0), "
+    "numbered AS (SELECT row_number() OVER (ORDER BY c_custkey, barcode) AS line_no, barcode FROM lines) "
+    "SELECT line_no, barcode FROM numbered WHERE barcode <> ''"
+)
+ORACLES["fastq_fixed_length_records"] = (
+    f"WITH reads AS (SELECT p_partkey, {user_barcode('p_partkey')} AS seq FROM part) "
+    "SELECT row_number() OVER (ORDER BY p_partkey) AS seq_id, p_partkey::VARCHAR AS name, '' AS \"desc\", seq, "
+    "translate(seq, 'ACGT', '@+I5') AS qual FROM reads"
+)
+
 EVENT_CODES = (
     f"coded AS (SELECT event_id, {user_barcode('user_id')} AS code, "
     "substr('ACGT', 1 + ((event_id // 16) % 4)::INT, 1) AS base FROM events),\n"

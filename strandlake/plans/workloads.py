@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import letters_as_dna, reverse_complement
+from ..functions.alphabet import (
+    dna_ambiguous_to_n, dna_index, dna_text, dna_text_ambiguous, letters_as_dna, protein_text, reverse_complement,
+)
 from ..functions.packing import pack_pair, unpack_pair
 from ..operators import (
-    barcodes, cluster, composition, histogram, incidence, mapping, overlap, sketchset, truth,
+    barcodes, cluster, composition, histogram, incidence, mapping, overlap, ranks, sketchset, truth,
 )
 from ..operators.sketch import minimizers, sketch
 from ..session import cut_lineage
@@ -40,6 +42,50 @@ def fastq_records(spark, sf):
     return sequences.fastq_reads(fastq.four_line_records(inputs.fastq_lines(spark, sf)))
 
 
+@query
+def fastq_fixed_length_records(spark, sf):
+    """Records of parts, whose reads all have one length; others would be an error."""
+    parts = inputs.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("read_id"), F.lit(None).cast("string").alias("lang"), inputs.user_barcode(F.col("p_partkey")).alias("seq")
+    )
+    return sequences.fastq_reads(fastq.four_line_records(inputs.as_fastq_lines(parts)), fixed_length=16)
+
+
+@query
+def fasta_records(spark, sf):
+    """Titles and sequences of documents, whose texts are wrapped; characters that are no symbols are dropped."""
+    return sequences.fasta_reads(inputs.fasta_records(spark, sf))
+
+
+@query
+def fasta_texts(spark, sf):
+    return inputs.titled_documents(spark, sf).select("read_id", sequences.fasta_text().alias("value"))
+
+
+@query
+def fastq_texts(spark, sf):
+    rows = inputs.titled_documents(spark, sf).withColumn("qual", F.translate("seq", "ACGT", "@+I5"))
+    return rows.select("read_id", sequences.fastq_text().alias("value"))
+
+
+@query
+def converted_texts(spark, sf):
+    """Texts through the alphabets."""
+    rows = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    made = {"bases": dna_text, "ambiguous": dna_text_ambiguous, "to_n": dna_ambiguous_to_n, "digits": dna_index, "amino_acids": protein_text}
+    return rows.select("doc_id", *[convert(F.col("text")).alias(name) for name, convert in made.items()])
+
+
+@query
+def whitelist_lines(spark, sf):
+    """Barcodes of customers as lines, every seventh after an empty one."""
+    code = inputs.user_barcode(F.col("c_custkey"))
+    lines = inputs.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), F.lower(code)).alias("value"))
+    blank = lines.where("c_custkey % 7 = 0").select("c_custkey", F.lit("").alias("value"))
+    numbered = ranks.grouped_rank(lines.unionByName(blank), [], ["c_custkey", "value"], "seq_id")
+    return sequences.whitelist(numbered)
+
+
 @query
 def fastq_multi_line_records(spark, sf):
     return sequences.fastq_reads(fastq.multi_line_records(inputs.fastq_lines(spark, sf, wrap=60)))

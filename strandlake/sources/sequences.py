@@ -46,9 +46,15 @@ def read_fasta(
     A first record without a header has an empty name; empty records are kept. ``invalid="fail"``
     raises on characters outside the nucleotide alphabet.
     """
+    return fasta_reads(numbered(spark, paths, "\n>"), convert, invalid)
+
+
+def fasta_reads(
+    records: DataFrame, convert: Callable[[Column], Column] = dna_text_ambiguous, invalid: str = "drop"
+) -> DataFrame:
+    """``(seq_id, name, desc, seq)`` of ``records(in_file, seq_id, value)``, texts that were split before each ``>``."""
     if invalid not in ("drop", "fail"):
         raise ValueError(f"unknown handling {invalid!r}")
-    records = numbered(spark, paths, "\n>")
     headless = (F.col("in_file") == 0) & ~F.col("value").startswith(">")
     text = F.when(headless, F.concat(F.lit("\n"), F.col("value"))).otherwise(
         F.regexp_replace("value", "^>", "")
@@ -136,19 +142,32 @@ def _title(mark: str) -> Column:
     return F.concat(F.lit(mark), F.col("name"), desc)
 
 
+def fasta_text() -> Column:
+    """A record of ``name``, ``desc`` and ``seq``, its lines wrapped."""
+    return F.concat_ws("\n", _title(">"), _wrapped("seq"))
+
+
+def fastq_text() -> Column:
+    """A record of ``name``, ``desc``, ``seq`` and ``qual``, four lines."""
+    return F.concat_ws("\n", _title("@"), F.col("seq"), F.lit("+"), F.col("qual"))
+
+
 def write_fasta(df: DataFrame, path: str, compression: str = "none") -> None:
-    text = F.concat_ws("\n", _title(">"), _wrapped("seq"))
-    df.select(text.alias("value")).write.option("compression", compression).text(path)
+    df.select(fasta_text().alias("value")).write.option("compression", compression).text(path)
 
 
 def write_fastq(df: DataFrame, path: str, compression: str = "none") -> None:
-    text = F.concat_ws("\n", _title("@"), F.col("seq"), F.lit("+"), F.col("qual"))
-    df.select(text.alias("value")).write.option("compression", compression).text(path)
+    df.select(fastq_text().alias("value")).write.option("compression", compression).text(path)
 
 
 def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, barcode)``, one 16-mer per line; another length is an error."""
-    lines = numbered(spark, path).select(
+    return whitelist(numbered(spark, path))
+
+
+def whitelist(lines: DataFrame) -> DataFrame:
+    """``(line_no, barcode)`` of ``lines(seq_id, value)``; empty lines are none."""
+    lines = lines.select(
         F.col("seq_id").alias("line_no"), F.upper(F.trim("value")).alias("barcode")
     ).where(F.col("barcode") != "")
     message = F.concat(F.lit("bad barcode line "), F.col("line_no").cast("string"))
