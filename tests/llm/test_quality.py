@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -46,6 +47,59 @@ def test_scores_follow_the_rules(spark):
     assert scores == pytest.approx([0.5, 1 / (1 + 2.718281828459045 ** -2)])
 
 
+def plain_statistics(text):
+    """Straight loops over the bytes of a text."""
+    data = (text or "").encode()
+    n = len(data)
+
+    def share(some):
+        return sum(b in some for b in data) / n if n else 0.0
+
+    words, word = [], b""
+    for b in data + b" ":
+        if b in b" \t\n\r\x0b\x0c":
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([b])
+    lines = data.split(b"\n")
+    m = max(len(words), 1)
+    good_ends = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.,;:!?)\"'-"
+    odd = 0
+    for w in words:
+        odd += len(w) > 1 and w[-1] in b"!?" and w[-2] in b"!?" or not (w[-1] in good_ends or w[-1] >= 128)
+    return {
+        "log_bytes": math.log(1 + n), "log_words": math.log(1 + len(words)), "word_bytes": n / m,
+        "upper": share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": share(b"0123456789"), "space": share(b" \t\n\r"),
+        "symbol": share(b"#$%&*+<=>@[]^_`{|}~/\\"), "mark": share(b"!\"'(),-.:;?"), "beyond": share(range(128, 256)),
+        "lines": len(lines) / m, "line_repeats": 1 - len(set(lines)) / len(lines),
+        "word_repeats": 1 - len(set(words)) / m if words else 0.0, "odd_ends": odd / m,
+        "short_words": sum(len(w) <= 2 for w in words) / m, "long_words": sum(len(w) > 20 for w in words) / m,
+        "top_word": max(map(words.count, set(words)), default=0) / m,
+    }
+
+
+def test_scores_of_all_rows_by_plain_rules(spark, sf):
+    """Statistics, rules and the logistic sum once more in plain Python, over every row of the table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 20000")
+    odd = [(90_001, None), (90_002, ""), (90_003, "¿Qué?? a!! b) c> ~ \n\n x\x0by"), (90_003, "the same id"), (None, "no id 12")]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scores, ensemble = quality.score_documents(docs, labels, F.lit(True))
+    assert len(ensemble.rules) > 3
+    expected = []
+    for doc, text in docs.collect():
+        numbers = plain_statistics(text)
+        total = ensemble.intercept
+        for rule, weight in ensemble.rules:
+            if all(numbers[name] > bound if above else numbers[name] <= bound for name, above, bound in rule):
+                total += weight
+        expected.append((-1 if doc is None else doc, 1 / (1 + math.exp(-total))))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in scores.collect())
+    assert [g[0] for g in got] == [e[0] for e in sorted(expected)]
+    assert [g[1] for g in got] == pytest.approx([e[1] for e in sorted(expected)], abs=1e-9)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in op8_quality(spark, folder).collect()}
