@@ -15,7 +15,7 @@ from .functions.packing import pack_pair
 from .operators import (
     barcodes, cluster, composition, histogram, incidence, mapping, overlap, sketchset, truth,
 )
-from .operators.sketch import sketch
+from .operators.sketch import sketch_pieces
 from .session import build_session
 from .sources import packed, sequences, tables
 from .spec import DEFAULT_FACTOR, HashSpec, LINKED_READ_K
@@ -97,7 +97,7 @@ def map_index(spark, args):
     spec = spec_of(args)
     refs = sequences.read_sequences(spark, args.references).withColumnRenamed("seq_id", "ref_id")
     mapping.check_unique_names(refs)
-    hits = mapping.reference_hits(refs, spec)
+    hits = mapping.reference_hits(refs, spec, in_pieces=True)
     tables.save(
         "reference", args.out, spec, ref_hits=hits, ref_seqs=mapping.reference_sequences(refs)
     )
@@ -296,9 +296,8 @@ def linked_scan(spark, args):
 
 
 def _genome(spark, path, spec):
-    return sketch(sequences.read_fasta(spark, path), [F.col("seq_id").alias("chr")], "seq", spec).select(
-        "hash", "chr", "pos"
-    )
+    chromosomes = sequences.read_fasta(spark, path).withColumnRenamed("seq_id", "chr")
+    return sketch_pieces(chromosomes, ["chr"], "seq", spec).select("hash", "chr", "pos")
 
 
 def linked_crib(spark, args):

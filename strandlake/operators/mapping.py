@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import HashSpec, SKETCH_SPEC
+from .ranks import grouped_rank
 from .sketch import sketch, sketch_pieces
 
 # How far a chain may drift off its diagonal (in hits), and the single-copy hits that
@@ -16,6 +17,8 @@ from .sketch import sketch, sketch_pieces
 MAX_DRIFT = 50
 MIN_HITS = 2
 COPY_MULTI = 3
+#: Bases of a piece of a giant reference.
+PIECE_BASES = 1 << 22
 
 
 def reference_hits(
@@ -23,21 +26,23 @@ def reference_hits(
     spec: HashSpec = SKETCH_SPEC,
     sketch_set: DataFrame | None = None,
     in_pieces: bool = False,
+    piece_bases: int = PIECE_BASES,
 ) -> DataFrame:
     """``(ref_id, ref_ord, hash, offset)`` of ``refs(ref_id, seq)``; ``ref_ord`` counts along each reference.
 
     With ``sketch_set`` only hashes of that set are indexed, and ``ref_ord`` counts those. ``in_pieces``
-    spreads few giant references over the cluster.
+    spreads few giant references over the cluster, as overlapping pieces of ``piece_bases``; hits are then numbered by
+    sampled ranges, which cut a giant reference too.
     """
     if in_pieces:
-        hits = sketch_pieces(refs, ["ref_id"], "seq", spec)
+        hits = sketch_pieces(refs, ["ref_id"], "seq", spec, piece_bases)
     else:
         hits = sketch(refs, ["ref_id"], "seq", spec)
     if sketch_set is not None:
         hits = hits.join(sketch_set.select("hash"), "hash", "left_semi")
     if sketch_set is not None or in_pieces:
-        along = Window.partitionBy("ref_id").orderBy("pos")
-        hits = hits.withColumn("ord", F.row_number().over(along) - 1)
+        hits = grouped_rank(hits.select("ref_id", "pos", "hash"), ["ref_id"], ["pos"], "ord")
+        hits = hits.withColumn("ord", (F.col("ord") - 1).cast("int"))
     return hits.select("ref_id", F.col("ord").alias("ref_ord"), "hash", F.col("pos").alias("offset"))
 
 

@@ -679,6 +679,10 @@ add(
     "reference_index", f"{INDEX},\n{PLACES}",
     "SELECT hash, copy, r1 AS ref1, f1 AS off1, r2 AS ref2, f2 AS off2 FROM places",
 )
+add(
+    "reference_hits_in_pieces", hits(f"SELECT page_id AS sid, {dna('html')} AS dna FROM pages", "page_hits"),
+    "SELECT sid AS ref_id, ord AS ref_ord, hash, pos AS \"offset\" FROM page_hits",
+)
 add(
     "reference_summary", INDEX,
     "SELECT count(*) FILTER (copy = 1) AS n_copy1, count(*) FILTER (copy = 2) AS n_copy2, count(*) FILTER (copy = 3) AS n_multi, "

@@ -533,6 +533,13 @@ def reference_index(spark, sf):
     )
 
 
+@query
+def reference_hits_in_pieces(spark, sf):
+    """Pages as references, hashed in pieces of 500 bases."""
+    refs = inputs.table(spark, sf, "pages").select(F.col("page_id").alias("ref_id"), letters_as_dna(F.col("html")).alias("seq"))
+    return mapping.reference_hits(refs, in_pieces=True, piece_bases=500)
+
+
 @query
 def reference_summary(spark, sf):
     refs = inputs.references(spark, sf)
