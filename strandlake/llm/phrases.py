@@ -12,7 +12,9 @@ consecutive words of a test item; an item with fewer words, but not none, is one
 4. ``phrase_matches``: the anchor's postings, moved back by its offset, give the possible starts of a window; these
    are intersected with the postings of the next rarest terms, each moved by its offset, one term at a time
    while lists are long, then all the rest at once. What remains are the exact occurrences.
-   ``proximity_matches`` asks that two terms occur within a distance, in any order.
+
+``proximity_matches`` finds all places where two terms stand within a distance, in any order, from complete lists of both;
+decontamination does not use it.
 
 Test items are taken in blocks of at most ``BLOCK_WINDOWS`` distinct windows, so that the terms a task looks up
 have a fixed bound; each block is one pass over the documents, and all rows take part in every block.
@@ -202,20 +204,29 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     return done.unionByName(whole).distinct()
 
 
-def proximity_matches(index: DataFrame, first: int, second: int, distance: int) -> DataFrame:
-    """``(doc_id, text_key, pos, other)``: the nearest ``second`` on each side within ``distance`` of a ``first``.
+def proximity_matches(
+    docs: DataFrame, pairs: list[tuple[str, str]], distance: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, text_key, first, second, pos, other)``: all places of two terms at most ``distance`` words apart, in any order.
 
-    Exact for terms of which one is an anchor and ``distance`` is below the window's length.
+    The index has every occurrence of the terms of ``pairs``, which are words in lower case. Positions meet by document and
+    stretch of positions, so that a frequent term of a long document is dealt over its stretches. A term paired with itself
+    gives each two of its places once, the earlier first. Rows that repeat id and text are one.
     """
-    pairs = index.where(F.col("term").isin(first, second)).distinct()
-    by_place = Window.partitionBy(*_KEYS).orderBy("pos")
-    other = F.when(F.col("term") == second, F.col("pos"))
-    before = F.last(other, ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    by_place = Window.partitionBy(*_KEYS).orderBy(F.desc("pos"))
-    after = F.last(other, ignorenulls=True).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    sides = pairs.withColumn("before", before).withColumn("after", after).where(F.col("term") == first)
-    near = sides.withColumn("other", F.explode(F.array("before", "after")))
-    return near.where(F.abs(F.col("other") - F.col("pos")) <= distance).select(*_KEYS, "pos", "other")
+    numbers = {t.encode(): i for i, t in enumerate(sorted({t for pair in pairs for t in pair}))}
+    index = postings(_keyed(docs, id_col, text_col), numbers, set(numbers.values()), window=1)
+    index = index.select(*_KEYS, "pos", "term").distinct()
+    wanted = [(a, b, numbers[a.encode()], numbers[b.encode()]) for a, b in pairs]
+    wanted = docs.sparkSession.createDataFrame(wanted, "first string, second string, term bigint, then bigint")
+    stretch = F.floor(F.col("pos") / (distance + 1))
+    ones = index.join(F.broadcast(wanted), "term").withColumn("stretch", stretch)
+    others = index.select(
+        *_KEYS, F.col("term").alias("then"), F.col("pos").alias("other"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")
+    )
+    met = ones.alias("o").join(others.alias("p"), _same("o", "p", "then", "stretch"))
+    apart = F.col("p.other") - F.col("o.pos")
+    near = (F.abs(apart) <= distance) & ((F.col("o.term") != F.col("o.then")) | (apart > 0))
+    return met.where(near).select("o.doc_id", "o.text_key", "first", "second", "pos", "other")
 
 
 def _word_counts(batches):

@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from strandlake.llm import phrases
-from strandlake.session import cut_lineage
 
 
 def plain_words(text):
@@ -73,13 +72,25 @@ def test_empty_tables(spark):
     assert found(spark, [(1, "a b")], []) == plain([(1, "a b")], [])
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "rare x y common z common"), (2, "common " * 4 + "q q q q rare")], "doc_id bigint, text string")
-    rows = phrases._keyed(docs, "doc_id", "text")
-    numbers = {b"common": 0, b"rare": 1}
-    index = cut_lineage(phrases.postings(rows, numbers, {1}))
-    near = phrases.proximity_matches(index, 1, 0, 4).collect()
-    assert [(r.doc_id, r.pos, r.other) for r in near] == [(1, 0, 3)]
+@pytest.mark.parametrize("distance", [0, 1, 4, 30])
+def test_proximity_of_all_places(spark, distance):
+    rng = random.Random(distance)
+    docs = [(i, " ".join(rng.choices(["rare", "Common", "other", "x", "y"], [1, 6, 3, 20, 20], k=120))) for i in range(15)]
+    docs += [(20, None), (21, ""), (None, "rare common, rare"), (22, "common " * 40), (22, "common " * 40), (22, "rare x common")]
+    pairs = [("rare", "common"), ("common", "common"), ("other", "rare"), ("unseen", "rare")]
+    expected = set()
+    for doc, text in docs:
+        words = plain_words(text)
+        for a, b in pairs:
+            expected |= {
+                (str(doc), text, a, b, i, j) for i, w in enumerate(words) if w == a
+                for j, v in enumerate(words) if v == b and abs(i - j) <= distance and (a != b or i < j)
+            }
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("pos", F.lit("clash"))
+    texts = {(r.doc_id, r.k): r.text for r in table.select("doc_id", "text", F.xxhash64("text").alias("k")).collect()}
+    found = phrases.proximity_matches(table, pairs, distance).collect()
+    got = [(str(r.doc_id), texts[r.doc_id, r.text_key], r.first, r.second, r.pos, r.other) for r in found]
+    assert len(got) == len(set(got)) and set(got) == expected and (expected or distance == 0)
 
 
 def test_drop(spark):
