@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,95 +137,137 @@ _CHAIN_SCHEMA = (
     "query_id bigint, len int, q_start int, q_end int, ref_id bigint, ref_start int, ref_end int, "
     "n1 int, n2 int, ref_span int, copy1 int"
 )
+_SEED_COLUMNS = ["query_id", "len", "i", "pos", "copy", "ref1", "ord1", "off1", "ref2", "ord2", "off2"]
+#: An open chain: its reference, its first and latest seed, its counts; ``way`` is the direction, 0 while it is open.
+_STATE = ["open", "ref", "i0", "pos0", "ord0", "off0", "pos", "ord", "off", "n1", "n2", "way", "drifted"]
 
 
-class _Chain:
-    """An open chain: its founding seed, its latest seed and its hit counts."""
-
-    __slots__ = ("first", "last", "n1", "n2", "sign", "drifted")
-
-    def __init__(self, seed, place, single):
-        self.first = self.last = (seed, place)
-        self.n1, self.n2 = int(single), int(not single)
-        self.sign, self.drifted = 0, False
-
-    def accepts(self, place) -> bool:
-        """Whether ``place`` continues the chain: same reference, same direction, and the chain so
-        far within ``MAX_DRIFT`` of its diagonal."""
-        if place[0] != self.first[1][0]:
-            return False
-        if self.sign == 0:
-            return True
-        return not self.drifted and (place[1] - self.last[1][1]) * self.sign >= 0
-
-    def extend(self, seed, place, single):
-        self.last = (seed, place)
-        self.n1 += single
-        self.n2 += not single
-        walked = place[1] - self.first[1][1]
-        self.sign = (walked > 0) - (walked < 0)
-        self.drifted = abs(abs(walked) - (seed[0] - self.first[0][0])) > MAX_DRIFT
-
-    def row(self):
-        (_, q_start), (ref, start_ord, ref_start) = self.first
-        (_, q_end), (_, end_ord, ref_end) = self.last
-        return q_start, q_end, ref, ref_start, ref_end, self.n1, self.n2, abs(end_ord - start_ord)
-
-
-class _Query:
-    """The chains of one query so far."""
-
-    def __init__(self, query, length):
-        self.key = query
-        self.length = length
-        self.chain: _Chain | None = None
-        self.rows: list[tuple] = []
-        self.copy1 = 0
-
-    def close(self, support):
-        if self.chain is not None and support(self.chain) > MIN_HITS:
-            self.rows.append(self.chain.row())
-
-    def add(self, seed, single, place, second):
-        self.copy1 += single
-        chain = self.chain
-        if chain is not None and not single and not chain.accepts(place):
-            place = second
-        if chain is not None and chain.accepts(place):
-            chain.extend(seed, place, single)
-        else:
-            self.close(lambda c: c.n1)
-            self.chain = _Chain(seed, place, single)
+def _takes(chain: dict, ref: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which chains go on at a place: on their reference, and if they have a direction, along it and not drifted."""
+    along = (chain["drifted"] == 0) & ((order - chain["ord"]) * chain["way"] >= 0)
+    return (chain["open"] == 1) & (ref == chain["ref"]) & ((chain["way"] == 0) | along)
+
 
-    def finish(self, compat_tail):
-        self.close(lambda c: c.n2 if compat_tail else c.n1)
-        return [(self.key, self.length, *row, self.copy1) for row in self.rows]
+def _chain_lanes(seeds: dict, starts: np.ndarray, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chains that close within lanes of seeds, as ``(lane, *_STATE)``; ``state`` has the open chain of each lane, before and after.
+
+    All lanes take a step at a time, the longest last.
+    """
+    closed = []
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    for step in range(int(size.max(initial=0))):
+        lanes = order[:int(np.searchsorted(-size[order], -step))]
+        chain = dict(zip(_STATE, state[:, lanes], strict=True))
+        seed = {name: column[starts[lanes] + step] for name, column in seeds.items()}
+        single = seed["copy"] == 1
+        # a double-copy seed that cannot go on at its first place takes its second, if only to start there
+        second = ~single & (chain["open"] == 1) & ~_takes(chain, seed["ref1"], seed["ord1"])
+        ref, at, off = (np.where(second, seed[f"{c}2"], seed[f"{c}1"]) for c in ("ref", "ord", "off"))
+        on = _takes(chain, ref, at)
+        over = ~on & (chain["open"] == 1)
+        if over.any():
+            closed.append(np.concatenate([lanes[over][None], state[:, lanes[over]]]))
+        for name, begins in (("ref", ref), ("i0", seed["i"]), ("pos0", seed["pos"]), ("ord0", at), ("off0", off)):
+            chain[name] = np.where(on, chain[name], begins)
+        chain["n1"] = np.where(on, chain["n1"], 0) + single
+        chain["n2"] = np.where(on, chain["n2"], 0) + ~single
+        walked = at - chain["ord0"]
+        chain |= {"open": np.ones_like(at), "pos": seed["pos"], "ord": at, "off": off, "way": np.sign(walked)}
+        chain["drifted"] = np.abs(np.abs(walked) - (seed["i"] - chain["i0"])) > MAX_DRIFT
+        state[:, lanes] = [chain[name] for name in _STATE]
+    return (np.concatenate(closed, axis=1) if closed else np.zeros((len(_STATE) + 1, 0), np.int64)), state
 
 
 def _chain_batches(batches: Iterator[pa.RecordBatch], compat_tail: bool) -> Iterator[pa.RecordBatch]:
-    """Chain seeds that arrive sorted by (query, i); an open query is carried from batch to batch."""
-    query: _Query | None = None
+    """Chain seeds that arrive sorted by (query, i).
 
-    def emit(rows):
-        columns = list(zip(*rows)) if rows else [[] for _ in _CHAIN_FIELDS]
+    A lane ends with its query, or where two seeds in a row have no reference in common: there a chain starts, whatever came
+    before. The open chain of the last lane, and the chains found in its query, are carried to the next batch.
+    """
+    carried = np.zeros((len(_STATE), 1), np.int64)
+    key, length, copy1 = None, 0, 0
+    found: list[np.ndarray] = []
+    last: dict[str, int] = {}
+
+    def rows_of(keys, lengths, chains, singles):
+        c = dict(zip(_STATE, chains, strict=True))
+        columns = [keys, lengths, c["pos0"], c["pos"], c["ref"], c["off0"], c["off"], c["n1"], c["n2"], np.abs(c["ord"] - c["ord0"]), singles]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, (_, t) in zip(columns, _CHAIN_FIELDS)],
-            [name for name, _ in _CHAIN_FIELDS],
+            [pa.array(x).cast(kind) for x, (_, kind) in zip(columns, _CHAIN_FIELDS, strict=True)], [name for name, _ in _CHAIN_FIELDS]
         )
 
+    def kept(chains, tail):
+        """Chains with enough hits; ``tail`` marks those that end a query."""
+        c = dict(zip(_STATE, chains, strict=True))
+        return chains[:, (np.where(tail & compat_tail, c["n2"], c["n1"]) > MIN_HITS) & (c["open"] == 1)]
+
+    def finish():
+        chains = np.concatenate([*found, kept(carried, np.ones(1, bool))], axis=1)
+        n = chains.shape[1]
+        return rows_of(np.full(n, key), np.full(n, length), chains, np.full(n, copy1))
+
     for batch in batches:
-        done: list[tuple] = []
-        columns = [batch.column(name).to_pylist() for name in (
-            "query_id", "len", "i", "pos", "copy", "ref1", "ord1", "off1", "ref2", "ord2", "off2")]
-        for key, length, i, pos, copy, r1, o1, f1, r2, o2, f2 in zip(*columns):
-            if query is None or query.key != key:
-                if query is not None:
-                    done += query.finish(compat_tail)
-                query = _Query(key, length)
-            query.add((i, pos), copy == 1, (r1, o1, f1), (r2, o2, f2))
-        yield emit(done)
-    if query is not None:
-        yield emit(query.finish(compat_tail))
+        if not batch.num_rows:
+            continue
+        seeds = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in _SEED_COLUMNS}
+        query, single = seeds["query_id"], seeds["copy"] == 1
+        refs = [np.append(last.get(name, -1), seeds[name]) for name in ("ref1", "ref2")]
+        apart = np.logical_and.reduce([a[1:] != b[:-1] for a in refs for b in refs])
+        fresh = np.append(query[0] != key if key is not None else True, query[1:] != query[:-1])
+        starts = np.flatnonzero(fresh | apart | (np.arange(len(query)) == 0))
+        ends = np.append(starts[1:], len(query))
+        state = np.zeros((len(_STATE), len(starts)), np.int64)
+        if fresh[0]:
+            if key is not None:
+                yield finish()
+            found, copy1 = [], 0
+        elif apart[0]:
+            found.append(kept(carried, np.zeros(1, bool)))
+            # a chain was open (of no reference, -1), so a double-copy seed takes its second place
+            state[0, 0] = 1
+            state[1, 0] = -1
+        else:
+            state[:, :1] = carried
+        # the same for lanes that start within a query
+        inside = np.flatnonzero(~fresh[starts])
+        inside = inside[inside > 0]
+        state[0, inside] = 1
+        state[1, inside] = -1
+        closed, state = _chain_lanes(seeds, starts, ends, state)
+        lane, chains = closed[0], closed[1:]
+        real = chains[1] >= 0
+        lane, chains = lane[real], chains[:, real]
+        enough = chains[_STATE.index("n1")] > MIN_HITS
+        lane, chains = lane[enough], chains[:, enough]
+        # the chains that lanes end with, but for the last lane
+        ended = np.arange(len(starts) - 1)
+        tail = fresh[ends[ended]] if len(ended) else np.zeros(0, bool)
+        support = np.where(tail & compat_tail, state[_STATE.index("n2"), ended], state[_STATE.index("n1"), ended])
+        ended = ended[support > MIN_HITS]
+        lane, chains = np.append(lane, ended), np.concatenate([chains, state[:, ended]], axis=1)
+        carried = state[:, -1:].copy()
+        # by query of the batch
+        number = np.cumsum(fresh)
+        which = number[starts[lane]]
+        singles = np.bincount(number, single, number[-1] + 1).astype(np.int64)
+        first, final = number[0], number[-1]
+        if not fresh[0]:
+            found.append(chains[:, which == first])
+            copy1 += singles[first]
+        if final != first or fresh[0]:
+            if not fresh[0]:
+                singles[first] = copy1
+                chains_open = np.concatenate(found, axis=1)
+                n = chains_open.shape[1]
+                yield rows_of(np.full(n, key), np.full(n, length), chains_open, np.full(n, copy1))
+            done = (which != final) & ((which != first) | fresh[0])
+            yield rows_of(query[starts[lane[done]]], seeds["len"][starts[lane[done]]], chains[:, done], singles[which[done]])
+            found, copy1 = [chains[:, which == final]], singles[final]
+        key, length = query[-1], seeds["len"][-1]
+        last = {name: int(seeds[name][-1]) for name in ("ref1", "ref2")}
+    if key is not None:
+        yield finish()
 
 
 def chain_seeds(seeds: DataFrame, compat_tail: bool = False) -> DataFrame:
@@ -235,8 +278,9 @@ def chain_seeds(seeds: DataFrame, compat_tail: bool = False) -> DataFrame:
     Chains with more than ``MIN_HITS`` single-copy hits are reported (``compat_tail`` judges the last
     chain of a query by its double-copy hits instead).
 
-    Seeds are sorted within partitions and streamed through the chain state, so a task holds one open
-    chain and the chains found in the current query, never its seeds.
+    Seeds are sorted within partitions and stream through as columns: many queries, and parts of one query where the
+    reference changes, are chained at once. A task holds one open chain and the chains found in the current query, never its
+    seeds.
     """
     usable = seeds.where(F.col("copy") < COPY_MULTI).select(
         F.col("query_id").cast("bigint"), "len", "i", "pos", "copy",
