@@ -110,19 +110,22 @@ def four_line_records(lines: DataFrame, strict: bool = True) -> DataFrame:
     placed = found.where("kind <> 'split'").join(splits, _KEY).withColumn("line", F.col("before") + F.col("at"))
     rec = F.floor(F.col("line") / 4).alias("rec")
     texts = ["header", "seq", "plus", "qual"]
-    whole = placed.where((F.col("kind") != "line") & (F.col("line") % 4 == 0)).select("file", rec, *texts)
+    phase = (F.col("line") % 4).alias("phase")
+    whole = placed.where((F.col("kind") != "line") & (F.col("line") % 4 == 0)).select("file", rec, phase, *texts)
     # records that lie across a border, put together from the lines there
     ends = F.col("before") + F.col("n")
     open_ = placed.where("kind = 'line'").where((rec * 4 < F.col("before")) | (rec * 4 + 4 > ends))
     parts = [F.max(F.when(F.col("line") % 4 == i, F.col("header"))).alias(t) for i, t in enumerate(texts)]
-    joined = open_.groupBy("file", rec).agg(*parts)
+    joined = open_.groupBy("file", rec).agg(F.lit(0).cast("bigint").alias("phase"), *parts)
     good = F.coalesce(
         F.col("header").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False)
     )
     both = whole.unionByName(joined).join(files, "file")
     if strict:
         message = F.concat(F.lit("bad record "), F.col("rec").cast("string"), F.lit(" in "), F.col("file"))
-        both = both.withColumn("seq", F.when(good, F.col("seq")).otherwise(F.raise_error(message)))
+        # filters may be tried before that of the phase: rows of another are no error
+        seq = F.when(F.col("phase") != 0, F.lit(None)).when(good, F.col("seq")).otherwise(F.raise_error(message))
+        both = both.withColumn("seq", seq)
     else:
         both = both.where(good)
     return both.select("file", "rec", (F.col("base") + F.col("rec") + 1).alias("seq_id"), *texts)

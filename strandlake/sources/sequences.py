@@ -87,7 +87,7 @@ def fastq_reads(records: DataFrame, strict: bool = True, fixed_length: int | Non
         fits = F.length("seq") == fixed_length
         message = F.concat(F.lit("bad record "), F.col("rec").cast("string"), F.lit(" in "), F.col("file"))
         if strict:
-            records = records.withColumn("seq", F.when(fits, F.col("seq")).otherwise(F.raise_error(message)))
+            records = records.withColumn("seq", F.when(fits | F.col("seq").isNull(), F.col("seq")).otherwise(F.raise_error(message)))
         else:
             records = records.where(fits)
     header = F.substring(F.col("header"), F.lit(2), F.length("header"))
