@@ -319,22 +319,23 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 def _count_words(batches):
     """Words of a task by language, given out before they fill the memory."""
     def rows():
-        keys = list(seen)
+        langs = [lang for lang, words in seen.items() for _ in words]
+        words, times = ([x for words in seen.values() for x in part(words)] for part in (dict.keys, dict.values))
         result = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"],
+            [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["lang", "word", "n"],
         )
         seen.clear()
         return result
 
-    seen: Counter[tuple[str, str]] = Counter()
+    seen: dict[str, Counter[str]] = {}
     chars = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = words_of(text.as_py())
-            seen.update((lang, w) for w in words)
-            chars += sum(len(w) for w in words if len(w) > _REMEMBERED_LENGTH)
-            if len(seen) > _COUNTED_AT_ONCE or chars > _COUNTED_CHARS:
+            seen.setdefault(lang, Counter()).update(words)
+            if max(map(len, words), default=0) > _REMEMBERED_LENGTH:
+                chars += sum(map(len, words))
+            if sum(map(len, seen.values())) > _COUNTED_AT_ONCE or chars > _COUNTED_CHARS:
                 yield rows()
                 chars = 0
     yield rows()
