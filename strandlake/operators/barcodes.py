@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import BASES
 from ..functions.packing import switch_base
+from . import skew
 
 # Barcode length, and the reads that make a barcode good.
 BARCODE_BASES = 16
@@ -63,11 +64,22 @@ def whitelist_variants(whitelist: DataFrame, exact_first: bool = True) -> DataFr
 def correct_barcodes(reads: DataFrame, variants: DataFrame, seq: str = "seq1") -> DataFrame:
     """Reads whose barcode is in the whitelist or one mismatch away; ``barcode`` is the corrected one.
 
-    A barcode that very many reads carry makes one skewed key on the read side only, which adaptive
-    execution splits.
+    Only barcodes that occur are looked up. A barcode that very many reads carry is cut into parts.
     """
     marked = reads.withColumn("raw", raw_barcode(F.col(seq)))
-    return marked.join(variants, "raw").drop("raw")
+    counts = marked.groupBy("raw").agg(F.count("*").alias("n"))
+    hot = skew.parts_of(counts, "raw", "n")
+    found = skew.copied(_looked_up(counts.select("raw"), variants), hot, "raw")
+    return skew.cut(marked, hot, "raw", *reads.columns).join(found, ["raw", "_part"]).drop("raw", "_part")
+
+
+def _looked_up(raw: DataFrame, variants: DataFrame, how: str = "inner") -> DataFrame:
+    """``raw(raw, ...)`` with its variant.
+
+    A plan takes the variants for as small as the whitelist, of which they are 49 times the rows; the hint keeps them
+    from being broadcast.
+    """
+    return raw.join(variants.hint("merge"), "raw", how)
 
 
 def correction_counts(reads: DataFrame, variants: DataFrame, seq: str = "seq1") -> DataFrame:
@@ -76,7 +88,7 @@ def correction_counts(reads: DataFrame, variants: DataFrame, seq: str = "seq1")
     Reads are counted per raw barcode before the lookup.
     """
     raw = reads.groupBy(raw_barcode(F.col(seq)).alias("raw")).agg(F.count("*").alias("n"))
-    looked_up = raw.join(variants, "raw", "left")
+    looked_up = _looked_up(raw, variants, "left")
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))

@@ -16,8 +16,12 @@ ROWS = 10_000
 
 def hot_keys(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
     """``(key, _parts)`` of the keys with more than ``rows`` rows."""
-    counted = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
-    return counted.select(key, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
+    return parts_of(df.groupBy(key).agg(F.count("*").alias("_n")), key, "_n", rows)
+
+
+def parts_of(counts: DataFrame, key: str, n: str, rows: int = ROWS) -> DataFrame:
+    """The same from ``counts(key, n)``."""
+    return counts.where(F.col(n) > rows).select(key, F.ceil(F.col(n) / rows).cast("int").alias("_parts"))
 
 
 def cut(df: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:

@@ -30,6 +30,28 @@ def test_whitelist_precedence(spark):
     assert (counts["n_written"], counts["n_dropped"], counts["n_fixed"], counts["fixed_15"]) == (3, 1, 1, 1)
 
 
+def test_variants_of_a_whitelist_are_not_broadcast(spark, sf):
+    from strandlake.plans.workloads import QUERIES
+
+    for name in ("corrected_barcodes", "corrected_barcodes_latest", "barcode_correction_counts"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+        at = next(i for i, line in enumerate(plan) if "explode([A,C,G,T])" in line)
+        while "Join" not in plan[at]:
+            assert "BroadcastExchange" not in plan[at]
+            at = max(i for i in range(at) if depth[i] < depth[at])
+
+
+def test_a_barcode_of_many_reads_is_cut(spark):
+    white = spark.createDataFrame([(1, "A" * 16), (2, "C" * 16)], "line_no long, barcode string")
+    reads = spark.range(30_000).select("id", F.when(F.col("id") % 100 > 0, "A" * 16).otherwise("C" * 15 + "G").alias("seq1"))
+    fixed = barcodes.correct_barcodes(reads, barcodes.whitelist_variants(white))
+    assert fixed.columns == ["id", "seq1", "barcode", "fix_pos"]
+    counts = {(r["barcode"], r["fix_pos"]): (r["n"], r["ids"]) for r in fixed.groupBy("barcode", "fix_pos").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()}
+    assert counts == {("A" * 16, None): (29_700, 29_700), ("C" * 16, 15): (300, 300)}
+
+
 def test_pairing_needs_every_second_mate(spark):
     schema = "seq_id bigint, name string, seq string, qual string"
     one = spark.createDataFrame([(1, "a", "A", "I"), (2, "b", "C", "I")], schema)
