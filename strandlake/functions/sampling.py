@@ -106,19 +106,10 @@ def sampled_hits(seqs: pa.Array, spec: HashSpec) -> pa.Array:
     return _as_lists(rows, n_rows, at - offsets[rows], hashes, is_fwd)
 
 
-def jump_minimizer_positions(hashes: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and indices that jumping minimizers visit, for rows of ``sizes`` hashes laid end to end.
-
-    A row visits the least hash of its first ``w`` k-mers, then the least of the ``w`` k-mers after each
-    visited one, until a window touches the end. A last window shorter than ``w`` counts only where it
-    beats the previous hash. Among equal hashes the least index modulo ``w`` wins.
-
-    The winner of the window at every index is found at once, by windows of doubling length; then all rows
-    walk from window to window together.
-    """
-    first = np.cumsum(sizes) - sizes
+def _window_winners(hashes: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash the index in its row of the winner of the window that starts there, and the rank of each hash."""
     row_of = np.repeat(np.arange(len(sizes)), sizes)
-    index = np.arange(len(hashes)) - first[row_of]
+    index = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[row_of]
     # rows are set apart, so that no window takes a hash of the next row
     apart = np.arange(len(hashes)) + row_of * w
     order = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
@@ -129,7 +120,21 @@ def jump_minimizer_positions(hashes: np.ndarray, sizes: np.ndarray, w: int) -> t
         step = min(size, w - size)
         key[:-step] = np.minimum(key[:-step], key[step:])
         size += step
-    winner = index + (key[apart] % w - index) % w
+    return index + (key[apart] % w - index) % w, order
+
+
+def jump_minimizer_positions(hashes: np.ndarray, sizes: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and indices that jumping minimizers visit, for rows of ``sizes`` hashes laid end to end.
+
+    A row visits the least hash of its first ``w`` k-mers, then the least of the ``w`` k-mers after each
+    visited one, until a window touches the end. A last window shorter than ``w`` counts only where it
+    beats the previous hash. Among equal hashes the least index modulo ``w`` wins.
+
+    The winner of the window at every index is found at once, by windows of doubling length; then all rows
+    walk from window to window together.
+    """
+    first = np.cumsum(sizes) - sizes
+    winner, order = _window_winners(hashes, sizes, w)
     start = np.zeros(len(sizes), np.int64)
     rows = np.flatnonzero(sizes > 0)
     last = np.full(len(sizes), np.iinfo(np.int64).max)
@@ -152,21 +157,70 @@ def jump_minimizer_positions(hashes: np.ndarray, sizes: np.ndarray, w: int) -> t
     return found_rows[by_row], found[by_row]
 
 
-def minimizer_hits(seqs: pa.Array, spec: HashSpec) -> pa.Array:
-    """For each row the k-mers that the jumping minimizer visits."""
-    bases, offsets = _row_bases(seqs)
-    n_rows = len(offsets) - 1
+def _minimizers_of_rows(bases: np.ndarray, offsets: np.ndarray, spec: HashSpec):
+    """``(row, pos, hash, is_fwd)`` of whole rows, all at once."""
     sizes = np.maximum(np.diff(offsets) - spec.k + 1, 0)
     if not sizes.sum():
         empty = np.zeros(0, np.int64)
-        return _as_lists(empty, n_rows, empty, empty, np.zeros(0, bool))
+        return empty, empty, np.zeros(0, np.uint64), np.zeros(0, bool)
     hashes, is_fwd = strand_hashes(bases, spec)
     first = np.cumsum(sizes) - sizes
     inside = np.repeat(offsets[:-1] - first, sizes) + np.arange(sizes.sum())
     hashes, is_fwd = hashes[inside], is_fwd[inside]
     rows, at = jump_minimizer_positions(hashes, sizes, spec.w)
     where = first[rows] + at
-    return _as_lists(rows, n_rows, at, hashes[where], is_fwd[where])
+    return rows, at, hashes[where], is_fwd[where]
+
+
+def _minimizers_of_pieces(bases: np.ndarray, spec: HashSpec):
+    """``(pos, hash, is_fwd)`` of each piece of one row: the walk goes on where it left the piece before."""
+    n, w = len(bases) - spec.k + 1, spec.w
+    start, last = 0, None
+    while start < n:
+        # pieces start at a multiple of w, so that places modulo w are those of the whole row
+        low = start - start % w
+        high = min(n, low + _BLOCK + 2 * w)
+        hashes, is_fwd = strand_hashes(bases[low:high + spec.k - 1], spec)
+        winner = _window_winners(hashes, np.array([len(hashes)]), w)[0].tolist()
+        values = hashes.tolist()
+        found = []
+        while start < n and (start + w <= high or high == n):
+            at = winner[start - low]
+            if start + w > n and last is not None and values[at] >= last:
+                start = n
+                break
+            found.append(at)
+            last = values[at]
+            start = low + at + 1 if start + w < n else n
+        at = np.array(found, np.int64)
+        yield at + low, hashes[at], is_fwd[at]
+
+
+def minimizer_hits(seqs: pa.Array, spec: HashSpec) -> pa.Array:
+    """For each row the k-mers that the jumping minimizer visits.
+
+    Rows are taken together up to ``_BLOCK`` bases, longer ones in pieces of that size.
+    """
+    bases, offsets = _row_bases(seqs)
+    n_rows = len(offsets) - 1
+    found = [], [], [], []
+    begin = 0
+    while begin < n_rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _BLOCK, side="right")) - 1)
+        block = bases[offsets[begin]:offsets[end]]
+        if len(block) > _BLOCK:
+            parts = ((np.zeros(len(at), np.int64), at, *rest) for at, *rest in _minimizers_of_pieces(block, spec))
+        else:
+            parts = [_minimizers_of_rows(block, offsets[begin:end + 1] - offsets[begin], spec)]
+        for rows, *rest in parts:
+            for column, values in zip(found, (rows + begin, *rest)):
+                column.append(values)
+        begin = end
+    if not found[0]:
+        empty = np.zeros(0, np.int64)
+        return _as_lists(empty, n_rows, empty, empty, np.zeros(0, bool))
+    rows, at, hashes, is_fwd = (np.concatenate(column) for column in found)
+    return _as_lists(rows, n_rows, at, hashes, is_fwd)
 
 
 def sketch_udf(spec: HashSpec):

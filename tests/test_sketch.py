@@ -10,7 +10,8 @@ from plain import canonical, kmer_hash, random_dna, reverse_complement, sampled
 from strandlake import HashSpec
 from strandlake.functions import alphabet
 from strandlake.functions.hashing import canonical_hash, encode_kmer
-from strandlake.functions.sampling import jump_minimizer_positions, sampled_hits
+from strandlake.functions import sampling
+from strandlake.functions.sampling import jump_minimizer_positions, minimizer_hits, sampled_hits
 from strandlake.operators.sketch import minimizers, sketch, sketch_native, sketch_pieces
 
 # Test vectors: k, k-mer, forward hash, reverse-strand hash.
@@ -144,3 +145,31 @@ def test_minimizers_of_rows_laid_end_to_end():
     rng = np.random.default_rng(3)
     rows = [rng.integers(0, 9, n).tolist() for n in (0, 1, 30, 2, 0, 57, 5)]
     assert jumps(*rows, w=5) == [jumps(r, w=5)[0] if r else [] for r in rows]
+
+
+def test_minimizers_of_blocks_and_of_pieces_of_a_long_row(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = ["".join(rng.choice(list("ACGT"), n)) for n in (0, 3, 40, 500, 7, 64, 0, 1203, 9, 10)] + ["A" * 300, "ACG" * 80]
+    for spec in (HashSpec(k=3, w=5), HashSpec(k=9, w=31), HashSpec(k=4, w=1)):
+        whole = minimizer_hits(pa.array(rows), spec).to_pylist()
+        for row, hits in zip(rows, whole, strict=True):
+            kmers = canonical(row, spec.k)
+            assert [h["pos"] for h in hits] == brute_minimizers([h for h, _ in kmers], spec.w)
+        for size in (1, 30, 64, 100):
+            monkeypatch.setattr(sampling, "_BLOCK", size)
+            assert minimizer_hits(pa.array(rows), spec).to_pylist() == whole
+        monkeypatch.undo()
+
+
+def test_minimizers_need_little_memory_beside_the_batch():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    bases = np.frombuffer(b"ACGT", np.uint8)[rng.integers(0, 4, 4_000_000)].tobytes().decode()
+    for rows in ([bases], [bases[i:i + 2000] for i in range(0, len(bases), 2000)]):
+        seqs = pa.array(rows)
+        tracemalloc.start()
+        minimizer_hits(seqs, HashSpec())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 * len(bases)
