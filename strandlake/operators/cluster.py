@@ -5,8 +5,8 @@ good hash joins the cluster of the earlier good hash through which most of the b
 were first met.
 
 * Numbers within a barcode come from sampled ranges that cut large barcodes (``ranks.grouped_rank``).
-* Pairs of barcodes are never rows: a good hash travels to its barcodes with the list of the others that carry it, which
-  the range bounds. First meetings and their counts are then found for many barcodes at once, as columns of an Arrow batch.
+* Pairs of barcodes are never rows: a good hash travels to its barcodes, once, with the list of the others that carry it, which
+  the range bounds, as steps between ascending numbers of seven bits a byte. First meetings and their counts are then found for many barcodes at once, as columns of an Arrow batch.
   A barcode with more than ``PAIRS`` pairs is cut by the other barcode, and its counts are added up by barcode and hash.
 * Clusters are found on the hashes that join one, and united on the reads that lie in several: small tables.
 
@@ -20,8 +20,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..session import cut_lineage
 from . import histogram as hist
@@ -54,6 +56,53 @@ def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     return grouped_rank(rows, ["barcode"], ["depth", "hash"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
 
 
+def _packed(lists: pa.ListArray) -> pa.BinaryArray:
+    """Lists of ascending numbers as their steps, seven bits a byte, of which all but the last of a step have the top bit."""
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()[offsets[0]:offsets[-1]].view(np.uint64)
+    offsets = offsets - offsets[0]
+    steps = values.copy()
+    steps[1:] -= values[:-1]
+    firsts = offsets[:-1][np.diff(offsets) > 0]
+    steps[firsts] = values[firsts]
+    size = 1 + sum((steps >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10))
+    ends = np.append(0, np.cumsum(size))
+    data = np.zeros(ends[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > k)
+        low = (steps[on] >> np.uint64(7 * k)) & np.uint64(127)
+        data[ends[on] + k] = low + np.where(size[on] > k + 1, 128, 0).astype(np.uint64)
+    return pa.Array.from_buffers(
+        pa.binary(), len(lists), [None, pa.py_buffer(ends[offsets].astype(np.int32)), pa.py_buffer(data)]
+    )
+
+
+def _unpacked(packed: pa.BinaryArray) -> pa.ListArray:
+    """The lists of :func:`_packed`; empty ones for nulls."""
+    packed = packed.cast(pa.binary()).fill_null(b"")
+    _, offsets, data = packed.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[packed.offset:packed.offset + len(packed) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0]:offsets[-1]]
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends + 1)[:-1]
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    low = (data & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
+    upto = np.append(np.uint64(0), np.cumsum(np.add.reduceat(low, starts) if len(starts) else low))
+    lists = np.searchsorted(ends, offsets - offsets[0])
+    values = upto[1:] - np.repeat(upto[lists[:-1]], np.diff(lists))
+    return pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _pack_udf():
+    """Column function: a list of ascending numbers, packed."""
+
+    @arrow_udf("binary")
+    def pack_steps(lists: pa.Array) -> pa.Array:
+        return _packed(lists)
+
+    return pack_steps
+
+
 def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.ListArray):
     """``(row, ms, n)``, by row and ``ms``: of the barcodes in ``others`` of a row, ``n`` were first met on the earlier ``ms``.
 
@@ -75,7 +124,10 @@ def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.L
 
 
 def _tally_batches(batches, threshold: int):
-    """Rows ``(barcode, part, parts, i, others)`` come by barcode, part and ``i``; a group is held until its last row came."""
+    """Rows ``(barcode, part, parts, i, others, packed)`` come by barcode, part and ``i``; a group is held until its last row came.
+
+    Other barcodes are packed, or a list where ``packed`` is null.
+    """
     held: list[pa.RecordBatch] = []
     pairs = 0
 
@@ -108,8 +160,12 @@ def _tally_batches(batches, threshold: int):
 
     for batch in batches:
         if batch.num_rows:
-            held.append(batch)
-            pairs += len(batch.column(4).flatten())
+            others, packed = batch.column(4), batch.column(5)
+            lists = _unpacked(packed)
+            if packed.null_count:
+                lists = pc.if_else(packed.is_valid(), lists, others.cast(lists.type))
+            held.append(pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=batch.schema.names[:5]))
+            pairs += len(lists.flatten())
         if pairs >= _PAIRS_AT_ONCE:
             yield tally(last=False)
     if held:
@@ -123,14 +179,17 @@ def _joined(good: DataFrame, mine: DataFrame, start: int, threshold: int) -> Dat
     ``ms``; it joins ``parent``, the first of those with the largest ``n``, which is at least ``threshold``. Good hashes before
     ``start`` are not looked at.
     """
-    members = good.groupBy("hash").agg(F.collect_list("barcode").alias("others"))
+    members = good.groupBy("hash").agg(F.sort_array(F.collect_list("barcode")).alias("others"))
+    members = members.select("hash", "others", _pack_udf()("others").alias("packed"))
     rows = mine.where(F.col("i") >= start)
     sizes = rows.groupBy("barcode").agg(F.ceil(F.sum("depth") / PAIRS).cast("int").alias("parts")).where("parts > 1")
-    rows = rows.select("barcode", "hash", "i").join(members, "hash").join(sizes, "barcode", "left")
+    # parts are known before the lists are added, so that those travel once
+    rows = rows.select("barcode", "hash", "i").join(sizes, "barcode", "left").join(members, "hash")
     parts = F.coalesce("parts", F.lit(1))
-    rows = rows.select("barcode", parts.alias("parts"), "i", "others", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    rows = rows.select("barcode", parts.alias("parts"), "i", "others", "packed", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    whole = F.col("parts") == 1
     mine_of = F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts").cast("bigint")) == F.col("part"))
-    rows = rows.select("barcode", "part", "parts", "i", F.when(F.col("parts") == 1, F.col("others")).otherwise(mine_of).alias("others"))
+    rows = rows.select("barcode", "part", "parts", "i", F.when(~whole, mine_of).alias("others"), F.when(whole, F.col("packed")).alias("packed"))
     dealt = rows.repartition("barcode", "part").sortWithinPartitions("barcode", "part", "i")
     tallies = cut_lineage(dealt.mapInArrow(lambda batches: _tally_batches(batches, threshold), _TALLY_SCHEMA))
     whole = tallies.where("whole").drop("whole")
@@ -307,7 +366,8 @@ def split_codes(
     )
     top = codes.agg(F.max("barcode").alias("top"))
     numbered = subs.where(F.col("n_sub") > 0).join(F.broadcast(top))
-    marked = inc.join(labels.select("barcode", "hash", "sub"), ["barcode", "hash"], "left")
+    # everything that follows is made of these rows
+    marked = cut_lineage(inc.join(labels.select("barcode", "hash", "sub"), ["barcode", "hash"], "left"))
     in_cluster = F.coalesce(F.col("sub"), F.lit(0)) > 0
     moved = marked.where(in_cluster).join(
         numbered.select("barcode", (F.col("top") + F.col("before")).alias("base")), "barcode"

@@ -276,3 +276,42 @@ def test_diploid_truth_and_clusters(spark, diploid):
     moved = codes.where("parent is not null").agg(F.sum("n_hash")).head()[0]
     assert moved == total
     inc.unpersist()
+
+
+def test_lists_of_barcodes_are_packed_and_unpacked():
+    import pyarrow as pa
+
+    lists = [[1, 2, 500], [], [0], [-(1 << 63), -1, 0, (1 << 63) - 1], [127, 128, 16_384 + 128, 1 << 40], []]
+    for some in (lists, lists[:0], [[]], lists[2:]):
+        assert cluster._unpacked(cluster._packed(pa.array(some, pa.list_(pa.int64())))).to_pylist() == some
+    packed = cluster._packed(pa.array(lists, pa.list_(pa.int64())))
+    assert cluster._unpacked(packed[1:4]).to_pylist() == lists[1:4]
+    assert cluster._unpacked(cluster._packed(pa.array(lists, pa.list_(pa.int64()))[2:5])).to_pylist() == lists[2:5]
+    assert cluster._unpacked(pa.array([None, packed[0].as_py()], pa.binary())).to_pylist() == [[], lists[0]]
+    assert len(packed[0].as_py()) == 4
+
+
+def test_lists_of_barcodes_travel_once(spark, sf):
+    from strandlake.plans.inputs import supplier_incidence
+
+    good = cluster.good_hashes(supplier_incidence(spark, sf), [(2, 10_000)])
+    dealt = []
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(cluster, "cut_lineage", lambda df: dealt.append(df) or df)
+            cluster._joined(good, good, 1, 5)
+        plan = dealt[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(threshold, before)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    at = next(i for i, line in enumerate(plan) if "collect_list(barcode" in line)
+    while "Join" not in plan[at]:
+        at = max(i for i in range(at) if depth[i] < depth[at])
+    above = []
+    while depth[at]:
+        at = max(i for i in range(at) if depth[i] < depth[at])
+        above.append(plan[at])
+    assert sum(" Exchange " in line or "+- Exchange" in line for line in above) == 1
