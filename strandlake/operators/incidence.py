@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..spec import HashSpec, LINKED_READ_SPEC
 from . import histogram as hist
 from . import skew
@@ -27,6 +28,9 @@ LOW_SHARE = 3
 MIN_SCORED_DEPTH = 5
 SCORE_CUT = 0.00005
 
+#: Pairs of a target and another hash of its barcodes that one task adds up.
+PAIRS = 2_000_000
+
 CRIB_TYPES = ("err", "htA", "htB", "hom", "mul")
 
 
@@ -152,15 +156,27 @@ def share_histogram(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> Da
 
     Both sides are cut to their hashes before they meet within barcodes, so that the pairs formed are those
     asked for; a depth range bounds them by the range times the rows of the targets. A barcode with very many ranged
-    hashes is cut into parts, which its targets meet one by one.
+    hashes is cut into parts, which its targets meet one by one. Pairs are counted first, so that a task adds up ``PAIRS`` of them.
     """
+    return share_counts(_near(inc, ranged, targets))
+
+
+def _near(inc: DataFrame, ranged: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(x, hash, share)`` of each target and the ranged hashes it meets."""
     kept = inc.join(ranged.select("hash").distinct(), "hash", "left_semi").select("barcode", "hash")
     carriers = inc.join(targets.select(F.col("x").alias("hash")).distinct(), "hash", "left_semi")
-    hot = skew.hot_keys(kept, "barcode")
-    carriers = skew.copied(carriers.select(F.col("hash").alias("x"), "barcode"), hot, "barcode")
-    met = carriers.join(skew.cut(kept, hot, "barcode", "hash"), ["barcode", "_part"])
-    near = met.where(F.col("x") != F.col("hash")).groupBy("x", "hash").agg(F.count("*").alias("share"))
-    return share_counts(near)
+    carriers = carriers.select(F.col("hash").alias("x"), "barcode")
+    sizes = kept.groupBy("barcode").agg(F.count("*").alias("_n")).join(
+        carriers.groupBy("barcode").agg(F.count("*").alias("_m")), "barcode"
+    )
+    sizes = cut_lineage(sizes)
+    hot = skew.parts_of(sizes, "barcode", "_n")
+    pairs = sizes.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    parts = max(int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS))
+    met = skew.copied(carriers, hot, "barcode").join(skew.cut(kept, hot, "barcode", "hash"), ["barcode", "_part"])
+    # few pairs of a task are equal, so they are not counted before they are dealt; the range bounds the rows of a pair
+    dealt = met.where(F.col("x") != F.col("hash")).select("x", "hash").repartition(parts, "x", "hash")
+    return dealt.groupBy("x", "hash").agg(F.count("*").alias("share"))
 
 
 def explore(near: DataFrame, samples: int = 7) -> DataFrame:

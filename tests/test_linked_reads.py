@@ -71,6 +71,18 @@ def test_depth_is_the_length_of_the_inverse_list(spark, sf):
     assert lists.count() == incidence.hash_depths(inc).count()
 
 
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    rng = random.Random(11)
+    carried = {b: rng.sample(range(40), 12) for b in range(60)}
+    inc = spark.createDataFrame([(b, h, 1) for b, hashes in carried.items() for h in hashes], "barcode long, hash long, read long")
+    depths = incidence.hash_depths(inc)
+    expected = Counter((x, h) for hashes in carried.values() for x in hashes for h in hashes if x != h)
+    monkeypatch.setattr(incidence, "PAIRS", 300)
+    near = incidence._near(inc, depths, depths.select(F.col("hash").alias("x")))
+    assert near.rdd.getNumPartitions() == 60 * 12 * 12 // 300 + 1
+    assert {(r["x"], r["hash"]): r["share"] for r in near.collect()} == expected
+
+
 def test_share_histogram_of_barcodes_of_all_sizes(spark):
     rng = random.Random(14)
     members = {b: rng.sample(range(60), rng.choice([2, 4, 8, 20, 40])) for b in range(14)}
