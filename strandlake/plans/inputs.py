@@ -56,19 +56,32 @@ def fastq_lines(spark: SparkSession, sf_dir: str, wrap: int | None = None) -> Da
 
 def as_fastq_lines(reads: DataFrame, wrap: int | None = None) -> DataFrame:
     """The same of ``reads(read_id, lang, seq)``."""
-    rows = reads.withColumn("qual", F.translate("seq", "ACGT", "@+I5"))
+    def lines_of(size: int | None) -> Column:
+        return F.lit(1) if size is None else F.greatest(F.ceil(F.length("seq") / size), F.lit(1))
 
-    def cut(column: str, size: int | None) -> Column:
+    def cut(column: Column, size: int | None) -> Column:
         if size is None:
             return F.array(column)
         return F.split(F.regexp_replace(column, f"(.{{{size}}})(?=.)", "$1\n"), "\n")
 
+    # the reads are numbered by their first lines, and travel as the lines they have in a split
+    n = lines_of(wrap) + lines_of(wrap and wrap - 10) + 2
+    n = n if wrap is None else F.when(F.col("seq").isNull(), 0).otherwise(n)
+    rows = ranks.running_sum(cut_lineage(reads.select("read_id", "lang", "seq", n.cast("bigint").alias("n"))), "read_id", "n", "first")
     header = F.concat(F.lit("@"), F.col("read_id"), F.lit(" "), F.coalesce("lang", F.lit("")))
-    parts = F.concat(F.array(header), cut("seq", wrap), F.array(F.lit("+")), cut("qual", wrap and wrap - 10))
-    lines = rows.select("read_id", F.posexplode(parts).alias("part", "value"))
-    numbered = ranks.grouped_rank(lines, [], ["read_id", "part"], "line").withColumn("block", F.floor((F.col("line") - 1) / SPLIT_LINES))
-    dealt = numbered.repartition("block").sortWithinPartitions("block", "line")
-    return dealt.select(F.lit("documents").alias("file"), "block", "value")
+    qual = cut(F.translate("seq", "ACGT", "@+I5"), wrap and wrap - 10)
+    rows = rows.where("n > 0").select(F.concat(F.array(header), cut(F.col("seq"), wrap), F.array(F.lit("+")), qual).alias("parts"), "first", "n")
+
+    def in_split(block: Column) -> Column:
+        start = F.greatest(F.col("first"), block * SPLIT_LINES)
+        end = F.least(F.col("first") + F.col("n"), (block + 1) * SPLIT_LINES)
+        values = F.slice("parts", (start - F.col("first") + 1).cast("int"), (end - start).cast("int"))
+        return F.struct(block.alias("block"), start.alias("line"), values.alias("values"))
+
+    blocks = F.sequence(F.floor(F.col("first") / SPLIT_LINES), F.floor((F.col("first") + F.col("n") - 1) / SPLIT_LINES))
+    pieces = rows.select(F.inline(F.transform(blocks, in_split)))
+    dealt = pieces.repartition("block").sortWithinPartitions("block", "line")
+    return dealt.select(F.lit("documents").alias("file"), "block", F.explode("values").alias("value"))
 
 
 def titled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

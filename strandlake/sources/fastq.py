@@ -30,6 +30,8 @@ from ..session import cut_lineage
 
 #: Possible first headers of a split whose ways must have met.
 STARTS = 8
+#: Lines at the border of a split that move as one row.
+PIECE_LINES = 500
 
 _AT, _PLUS = ord("@"), ord("+")
 #: Letters, gaps, and white space.
@@ -56,7 +58,7 @@ def _rows(key: tuple, kind: str, at: np.ndarray, *columns: pa.Array) -> pa.Recor
     """Rows of one split; missing columns are null."""
     n = len(at)
     texts = [c.cast(pa.string()) for c in columns] + [pa.nulls(n, pa.string())] * (4 - len(columns))
-    arrays = [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array([kind] * n, pa.string())]
+    arrays = [pa.repeat(pa.scalar(v, kind_of), n) for v, kind_of in ((key[0], pa.string()), (key[1], pa.int64()), (kind, pa.string()))]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(at, pa.int64()), *texts], names=[*_KEY, *_FIELDS])
 
 
@@ -151,10 +153,10 @@ def _ways(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # sequences have no other characters, and a plus line has no other name
     odd = np.append(0, np.cumsum(~pc.match_substring_regex(lines, _BASES).to_numpy(zero_copy_only=False)))
     fits = (odd[plus] == odd[after]) & (first == _AT)
-    for j in np.flatnonzero(fits & (plus < n)):
-        if size[plus[j]] > 1:
-            again = lines[int(plus[j])].as_py()[1:].split(maxsplit=1)
-            fits[j] = not again or again[0] == "".join(lines[int(j)].as_py()[1:].split(maxsplit=1)[:1])
+    heads = np.flatnonzero(fits & (plus < n))
+    for j in heads[size[plus[heads]] > 1].tolist():
+        again = lines[int(plus[j])].as_py()[1:].split(maxsplit=1)
+        fits[j] = not again or again[0] == "".join(lines[j].as_py()[1:].split(maxsplit=1)[:1])
     # an empty record has an empty line of qualities
     then = next_of(size > 0)[np.minimum(np.maximum(end, plus + 1), n)]
     way = np.where(exact, then, np.where((plus < n) & (end <= n), -1, n))
@@ -164,17 +166,18 @@ def _ways(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _certain(way: np.ndarray) -> int:
     """Where the ways from the first possible headers have met; the number of lines if nowhere."""
+    way = way.tolist()
     n = len(way)
-    leads = np.append(way >= 0, True)
+    leads = [to >= 0 for to in way] + [True]
     for j in range(n - 1, -1, -1):
         if leads[j]:
             leads[j] = leads[way[j]]
     # a line after which no record ends within the split says nothing
-    starts = np.flatnonzero(leads[:n] & (way < n))[:STARTS].tolist()
+    starts = [j for j in range(n) if leads[j] and way[j] < n][:STARTS]
     at = starts[0] if starts else n
     for other in starts[1:]:
         while at != other:
-            at, other = (int(way[at]), other) if at < other else (at, int(way[other]))
+            at, other = (way[at], other) if at < other else (at, way[other])
     return at
 
 
@@ -188,6 +191,14 @@ def _record_rows(key: tuple, kind: str, lines: pa.Array, heads: list[int], way:
     )
 
 
+def _piece_rows(key: tuple, kind: str, lines: pa.Array, first: int) -> pa.RecordBatch:
+    """Rows of up to ``PIECE_LINES`` lines each, and the number of the first."""
+    at = np.arange(0, len(lines), PIECE_LINES)
+    offsets = pa.array(np.append(at, len(lines)), pa.int32())
+    pieces = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.cast(pa.string())), "\n")
+    return _rows(key, kind, first + at, pieces)
+
+
 def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, lines in _splits(batches):
         n = len(lines)
@@ -198,8 +209,8 @@ def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads.append(at)
             at = int(way[at])
         yield _record_rows(key, "record", lines, heads, way, plus)
-        yield _rows(key, "head", np.arange(start), lines[:start])
-        yield _rows(key, "tail", np.arange(at, n), lines[at:])
+        yield _piece_rows(key, "head", lines[:start], 0)
+        yield _piece_rows(key, "tail", lines[at:], at)
         yield _rows(key, "split", np.array([len(heads)]), pa.array(["certain" if start < n else "open"]))
 
 
@@ -241,7 +252,8 @@ def multi_line_records(lines: DataFrame) -> DataFrame:
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["file", "group", "block", "kind", "at"]
     dealt = edges.repartition(parts, "file", "group").sortWithinPartitions(*order)
-    borders = cut_lineage(dealt.select("file", F.col("group").alias("block"), F.col("header").alias("value")).mapInArrow(_borders, _SCHEMA))
+    edge_lines = dealt.select("file", F.col("group").alias("block"), F.explode(F.split("header", "\n")).alias("value"))
+    borders = cut_lineage(edge_lines.mapInArrow(_borders, _SCHEMA))
     # records in order: those of a split, then those across its end
     counts = borders.groupBy("file", F.col("block").alias("group")).agg(F.count("*").alias("across"))
     # lines before the first certain record of a file are those of a group 0

@@ -240,3 +240,15 @@ def test_records_have_room_for_160_bases(spark):
         df.select(packing.pack_pair("s1", "q1", "s2", "q2")).collect()
     with pytest.raises(Exception, match="more than 160"):
         df.select(packing.pack_bases(F.col("s1"), 10)).collect()
+
+
+def test_lines_at_borders_move_as_pieces():
+    import pyarrow as pa
+
+    # a split within a record says nothing of where one starts
+    lines = ["ACGT", ""] * 1_000
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * 2_000, "block": pa.array([3] * 2_000, pa.int64()), "value": lines})
+    rows = [r for b in fastq._many(iter([batch])) for r in b.to_pylist()]
+    heads = sorted((r["at"], r["header"]) for r in rows if r["kind"] == "head")
+    assert [line for _, text in heads for line in text.split("\n")] == lines
+    assert [at for at, _ in heads] == list(range(0, 2_000, fastq.PIECE_LINES)) and len(rows) == len(heads) + 1
