@@ -30,7 +30,11 @@ def _if(condition: Column) -> Column:
 
 def read_hits(reads: DataFrame, sketch_set: DataFrame, spec: HashSpec = SKETCH_SPEC) -> DataFrame:
     """All sampled k-mers of ``reads(read_id, seq)``; ``copy`` is NULL where the set lacks the hash."""
-    found = sketch(reads, ["read_id"], "seq", spec)
+    return with_copy(sketch(reads, ["read_id"], "seq", spec), sketch_set)
+
+
+def with_copy(found: DataFrame, sketch_set: DataFrame) -> DataFrame:
+    """The same of k-mers that have been sampled."""
     return found.join(sketch_set.select("hash", "copy"), "hash", "left").select(
         "read_id", "ord", "pos", "hash", "is_fwd", "copy"
     )
@@ -95,6 +99,9 @@ def shared_hits(hits: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         F.col("pos").alias("y_pos"), F.col("is_fwd").alias("y_fwd"),
     )
     hot = skew.hot_keys(single, "hash")
+    if hot.isEmpty():
+        # sides that are cut are dealt once more
+        return x.join(y, "hash")
     return skew.copied(x, hot, "hash").join(skew.cut(y, hot, "hash", "y", "y_ord"), ["hash", "_part"]).drop("_part")
 
 

@@ -119,11 +119,15 @@ def language_sets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def readset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read table, known hits and sketch set of the documents; the hits are written once."""
-    reads = documents(spark, sf_dir)
-    chosen = cut_lineage(classed_set(spark, sf_dir))
-    every = cut_lineage(overlap.read_hits(reads, chosen))
-    return overlap.read_table(reads, every), overlap.known_hits(every), chosen
+    """Read table, known hits and sketch set of the documents, which are sketched once; the hits are written once with their
+    copy classes."""
+    sampled = cut_lineage(sketch(documents(spark, sf_dir), ["read_id"]))
+    chosen = cut_lineage(sketchset.set_copy(sketchset.count_hits(sampled), *COPY_LEVELS))
+    every = cut_lineage(overlap.with_copy(sampled, chosen))
+    # a base for each letter: lengths need no bases
+    letters = F.regexp_replace("text", "[^A-Za-z]", "").alias("seq")
+    lengths = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), letters)
+    return overlap.read_table(lengths, every), overlap.known_hits(every), chosen
 
 
 def order_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:

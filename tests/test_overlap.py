@@ -139,3 +139,22 @@ def test_report_and_pairs(spark, readset):
     listed = overlap.hit_pairs(hits, spark.createDataFrame([(42, 43)], "x bigint, y bigint")).collect()
     n = pairs.where("x = 42 and y = 43").head()["n_hit"]
     assert len(listed) >= n > 3
+
+
+def test_documents_are_sketched_once(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+    from strandlake.operators.sketch import sketch
+    from strandlake.plans import inputs
+
+    seen = []
+
+    def counted(*args, **named):
+        seen.append(args)
+        return sketch(*args, **named)
+
+    for module in (inputs, overlap, sketchset):
+        monkeypatch.setattr(module, "sketch", counted)
+    table, hits, chosen = inputs.readset(spark, sf)
+    assert len(seen) == 1
+    assert table.agg(F.sum("n_hit")).first()[0] == hits.count()
+    assert chosen.count() == hits.select("hash").distinct().count()
