@@ -103,6 +103,29 @@ def _pack_udf():
     return pack_steps
 
 
+def _by_group(group: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order by ``group``, then ``other``, and where in it a new pair of them begins.
+
+    Both and the place are sorted as one number where they fit, which is several times faster.
+    """
+    n = len(group)
+    if n:
+        low, least = int(group.min()), int(other.min())
+        bits = int(n - 1).bit_length()
+        other_bits = (int(other.max()) - least).bit_length()
+        if (int(group.max()) - low).bit_length() + other_bits + bits <= 63:
+            key = (((group - low).astype(np.int64) << other_bits) | (other - least)) << bits
+            key |= np.arange(n)
+            key.sort()
+            order = key & ((1 << bits) - 1)
+            key >>= bits
+            return order, np.append(True, key[1:] != key[:-1])
+    order = np.lexsort((other, group))
+    new = np.ones(n, bool)
+    new[1:] = (other[order][1:] != other[order][:-1]) | (group[order][1:] != group[order][:-1])
+    return order, new
+
+
 def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.ListArray):
     """``(row, ms, n)``, by row and ``ms``: of the barcodes in ``others`` of a row, ``n`` were first met on the earlier ``ms``.
 
@@ -112,9 +135,7 @@ def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.L
     other = others.flatten().to_numpy()
     met = other != own[row]
     row, other = row[met], other[met]
-    order = np.lexsort((other, group[row]))
-    new = np.ones(len(order), bool)
-    new[1:] = (other[order][1:] != other[order][:-1]) | (group[row[order]][1:] != group[row[order]][:-1])
+    order, new = _by_group(group[row], other)
     at = np.flatnonzero(new)
     first = np.empty(len(order), np.int64)
     first[order] = np.repeat(i[row[order[at]]], np.diff(np.append(at, len(order))))

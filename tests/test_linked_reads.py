@@ -327,3 +327,21 @@ def test_lists_of_barcodes_travel_once(spark, sf):
         at = max(i for i in range(at) if depth[i] < depth[at])
         above.append(plan[at])
     assert sum(" Exchange " in line or "+- Exchange" in line for line in above) == 1
+
+
+def test_pairs_are_sorted_as_one_number_where_they_fit(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(5, 60, 5_000))
+    other = rng.integers(-40, 200, 5_000)
+    wide = np.where(other > 100, other + (1 << 61), other)
+    for numbers in (other, wide, other[:0]):
+        own = group[:len(numbers)]
+        expected = np.lexsort((numbers, own))
+        order, new = cluster._by_group(own, numbers)
+        pairs = list(zip(own[expected].tolist(), numbers[expected].tolist(), strict=True))
+        assert order.tolist() == expected.tolist()
+        assert new.tolist() == [k == 0 or pairs[k] != pairs[k - 1] for k in range(len(pairs))]
+    monkeypatch.setattr(np, "lexsort", None)
+    cluster._by_group(group, other)
