@@ -147,7 +147,7 @@ def _meetings_of(group: np.ndarray, own: np.ndarray, i: np.ndarray, others: pa.L
 def _tally_batches(batches, threshold: int):
     """Rows ``(barcode, part, parts, i, others, packed)`` come by barcode, part and ``i``; a group is held until its last row came.
 
-    Other barcodes are packed, or a list where ``packed`` is null.
+    Other barcodes are packed, or the list where ``packed`` is null.
     """
     held: list[pa.RecordBatch] = []
     pairs = 0
@@ -212,6 +212,8 @@ def _joined(good: DataFrame, mine: DataFrame, start: int, threshold: int) -> Dat
     mine_of = F.filter("others", lambda b: F.pmod(F.xxhash64(b), F.col("parts").cast("bigint")) == F.col("part"))
     rows = rows.select("barcode", "part", "parts", "i", F.when(~whole, mine_of).alias("others"), F.when(whole, F.col("packed")).alias("packed"))
     dealt = rows.repartition("barcode", "part").sortWithinPartitions("barcode", "part", "i")
+    # no null lists: Arrow's writer goes over all of a batch that precede a null one once more
+    dealt = dealt.withColumn("others", F.coalesce("others", F.array().cast("array<bigint>")))
     tallies = cut_lineage(dealt.mapInArrow(lambda batches: _tally_batches(batches, threshold), _TALLY_SCHEMA))
     whole = tallies.where("whole").drop("whole")
     # of barcodes that were cut

@@ -345,3 +345,16 @@ def test_pairs_are_sorted_as_one_number_where_they_fit(monkeypatch):
         assert new.tolist() == [k == 0 or pairs[k] != pairs[k - 1] for k in range(len(pairs))]
     monkeypatch.setattr(np, "lexsort", None)
     cluster._by_group(group, other)
+
+
+def test_no_null_lists_are_sent_to_python(spark, sf, monkeypatch):
+    from strandlake.plans.inputs import supplier_incidence
+
+    good = cluster.good_hashes(supplier_incidence(spark, sf), [(2, 10_000)])
+    sent = []
+    send = type(good).mapInArrow
+    monkeypatch.setattr(type(good), "mapInArrow", lambda df, *args: sent.append(df) or send(df, *args))
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df: df)
+    cluster._joined(good, good, 1, 5)
+    rows = sent[0].groupBy().agg(F.count("*"), F.count("others"), F.count("packed"), F.count_if(F.size("others") > 0)).head()
+    assert rows[0] > 0 and rows[0] == rows[1] == rows[2] and rows[3] == 0
