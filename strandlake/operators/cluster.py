@@ -4,11 +4,14 @@ For every barcode the *good* hashes (those in the depth range) are numbered by a
 good hash joins the cluster of the earlier good hash through which most of the barcodes sharing it
 were first met.
 
-* Numbers within a barcode come from sampled ranges that cut large barcodes (``ranks.grouped_rank``).
 * Pairs of barcodes are never rows: a good hash travels to its barcodes, once, with the list of the others that carry it, which
   the range bounds, as steps between ascending numbers of seven bits a byte. First meetings and their counts are then found for many barcodes at once, as columns of an Arrow batch.
-  A barcode with more than ``PAIRS`` pairs is cut by the other barcode, and its counts are added up by barcode and hash.
-* Clusters are found on the hashes that join one, and united on the reads that lie in several: small tables.
+* Barcodes of up to ``PAIRS`` pairs are numbered, tallied, clustered and united where their rows meet (``_labels_of``). The lists
+  travel to one slice of the barcodes after the other, so that the disks hold those of a slice.
+* A barcode with more than ``PAIRS`` pairs is cut by the other barcode, and its counts are added up by barcode and hash. Its numbers
+  come from sampled ranges that cut it (``ranks.grouped_rank``); clusters are found on the hashes that join one, and united on the
+  reads that lie in several: small tables.
+* Tables of the size of the input are written as compressed blocks.
 
 So neither a large barcode nor one with many clusters meets in one row or task. The pairs of barcodes formed are bounded
 by the range: a hash in the range ``[low, high)`` is carried by fewer than ``high`` barcodes.
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..session import cut_lineage
+from ..functions.blocks import ROWS, SCHEMA, as_batch, block_of, pack_batches, tables_in
+from ..session import cut_lineage, cut_lineage_packed, give_up, unpacked
 from . import histogram as hist
 from .incidence import hash_depths, in_range
 from .ranks import grouped_rank, running_sum
@@ -35,9 +39,16 @@ DEFAULT_THRESHOLD = 5
 #: Pairs of a barcode and another on some good hash that one task takes.
 PAIRS = 4_000_000
 
+#: Pairs of a slice of the barcodes, and the most slices, each of which reads all lists.
+SLICE_PAIRS = 250_000_000
+SLICES = 8
+
 _PAIRS_AT_ONCE = 1_000_000
+_BYTES_AT_ONCE = 16 << 20
 _TALLY = ["barcode", "i", "ms", "n", "parent", "total", "whole"]
 _TALLY_SCHEMA = "barcode bigint, i int, ms int, n bigint, parent int, total bigint, whole boolean"
+_ROWS_SCHEMA = "barcode bigint, depth bigint, hash bigint, read bigint, others binary"
+_LABELS_SCHEMA = "barcode bigint, hash bigint, read bigint, depth bigint, i int, raw int, sub int, share double"
 
 
 def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
@@ -49,11 +60,19 @@ def carriers(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     )
 
 
+def _good(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
+    """``(barcode, hash, read, depth)``: the in-range hashes of every barcode."""
+    rows = inc.join(in_range(hash_depths(inc), ranges), "hash")
+    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "hash", "read")], "depth")
+
+
+def _numbered(good: DataFrame) -> DataFrame:
+    return grouped_rank(good, ["barcode"], ["depth", "hash"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
+
+
 def good_hashes(inc: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
     """``(barcode, hash, read, depth, i)``: the in-range hashes of every barcode, numbered from 0."""
-    rows = inc.join(in_range(hash_depths(inc), ranges), "hash")
-    rows = rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("barcode", "hash", "read")], "depth")
-    return grouped_rank(rows, ["barcode"], ["depth", "hash"], "i").withColumn("i", (F.col("i") - 1).cast("int"))
+    return _numbered(_good(inc, ranges))
 
 
 def _packed(lists: pa.ListArray) -> pa.BinaryArray:
@@ -262,27 +281,168 @@ def _merge_by_read(members: DataFrame) -> DataFrame:
             return label
 
 
-def cluster_hashes(
-    inc: DataFrame,
-    ranges: Sequence[tuple[int, int]],
-    threshold: int = DEFAULT_THRESHOLD,
-    start: int = 1,
-    codes: tuple[int, int] | None = None,
-) -> DataFrame:
-    """Cluster every barcode, or those in the half-open range ``codes`` (0 as its end: no end).
+def _list_blocks(batches):
+    """Rows ``(hash, barcode, read, depth, mine)`` come by hash and barcode; blocks of them hold all rows of a hash."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            hashes = rows.column(0).to_numpy()
+            done = int(np.searchsorted(hashes, hashes[-1]))
+            held = rows.slice(done).to_batches()
+            if done:
+                yield as_batch([block_of(rows.slice(0, done))])
+    if held:
+        yield as_batch([block_of(pa.Table.from_batches(held))])
+
+
+def _lists(good: DataFrame) -> DataFrame:
+    """``(block)``: the rows of ``good(hash, barcode, read, depth, mine)`` by hash, ascending by barcode."""
+    rows = good.repartition("hash").sortWithinPartitions("hash", "barcode")
+    made = cut_lineage(rows.select("hash", "barcode", "read", "depth", "mine").mapInArrow(_list_blocks, SCHEMA))
+    give_up(good.sparkSession)
+    return made
+
+
+def _dealt_batches(batches, k: int, slices: int):
+    """Rows ``(barcode, depth, hash, read, others)`` of the barcodes of slice ``k``, from blocks of :func:`_lists`."""
+    for rows in tables_in(batches):
+        rows = rows.combine_chunks()
+        hashes, barcode = rows.column("hash").to_numpy(), rows.column("barcode").to_numpy()
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        ends = np.append(starts, len(hashes))
+        others = _packed(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(barcode)))
+        mixed = barcode.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        here = np.flatnonzero(rows.column("mine").to_numpy() & (mixed % np.uint64(slices) == k))
+        lists = np.searchsorted(starts, here, "right") - 1
+        size = np.cumsum(np.diff(np.frombuffer(others.buffers()[1], np.int32)[:len(starts) + 1])[lists].astype(np.int64) + 32)
+        cuts = np.flatnonzero(np.diff(size // _BYTES_AT_ONCE)) + 1
+        for at, of in zip(np.split(here, cuts), np.split(lists, cuts), strict=True):
+            some = rows.select(["barcode", "depth", "hash", "read"]).take(pa.array(at)).combine_chunks()
+            taken = others.take(pa.array(of))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in some.columns), taken], names=[*some.column_names, "others"])
+
+
+def _lowest(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each of ``n`` groups."""
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, group, value)
+    return low
+
+
+def _united(cluster: np.ndarray, read: np.ndarray, n: int) -> np.ndarray:
+    """The least of the clusters that each of ``n`` is united with, through the reads they share."""
+    label = np.arange(n)
+    while True:
+        by_read = _lowest(read, label[cluster], int(read.max(initial=-1)) + 1)
+        # a cluster goes where the least cluster that one of its reads knows has gone
+        moved = label[np.minimum(label, _lowest(cluster, by_read[read], n))]
+        if (moved == label).all():
+            return label
+        label = moved
+
+
+def _within(group: np.ndarray) -> np.ndarray:
+    """Numbers from 0 within each of the groups, whose rows stand together."""
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:len(group)])
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
+
+
+def _labels_of(barcode: np.ndarray, read: pa.Array, others: pa.ListArray, threshold: int, start: int):
+    """``(i, raw, sub, share)`` of the good hashes of whole barcodes, which stand together by depth and hash."""
+    new = np.append(True, barcode[1:] != barcode[:-1])
+    group = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)[group]
+    i = np.arange(len(group)) - begin
+    looked = np.flatnonzero(i >= start)
+    row, ms, n = _meetings_of(group[looked], barcode[looked], i[looked], others.take(pa.array(looked)))
+    row = looked[row]
+    # count and place in one number, the highest of which is the largest count at the earliest place
+    packed = (n << 32) | ((1 << 32) - 1 - ms)
+    at = np.flatnonzero(np.diff(row, prepend=-1))
+    best, total = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    if len(at):
+        best[row[at]] = np.maximum.reduceat(packed, at)
+        total[row[at]] = np.add.reduceat(n, at)
+    joined = np.flatnonzero((best >> 32 >= threshold) & (total > 0))
+    # parents come before their children; each round doubles the steps
+    root = np.arange(len(i))
+    root[joined] = begin[joined] + (1 << 32) - 1 - (best[joined] & ((1 << 32) - 1))
+    while (root[root] != root).any():
+        root = root[root]
+    share = np.zeros(len(i))
+    first = (root[row] != row) & (begin[row] + ms == root[row])
+    share[row[first]] = n[first] / total[row[first]]
+    # clusters are numbered as they are founded: by the first hash that joins the founder
+    founder, founded = np.unique(root[joined], return_index=True)
+    founder = founder[np.argsort(founded)]
+    raw, of = np.zeros(len(i), np.int64), np.full(len(i), -1)
+    raw[founder] = _within(group[founder]) + 1
+    of[founder] = np.arange(len(founder))
+    raw, of = raw[root], of[root]
+    known = np.flatnonzero((of >= 0) & read.is_valid().to_numpy(zero_copy_only=False))
+    order, apart = _by_group(group[known], read.take(pa.array(known)).to_numpy())
+    low = _united(of[known[order]], np.cumsum(apart) - 1, len(founder))
+    # the clusters that are left are numbered by their least
+    left = np.flatnonzero(low == np.arange(len(low)))
+    number = np.zeros(len(low) + 1, np.int64)
+    number[left] = _within(group[founder[left]]) + 1
+    number[:-1] = number[low]
+    return i, raw, number[of], share
 
-    One row per good hash: ``(barcode, hash, read, depth, i, raw, sub, share)``, where ``raw`` and
-    ``sub`` are its cluster before and after uniting clusters that share a read (0: none), and
-    ``share`` is the part of the met barcodes that were first met at the founder of the cluster.
-    A barcode has room for 2**31 good hashes.
-    """
-    good = cut_lineage(good_hashes(inc, ranges))
-    mine = good
-    if codes is not None:
-        low, high = codes
-        mine = mine.where(F.col("barcode") >= low)
-        mine = mine.where(F.col("barcode") < high) if high else mine
-    joined = cut_lineage(_joined(good, mine, start, threshold))
+
+def _label_batches(batches, threshold: int, start: int):
+    """Rows ``(barcode, depth, hash, read, others)`` come by barcode, depth and hash; a barcode is held until its last row came."""
+    held: list[pa.RecordBatch] = []
+    pairs = 0
+
+    def labelled(last: bool):
+        nonlocal held, pairs
+        rows = pa.Table.from_batches(held).combine_chunks()
+        barcode = rows.column("barcode").to_numpy()
+        done = len(barcode) if last else int(np.searchsorted(barcode, barcode[-1]))
+        held = rows.slice(done).to_batches()
+        pairs = sum(len(b.column(4).flatten()) for b in held)
+        if not done:
+            return None
+        barcode, depth, hashes, read, others = (c.chunk(0) for c in rows.slice(0, done).columns)
+        i, raw, sub, share = _labels_of(barcode.to_numpy(), read, others, threshold, start)
+        numbers = [pa.array(x.astype(np.int32)) for x in (i, raw, sub)]
+        names = ["barcode", "hash", "read", "depth", "i", "raw", "sub", "share"]
+        return pa.RecordBatch.from_arrays([barcode, hashes, read, depth, *numbers, pa.array(share)], names=names)
+
+    for batch in batches:
+        if batch.num_rows:
+            lists = _unpacked(batch.column(4))
+            held.append(pa.RecordBatch.from_arrays([*batch.columns[:4], lists], names=batch.schema.names))
+            pairs += len(lists.flatten())
+        if pairs >= _PAIRS_AT_ONCE and (some := labelled(last=False)):
+            yield some
+    if held:
+        yield labelled(last=True)
+
+
+def _whole_labels(good: DataFrame, pairs: int, threshold: int, start: int) -> DataFrame:
+    """Labels of the barcodes whose rows of ``good(hash, barcode, read, depth, mine)`` are marked, of so many pairs."""
+    lists = _lists(good)
+    slices = min(SLICES, max(1, -(-pairs // SLICE_PAIRS)))
+    made = None
+    for k in range(slices):
+        rows = lists.mapInArrow(lambda batches, k=k: _dealt_batches(batches, k, slices), _ROWS_SCHEMA)
+        dealt = rows.repartition("barcode").sortWithinPartitions("barcode", "depth", "hash")
+        some = cut_lineage(dealt.mapInArrow(lambda batches: pack_batches(_label_batches(batches, threshold, start)), SCHEMA))
+        give_up(good.sparkSession)
+        made = some if made is None else made.unionByName(some)
+    return unpacked(made, _LABELS_SCHEMA)
+
+
+def _cut_labels(good: DataFrame, mine: DataFrame, threshold: int, start: int) -> DataFrame:
+    """Labels of barcodes of any size, whose rows of ``good`` are ``mine``. Null barcodes have no clusters."""
+    mine = cut_lineage(_numbered(mine))
+    joined = cut_lineage(_joined(good, mine.where("barcode IS NOT NULL"), start, threshold))
     # the place where a hash joins is one row of its tally
     roots = _roots(joined.where("ms = parent").select("barcode", "i", "parent"))
     # clusters are numbered as they are founded: by the first hash that joins the founder
@@ -308,6 +468,44 @@ def cluster_hashes(
     )
 
 
+def cluster_hashes(
+    inc: DataFrame,
+    ranges: Sequence[tuple[int, int]],
+    threshold: int = DEFAULT_THRESHOLD,
+    start: int = 1,
+    codes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Cluster every barcode, or those in the half-open range ``codes`` (0 as its end: no end).
+
+    One row per good hash: ``(barcode, hash, read, depth, i, raw, sub, share)``, where ``raw`` and
+    ``sub`` are its cluster before and after uniting clusters that share a read (0: none), and
+    ``share`` is the part of the met barcodes that were first met at the founder of the cluster.
+    A barcode has room for 2**31 good hashes.
+    """
+    good = cut_lineage_packed(_good(inc, ranges))
+    wanted = F.lit(True)
+    if codes is not None:
+        low, high = codes
+        wanted = F.col("barcode") >= low
+        wanted = wanted & (F.col("barcode") < high) if high else wanted
+    sizes = cut_lineage(good.where(wanted).groupBy("barcode").agg(F.sum("depth").alias("pairs")))
+    large = sizes.where((F.col("pairs") > PAIRS) | F.col("barcode").isNull())
+    whole = sizes.where((F.col("pairs") <= PAIRS) & F.col("barcode").isNotNull())
+    pairs = whole.agg(F.sum("pairs")).first()[0] or 0
+    marked = good.withColumn("mine", wanted)
+    if large.isEmpty():
+        return _whole_labels(marked.where("barcode IS NOT NULL"), pairs, threshold, start)
+    marked = cut_lineage_packed(
+        marked.join(large.select("barcode", F.lit(True).alias("large")), "barcode", "left")
+        .select("barcode", "hash", "read", "depth", "mine", F.coalesce("large", F.col("barcode").isNull()).alias("large"))
+    )
+    cut = cut_lineage_packed(
+        _cut_labels(marked, marked.where("mine AND large").select("barcode", "hash", "read", "depth"), threshold, start)
+    )
+    marked = marked.where("barcode IS NOT NULL").select("barcode", "hash", "read", "depth", F.expr("mine AND NOT large").alias("mine"))
+    return _whole_labels(marked, pairs, threshold, start).unionByName(cut)
+
+
 def code_clusters(labels: DataFrame) -> DataFrame:
     """``(barcode, n_good, n_sub, point_to_min)`` of each clustered barcode."""
     return labels.groupBy("barcode").agg(

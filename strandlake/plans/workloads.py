@@ -15,7 +15,7 @@ from ..operators import (
     barcodes, cluster, composition, histogram, incidence, mapping, overlap, ranks, sketchset, truth,
 )
 from ..operators.sketch import minimizers, sketch
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_packed
 from ..sources import fastq, sequences
 from . import inputs
 
@@ -429,13 +429,13 @@ def crib_presence(spark, sf):
 
 
 def _clusters(spark, sf):
-    inc = cut_lineage(inputs.supplier_incidence(spark, sf))
-    return inc, cut_lineage(cluster.cluster_hashes(inc, [inputs.PART_RANGE]))
+    inc = cut_lineage_packed(inputs.supplier_incidence(spark, sf))
+    return inc, cluster.cluster_hashes(inc, [inputs.PART_RANGE])
 
 
 @query
 def cluster_labels(spark, sf):
-    labels = cluster.cluster_hashes(inputs.supplier_incidence(spark, sf), [inputs.PART_RANGE])
+    _, labels = _clusters(spark, sf)
     return labels.select("barcode", "hash", "i", "raw", "sub")
 
 

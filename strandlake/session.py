@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from .functions import blocks
 
 
 def build_session(master: str | None = None, app: str = "strandlake", **conf) -> SparkSession:
@@ -41,3 +45,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="strandlake-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_packed(df: DataFrame) -> DataFrame:
+    """The same with rows in compressed blocks, for tables of the size of the input.
+
+    What the job shuffled is given up before the next begins.
+    """
+    return unpacked(cut_lineage(df.mapInArrow(blocks.pack_batches, blocks.SCHEMA)), df.schema)
+
+
+def unpacked(packed: DataFrame, schema: StructType | str) -> DataFrame:
+    """The rows in ``packed(block)``."""
+    give_up(packed.sparkSession)
+    return packed.mapInArrow(blocks.unpack_batches, schema)
+
+
+def give_up(spark: SparkSession) -> None:
+    """Delete shuffle files and checkpoints that no table refers to any more.
+
+    Spark's cleaner does so when the driver collects its garbage, which a large heap may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -358,3 +358,85 @@ def test_no_null_lists_are_sent_to_python(spark, sf, monkeypatch):
     cluster._joined(good, good, 1, 5)
     rows = sent[0].groupBy().agg(F.count("*"), F.count("others"), F.count("packed"), F.count_if(F.size("others") > 0)).head()
     assert rows[0] > 0 and rows[0] == rows[1] == rows[2] and rows[3] == 0
+
+
+@pytest.mark.parametrize("start, pairs", [(0, 4_000_000), (1, 150)])
+def test_lists_travel_to_a_slice_of_the_barcodes_at_a_time(spark, start, pairs, monkeypatch):
+    """Also where some barcodes are cut and others whole, and where blocks and batches end anywhere."""
+    monkeypatch.setattr(cluster, "PAIRS", pairs)
+    monkeypatch.setattr(cluster, "SLICE_PAIRS", 900)
+    monkeypatch.setattr(cluster, "_PAIRS_AT_ONCE", 70)
+    monkeypatch.setattr(cluster, "_BYTES_AT_ONCE", 500)
+    monkeypatch.setattr(cluster, "ROWS", 40)
+    rng = random.Random(12)
+    rows = sorted({(b, h): rng.randrange(15) for b in range(40) for h in rng.sample(range(60), rng.choice((9, 22, 30)))}.items())
+    inc = [(b, h, r) for (b, h), r in rows]
+    df = spark.createDataFrame(inc, "barcode bigint, hash bigint, read bigint").cache()
+    dealt = []
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda df, *by: dealt.append(df) or deal(df, *by))
+    labels = cluster.cluster_hashes(df, [(5, 19)], threshold=4, start=start)
+    slices = [d.select("barcode").collect() for d in dealt if d.columns == ["barcode", "depth", "hash", "read", "others"]]
+    got = {(r["barcode"], r["hash"]): (r["i"], r["raw"], r["sub"], round(r["share"], 9)) for r in labels.collect()}
+    want = plain_clusters(inc, 5, 19, 4, start)
+    assert got == want and any(v[2] for v in want.values()) and labels.count() == len(want)
+    assert 2 <= len(slices) <= cluster.SLICES
+    mine = [{r["barcode"] for r in s} for s in slices]
+    assert len(set().union(*mine)) == sum(map(len, mine)) and max(map(len, slices)) < 0.7 * sum(map(len, slices))
+    assert sum(map(len, slices)) == len(want) if start == 0 else 0 < sum(map(len, slices)) < len(want)
+    df.unpersist()
+
+
+def test_null_reads_and_barcodes_are_the_same_in_whole_and_cut_barcodes(spark, monkeypatch):
+    rng = random.Random(13)
+    inc = [(b or None, h, rng.choice([None, None, *range(40)])) for b in range(30) for h in [*rng.sample(range(60), 25), None]]
+    df = spark.createDataFrame(inc, "barcode bigint, hash bigint, read bigint").cache()
+    found = []
+    for pairs in (4_000_000, 1):
+        monkeypatch.setattr(cluster, "PAIRS", pairs)
+        labels = cluster.cluster_hashes(df, [(5, 16)], threshold=3)
+        assert [f.dataType.simpleString() for f in labels.schema] == ["bigint"] * 4 + ["int"] * 3 + ["double"]
+        found.append(Counter((r["barcode"], r["hash"], r["read"], r["i"], r["raw"], r["sub"], round(r["share"], 9)) for r in labels.collect()))
+    assert found[0] == found[1] and max(k[4] for k in found[0]) > 1
+    assert {k[4] for k in found[0] if k[0] is None} == {0}
+    df.unpersist()
+
+
+def test_clusters_are_united_over_chains_of_reads():
+    import numpy as np
+
+    n = 1000
+    order = np.random.default_rng(5).permutation(n)
+    # a read joins each cluster and the next of a random order, except every hundredth
+    edges = [(order[k], k) for k in range(n)] + [(order[k + 1], k) for k in range(n - 1) if k % 100 < 99]
+    cluster_of, read = np.array(edges).T
+    low = cluster._united(cluster_of, read, n)
+    assert all(set(low[order[at:at + 100]]) == {order[at:at + 100].min()} for at in range(0, n, 100))
+    assert cluster._united(cluster_of[:0], read[:0], 3).tolist() == [0, 1, 2]
+
+
+def test_tables_of_the_size_of_the_input_are_written_as_blocks(spark):
+    from pathlib import Path
+
+    from strandlake.session import cut_lineage, cut_lineage_packed
+
+    n = 200_000
+    df = spark.range(0, n, 1, 2).select(
+        F.floor(F.col("id") / 600).alias("barcode"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(20_000))).alias("hash"),
+        F.lit(0.5).alias("share"), F.col("id").cast("string").alias("name"), (F.col("id") % 3).cast("int").alias("i"),
+    )
+
+    def written(keep, rows):
+        spark.range(1).checkpoint()
+        folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+        before = set(folder.glob("rdd-*"))
+        kept = keep(rows)
+        return kept, sum(p.stat().st_size for d in set(folder.glob("rdd-*")) - before for p in d.glob("part-*"))
+
+    kept, size = written(cut_lineage_packed, df)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    assert kept.exceptAll(df).isEmpty() and kept.count() == n
+    numbers = df.select("barcode", "hash")
+    assert written(cut_lineage_packed, numbers)[1] < 0.7 * written(cut_lineage, numbers)[1]
+    empty = cut_lineage_packed(df.where("i < 0"))
+    assert empty.isEmpty() and empty.columns == df.columns
