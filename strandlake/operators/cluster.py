@@ -588,13 +588,13 @@ def split_codes(
     top = codes.agg(F.max("barcode").alias("top"))
     numbered = subs.where(F.col("n_sub") > 0).join(F.broadcast(top))
     # everything that follows is made of these rows
-    marked = cut_lineage(inc.join(labels.select("barcode", "hash", "sub"), ["barcode", "hash"], "left"))
-    in_cluster = F.coalesce(F.col("sub"), F.lit(0)) > 0
-    moved = marked.where(in_cluster).join(
-        numbered.select("barcode", (F.col("top") + F.col("before")).alias("base")), "barcode"
-    ).select(
-        (F.col("base") + F.col("sub")).alias("barcode"), "hash", "read",
-        F.col("barcode").alias("parent"),
+    clustered = labels.where("sub > 0").select("barcode", "hash", "sub")
+    marked = cut_lineage_packed(inc.select("barcode", "hash", "read").join(clustered, ["barcode", "hash"], "left"))
+    in_cluster = F.col("sub").isNotNull()
+    moved = cut_lineage_packed(
+        marked.where(in_cluster)
+        .join(numbered.select("barcode", (F.col("top") + F.col("before")).alias("base")), "barcode")
+        .select((F.col("base") + F.col("sub")).alias("barcode"), "hash", "read", F.col("barcode").alias("parent"))
     )
     first = moved.groupBy("barcode", "read").agg(F.min("hash").alias("first"))
     reads = grouped_rank(first, ["barcode"], ["first", "read"], "new_read")

@@ -415,9 +415,18 @@ def test_clusters_are_united_over_chains_of_reads():
     assert cluster._united(cluster_of[:0], read[:0], 3).tolist() == [0, 1, 2]
 
 
-def test_tables_of_the_size_of_the_input_are_written_as_blocks(spark):
+def written(spark, make):
+    """What ``make`` returns, and the bytes of the checkpoints it wrote that are still there."""
     from pathlib import Path
 
+    spark.range(1).checkpoint()
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.glob("rdd-*"))
+    made = make()
+    return made, sum(p.stat().st_size for d in set(folder.glob("rdd-*")) - before for p in d.glob("part-*"))
+
+
+def test_tables_of_the_size_of_the_input_are_written_as_blocks(spark):
     from strandlake.session import cut_lineage, cut_lineage_packed
 
     n = 200_000
@@ -425,18 +434,44 @@ def test_tables_of_the_size_of_the_input_are_written_as_blocks(spark):
         F.floor(F.col("id") / 600).alias("barcode"), F.when(F.col("id") % 7 > 0, F.pmod(F.xxhash64("id"), F.lit(20_000))).alias("hash"),
         F.lit(0.5).alias("share"), F.col("id").cast("string").alias("name"), (F.col("id") % 3).cast("int").alias("i"),
     )
-
-    def written(keep, rows):
-        spark.range(1).checkpoint()
-        folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
-        before = set(folder.glob("rdd-*"))
-        kept = keep(rows)
-        return kept, sum(p.stat().st_size for d in set(folder.glob("rdd-*")) - before for p in d.glob("part-*"))
-
-    kept, size = written(cut_lineage_packed, df)
+    kept = cut_lineage_packed(df)
     assert kept.schema.simpleString() == df.schema.simpleString()
     assert kept.exceptAll(df).isEmpty() and kept.count() == n
     numbers = df.select("barcode", "hash")
-    assert written(cut_lineage_packed, numbers)[1] < 0.7 * written(cut_lineage, numbers)[1]
+    assert written(spark, lambda: cut_lineage_packed(numbers))[1] < 0.7 * written(spark, lambda: cut_lineage(numbers))[1]
     empty = cut_lineage_packed(df.where("i < 0"))
     assert empty.isEmpty() and empty.columns == df.columns
+
+
+def test_split_rows_are_written_as_blocks(spark):
+    from strandlake.session import cut_lineage
+
+    inc = spark.range(0, 100_000, 1, 4).select(
+        F.floor(F.col("id") / 500).alias("barcode"), (F.col("id") * 2654435761 % (1 << 22)).alias("hash"),
+        F.pmod(F.xxhash64("id"), F.lit(50)).alias("read"),
+    )
+    labelled = inc.withColumn("sub", F.when(F.col("hash") % 20 < 3, F.col("hash") % 20).otherwise(0).cast("int"))
+    labels = labelled.where("hash % 3 > 0").select("barcode", "hash", "sub")
+    (rows, codes), size = written(spark, lambda: cluster.split_codes(inc, incidence.code_table(inc), labels))
+    assert size < 0.8 * written(spark, lambda: cut_lineage(labelled))[1]
+
+    moved, stay = defaultdict(list), Counter()
+    reads = defaultdict(set)
+    wanted = set()
+    for b, h, r, sub in labelled.collect():
+        reads[b].add(r)
+        if h % 3 and sub:
+            moved[b, sub].append((h, r))
+        else:
+            stay[b] += 1
+            wanted.add((b, h, r))
+    subs = {b: max([0, *(s for o, s in moved if o == b)]) for b in reads}
+    base = {b: max(reads) + sum(subs[o] for o in reads if o < b) for b in reads}
+    made = {(b, len(reads[b]), stay[b], None) for b in reads}
+    for (b, sub), some in moved.items():
+        number = {}
+        for h, r in sorted(some):
+            wanted.add((base[b] + sub, h, number.setdefault(r, len(number))))
+        made.add((base[b] + sub, len(number), len(some), b))
+    assert {tuple(r) for r in rows.select("barcode", "hash", "read").collect()} == wanted and rows.count() == len(wanted)
+    assert {tuple(r) for r in codes.select("barcode", "n_read", "n_hash", "parent").collect()} == made and codes.count() == len(made)
