@@ -10,7 +10,7 @@ were first met.
   travel to one slice of the barcodes after the other, so that the disks hold those of a slice.
 * A barcode with more than ``PAIRS`` pairs is cut by the other barcode, and its counts are added up by barcode and hash. Its numbers
   come from sampled ranges that cut it (``ranks.grouped_rank``); clusters are found on the hashes that join one, and united on the
-  reads that lie in several: small tables.
+  reads that lie in several: small tables. This goes by slices of these barcodes as well.
 * Tables of the size of the input are written as compressed blocks.
 
 So neither a large barcode nor one with many clusters meets in one row or task. The pairs of barcodes formed are bounded
@@ -20,6 +20,7 @@ by the range: a hash in the range ``[low, high)`` is carried by fewer than ``hig
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -425,24 +426,27 @@ def _label_batches(batches, threshold: int, start: int):
         yield labelled(last=True)
 
 
+def _slices(pairs: int) -> int:
+    return min(SLICES, max(1, -(-pairs // SLICE_PAIRS)))
+
+
 def _whole_labels(good: DataFrame, pairs: int, threshold: int, start: int) -> DataFrame:
     """Labels of the barcodes whose rows of ``good(hash, barcode, read, depth, mine)`` are marked, of so many pairs."""
     lists = _lists(good)
-    slices = min(SLICES, max(1, -(-pairs // SLICE_PAIRS)))
-    made = None
+    slices = _slices(pairs)
+    made = []
     for k in range(slices):
         rows = lists.mapInArrow(lambda batches, k=k: _dealt_batches(batches, k, slices), _ROWS_SCHEMA)
         dealt = rows.repartition("barcode").sortWithinPartitions("barcode", "depth", "hash")
-        some = cut_lineage(dealt.mapInArrow(lambda batches: pack_batches(_label_batches(batches, threshold, start)), SCHEMA))
+        made.append(cut_lineage(dealt.mapInArrow(lambda batches: pack_batches(_label_batches(batches, threshold, start)), SCHEMA)))
         give_up(good.sparkSession)
-        made = some if made is None else made.unionByName(some)
-    return unpacked(made, _LABELS_SCHEMA)
+    return unpacked(reduce(DataFrame.unionByName, made), _LABELS_SCHEMA)
 
 
 def _cut_labels(good: DataFrame, mine: DataFrame, threshold: int, start: int) -> DataFrame:
     """Labels of barcodes of any size, whose rows of ``good`` are ``mine``. Null barcodes have no clusters."""
-    mine = cut_lineage(_numbered(mine))
-    joined = cut_lineage(_joined(good, mine.where("barcode IS NOT NULL"), start, threshold))
+    mine = cut_lineage_packed(_numbered(mine))
+    joined = cut_lineage_packed(_joined(good, mine.where("barcode IS NOT NULL"), start, threshold))
     # the place where a hash joins is one row of its tally
     roots = _roots(joined.where("ms = parent").select("barcode", "i", "parent"))
     # clusters are numbered as they are founded: by the first hash that joins the founder
@@ -453,7 +457,7 @@ def _cut_labels(good: DataFrame, mine: DataFrame, threshold: int, start: int) ->
         "barcode", "i", "raw", F.coalesce("share", F.lit(0.0)).alias("share")
     )
     first = founders.select("barcode", F.col("root").alias("i"), "raw", F.lit(0.0).alias("share"))
-    members = cut_lineage(mine.join(inner.unionByName(first), ["barcode", "i"], "left"))
+    members = cut_lineage_packed(mine.join(inner.unionByName(first), ["barcode", "i"], "left"))
     clustered = members.where("raw IS NOT NULL")
     united = _merge_by_read(clustered)
     # the clusters that are left are numbered by their least
@@ -489,21 +493,24 @@ def cluster_hashes(
         wanted = F.col("barcode") >= low
         wanted = wanted & (F.col("barcode") < high) if high else wanted
     sizes = cut_lineage(good.where(wanted).groupBy("barcode").agg(F.sum("depth").alias("pairs")))
-    large = sizes.where((F.col("pairs") > PAIRS) | F.col("barcode").isNull())
-    whole = sizes.where((F.col("pairs") <= PAIRS) & F.col("barcode").isNotNull())
-    pairs = whole.agg(F.sum("pairs")).first()[0] or 0
+    large = (F.col("pairs") > PAIRS) | F.col("barcode").isNull()
+    pairs, cut_pairs = sizes.agg(*[F.sum(F.when(which, F.col("pairs"))) for which in (~large, large)]).first()
     marked = good.withColumn("mine", wanted)
-    if large.isEmpty():
-        return _whole_labels(marked.where("barcode IS NOT NULL"), pairs, threshold, start)
+    if cut_pairs is None:
+        return _whole_labels(marked.where("barcode IS NOT NULL"), pairs or 0, threshold, start)
     marked = cut_lineage_packed(
-        marked.join(large.select("barcode", F.lit(True).alias("large")), "barcode", "left")
+        marked.join(sizes.where(large).select("barcode", F.lit(True).alias("large")), "barcode", "left")
         .select("barcode", "hash", "read", "depth", "mine", F.coalesce("large", F.col("barcode").isNull()).alias("large"))
     )
-    cut = cut_lineage_packed(
-        _cut_labels(marked, marked.where("mine AND large").select("barcode", "hash", "read", "depth"), threshold, start)
-    )
+    slices = _slices(cut_pairs)
+    cut = [
+        cut_lineage_packed(_cut_labels(marked, some.select("barcode", "hash", "read", "depth"), threshold, start))
+        for some in (
+            marked.where(F.expr("mine AND large") & (F.pmod(F.xxhash64("barcode"), F.lit(slices)) == k)) for k in range(slices)
+        )
+    ]
     marked = marked.where("barcode IS NOT NULL").select("barcode", "hash", "read", "depth", F.expr("mine AND NOT large").alias("mine"))
-    return _whole_labels(marked, pairs, threshold, start).unionByName(cut)
+    return reduce(DataFrame.unionByName, cut, _whole_labels(marked, pairs or 0, threshold, start))
 
 
 def code_clusters(labels: DataFrame) -> DataFrame:

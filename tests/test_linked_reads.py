@@ -360,11 +360,12 @@ def test_no_null_lists_are_sent_to_python(spark, sf, monkeypatch):
     assert rows[0] > 0 and rows[0] == rows[1] == rows[2] and rows[3] == 0
 
 
-@pytest.mark.parametrize("start, pairs", [(0, 4_000_000), (1, 150)])
-def test_lists_travel_to_a_slice_of_the_barcodes_at_a_time(spark, start, pairs, monkeypatch):
+@pytest.mark.parametrize("start, pairs, most", [(0, 4_000_000, 8), (1, 150, 2)])
+def test_lists_travel_to_a_slice_of_the_barcodes_at_a_time(spark, start, pairs, most, monkeypatch):
     """Also where some barcodes are cut and others whole, and where blocks and batches end anywhere."""
     monkeypatch.setattr(cluster, "PAIRS", pairs)
     monkeypatch.setattr(cluster, "SLICE_PAIRS", 900)
+    monkeypatch.setattr(cluster, "SLICES", most)
     monkeypatch.setattr(cluster, "_PAIRS_AT_ONCE", 70)
     monkeypatch.setattr(cluster, "_BYTES_AT_ONCE", 500)
     monkeypatch.setattr(cluster, "ROWS", 40)
