@@ -19,6 +19,7 @@ by the range: a hash in the range ``[low, high)`` is carried by fewer than ``hig
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -302,8 +303,9 @@ def _list_blocks(batches):
 def _lists(good: DataFrame) -> DataFrame:
     """``(block)``: the rows of ``good(hash, barcode, read, depth, mine)`` by hash, ascending by barcode."""
     rows = good.repartition("hash").sortWithinPartitions("hash", "barcode")
+    began = time.monotonic()
     made = cut_lineage(rows.select("hash", "barcode", "read", "depth", "mine").mapInArrow(_list_blocks, SCHEMA))
-    give_up(good.sparkSession)
+    give_up(good.sparkSession, began)
     return made
 
 
@@ -438,8 +440,9 @@ def _whole_labels(good: DataFrame, pairs: int, threshold: int, start: int) -> Da
     for k in range(slices):
         rows = lists.mapInArrow(lambda batches, k=k: _dealt_batches(batches, k, slices), _ROWS_SCHEMA)
         dealt = rows.repartition("barcode").sortWithinPartitions("barcode", "depth", "hash")
+        began = time.monotonic()
         made.append(cut_lineage(dealt.mapInArrow(lambda batches: pack_batches(_label_batches(batches, threshold, start)), SCHEMA)))
-        give_up(good.sparkSession)
+        give_up(good.sparkSession, began)
     return unpacked(reduce(DataFrame.unionByName, made), _LABELS_SCHEMA)
 
 

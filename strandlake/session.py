@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from .functions import blocks
 
+#: Share of the seconds of a job that are waited before its files are given up, and the most seconds.
+WAIT = 0.1
+LONGEST_WAIT = 1.5
+
 
 def build_session(master: str | None = None, app: str = "strandlake", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -52,19 +57,24 @@ def cut_lineage_packed(df: DataFrame) -> DataFrame:
 
     What the job shuffled is given up before the next begins.
     """
-    return unpacked(cut_lineage(df.mapInArrow(blocks.pack_batches, blocks.SCHEMA)), df.schema)
+    began = time.monotonic()
+    packed = cut_lineage(df.mapInArrow(blocks.pack_batches, blocks.SCHEMA))
+    give_up(df.sparkSession, began)
+    return unpacked(packed, df.schema)
 
 
 def unpacked(packed: DataFrame, schema: StructType | str) -> DataFrame:
     """The rows in ``packed(block)``."""
-    give_up(packed.sparkSession)
     return packed.mapInArrow(blocks.unpack_batches, schema)
 
 
-def give_up(spark: SparkSession) -> None:
-    """Delete shuffle files and checkpoints that no table refers to any more.
+def give_up(spark: SparkSession, began: float) -> None:
+    """Delete shuffle files and checkpoints that no table refers to any more, after a job that ``began`` at that time.
 
     Spark's cleaner does so when the driver collects its garbage, which a large heap may put off until the disks are full.
+    Python hands tables back once a second, for which a long job waits; the files of a short one may go with the next.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(min(LONGEST_WAIT, WAIT * (time.monotonic() - began)))
+    spark.sparkContext._jvm.System.gc()

@@ -476,3 +476,28 @@ def test_split_rows_are_written_as_blocks(spark):
         made.add((base[b] + sub, len(number), len(some), b))
     assert {tuple(r) for r in rows.select("barcode", "hash", "read").collect()} == wanted and rows.count() == len(wanted)
     assert {tuple(r) for r in codes.select("barcode", "n_read", "n_hash", "parent").collect()} == made and codes.count() == len(made)
+
+
+def test_shuffle_files_are_given_up_when_rows_are_written(spark, monkeypatch):
+    import time
+    from pathlib import Path
+
+    from strandlake import session
+
+    folders = [Path(p) for p in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+
+    def shuffled():
+        return {p for folder in folders for p in folder.rglob("shuffle_*.data")}
+
+    before = shuffled()
+    made = []
+    keep = session.cut_lineage
+    # as the job ends, before its shuffle is given up
+    monkeypatch.setattr(session, "cut_lineage", lambda df: (keep(df), made.extend(shuffled() - before))[0])
+    df = spark.range(100_000).select("id", (F.col("id") % 1000).alias("k"))
+    kept = session.cut_lineage_packed(df.repartition("k"))
+    until = time.time() + 20
+    while set(made) & shuffled() and time.time() < until:
+        session.give_up(spark, time.monotonic())
+        time.sleep(0.5)
+    assert made and not set(made) & shuffled() and kept.count() == 100_000
